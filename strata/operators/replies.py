@@ -98,14 +98,14 @@ def _parses(code: str) -> bool:
     return True
 
 
-@F.pandas_udf("string")
-def _first_that_parses(candidates: pd.Series) -> pd.Series:
-    """The only Python step: a native check of Python syntax does not exist."""
+def _first_that_parses(candidates: Column) -> Column:
+    """The only Python step: Spark has no check of Python syntax."""
 
-    def first(texts):
-        return None if texts is None else next((t for t in texts if t is not None and _parses(t)), None)
+    @F.pandas_udf("string")
+    def first(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda texts: None if texts is None else next((t for t in texts if _parses(t)), None))
 
-    return candidates.map(first)
+    return first(candidates)
 
 
 def _block(text: Column, regex: str) -> Column:

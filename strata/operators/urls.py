@@ -3,6 +3,8 @@
 Hosts are first brought to a canonical form, as a browser would read them: user info, port and
 brackets go, percent escapes are decoded, and IPv4 addresses written as `2130706433`, `0x7f.1` or
 `0177.0.0.1` become four numbers. IPv6 text is expanded to eight numbers.
+
+The expression is large, so it is put together as SQL text and handed to Spark once.
 """
 
 from __future__ import annotations
@@ -10,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.expr import let
-
 # What makes a host private.
 LOCAL_NAMES = ("localhost",)
 PRIVATE_NAME_PARTS = ("internal", "corp", "intranet")
@@ -38,7 +38,16 @@ PRIVATE_V6 = ("2001:0::/23", "2001:db8::/32", "2002::/16")
 PUBLIC_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
 UNICAST_V6 = ("2000::/3", "fec0::/10")
 
+# Characters a host name may not hold.
+FORBIDDEN = r"[\x00-\x20#%/:<>?@\\^|\x7f\x{FFFD}\[\]]"
+
 _NUMBER = r"(?:0x[0-9a-f]*|[0-9]+)"
+_GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """Bind a value to a name: it is computed once, however often the body uses it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def _v4_range(cidr: str) -> tuple[int, int]:
@@ -56,178 +65,141 @@ def _v6_groups(address: str) -> list[int]:
     return left + [0] * (8 - len(left) - len(right)) + right
 
 
-def _in_v4(number: Column, cidrs: tuple[str, ...]) -> Column:
-    test = F.lit(False)
-    for cidr in cidrs:
-        test = test | number.between(*_v4_range(cidr))
-    return test
+def _any(tests: list[str]) -> str:
+    return f"({' or '.join(tests)})"
+
+
+def _in_v4(number: str, cidrs: tuple[str, ...]) -> str:
+    return _any([f"{number} between {a} and {b}" for a, b in map(_v4_range, cidrs)])
 
 
-def _in_v6(groups: Column, cidrs: tuple[str, ...]) -> Column:
+def _in_v6(groups: str, cidrs: tuple[str, ...]) -> str:
     """Are the 8 groups inside a range? The prefix is compared group by group, the last one by range."""
-    test = F.lit(False)
-    for cidr in cidrs:
+
+    def inside(cidr: str) -> str:
         address, bits = cidr.split("/")
         whole, rest = divmod(int(bits), 16)
         want = _v6_groups(address)
-        inside = F.lit(True)
-        for i in range(whole):
-            inside = inside & (F.get(groups, F.lit(i)) == want[i])
+        tests = [f"{groups}[{i}] = {want[i]}" for i in range(whole)]
         if rest:
-            first = want[whole]
-            inside = inside & F.get(groups, F.lit(whole)).between(first, first + 2 ** (16 - rest) - 1)
-        test = test | inside
-    return test
-
+            tests.append(f"{groups}[{whole}] between {want[whole]} and {want[whole] + 2 ** (16 - rest) - 1}")
+        return f"({' and '.join(tests)})"
 
-def _hex(text: Column) -> Column:
-    return F.conv(text, 16, 10).cast("bigint")
+    return _any([inside(c) for c in cidrs])
 
 
-def url_host(url: Column) -> Column:
+def _host(url: str) -> str:
     """Host of an http(s) URL, lower case, still in its brackets if IPv6; null if there is none."""
-    # Characters a host name may not hold.
-    forbidden = r"[\x00-\x20#%/:<>?@\\^|\x7f\x{FFFD}\[\]]"
-    cleaned = F.translate(F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), "\t\n\r", "")
-    authority = F.regexp_extract(cleaned, r"(?i)\Ahttps?:[/\\]*([^/\\?#]*)", 1)
-    after_user = F.regexp_replace(authority, r"(?s)\A.*@", "")
-    shape = r"\A(\[[^\]]*\]|[^:]*)(?::0*([0-9]*))?\z"
-
-    def split(text: Column) -> Column:
-        port = F.regexp_extract(text, shape, 2)
-        port_ok = (F.length(port) < 5) | ((F.length(port) == 5) & (port <= "65535"))
-        return F.when(port_ok, F.regexp_extract(text, shape, 1))
-
-    def decode(name: Column) -> Column:
-        escaped = F.replace(name, F.lit("+"), F.lit("%2B"))
-        return F.when(name.contains("%") & ~name.startswith("["), F.try_url_decode(escaped)).otherwise(name)
-
-    def check(name: Column) -> Column:
-        return F.when((name != "") & (name.startswith("[") | ~name.rlike(forbidden)), F.lower(name))
-
-    return let(let(let(after_user, split), decode), check)
-
-
-def _v4_part(part: Column) -> Column:
-    digits = F.regexp_replace(part, r"\A(?:0x)?0*", "")
-    return (
-        F.when(part.rlike(r"\A0[0-9]*[89]"), F.lit(None).cast("bigint"))
-        .when(digits == "", F.lit(0).cast("bigint"))
-        .when(F.length(digits) > 12, F.lit(2**40))
-        .when(part.startswith("0x"), _hex(digits))
-        .when(part.startswith("0"), F.conv(digits, 8, 10).cast("bigint"))
-        .otherwise(digits.try_cast("bigint"))
+    cleaned = rf"translate(regexp_replace({url}, r'\A[\x00-\x20]+|[\x00-\x20]+\z', ''), '\t\n\r', '')"
+    authority = rf"regexp_extract({cleaned}, r'(?i)\Ahttps?:[/\\]*([^/\\?#]*)', 1)"
+    after_user = rf"regexp_replace({authority}, r'(?s)\A.*@', '')"
+    shape = r"r'\A(\[[^\]]*\]|[^:]*)(?::0*([0-9]*))?\z'"
+    port = f"regexp_extract(a, {shape}, 2)"
+    port_ok = f"(length({port}) < 5 or length({port}) = 5 and {port} <= '65535')"
+    name = f"case when {port_ok} then regexp_extract(a, {shape}, 1) end"
+    decoded = (
+        "case when contains(n, '%') and not startswith(n, '[') "
+        "then try_url_decode(replace(n, '+', '%2B')) else n end"
     )
+    checked = rf"case when d <> '' and (startswith(d, '[') or not d rlike r'{FORBIDDEN}') then lower(d) end"
+    return _let("d", _let("n", _let("a", after_user, name), decoded), checked)
 
 
-def host_ipv4(host: Column) -> Column:
+def _ipv4(host: str) -> str:
     """BIGINT of a host whose last label is a number, or -1 if that is no address."""
-    dotless = F.regexp_replace(host, r"\.\z", "")
-    well_formed = dotless.rlike(rf"\A(?:{_NUMBER}\.){{0,3}}{_NUMBER}\z")
+    dotless = rf"regexp_replace({host}, r'\.\z', '')"
+    digits = r"regexp_replace(p, r'\A(?:0x)?0*', '')"
+    part = rf"""case
+      when p rlike r'\A0[0-9]*[89]' then null
+      when {digits} = '' then 0L
+      when length({digits}) > 12 then {2**40}L
+      when startswith(p, '0x') then cast(conv({digits}, 16, 10) as bigint)
+      when startswith(p, '0') then cast(conv({digits}, 8, 10) as bigint)
+      else try_cast({digits} as bigint) end"""
     # The last part fills all the bytes the others leave.
-    rooms = F.array(*[F.lit(256 ** (5 - n)).cast("bigint") for n in range(1, 5)])
-
-    def combine(values: Column) -> Column:
-        n = F.size(values)
-        leading, last = F.slice(values, F.lit(1), n - 1), F.get(values, n - 1)
-        room = F.get(rooms, n - 1)
-        high = F.aggregate(leading, F.lit(0).cast("bigint"), lambda acc, v: acc * 256 + v)
-        fits = F.forall(leading, lambda v: v < 256) & (last < room)
-        return F.when(fits, high * room + last)
-
-    number = let(F.transform(F.split(dotless, r"\."), _v4_part), combine)
-    return F.coalesce(F.when(well_formed, number), F.lit(-1).cast("bigint"))
-
-
-def _v6_as_hex(text: Column) -> Column:
-    """Write a dotted IPv4 tail as two groups; null if the tail is no address."""
-    dotted = r"\A(.*:)([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)\z"
-    canonical = r"(?:0|[1-9][0-9]{0,2})"
-
-    def octets(values: Column) -> Column:
-        def pair(i: int) -> Column:
-            return F.hex(F.get(values, F.lit(i)) * 256 + F.get(values, F.lit(i + 1)))
+    room = "array(" + ", ".join(f"{256 ** (5 - n)}L" for n in range(1, 5)) + ")[size(v) - 1]"
+    leading = "slice(v, 1, size(v) - 1)"
+    number = f"""case when forall({leading}, x -> x < 256) and v[size(v) - 1] < {room}
+      then aggregate({leading}, 0L, (acc, x) -> acc * 256 + x) * {room} + v[size(v) - 1] end"""
+    well_formed = rf"{dotless} rlike r'\A(?:{_NUMBER}\.){{0,3}}{_NUMBER}\z'"
+    values = rf"transform(split({dotless}, r'\.'), p -> {part})"
+    return f"coalesce(case when {well_formed} then {_let('v', values, number)} end, -1L)"
 
-        joined = F.concat(F.regexp_extract(text, dotted, 1), pair(0), F.lit(":"), pair(2))
-        return F.when(F.forall(values, lambda v: v < 256), F.lower(joined))
 
-    parts = F.array(*[F.regexp_extract(text, dotted, i).try_cast("bigint") for i in range(2, 6)])
-    tail = rf":{canonical}\.{canonical}\.{canonical}\.{canonical}\z"
-    return F.when(~text.contains("."), text).when(text.rlike(tail), let(parts, octets))
-
-
-def host_ipv6(host: Column) -> Column:
+def _ipv6(host: str) -> str:
     """ARRAY<BIGINT> of the 8 groups of a bracketed host; null if it is no IPv6 address."""
-    groups = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
-    shape = rf"\A(?:{groups}|(?:{groups})?::(?:{groups})?)\z"
-    text = F.regexp_extract(host, r"\A\[([^\]]*)\]\z", 1)
-
-    def expand(halves: Column) -> Column:
-        left = F.filter(F.split(F.get(halves, F.lit(0)), ":"), lambda g: g != "")
-        right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
-        given = F.size(left) + F.size(right)
-        fill = F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))
-        ok = F.when(F.size(halves) == 2, given <= 7).otherwise(given == 8)
-        return F.when(ok, F.transform(F.concat(left, fill, right), _hex))
-
-    def parse(as_hex: Column) -> Column:
-        return F.when(as_hex.rlike(shape), let(F.split(as_hex, "::"), expand))
-
-    return let(let(text, _v6_as_hex), parse)
-
-
-def _v4_class(number: Column) -> Column:
-    local = [_v4_range(f"{a}/32")[0] for a in LOCALHOST_V4]
-    private = _in_v4(number, PRIVATE_V4) & ~_in_v4(number, PUBLIC_V4)
-    return (
-        F.when(number < 0, "invalid")
-        .when(number.isin(*local), "localhost")
-        .when(private, "private_ip")
-        .otherwise("public")
-    )
-
-
-def _v6_class(groups: Column) -> Column:
-    private = ~_in_v6(groups, UNICAST_V6) | (_in_v6(groups, PRIVATE_V6) & ~_in_v6(groups, PUBLIC_V6))
-    return (
-        F.when(groups.isNull(), "invalid")
-        .when(_in_v6(groups, ("::1/128",)), "localhost")
-        .when(private, "private_ip")
-        .otherwise("public")
-    )
-
-
-def _name_class(host: Column, host_match: str) -> Column:
+    text = rf"regexp_extract({host}, r'\A\[([^\]]*)\]\z', 1)"
+    # A dotted IPv4 tail is written as two groups.
+    octet = r"(0|[1-9][0-9]{0,2})"
+    dotted = rf"r'\A(.*:){octet}\.{octet}\.{octet}\.{octet}\z'"
+    octets = ", ".join(f"cast(regexp_extract(t, {dotted}, {i}) as bigint)" for i in range(2, 6))
+    joined = f"""case when forall(o, x -> x < 256) then
+      concat(regexp_extract(t, {dotted}, 1), lower(hex(o[0] * 256 + o[1])), ':', lower(hex(o[2] * 256 + o[3]))) end"""
+    as_hex = f"""case when not contains(t, '.') then t
+      when t rlike {dotted} then {_let('o', f'array({octets})', joined)} end"""
+    left = "filter(split(b[0], ':'), g -> g <> '')"
+    right = "filter(split(coalesce(get(b, 1), ''), ':'), g -> g <> '')"
+    given = f"(size({left}) + size({right}))"
+    fill = f"array_repeat('0', greatest(8 - {given}, 0))"
+    groups = f"""case when if(size(b) = 2, {given} <= 7, {given} = 8)
+      then transform(concat({left}, {fill}, {right}), g -> cast(conv(g, 16, 10) as bigint)) end"""
+    shape = rf"r'\A(?:{_GROUPS}|(?:{_GROUPS})?::(?:{_GROUPS})?)\z'"
+    parsed = f"case when h rlike {shape} then {_let('b', 'split(h, ' + chr(39) + '::' + chr(39) + ')', groups)} end"
+    return _let("h", _let("t", text, as_hex), parsed)
+
+
+def _v4_class(number: str) -> str:
+    local = ", ".join(str(_v4_range(f"{a}/32")[0]) for a in LOCALHOST_V4)
+    return f"""case when {number} < 0 then 'invalid'
+      when {number} in ({local}) then 'localhost'
+      when {_in_v4(number, PRIVATE_V4)} and not {_in_v4(number, PUBLIC_V4)} then 'private_ip'
+      else 'public' end"""
+
+
+def _v6_class(groups: str) -> str:
+    private = f"{_in_v6(groups, PRIVATE_V6)} and not {_in_v6(groups, PUBLIC_V6)}"
+    return f"""case when {groups} is null then 'invalid'
+      when {_in_v6(groups, ('::1/128',))} then 'localhost'
+      when not {_in_v6(groups, UNICAST_V6)} or ({private}) then 'private_ip'
+      else 'public' end"""
+
+
+def _name_class(host: str, host_match: str) -> str:
     if host_match not in ("contains", "suffix"):
         raise ValueError(f"unknown host_match: {host_match}")
-    name = F.regexp_replace(host, r"\.\z", "")
-    private = F.lit(False)
-    for part in PRIVATE_NAME_PARTS:
-        private = private | name.contains(part)
-    for end in PRIVATE_NAME_ENDS:
-        private = private | (name.contains(end) if host_match == "contains" else name.endswith(end))
-    return F.when(name.isin(*LOCAL_NAMES), "localhost").when(private, "private_host").otherwise("public")
-
-
-def host_class(host: Column, host_match: str = "contains") -> Column:
-    return (
-        F.when(host.isNull(), "invalid")
-        .when(host.startswith("["), let(host_ipv6(host), _v6_class))
-        .when(host.rlike(rf"(?:\A|\.){_NUMBER}\.?\z"), let(host_ipv4(host), _v4_class))
-        .otherwise(_name_class(host, host_match))
-    )
+    name = rf"regexp_replace({host}, r'\.\z', '')"
+    at_end = "contains" if host_match == "contains" else "endswith"
+    private = [f"contains({name}, '{p}')" for p in PRIVATE_NAME_PARTS]
+    private += [f"{at_end}({name}, '{p}')" for p in PRIVATE_NAME_ENDS]
+    local = ", ".join(f"'{n}'" for n in LOCAL_NAMES)
+    return f"""case when {name} in ({local}) then 'localhost'
+      when {_any(private)} then 'private_host' else 'public' end"""
+
 
+def _host_class(host: str, host_match: str) -> str:
+    return rf"""case when {host} is null then 'invalid'
+      when startswith({host}, '[') then {_let('s', _ipv6(host), _v6_class('s'))}
+      when {host} rlike r'(?:\A|\.){_NUMBER}\.?\z' then {_let('n', _ipv4(host), _v4_class('n'))}
+      else {_name_class(host, host_match)} end"""
 
-def url_class(url: Column, host_match: str = "contains") -> Column:
+
+def url_class(url: str, host_match: str = "contains") -> Column:
     """`invalid`, `localhost`, `private_ip`, `private_host` or `public`; null for a null URL.
 
-    A trailing dot does not hide a host: `localhost.` is `localhost`.
+    `url` names a column. A trailing dot does not hide a host: `localhost.` is `localhost`.
     """
-    return F.when(url.isNotNull(), let(url_host(url), lambda host: host_class(host, host_match)))
+    column = ".".join(f"`{part}`" for part in url.split("."))
+    verdict = _let("host", _host(column), _host_class("host", host_match))
+    return F.expr(f"case when {column} is not null then {verdict} end")
+
+
+def url_host(url: str) -> Column:
+    """The canonical host of a URL column; null if the URL has none."""
+    return F.expr(_host(".".join(f"`{part}`" for part in url.split("."))))
 
 
 def screen_urls(
     df: DataFrame, url_col: str, host_match: str = "contains", class_col: str = "url_class"
 ) -> DataFrame:
     """Add the class of a URL column. `host_match="suffix"` takes .local and .lan as suffixes only."""
-    return df.withColumn(class_col, url_class(F.col(url_col), host_match))
+    return df.withColumn(class_col, url_class(url_col, host_match))

@@ -31,26 +31,18 @@ def to_json_records(df: DataFrame, col: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), options).alias(col))
 
 
-def write_layer(
-    df: DataFrame,
-    root: str,
-    layer: str,
-    source: str,
-    dataset: str,
-    ts: Column | str | datetime,
-    batch_id: str,
-    fmt: str | None = None,
+def write_batch(
+    df: DataFrame, path: str, ts: Column | str | datetime, batch_id: str, fmt: str = "parquet"
 ) -> str:
-    """Write to `layer=/source=/dataset=/year=/month=/day=/batch_id=`; returns the dataset path.
+    """Write one batch below a dataset path, in `year=/month=/day=/batch_id=`; returns the path.
 
     `ts` is the time that gives the day: a column, a column name, or one time for the whole batch.
-    Landing defaults to JSON lines, the other layers to Parquet. Only the partitions of this batch
-    are replaced, so running a batch again changes nothing and other batches are never touched.
+    Only the partitions of this batch are replaced, so running a batch again changes nothing and
+    other batches are never touched.
 
     Rows are rebalanced by day before the write: files come out near the advisory size, and a day
     that holds most of the rows is split over many tasks instead of being written by one.
     """
-    path = layer_path(root, layer, source, dataset)
     if isinstance(ts, datetime):
         ts = F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
     at = F.col(ts) if isinstance(ts, str) else ts
@@ -68,7 +60,25 @@ def write_layer(
         .option("partitionOverwriteMode", "dynamic")
         .option("ignoreNullFields", "false")
         .partitionBy(*DAY_LEVELS, "batch_id")
-        .format(fmt or ("json" if layer == "landing" else "parquet"))
+        .format(fmt)
         .save(path)
     )
     return path
+
+
+def write_layer(
+    df: DataFrame,
+    root: str,
+    layer: str,
+    source: str,
+    dataset: str,
+    ts: Column | str | datetime,
+    batch_id: str,
+    fmt: str | None = None,
+) -> str:
+    """Write one batch to `layer=/source=/dataset=/`, see `write_batch`; returns the dataset path.
+
+    Landing defaults to JSON lines, the other layers to Parquet.
+    """
+    fmt = fmt or ("json" if layer == "landing" else "parquet")
+    return write_batch(df, layer_path(root, layer, source, dataset), ts, batch_id, fmt)

@@ -11,7 +11,6 @@ import importlib
 import json
 import time
 from collections.abc import Callable, Iterator, Mapping
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,19 +30,31 @@ SCHEMA = "source_id string, seq bigint, page bigint, body string, attempts int"
 
 
 class FileFetcher:
-    """Pages dumped as files: `<root>/source=<source_id>/page=<n>.json`; a page not there is empty."""
+    """Pages dumped below `<root>/source=<source_id>/`, each as `page=<n>.json` or as a folder `page=<n>`.
+
+    The root may be any file system that Arrow reads. A page that is not there is empty.
+    """
 
     def __init__(self, root: str, page_param: str = "page"):
-        self.root, self.page_param = root, page_param
+        self.root, self.page_param = root.rstrip("/"), page_param
 
     def __call__(self, source_id: str, params: Mapping[str, str]) -> str:
+        from pyarrow import fs
+
         page = int(params.get(self.page_param, 1))
-        path = PurePosixPath(self.root) / f"source={source_id}" / f"page={page}.json"
-        try:
-            with open(path, encoding="utf-8") as f:
-                return f.read()
-        except FileNotFoundError:
+        where = f"{self.root}/source={source_id}/page={page}"
+        if ":/" in where:
+            files, where = fs.FileSystem.from_uri(where)
+        else:
+            files = fs.LocalFileSystem()
+        if files.get_file_info(f"{where}.json").type == fs.FileType.File:
+            found = [f"{where}.json"]
+        else:
+            inside = files.get_file_info(fs.FileSelector(where, allow_not_found=True))
+            found = sorted(f.path for f in inside if f.is_file and not f.base_name.startswith((".", "_")))
+        if not found:
             return "[]"
+        return "".join(files.open_input_stream(f).read().decode("utf-8") for f in found)
 
 
 class HttpFetcher:
@@ -104,7 +115,7 @@ def fetch_pages(
     """
     columns = ["source_id", "seq", "params"]
     if "url" in requests.columns:
-        verdict = url_class(F.col("url"))
+        verdict = url_class("url")
         refusal = F.raise_error(F.concat(F.lit("URL is not public ("), verdict, F.lit("): "), F.col("url")))
         safe = F.when(F.col("url").isNull() | (verdict == "public"), F.lit(True)).otherwise(refusal.cast("boolean"))
         requests = requests.filter(safe)
