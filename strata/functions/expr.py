@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is costly to compute and used often, among others in filters.
+
+    A filter on a plain column is pushed below it and computes the value again, once per mention. A
+    one-element explode stops that: the value is computed once, and nothing is shuffled.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def trim_all(text: Column) -> Column:
     """Without white space of any kind on either side."""
     return F.regexp_replace(text, r"\A\s+|\s+\z", "")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.envelope import envelope_records
-from strata.functions.expr import let, trim_all
+from strata.functions.expr import let, once, trim_all
 from strata.operators.envelope import typed_fields
 
 # The form of a user prompt, and how much text one prompt holds.
@@ -80,14 +80,15 @@ def parse_replies(
     of nulls with `reply_ok` = false.
     """
     others = [c for c in df.columns if c != reply_col]
-    opened = df.withColumn("_value", F.try_parse_json(strip_fences(F.col(reply_col)))).select(
-        *others, envelope_records(F.col("_value"), "model").alias("_records")
-    )
-    ok = F.col("_records").isNotNull()
-    expand = F.explode_outer if keep_bad else F.explode
-    return opened.select(*others, ok.alias("reply_ok"), expand("_records").alias("_record")).select(
-        *others, *(["reply_ok"] if keep_bad else []), *typed_fields("_record", schema)
+    value = once(df, "_value", F.try_parse_json(strip_fences(F.col(reply_col))))
+    found = once(value, "_records", envelope_records(F.col("_value"), "model"))
+    # An outer explode, as a plain one adds a filter on its input.
+    rows = found.select(
+        *others, F.col("_records").isNotNull().alias("reply_ok"), F.posexplode_outer("_records").alias("_at", "_record")
     )
+    if not keep_bad:
+        rows = rows.filter("_at is not null")
+    return rows.select(*others, *(["reply_ok"] if keep_bad else []), *typed_fields("_record", schema))
 
 
 def _parses(code: str) -> bool:

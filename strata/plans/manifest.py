@@ -115,7 +115,7 @@ def apply_steps(df: DataFrame, steps: list[Mapping[str, Any]], c: Context) -> Da
     return df
 
 
-def _ingestion(manifest: Manifest, c: Context, fetcher: Fetcher | None, pause: float) -> tuple[DataFrame, str, str]:
+def _ingestion(manifest: Manifest, c: Context, fetcher: Fetcher | None, pause: float, keep: bool) -> tuple[DataFrame, str, str]:
     source, target = manifest["source"], manifest["target"]
     paging = {"type": "none", **(source.get("pagination") or {})}
     params = {k: str(v) for k, v in (source.get("params") or {}).items()}
@@ -126,7 +126,7 @@ def _ingestion(manifest: Manifest, c: Context, fetcher: Fetcher | None, pause: f
         "limit_param string, limit_value int, max_items bigint, page_param string",
     )
     fetcher = fetcher or HttpFetcher(source["url"], source.get("headers"))
-    pages = read_paged(one, fetcher, pause=pause)
+    pages = read_paged(one, fetcher, keep=keep, pause=pause)
     if source.get("format", "json") == "json":
         named = pages.select(F.col("source_id").alias("source"), "page", "body")
         records = stitch_pages(named, max_items=paging.get("max_items"))
@@ -164,7 +164,7 @@ def run_manifest(
     """Validate, chain, write, and say what happened; a failed run raises `ManifestError`.
 
     `roots` maps bucket names to folders. The run is one write action; its counts are taken on the
-    way. `dry_run` builds the same chain and returns its schema, schema mismatches and target, without
+    way. Ingestion keeps the fetched pages first, so that each is asked for once. `dry_run` builds the same chain and returns its schema, schema mismatches and target, without
     reading data. `at` is the run's time: it gives the batch id, so a repeated run replaces its batch.
     `lines` says whether landed JSON holds one value per line (as written here) or per file.
     """
@@ -173,7 +173,7 @@ def run_manifest(
     schema = {} if ingests else manifest["ai_config"]["schema"]
     c = Context(spark, roots, schema, at, new_batch_id(at))
     if ingests:
-        df, target, fmt = _ingestion(manifest, c, fetcher, pause)
+        df, target, fmt = _ingestion(manifest, c, fetcher, pause, keep=not dry_run)
     else:
         df, target, fmt = _transformation(manifest, c, lines, row_tag)
     found = [m[-1] for m in S.mismatches(df.schema, schema)]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions.expr import once
+
 FORMATS = ("json", "xml", "csv", "parquet")
 CORRUPT = "_corrupt_record"
 
@@ -84,7 +86,7 @@ def split_bad_records(
     """
     fields = T.StructType([*_struct(schema).fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    marked = df.withColumn("_parsed", F.from_json(F.col(line_col), fields, options))
+    marked = once(df, "_parsed", F.from_json(F.col(line_col), fields, options))
     parsed = F.col("_parsed")
     bad = (
         parsed.isNull()

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strata.checkpoints import ensure_checkpoint_dir
 from strata.operators.urls import url_class
 from strata.sources.requests import MAX_PAGES, PAGE_SIZE, plan_requests
 
@@ -143,12 +144,20 @@ def fetch_pages(
     )
 
 
-def read_paged(sources: DataFrame, fetcher: Fetcher, **options) -> DataFrame:
-    """Plan the requests of a table of sources and fetch them; a `url` column is screened first."""
+def read_paged(sources: DataFrame, fetcher: Fetcher, keep: bool = True, **options) -> DataFrame:
+    """Plan the requests of a table of sources and fetch them; a `url` column is screened first.
+
+    With `keep` the pages are fetched now and checkpointed in the shared folder. Otherwise every use
+    of the frame fetches them again, and an API may answer differently each time.
+    """
     requests = plan_requests(sources)
     if "url" in sources.columns:
         requests = requests.join(sources.select("source_id", "url"), "source_id")
-    return fetch_pages(requests, fetcher, **options)
+    pages = fetch_pages(requests, fetcher, **options)
+    if not keep:
+        return pages
+    ensure_checkpoint_dir(sources.sparkSession)
+    return pages.checkpoint()
 
 
 class _Run(InputPartition):
