@@ -1,3 +1,10 @@
 """Layered data-lake processing on PySpark: landing, silver and gold tables from raw extracts."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks travel with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,0 +1,192 @@
+import json
+import random
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from strata.operators.envelope import record_columns
+from strata.operators.pages import stitch_cursor_pages, stitch_pages
+from strata.sources.paged import SCHEMA, FileFetcher, fetch_pages, read_paged, register_paged
+from strata.sources.requests import plan_requests
+
+CONFIG = (
+    "source_id string, type string, offset_param string, limit_param string, limit_value int, max_items bigint, "
+    "page_param string, params map<string,string>"
+)
+
+
+def planned(spark, *rows):
+    return [(r.source_id, r.seq, r.params) for r in plan_requests(spark.createDataFrame(rows, CONFIG)).orderBy("source_id", "seq").collect()]
+
+
+def test_plan_offset(spark):
+    got = planned(spark, ("a", "offset_limit", "from", "max", 20, 50, None, {"return": "DOC", "from": "9"}))
+    assert got == [
+        ("a", 1, {"return": "DOC", "from": "0", "max": "20"}),
+        ("a", 2, {"return": "DOC", "from": "20", "max": "20"}),
+        ("a", 3, {"return": "DOC", "from": "40", "max": "10"}),
+    ]
+
+
+def test_plan_pages_none_and_cursor(spark):
+    assert planned(spark, ("a", "page", None, None, None, 150, "p", None)) == [
+        ("a", 1, {"p": "1", "per_page": "100"}),
+        ("a", 2, {"p": "2", "per_page": "100"}),
+    ]
+    assert len(planned(spark, ("a", "page", None, None, None, None, None, None))) == 1000
+    for kind in ("none", "cursor"):
+        assert planned(spark, ("a", kind, None, None, None, 5000, None, {"k": "v"})) == [("a", 1, {"k": "v"})]
+
+
+@pytest.mark.parametrize(
+    "row, message",
+    [
+        (("a", "offset", None, None, 10, 20, None, None), "offset_param is required"),
+        (("a", "page", None, None, 2000, 20, None, None), "limit_value must be from 1 to 1000"),
+        (("a", "page", None, None, -10, 20, None, None), "limit_value must be from 1 to 1000"),
+        (("a", "page", None, None, 10, 0, None, None), "max_items must be above 0"),
+        (("a", "odd", None, None, 10, 10, None, None), "unknown paging type"),
+    ],
+)
+def test_plan_refuses(spark, row, message):
+    with pytest.raises(PySparkException, match=message):
+        planned(spark, row)
+
+
+def body(*ids):
+    return json.dumps([{"id": i} for i in ids])
+
+
+def test_stitch_by_hand(spark):
+    pages = [
+        ("ends", 1, body(1, 2)), ("ends", 2, body(3)), ("ends", 3, "[]"), ("ends", 4, body(9)),
+        ("gap", 1, body(1)), ("gap", 3, body(2)),
+        ("bad", 1, body(1)), ("bad", 2, "{oops"), ("bad", 3, body(2)),
+        ("none", 1, '{"data":[]}'),
+    ]
+    out = record_columns(stitch_pages(spark.createDataFrame(pages, "source string, page int, body string")), {"id": "int"})
+    assert sorted((r.source, r.item, r.id, r.complete) for r in out.collect()) == [
+        ("bad", 0, 1, True),
+        ("ends", 0, 1, True), ("ends", 1, 2, True), ("ends", 2, 3, True),
+        ("gap", 0, 1, False), ("gap", 1, 2, False),
+    ]
+
+
+def test_stitch_against_brute_force(spark):
+    rng = random.Random(7)
+    pages, want = [], []
+    for s in range(40):
+        n_pages = rng.choice([1, 3, 12, 60]) if s else 300
+        cap, done, item = rng.randrange(1, 200), False, 0
+        for p in range(1, n_pages + 1):
+            n = rng.choice([0, 1, 2, 5, 5, 5, 5, 5])
+            pages.append((s, p, body(*range(item, item + n))))
+            done = done or n == 0 or p > 50
+            for _ in range(0 if done else n):
+                want.append((s, p, item)) if item < 100 else None
+                item += 1
+    df = spark.createDataFrame(pages, "source int, page int, body string")
+    got = stitch_pages(df, max_pages=50, max_items=100)
+    assert sorted((r.source, r.page, r.item) for r in got.collect()) == sorted(want)
+
+
+def chain(source, names):
+    return [(source, a, b, f"{source}:{a}") for a, b in zip(names, [*names[1:], None], strict=True)]
+
+
+def test_cursor_chains_against_walking(spark):
+    rng = random.Random(3)
+    pages, want = [], {}
+    for s in range(12):
+        n = 1 if s == 0 else 130 if s == 1 else rng.randrange(1, 40)
+        names = [None, *(f"k{i}" for i in rng.sample(range(1000), n - 1))]
+        pages += chain(str(s), names)
+        want |= {(str(s), f"{s}:{c}"): i for i, c in enumerate(names)}
+    pages.append(("3", "unreached", "nowhere", "3:unreached"))
+    rng.shuffle(pages)
+    df = spark.createDataFrame(pages, "source string, cursor string, next_cursor string, body string")
+    got = stitch_cursor_pages(df)
+    assert got.columns == [*df.columns, "position"]
+    assert {(r.source, r.body): r.position for r in got.collect()} == want
+
+
+def test_cursor_loop_and_missing_page(spark):
+    pages = [
+        ("loop", None, "a", "p0"), ("loop", "a", "b", "p1"), ("loop", "b", "a", "p2"),
+        ("gone", None, "x", "q0"),
+    ]
+    df = spark.createDataFrame(pages, "source string, cursor string, next_cursor string, body string")
+    assert sorted((r.source, r.position, r.body) for r in stitch_cursor_pages(df).collect()) == [
+        ("gone", 0, "q0"), ("loop", 0, "p0"), ("loop", 1, "p1"), ("loop", 2, "p2"),
+    ]
+    missing = stitch_cursor_pages(df, keep_missing=True).filter("not landed").collect()
+    assert [(r.source, r.position) for r in missing] == [("gone", 1)]
+
+
+def test_cursor_start_value(spark):
+    df = spark.createDataFrame([("s", "*", "n", "p0"), ("s", "n", None, "p1")], "source string, cursor string, next_cursor string, body string")
+    assert sorted((r.position, r.body) for r in stitch_cursor_pages(df, start="*").collect()) == [(0, "p0"), (1, "p1")]
+
+
+@pytest.fixture
+def dump(tmp_path):
+    for source, sizes in {"a": [2, 2, 1], "b": [1], "big": [1] * 35}.items():
+        (tmp_path / f"source={source}").mkdir()
+        item = 0
+        for page, n in enumerate(sizes, 1):
+            (tmp_path / f"source={source}" / f"page={page}.json").write_text(body(*range(item, item + n)))
+            item += n
+    return str(tmp_path)
+
+
+def test_fetch_and_stitch(spark, dump):
+    sources = spark.createDataFrame([("a",), ("b",), ("big",)], "source_id string").withColumns(
+        {"type": F.lit("page"), "max_pages": F.lit(100)}
+    )
+    pages = read_paged(sources, FileFetcher(dump))
+    # Early stop: source b asks for page 2, finds it empty, and skips the rest of that run.
+    assert {r.seq for r in pages.filter("source_id = 'b' and seq <= 10").collect()} == {1, 2}
+    named = pages.select(F.col("source_id").alias("source"), "page", "body")
+    out = record_columns(stitch_pages(named), {"id": "int"})
+    assert {(r.source, r["count"]) for r in out.groupBy("source").count().collect()} == {("a", 5), ("b", 1), ("big", 35)}
+    assert out.filter("item <> id").count() == 0
+
+
+def test_a_large_source_is_fetched_by_many_tasks(spark, dump):
+    requests = spark.range(1, 101).selectExpr("'big' as source_id", "id as seq", "map('page', cast(id as string)) as params")
+    tasks = fetch_pages(requests, FileFetcher(dump), tasks=8).select(F.spark_partition_id().alias("t"))
+    assert tasks.distinct().count() > 2
+
+
+def test_attempts(spark):
+    calls = {}
+
+    def flaky(source_id, params):
+        """Fails twice per page, then answers; page 3 never does."""
+        page = params["page"]
+        calls[page] = calls.get(page, 0) + 1
+        if page == "3" or calls[page] < 3:
+            raise OSError(f"page {page} is down")
+        return f"[{page}]"
+
+    requests = spark.range(1, 3).selectExpr("'s' as source_id", "id as seq", "map('page', cast(id as string)) as params")
+    assert {r.attempts for r in fetch_pages(requests, flaky, pause=0).collect()} == {3}
+    three = requests.selectExpr("source_id", "3L as seq", "map('page', '3') as params")
+    with pytest.raises(PySparkException, match="page 3 is down"):
+        fetch_pages(three, flaky, pause=0).collect()
+
+
+def test_private_urls_are_refused_before_any_request(spark, dump):
+    sources = spark.createDataFrame([("a", "page", "http://10.0.0.1/x")], "source_id string, type string, url string")
+    with pytest.raises(PySparkException, match="URL is not public"):
+        read_paged(sources, FileFetcher(dump)).collect()
+
+
+def test_paged_format(spark, dump):
+    register_paged(spark)
+    reader = spark.read.format("paged").option("fetcher", "strata.sources.paged:FileFetcher")
+    df = reader.option("root", dump).option("source_id", "big").option("max_pages", 40).load()
+    assert df.rdd.getNumPartitions() == 4
+    assert df.schema.simpleString() == f"struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>"
+    assert sorted(r.page for r in df.filter("body <> '[]'").collect()) == list(range(1, 36))

@@ -1,0 +1,112 @@
+import datetime
+import json
+import random
+import statistics
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strata.operators import logs, reuse
+
+MANIFEST = {"pipeline_name": "p", "source": {"b": 1, "a": [1, {"y": 2, "x": 3}]}, "n": 1.5}
+
+
+def test_content_key(spark):
+    swapped = {"n": 1.5, "source": {"a": [1, {"x": 3, "y": 2}], "b": 1}, "pipeline_name": "p"}
+    texts = [json.dumps(MANIFEST), json.dumps(swapped, indent=2), json.dumps({**MANIFEST, "n": 2}), "not json", None]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    keys = [r.key for r in reuse.content_key(df, "body").collect()]
+    assert keys[0] == keys[1] and len(set(keys[:4])) == 3 and keys[4] is None
+    assert all(len(k) == 16 for k in keys[:4])
+    ab = spark.createDataFrame([(1, None)], "a int, b string")
+    assert reuse.content_key(ab, ["a", "b"]).first().key == reuse.content_key(ab, ["b", "a"]).first().key
+
+
+CACHE = "key string, payload string, cached_at timestamp_ntz, pipeline string"
+
+
+def at(day, hour=0):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day, hours=hour)
+
+
+def test_ttl_and_upsert(spark):
+    cache = spark.createDataFrame([("a", "old", at(0), "p"), ("b", "x", at(10), "p")], CACHE)
+    work = spark.createDataFrame([("a",), ("b",), ("c",), ("b",)], "key string")
+
+    def split(now):
+        hits, misses = reuse.split_cached(work, cache, now)
+        return sorted((r.key, r.payload) for r in hits.collect()), sorted(r.key for r in misses.collect())
+
+    assert split(at(30)) == ([("a", "old"), ("b", "x"), ("b", "x")], ["c"])
+    assert split(at(30, 1)) == ([("b", "x"), ("b", "x")], ["a", "c"])
+    new = spark.createDataFrame([("a", "new", at(31), "p"), ("c", "y", at(31), "q"), ("b", "older", at(1), "p")], CACHE)
+    stored = reuse.store_cached(cache, new)
+    assert {r.key: r.payload for r in stored.collect()} == {"a": "new", "b": "x", "c": "y"}
+    again = reuse.store_cached(stored, new)
+    assert sorted(again.collect()) == sorted(stored.collect())
+    assert {r.key for r in reuse.purge_expired(stored, at(45)).collect()} == {"a", "c"}
+    assert {r.key for r in reuse.clear_cached(stored, "pipeline = 'q'").collect()} == {"a", "b"}
+    assert reuse.clear_cached(stored).count() == 0
+    total = reuse.cache_stats(stored).first()
+    assert (total.entries, total.bytes, total.megabytes) == (3, 5, 0.0)
+    assert {r.pipeline: r.entries for r in reuse.cache_stats(stored, ["pipeline"]).collect()} == {"p": 2, "q": 1}
+
+
+def test_save_cache_twice(spark, tmp_path):
+    df = spark.range(50).selectExpr("cast(id as string) as key", "'x' as payload", "timestamp_ntz '2024-01-01 00:00:00' as cached_at")
+    for _ in range(2):
+        reuse.save_cache(df, str(tmp_path / "cache"))
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 50
+
+
+def test_logs(spark):
+    full = {
+        "timestamp": "2026-02-17T20:52:36.123456Z", "level": "ERROR", "logger": "l", "message": "m", "module": "mod",
+        "function": "f", "line": 42, "exception": "Traceback", "pipeline_name": "p", "agent_type": "ingestion",
+        "status": "failed", "duration_ms": 1500,
+    }
+    plain = {k: full[k] for k in "timestamp level logger message module function line".split()}
+    lines = [json.dumps(full), json.dumps(plain), "{cut", json.dumps({**plain, "timestamp": "soon"}), ""]
+    good, bad = logs.parse_json_logs(spark.createDataFrame([(x,) for x in lines], "line string"), "line")
+    rows = good.orderBy("exception").collect()
+    assert [r.exception for r in rows] == [None, "Traceback"]
+    assert rows[1].timestamp == datetime.datetime(2026, 2, 17, 20, 52, 36, 123456)
+    assert (rows[1].duration_ms, rows[0].status, rows[1].line) == (1500.0, None, 42)
+    assert sorted(r["_corrupt_record"] for r in bad.collect()) == sorted(lines[2:])
+
+
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.95, 1.0])
+def test_percentile_against_numpy(spark, p):
+    rng = random.Random(11)
+    values = [("hot", round(rng.lognormvariate(5, 3), 2)) for _ in range(5000)]
+    values += [("neg", rng.uniform(-1000, 1000)) for _ in range(501)]
+    values += [("same", 7.0)] * 40 + [("two", 1.0), ("two", 2.0), (None, 3.0), ("hot", None)]
+    df = spark.createDataFrame(values, "g string, v double")
+    got = {r.g: r.q for r in logs.exact_percentile(df, ["g"], "v", p, "q").collect()}
+    groups = {}
+    for g, v in values:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(np.percentile(vs, p * 100), rel=1e-12)
+
+
+def test_run_metrics(spark):
+    rows = [("a", "INFO", "success", 1, 10.0), ("a", "ERROR", "failed", 3, 30.0), ("a", "INFO", None, 2, None), ("b", "INFO", None, 1, None)]
+    df = spark.createDataFrame(rows, "pipeline_name string, level string, status string, n int, duration_ms double")
+    df = df.withColumn("timestamp", F.make_timestamp_ntz(F.lit(2024), F.lit(1), "n", F.lit(0), F.lit(0), F.lit(0))).drop("n")
+    got = {r.pipeline_name: r for r in logs.run_metrics(df, ["pipeline_name"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.runs, a.errors, a.mean_ms, a.last_status) == (3, 1, statistics.mean([10, 30]), "failed")
+    assert a.p95_ms == pytest.approx(29) and a.error_rate == pytest.approx(1 / 3)
+    assert (b.runs, b.errors, b.mean_ms, b.p95_ms) == (1, 0, None, None)
+
+
+def test_summary_needs_no_second_pass(spark, tmp_path):
+    df, seen = logs.with_summary(spark.range(10), bad=F.col("id") > 7)
+    df.write.parquet(str(tmp_path / "out"))
+    assert logs.summary_of(seen, "processed") == {
+        "status": "success", "records_processed": 10, "error_count": 2, "message": "10 records processed, 2 errors",
+    }
