@@ -30,60 +30,74 @@ def parse_json_logs(df: DataFrame, line_col: str) -> tuple[DataFrame, DataFrame]
     return typed.filter(F.col("timestamp").isNotNull()).drop("_line"), quarantine
 
 
+def _same(left: str, right: str, names: Sequence[str]) -> Column:
+    """Join condition on equal names that also matches nulls."""
+    test = F.lit(True)
+    for n in names:
+        test = test & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
+    return test
+
+
+def _narrow(cells: DataFrame, by: Sequence[str], name: str, place: Column, p: float | None = None) -> DataFrame:
+    """Cut every cell into bins and keep the bins that hold its wanted ranks.
+
+    A cell has values `_v`, each `_n` times; `_skip` values lie below it, and `_at` is the wanted
+    rank, which `p` gives for cells that are whole groups. Only counts per bin are put in order, and
+    the few wanted bins are joined back to the values.
+    """
+    cells = cells.withColumn(name, place)
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    bins = cells.groupBy(*by, name).agg(
+        F.sum("_n").alias("_in"),
+        F.min("_skip").alias("_below"),
+        *([] if p is not None else [F.min("_at").alias("_at")]),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+    )
+    bins = bins.withColumn("_skip", F.col("_below") + F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    if p is not None:
+        bins = bins.withColumn("_at", (F.sum("_in").over(whole) - 1) * p)
+    ends = F.col("_skip") + F.col("_in")
+    holds = [(r >= F.col("_skip")) & (r < ends) for r in (F.floor("_at"), F.ceil("_at"))]
+    wanted = bins.filter(holds[0] | holds[1])
+    keys = [*by, name]
+    return cells.alias("c").join(wanted.alias("w"), _same("c", "w", keys)).select(
+        *[F.col(f"c.{k}").alias(k) for k in keys], "c._v", "c._n", "w._skip", "w._at", "w._low", "w._high"
+    )
+
+
 def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, name: str) -> DataFrame:
     """Exact interpolated percentile per group, also for a group with most of the rows.
 
-    Values are counted first, so equal values cost one row. Counts per magnitude (at most some
-    thousand per group) show where the wanted ranks lie, and only the values in there are ordered.
-    No task ever holds or sorts all values of a group.
+    Equal values are counted first and cost one row. Bins by magnitude, then a thousand equal bins
+    inside the one that holds the wanted rank, leave a small part of the values to be put in order.
+    No task ever sorts all values of a large group.
     """
     by = list(by)
-    number = F.col(value).cast("double")
     counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(*by, number.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    # Grows with the value: 64 steps per doubling, negative values mirrored.
-    step = F.floor(F.log2(F.abs(F.col("_v")) + 1) * 64)
-    counted = counted.withColumn("_bin", F.when(F.col("_v") < 0, -step).otherwise(step))
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    bins = (
-        counted.groupBy(*by, "_bin")
-        .agg(F.sum("_n").alias("_in"))
-        .select(
-            *by,
-            "_bin",
-            "_in",
-            F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_skip"),
-            ((F.sum("_in").over(whole) - 1) * p).alias("_at"),
-        )
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # Grows with the value: 16 bins per doubling, mirrored for negative values.
+    size = F.floor(F.log2(F.abs(F.col("_v")) + 1) * 16)
+    magnitude = F.when(F.col("_v") < 0, -size).otherwise(size)
+    cells = _narrow(counted.withColumn("_skip", F.lit(0).cast("bigint")), by, "_magnitude", magnitude, p)
+    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    part = F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width * 1000), F.lit(0))
+    cells = _narrow(cells, [*by, "_magnitude"], "_part", part)
+
+    inside = Window.partitionBy(*by, "_magnitude", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.withColumn("_upto", F.col("_skip") + F.sum("_n").over(inside))
     low, high = F.floor("_at"), F.ceil("_at")
-    wanted = bins.filter(
-        (low < F.col("_skip") + F.col("_in")) & (low >= F.col("_skip"))
-        | (high < F.col("_skip") + F.col("_in")) & (high >= F.col("_skip"))
-    )
-    inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("_skip") + F.sum("_n").over(inside)
-    keys = [F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in [*by, "_bin"]]
-    test = keys[0]
-    for k in keys[1:]:
-        test = test & k
-    placed = (
-        counted.alias("c")
-        .join(wanted.alias("w"), test)
-        .select(*[F.col(f"c.{k}").alias(k) for k in [*by, "_bin", "_v", "_n"]], "_skip", "_at")
-        .withColumn("_upto", upto)
-        .withColumn("_from", F.col("_upto") - F.col("_n"))
-    )
 
     def at_rank(rank: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+        here = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+        return F.max(F.when(here, F.col("_v")))
 
     share = F.max(F.col("_at") - low)
-    return placed.groupBy(*by).agg(
-        (at_rank(low) + (at_rank(high) - at_rank(low)) * share).alias(name)
-    )
+    return placed.groupBy(*by).agg((at_rank(low) + (at_rank(high) - at_rank(low)) * share).alias(name))
 
 
 def run_metrics(logs: DataFrame, by: Sequence[str] = ("pipeline_name", "agent_type")) -> DataFrame:
@@ -97,12 +111,9 @@ def run_metrics(logs: DataFrame, by: Sequence[str] = ("pipeline_name", "agent_ty
         F.max(F.struct("timestamp", "status")).getField("status").alias("last_status"),
     )
     tail = exact_percentile(logs, by, "duration_ms", 0.95, "p95_ms")
-    test = F.lit(True)
-    for k in by:
-        test = test & F.col(f"t.{k}").eqNullSafe(F.col(f"p.{k}"))
     return (
         totals.alias("t")
-        .join(tail.alias("p"), test, "left")
+        .join(tail.alias("p"), _same("t", "p", by), "left")
         .select(
             *[F.col(f"t.{k}").alias(k) for k in by],
             "runs",

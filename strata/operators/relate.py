@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from strata.operators.clean import need_columns
 
 
+class LookupNotUnique(ValueError):
+    """A lookup key that occurs more than once."""
+
+
+def require_unique(lookup: DataFrame, keys: Sequence[str]) -> None:
+    """Raise if a key occurs twice. One pass over the key columns; keys with nulls never match."""
+    twice = lookup.dropna(subset=list(keys)).groupBy(*keys).count().filter("count > 1").drop("count").first()
+    if twice is not None:
+        raise LookupNotUnique(f"lookup key is not unique: {twice.asDict()}")
+
+
 def enrich(
     df: DataFrame,
     lookup: DataFrame,
@@ -17,31 +28,23 @@ def enrich(
     columns: Sequence[str],
     matched: str | None = None,
     observation: Observation | None = None,
+    check: bool = True,
 ) -> DataFrame:
     """Left join that adds lookup columns and never multiplies rows.
 
-    A key that occurs twice in the lookup fails the query. There is no broadcast hint: Spark
-    broadcasts the lookup only when its measured size is under the session threshold, and otherwise
-    does a shuffled join, whose skewed left partitions adaptive execution splits. `matched` names a
-    flag column; `observation` counts rows and unmatched rows while the query runs.
+    `check` makes sure that no key occurs twice in the lookup, by one job over its keys. It is a job
+    of its own because an aggregate between shuffle and join would keep adaptive execution from
+    splitting a hot key. There is no broadcast hint: Spark broadcasts the lookup when its size is
+    under the session threshold, and otherwise shuffles both sides and splits skewed partitions.
+
+    `matched` names a flag column; `observation` counts rows and unmatched rows as the query runs.
     """
     keys = [on] if isinstance(on, str) else list(on)
     need_columns(df, keys)
     need_columns(lookup, [*keys, *columns])
-    text = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
-    unique = (
-        lookup.dropna(subset=keys)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in columns])
-        .filter(
-            F.when(F.col("_copies") == 1, F.lit(True)).otherwise(
-                F.raise_error(F.concat(F.lit("lookup key is not unique: "), text)).cast("boolean")
-            )
-        )
-        .withColumn("_found", F.lit(True))
-        .drop("_copies")
-    )
-    joined = df.join(unique, keys, "left")
+    if check:
+        require_unique(lookup, keys)
+    joined = df.join(lookup.select(*keys, *columns, F.lit(True).alias("_found")), keys, "left")
     if observation is not None:
         joined = joined.observe(
             observation,

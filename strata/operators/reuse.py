@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.files import exists
 from strata.operators.clean import drop_duplicates
 
 # Length of a key, and how long an entry lives.
@@ -69,16 +70,23 @@ def clear_cached(cache: DataFrame, condition: str | Column = "true") -> DataFram
     return cache.filter(~F.coalesce(test, F.lit(False)))
 
 
-def save_cache(cache: DataFrame, path: str, buckets: int = 16) -> None:
-    """Write a cache by the first letter of its keys' hash, replacing only the buckets that occur.
+def upsert_cache(path: str, new: DataFrame, buckets: int = 256) -> None:
+    """Store entries in the cache table at `path`, which is split into buckets by key.
 
-    The frame must not read from `path` itself; write `store_cached` results to a new path, or cut
-    them off with `checkpoint()` first.
+    Only the buckets that the new entries fall into are read, merged and replaced, so the work grows
+    with those, not with the cache. Storing the same entries again changes nothing. `buckets` must
+    stay the same for a table.
     """
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
+    spark = new.sparkSession
+    placed = new.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    if exists(spark, path):
+        # At most `buckets` numbers: they prune the folders that are read.
+        touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]
+        merged = store_cached(spark.read.parquet(path).filter(F.col("bucket").isin(touched)), placed)
+    else:
+        merged = drop_duplicates(placed, ["key"], ["-cached_at"])
     (
-        cache.withColumn("bucket", bucket)
-        .hint("rebalance", "bucket")
+        merged.hint("rebalance", "bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")

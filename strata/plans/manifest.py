@@ -52,6 +52,7 @@ class Context:
     schema: Mapping[str, str]
     at: datetime
     batch_id: str
+    dry_run: bool = False
 
     def location(self, bucket: str, path: str) -> str:
         if bucket not in self.roots:
@@ -84,7 +85,7 @@ def _unwrap(df: DataFrame, c: Context, policy="transform", record_key=None, fiel
 def _enrich(df: DataFrame, c: Context, lookup, on, columns, matched=None):
     where = c.location(lookup["bucket"], lookup["path"])
     table = read_landing(c.spark, where, lookup.get("format", "parquet"), lookup.get("schema"), lines=True)
-    return relate.enrich(df, table, on, columns, matched)
+    return relate.enrich(df, table, on, columns, matched, check=not c.dry_run)
 
 
 STEPS: dict[str, Callable[..., DataFrame]] = {
@@ -115,7 +116,7 @@ def apply_steps(df: DataFrame, steps: list[Mapping[str, Any]], c: Context) -> Da
     return df
 
 
-def _ingestion(manifest: Manifest, c: Context, fetcher: Fetcher | None, pause: float, keep: bool) -> tuple[DataFrame, str, str]:
+def _ingestion(manifest: Manifest, c: Context, fetcher: Fetcher | None, pause: float) -> tuple[DataFrame, str, str]:
     source, target = manifest["source"], manifest["target"]
     paging = {"type": "none", **(source.get("pagination") or {})}
     params = {k: str(v) for k, v in (source.get("params") or {}).items()}
@@ -126,7 +127,7 @@ def _ingestion(manifest: Manifest, c: Context, fetcher: Fetcher | None, pause: f
         "limit_param string, limit_value int, max_items bigint, page_param string",
     )
     fetcher = fetcher or HttpFetcher(source["url"], source.get("headers"))
-    pages = read_paged(one, fetcher, keep=keep, pause=pause)
+    pages = read_paged(one, fetcher, keep=not c.dry_run, pause=pause)
     if source.get("format", "json") == "json":
         named = pages.select(F.col("source_id").alias("source"), "page", "body")
         records = stitch_pages(named, max_items=paging.get("max_items"))
@@ -171,9 +172,9 @@ def run_manifest(
     validate_manifest(spark, manifest)
     ingests = manifest["agent_type"] == INGESTION
     schema = {} if ingests else manifest["ai_config"]["schema"]
-    c = Context(spark, roots, schema, at, new_batch_id(at))
+    c = Context(spark, roots, schema, at, new_batch_id(at), dry_run)
     if ingests:
-        df, target, fmt = _ingestion(manifest, c, fetcher, pause, keep=not dry_run)
+        df, target, fmt = _ingestion(manifest, c, fetcher, pause)
     else:
         df, target, fmt = _transformation(manifest, c, lines, row_tag)
     found = [m[-1] for m in S.mismatches(df.schema, schema)]

@@ -373,7 +373,8 @@ def fetched_customers(spark, sf):
     )
     body = F.to_json(F.sort_array(F.collect_list(F.struct("c_custkey"))))
     pages = customers.groupBy("source", "page").agg(body.alias("value"))
-    pages.repartition("source", "page").write.partitionBy("source", "page").text(root)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pages.repartition(tasks, "source", "page").write.partitionBy("source", "page").text(root)
     sources = pages.groupBy(F.col("source").cast("string").alias("source_id")).agg(
         F.lit("page").alias("type"), (F.max("page") + 1).cast("int").alias("max_pages")
     )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from strata.files import matching, remove_folder
+
 # The layers, and the form of a batch id.
 LAYERS = ("landing", "silver", "gold")
 BATCH_FORMAT = "%Y%m%d%H%M%S"
@@ -37,12 +39,13 @@ def write_batch(
     """Write one batch below a dataset path, in `year=/month=/day=/batch_id=`; returns the path.
 
     `ts` is the time that gives the day: a column, a column name, or one time for the whole batch.
-    Only the partitions of this batch are replaced, so running a batch again changes nothing and
-    other batches are never touched.
+    Only the folders of this batch are replaced, so running a batch again changes nothing and other
+    batches are never touched. Days the batch no longer has lose its folder.
 
     Rows are rebalanced by day before the write: files come out near the advisory size, and a day
     that holds most of the rows is split over many tasks instead of being written by one.
     """
+    spark = df.sparkSession
     if isinstance(ts, datetime):
         ts = F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
     at = F.col(ts) if isinstance(ts, str) else ts
@@ -54,6 +57,11 @@ def write_batch(
             "batch_id": F.lit(batch_id),
         }
     )
+    earlier = matching(spark, f"{path}/year=*/month=*/day=*/batch_id={batch_id}")
+    if earlier:
+        days = Observation()
+        day = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in DAY_LEVELS])
+        dated = dated.observe(days, F.collect_set(day).alias("written"))
     (
         dated.hint("rebalance", *DAY_LEVELS)
         .write.mode("overwrite")
@@ -63,6 +71,11 @@ def write_batch(
         .format(fmt)
         .save(path)
     )
+    if earlier:
+        kept = tuple(f"/{d}/batch_id={batch_id}" for d in days.get["written"])
+        for folder in earlier:
+            if not folder.endswith(kept):
+                remove_folder(spark, folder)
     return path
 
 

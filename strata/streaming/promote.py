@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from strata.files import exists
 from strata.operators.clean import drop_duplicates
 from strata.sinks.layers import layer_path, write_layer
 
@@ -21,11 +22,6 @@ def new_rows(batch: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Data
     return batch.join(seen, list(keys), "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def promote(
     spark: SparkSession,
     root: str,
@@ -53,7 +49,7 @@ def promote(
         rows, batch_id = steps(batch), f"{number:014d}"
         if keys:
             rows = drop_duplicates(rows, keys, order_by)
-            if _exists(batch.sparkSession, target):
+            if exists(batch.sparkSession, target):
                 silver = batch.sparkSession.read.parquet(target)
                 rows = new_rows(rows, silver.filter(silver["batch_id"].cast("bigint") != number), keys)
         write_layer(rows, root, "silver", source, dataset, ts, batch_id)

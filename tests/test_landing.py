@@ -101,6 +101,16 @@ def test_write_layer_again_replaces_its_batch_only(spark, tmp_path):
     assert new_batch_id(at) == "20260215120000"
 
 
+def test_a_batch_that_lost_a_day(spark, tmp_path):
+    days = spark.range(4).selectExpr("id", "make_date(2024, 1, cast(id as int) + 1) as d")
+    root = str(tmp_path)
+    write_layer(days, root, "silver", "s", "d", "d", "other")
+    write_layer(days, root, "silver", "s", "d", "d", "mine")
+    path = write_layer(days.filter("id < 3"), root, "silver", "s", "d", "d", "mine")
+    count = {r.batch_id: r["count"] for r in spark.read.parquet(path).groupBy("batch_id").count().collect()}
+    assert count == {"other": 4, "mine": 3}
+
+
 def test_a_hot_day_is_written_by_many_tasks(spark, tmp_path):
     """One day holds everything; the rebalance splits it."""
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"

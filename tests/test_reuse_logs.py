@@ -53,11 +53,21 @@ def test_ttl_and_upsert(spark):
     assert {r.pipeline: r.entries for r in reuse.cache_stats(stored, ["pipeline"]).collect()} == {"p": 2, "q": 1}
 
 
-def test_save_cache_twice(spark, tmp_path):
-    df = spark.range(50).selectExpr("cast(id as string) as key", "'x' as payload", "timestamp_ntz '2024-01-01 00:00:00' as cached_at")
+def test_upsert_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+
+    def entries(first, last, payload, day):
+        return spark.range(first, last).selectExpr(
+            "cast(id as string) as key", f"'{payload}' as payload", f"timestamp_ntz '2024-01-0{day} 00:00:00' as cached_at"
+        )
+
     for _ in range(2):
-        reuse.save_cache(df, str(tmp_path / "cache"))
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 50
+        reuse.upsert_cache(path, entries(0, 50, "x", 1), buckets=8)
+    reuse.upsert_cache(path, entries(40, 60, "y", 2), buckets=8)
+    reuse.upsert_cache(path, entries(0, 60, "old", 0 + 1).filter("key = '45'"), buckets=8)
+    got = {r.key: r.payload for r in spark.read.parquet(path).collect()}
+    assert got == {str(i): "y" if i >= 40 else "x" for i in range(60)}
+    assert spark.read.parquet(path).count() == 60
 
 
 def test_logs(spark):
