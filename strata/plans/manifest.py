@@ -39,6 +39,7 @@ class RunResult:
     status: str
     target: str
     schema: str
+    instruction: str = ""
     summary: dict = field(default_factory=dict)
     mismatches: list[str] = field(default_factory=list)
 
@@ -177,9 +178,9 @@ def run_manifest(
         df, target, fmt = _ingestion(manifest, c, fetcher, pause)
     else:
         df, target, fmt = _transformation(manifest, c, lines, row_tag)
-    found = [m[-1] for m in S.mismatches(df.schema, schema)]
+    about = (target, df.schema.simpleString(), "" if ingests else manifest["ai_config"]["instruction"].strip())
     if dry_run:
-        return RunResult("dry_run_success", target, df.schema.simpleString(), mismatches=found)
+        return RunResult("dry_run_success", *about, mismatches=[m[-1] for m in S.mismatches(df.schema, schema)])
     require_schema(df, schema)
     counted, observation = with_summary(df, manifest["pipeline_name"])
     try:
@@ -187,4 +188,4 @@ def run_manifest(
     except PySparkException as e:
         raise ManifestError(f"{manifest['pipeline_name']} failed: {str(e).splitlines()[0]}") from e
     kind = "fetched" if ingests else "processed"
-    return RunResult("success", target, df.schema.simpleString(), summary_of(observation, kind))
+    return RunResult("success", *about, summary_of(observation, kind))

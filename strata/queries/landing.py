@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strata.checkpoints import scratch_path
 from strata.operators.envelope import record_columns, unwrap_envelope
 from strata.operators.pages import stitch_cursor_pages, stitch_pages
+from strata.plans.manifest import run_manifest
 from strata.queries.registry import query, table
 from strata.sinks.layers import to_json_records, write_layer
 from strata.sources import landing, paged
@@ -359,25 +360,56 @@ def stitched_turns(spark, sf):
     return stitch_cursor_pages(pages, source_col="conv_id").select("conv_id", "turn", "position")
 
 
-@query(
-    "fetch_pages",
-    """
-    SELECT CAST(c_nationkey AS VARCHAR) AS source, c_custkey // 500 + 1 AS page, c_custkey FROM customer
-    """,
-)
-def fetched_customers(spark, sf):
-    """Customers dumped as one page file per nation and 500 keys, then planned, fetched and stitched."""
+def _dump_customers(spark, sf, source):
+    """Customers as page files: one folder per source and 500 keys. Returns the root and the pages."""
     root = scratch_path(spark, "dump")
     customers = table(spark, sf, "customer").select(
-        F.col("c_nationkey").alias("source"), (F.floor(F.col("c_custkey") / 500) + 1).alias("page"), "c_custkey"
+        source.alias("source"), (F.floor(F.col("c_custkey") / 500) + 1).alias("page"), "c_custkey"
     )
     body = F.to_json(F.sort_array(F.collect_list(F.struct("c_custkey"))))
     pages = customers.groupBy("source", "page").agg(body.alias("value"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pages.repartition(tasks, "source", "page").write.partitionBy("source", "page").text(root)
+    return root, pages
+
+
+@query(
+    "fetch_pages",
+    """
+    SELECT CAST(c_nationkey AS VARCHAR) AS source, c_custkey // 500 + 1 AS page, c_custkey FROM customer
+    """,
+)
+def fetched_customers(spark, sf):
+    """Requests planned for a table of sources, one per nation, then fetched and stitched."""
+    root, pages = _dump_customers(spark, sf, F.col("c_nationkey"))
     sources = pages.groupBy(F.col("source").cast("string").alias("source_id")).agg(
         F.lit("page").alias("type"), (F.max("page") + 1).cast("int").alias("max_pages")
     )
     fetched = paged.read_paged(sources, paged.FileFetcher(root))
     stitched = stitch_pages(fetched.select(F.col("source_id").alias("source"), "page", "body"))
     return record_columns(stitched.select("source", "page", "record"), {"c_custkey": "int"})
+
+
+@query("paged_source", "SELECT c_custkey // 500 + 1 AS page, c_custkey FROM customer")
+def paged_customers(spark, sf):
+    """One source through `spark.read.format("paged")`; each run of pages is a partition."""
+    root, _ = _dump_customers(spark, sf, F.lit("all"))
+    paged.register_paged(spark)
+    pages = spark.read.format("paged").option("root", root).option("source_id", "all").load()
+    stitched = stitch_pages(pages.select(F.col("source_id").alias("source"), "page", "body"))
+    return record_columns(stitched.select("page", "record"), {"c_custkey": "int"})
+
+
+@query("run_manifest_ingestion", "SELECT c_custkey FROM customer")
+def landed_customers(spark, sf):
+    """An ingestion manifest: pages fetched, stitched and landed as JSON lines."""
+    root, _ = _dump_customers(spark, sf, F.lit("customers_daily"))
+    manifest = {
+        "pipeline_name": "customers_daily",
+        "agent_type": "generic_rest_api",
+        "source": {"url": "https://example.com/customers", "pagination": {"type": "page", "limit_value": 500}},
+        "target": {"bucket": "lake-data", "source": "shop", "dataset": "customers"},
+    }
+    lake = {"lake-data": scratch_path(spark, "lake")}
+    result = run_manifest(spark, manifest, lake, datetime(2024, 3, 1), fetcher=paged.FileFetcher(root))
+    return landing.read_landing(spark, result.target, "json", "c_custkey bigint", lines=True).select("c_custkey")

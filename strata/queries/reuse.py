@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strata.checkpoints import scratch_path
 from strata.operators import logs, reuse
 from strata.queries.registry import query, table
 
@@ -50,6 +51,15 @@ def _cache(spark, sf):
     )
 
 
+def _newer(spark, sf):
+    return table(spark, sf, "orders").filter("o_orderkey % 2 = 0").select(
+        F.col("o_orderkey").alias("key"),
+        F.lit("newer").alias("payload"),
+        (F.col("o_orderdate") + F.expr("interval 1 day")).alias("cached_at"),
+        F.col("o_orderstatus").alias("pipeline"),
+    )
+
+
 def _work(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice")
 
@@ -83,16 +93,35 @@ def split_cached_misses(spark, sf):
 )
 def store_cached(spark, sf):
     """New entries win over older ones; storing them twice changes nothing."""
-    newer = table(spark, sf, "orders").filter("o_orderkey % 2 = 0").select(
-        F.col("o_orderkey").alias("key"),
-        F.lit("newer").alias("payload"),
-        (F.col("o_orderdate") + F.expr("interval 1 day")).alias("cached_at"),
-        F.col("o_orderstatus").alias("pipeline"),
-    )
+    newer = _newer(spark, sf)
     once = reuse.store_cached(_cache(spark, sf), newer)
     return reuse.store_cached(once, newer).select("key", "payload")
 
 
+@query(
+    "upsert_cache",
+    """
+    SELECT o_orderkey AS key,
+           CASE WHEN o_orderkey % 2 = 0 THEN 'newer' ELSE 'result of ' || o_custkey END AS payload
+    FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0
+    """,
+)
+def upsert_cache(spark, sf):
+    """The same into a table on disk, one bucket of keys at a time, and once more."""
+    path = scratch_path(spark, "cache")
+    for entries in (_cache(spark, sf), _newer(spark, sf), _newer(spark, sf)):
+        reuse.upsert_cache(path, entries, buckets=8)
+    return spark.read.parquet(path).select("key", "payload")
+
+
+@query(
+    "clear_cached",
+    "SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'F'",
+)
+def clear_cached(spark, sf):
+    return reuse.clear_cached(_cache(spark, sf), "pipeline = 'F'").select("key")
+
+
 @query(
     "purge_expired",
     f"SELECT o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS cached FROM orders WHERE {_LIVE}",
@@ -173,8 +202,6 @@ def run_metrics(spark, sf):
 )
 def run_summary(spark, sf):
     """Counts taken while the events are written, without reading them again."""
-    from strata.checkpoints import scratch_path
-
     events, counts = logs.with_summary(table(spark, sf, "events"), bad=F.col("event_id") % 9 == 0)
     events.write.parquet(scratch_path(spark, "events"))
     found = logs.summary_of(counts, "processed")

@@ -10,18 +10,18 @@ from strata.operators import chats, model, replies, scripts, text
 from strata.queries.registry import query, table
 
 
-@query(
-    "extract_xml",
-    """
+_XML_SQL = """
     SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id, c_name AS title,
            CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment,
            CAST(c_nationkey AS VARCHAR) AS nation
     FROM customer WHERE c_custkey % 10 <> 0
     UNION ALL
     SELECT c_custkey, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 10 = 0
-    """,
-)
-def extract_xml(spark, sf):
+    """
+
+
+def _customer_xml(spark, sf):
+    """A customer as XML text; some have no segment, every tenth is not well-formed."""
     key = F.col("c_custkey")
     segment = F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("<segment> "), F.col("c_mktsegment"), F.lit("\n</segment>")))
     end = F.when(key % 10 == 0, "</entri>").otherwise("</entry>")
@@ -29,9 +29,19 @@ def extract_xml(spark, sf):
         F.lit("<entry><id>"), key, F.lit("</id><title>"), F.col("c_name"), F.lit("</title>"), segment,
         F.lit('<home nation="'), F.col("c_nationkey"), F.lit('"/>'), end,
     )
-    rows = table(spark, sf, "customer").select("c_custkey", xml.alias("xml"))
+    return table(spark, sf, "customer").select("c_custkey", xml.alias("xml"))
+
+
+@query("extract_xml", _XML_SQL)
+def extract_xml(spark, sf):
     fields = {"id": "/entry/id", "title": "/entry/title", "segment": "/entry/segment", "nation": "/entry/home/@nation"}
-    return text.extract_xml(rows, "xml", fields).drop("xml")
+    return text.extract_xml(_customer_xml(spark, sf), "xml", fields).drop("xml")
+
+
+@query("extract_xml_xpath", _XML_SQL)
+def extract_xml_xpath(spark, sf):
+    fields = {"id": "//id", "title": "/entry/title", "segment": "/entry/*[name()='segment']", "nation": "//home/@nation"}
+    return text.extract_xml(_customer_xml(spark, sf), "xml", fields).drop("xml")
 
 
 @query(

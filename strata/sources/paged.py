@@ -179,15 +179,18 @@ class _PagedReader(DataSourceReader):
             last = min(last, -(-int(self.options["max_items"]) // size))
         return [_Run(a, min(a + step - 1, last)) for a in range(1, last + 1, step)]
 
+    def fetcher(self) -> Fetcher:
+        name = self.options.get("fetcher", "files")
+        if name == "files":
+            return FileFetcher(self.options["root"], self.page_param)
+        module, _, attribute = name.partition(":")
+        return getattr(importlib.import_module(module), attribute)
+
     def read(self, partition):
-        module, name = self.options["fetcher"].split(":")
-        fetcher = getattr(importlib.import_module(module), name)
-        if "root" in self.options:
-            fetcher = fetcher(self.options["root"])
+        fetcher = self.fetcher()
+        pause = float(self.options.get("pause", 1))
         for page in range(partition.first, partition.last + 1):
-            params = {self.page_param: str(page)}
-            pause = float(self.options.get("pause", 1))
-            body, attempts = _fetch(fetcher, self.source_id, params, pause)
+            body, attempts = _fetch(fetcher, self.source_id, {self.page_param: str(page)}, pause)
             yield self.source_id, page, page, body, attempts
             if _is_empty(body):
                 return
@@ -196,8 +199,8 @@ class _PagedReader(DataSourceReader):
 class PagedSource(DataSource):
     """`spark.read.format("paged")` for one numbered-page source.
 
-    Options: `fetcher` ("module:name" of a callable, or of a class that takes `root`), `root`,
-    `source_id`, `page_param`, `page_size`, `max_pages`, `max_items`, `run_length`, `pause`.
+    Options: `fetcher` (`files`, which needs `root`, or "module:name" of a callable that executors can
+    import), `source_id`, `page_param`, `page_size`, `max_pages`, `max_items`, `run_length`, `pause`.
     Each run of pages is an input partition.
     """
 
@@ -209,8 +212,8 @@ class PagedSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        if "fetcher" not in self.options:
-            raise ValueError("the paged source needs the option 'fetcher'")
+        if self.options.get("fetcher", "files") == "files" and "root" not in self.options:
+            raise ValueError("the paged source needs the option 'root' or 'fetcher'")
         return _PagedReader(self.options)
 
 

@@ -185,8 +185,7 @@ def test_private_urls_are_refused_before_any_request(spark, dump):
 
 def test_paged_format(spark, dump):
     register_paged(spark)
-    reader = spark.read.format("paged").option("fetcher", "strata.sources.paged:FileFetcher")
-    df = reader.option("root", dump).option("source_id", "big").option("max_pages", 40).load()
+    df = spark.read.format("paged").option("root", dump).option("source_id", "big").option("max_pages", 40).load()
     assert df.rdd.getNumPartitions() == 4
     assert df.schema.simpleString() == f"struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>"
     assert sorted(r.page for r in df.filter("body <> '[]'").collect()) == list(range(1, 36))
