@@ -376,12 +376,12 @@ def _dump_customers(spark, sf, source):
 @query(
     "fetch_pages",
     """
-    SELECT CAST(c_nationkey AS VARCHAR) AS source, c_custkey // 500 + 1 AS page, c_custkey FROM customer
+    SELECT CAST(c_nationkey % 5 AS VARCHAR) AS source, c_custkey // 500 + 1 AS page, c_custkey FROM customer
     """,
 )
 def fetched_customers(spark, sf):
-    """Requests planned for a table of sources, one per nation, then fetched and stitched."""
-    root, pages = _dump_customers(spark, sf, F.col("c_nationkey"))
+    """Requests planned for a table of sources, by nation, then fetched and stitched."""
+    root, pages = _dump_customers(spark, sf, F.col("c_nationkey") % 5)
     sources = pages.groupBy(F.col("source").cast("string").alias("source_id")).agg(
         F.lit("page").alias("type"), (F.max("page") + 1).cast("int").alias("max_pages")
     )

@@ -24,7 +24,7 @@ agent_type: generic_ai_transformer
 source: {bucket: lake-data, path: layer=landing/source=shop/dataset=items, format: json}
 target: {bucket: lake-data, path: layer=silver/source=shop/dataset=items}
 ai_config:
-  instruction: "Clean data, standardize dates to YYYY-MM-DD, drop duplicates"
+  instruction: "Typed items with a price, each once"
   schema: {id: int, price: float, created_at: "datetime64[ns]", created_year: int}
   steps:
     - unwrap_envelope: {policy: transform}

@@ -16,7 +16,7 @@ FEED = "<entry><id>E1</id><meta><date>2024-01-05</date></meta><title>A &amp; B</
 @pytest.mark.parametrize("prefix", ["/entry/", "//entry/"])
 def test_xml(spark, prefix):
     """Plain paths are read by schema, others by XPath; both give the same."""
-    fields = {"ecli": "id", "date": "meta/date", "title": "title", "href": "link/@href", "summary": "summary", "no": "gone"}
+    fields = {"key": "id", "date": "meta/date", "title": "title", "href": "link/@href", "summary": "summary", "no": "gone"}
     df = spark.createDataFrame([(FEED,), ("<entry><id>2</id></entry>",), ("<entry><id>3</entry>",), (None,)], "x string")
     out = text.extract_xml(df, "x", {k: prefix + v for k, v in fields.items()}).drop("x")
     assert [tuple(r) for r in out.collect()] == [
