@@ -127,7 +127,7 @@ def _ingestion(manifest: Manifest, c: Context, fetcher: Fetcher | None, pause: f
         "source_id string, url string, type string, params map<string,string>, offset_param string, "
         "limit_param string, limit_value int, max_items bigint, page_param string",
     )
-    fetcher = fetcher or HttpFetcher(source["url"], source.get("headers"))
+    fetcher = fetcher or HttpFetcher(source.get("method") or "GET", source.get("headers"))
     pages = read_paged(one, fetcher, keep=not c.dry_run, pause=pause)
     if source.get("format", "json") == "json":
         named = pages.select(F.col("source_id").alias("source"), "page", "body")
@@ -168,7 +168,8 @@ def run_manifest(
     `roots` maps bucket names to folders. The run is one write action; its counts are taken on the
     way. Ingestion keeps the fetched pages first, so that each is asked for once. `dry_run` builds the same chain and returns its schema, schema mismatches and target, without
     reading data. `at` is the run's time: it gives the batch id, so a repeated run replaces its batch.
-    `lines` says whether landed JSON holds one value per line (as written here) or per file.
+    `lines` says whether landed JSON holds one value per line (as written here) or per file. Without
+    `unwrap_envelope` as first step, Spark reads JSON and XML once more to infer their fields.
     """
     validate_manifest(spark, manifest)
     ingests = manifest["agent_type"] == INGESTION

@@ -2,7 +2,7 @@
 
 The requests are a distributed table (`plan_requests`); runs of consecutive requests are spread over
 the cluster and fetched there. What fetches is passed in: any picklable callable
-`(source_id, params) -> body text`.
+`(source_id, params) -> body text`, or, if it has a true `by_url`, `(url, params) -> body text`.
 """
 
 from __future__ import annotations
@@ -59,25 +59,35 @@ class FileFetcher:
 
 
 class HttpFetcher:
-    """GET over HTTP. Redirects are refused, since their target has not been screened."""
+    """Requests over HTTP, to the `url` column of the sources.
 
-    def __init__(self, urls: Mapping[str, str] | str, headers: Mapping[str, str] | None = None):
-        self.urls, self.headers = urls, dict(headers or {})
+    GET puts the parameters into the query, other methods send them as a JSON body. Redirects are
+    refused, since their target has not been screened.
+    """
 
-    def __call__(self, source_id: str, params: Mapping[str, str]) -> str:
-        import urllib.parse
-        import urllib.request
+    by_url = True
+
+    def __init__(self, method: str = "GET", headers: Mapping[str, str] | None = None):
+        self.method, self.headers = method, dict(headers or {})
+
+    def request(self, url: str, params: Mapping[str, str]):
+        from urllib.parse import urlencode, urlsplit
+        from urllib.request import Request
+
+        if self.method != "GET":
+            headers = {"Content-Type": "application/json", **self.headers}
+            return Request(url, json.dumps(dict(params)).encode(), headers, method=self.method)
+        joint = "&" if urlsplit(url).query else "?"
+        return Request(f"{url}{joint}{urlencode(params)}" if params else url, headers=self.headers)
+
+    def __call__(self, url: str, params: Mapping[str, str]) -> str:
+        from urllib.request import HTTPRedirectHandler, build_opener
 
-        class NoRedirect(urllib.request.HTTPRedirectHandler):
+        class NoRedirect(HTTPRedirectHandler):
             def redirect_request(self, *args, **kwargs):
                 return None
 
-        url = self.urls if isinstance(self.urls, str) else self.urls[source_id]
-        joint = "&" if urllib.parse.urlsplit(url).query else "?"
-        query = urllib.parse.urlencode(params)
-        request = urllib.request.Request(f"{url}{joint}{query}" if query else url, headers=self.headers)
-        opener = urllib.request.build_opener(NoRedirect)
-        with opener.open(request, timeout=TIMEOUT_SECONDS) as response:
+        with build_opener(NoRedirect).open(self.request(url, params), timeout=TIMEOUT_SECONDS) as response:
             return response.read().decode("utf-8")
 
 
@@ -110,34 +120,37 @@ def fetch_pages(
     """`(source_id, seq, params)` to `(source_id, seq, page, body, attempts)`.
 
     Runs of `run_length` requests of one source are fetched one after another and stop at the first
-    empty page; runs are hashed over the tasks, so a source with most of the pages is fetched by
-    many tasks. What is fetched past the end is at most one run per task and `stitch_pages` drops it.
-    A `url` column is screened first: a URL that is not public fails the query.
+    empty page; runs are hashed over `tasks` tasks, so a source with most of the pages is fetched by
+    many of them. What is fetched past the end is at most one request per run, and `stitch_pages`
+    drops it. A `url` column is screened first: a URL that is not public fails the query.
     """
-    columns = ["source_id", "seq", "params"]
+    url = F.lit(None).cast("string")
     if "url" in requests.columns:
-        verdict = url_class("url")
-        refusal = F.raise_error(F.concat(F.lit("URL is not public ("), verdict, F.lit("): "), F.col("url")))
-        safe = F.when(F.col("url").isNull() | (verdict == "public"), F.lit(True)).otherwise(refusal.cast("boolean"))
-        requests = requests.filter(safe)
+        url, verdict = F.col("url"), url_class("url")
+        refusal = F.raise_error(F.concat(F.lit("URL is not public ("), verdict, F.lit("): "), url))
+        requests = requests.filter(
+            F.when(url.isNull() | (verdict == "public"), F.lit(True)).otherwise(refusal.cast("boolean"))
+        )
     tasks = tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_url = getattr(fetcher, "by_url", False)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ended = None
         for batch in batches:
-            rows = []
-            for source_id, seq, params in zip(batch["source_id"], batch["seq"], batch["params"], strict=True):
+            for source_id, seq, params, url in batch.itertuples(index=False):
                 run = (source_id, (seq - 1) // run_length)
                 if run == ended:
                     continue
-                body, attempts = _fetch(fetcher, source_id, dict(params), pause)
-                rows.append((source_id, seq, seq, body, attempts))
+                body, attempts = _fetch(fetcher, url if by_url else source_id, dict(params), pause)
+                # One page at a time, so that a task never holds many bodies.
+                yield pd.DataFrame(
+                    {"source_id": [source_id], "seq": [seq], "page": [seq], "body": [body], "attempts": [attempts]}
+                )
                 if _is_empty(body):
                     ended = run
-            yield pd.DataFrame(rows, columns=["source_id", "seq", "page", "body", "attempts"])
 
     return (
-        requests.select(F.col("source_id").cast("string").alias("source_id"), *columns[1:])
+        requests.select(F.col("source_id").cast("string").alias("source_id"), "seq", "params", url.alias("url"))
         .repartition(tasks, "source_id", F.floor((F.col("seq") - 1) / run_length))
         .sortWithinPartitions("source_id", "seq")
         .mapInPandas(read, SCHEMA)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.operators.envelope import record_columns
 from strata.operators.pages import stitch_cursor_pages, stitch_pages
-from strata.sources.paged import SCHEMA, FileFetcher, fetch_pages, read_paged, register_paged
+from strata.sources.paged import SCHEMA, FileFetcher, HttpFetcher, fetch_pages, read_paged, register_paged
 from strata.sources.requests import plan_requests
 
 CONFIG = (
@@ -183,6 +183,24 @@ def test_private_urls_are_refused_before_any_request(spark, dump):
         read_paged(sources, FileFetcher(dump)).collect()
 
 
+def test_http_requests():
+    """Built, not sent."""
+    got = HttpFetcher(headers={"X-Key": "k"}).request("https://example.com/a?x=1", {"page": "2", "q": "a b"})
+    assert (got.full_url, got.get_method(), got.headers) == ("https://example.com/a?x=1&page=2&q=a+b", "GET", {"X-key": "k"})
+    assert HttpFetcher().request("https://example.com/a", {}).full_url == "https://example.com/a"
+    post = HttpFetcher("POST").request("https://example.com/a", {"page": "2"})
+    assert (post.get_method(), post.data) == ("POST", b'{"page": "2"}')
+
+
+def test_urls_reach_fetchers_by_url(spark):
+    def by_url(url, params):
+        return f'["{url}"]'
+
+    by_url.by_url = True
+    sources = spark.createDataFrame([("a", "none", "https://example.com/a")], "source_id string, type string, url string")
+    assert read_paged(sources, by_url).first().body == '["https://example.com/a"]'
+
+
 def test_paged_format(spark, dump):
     register_paged(spark)
     df = spark.read.format("paged").option("root", dump).option("source_id", "big").option("max_pages", 40).load()
