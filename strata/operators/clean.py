@@ -84,6 +84,20 @@ def _orderable(data_type: T.DataType) -> bool:
     return True
 
 
+def _distinct_rows(df: DataFrame) -> DataFrame:
+    """Spark compares no maps and variants, so those are compared in a canonical form."""
+    stand_ins = {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.MapType):
+            stand_ins[f"_key_{f.name}"] = F.to_json(F.array_sort(F.map_entries(f.name)))
+        elif isinstance(f.dataType, T.VariantType):
+            stand_ins[f"_key_{f.name}"] = F.to_json(f.name)
+    if not stand_ins:
+        return df.dropDuplicates()
+    plain = [f.name for f in df.schema.fields if f"_key_{f.name}" not in stand_ins]
+    return df.withColumns(stand_ins).dropDuplicates([*plain, *stand_ins]).drop(*stand_ins)
+
+
 def drop_duplicates(
     df: DataFrame, keys: Sequence[str] | None = None, order_by: Sequence[str | Column] | None = None
 ) -> DataFrame:
@@ -95,7 +109,7 @@ def drop_duplicates(
     holds much of the table does not pile up in one task.
     """
     if keys is None:
-        return df.dropDuplicates()
+        return _distinct_rows(df)
     if not order_by:
         raise ValueError("drop_duplicates by key needs order_by")
     need_columns(df, keys)

@@ -40,8 +40,8 @@ def _moment(at: datetime | str | Column) -> Column:
 
 
 def _live(now: datetime | str | Column, ttl_days: int) -> Column:
-    ends = F.col("cached_at").cast("timestamp_ntz") + F.make_dt_interval(F.lit(ttl_days))
-    return _moment(now) <= ends
+    """Not yet past `cached_at` plus the time to live, in a form that Spark pushes into the scan."""
+    return F.col("cached_at").cast("timestamp_ntz") >= _moment(now) - F.make_dt_interval(F.lit(ttl_days))
 
 
 def split_cached(

@@ -29,6 +29,21 @@ def _nested(steps: list[list[str]]) -> T.StructType:
     return T.StructType(fields)
 
 
+def _steps(path: str) -> list[str]:
+    return [s.replace("@", "_", 1) if s.startswith("@") else s for s in path.strip("/").split("/")]
+
+
+def _read(value: Column, kind: T.DataType, path: list[str]) -> Column:
+    for step in path:
+        value, kind = value[step], kind[step].dataType
+    return trim_all(value["_VALUE"] if isinstance(kind, T.StructType) else value)
+
+
+def _parse(df: DataFrame, col: str, root: str, schema: T.StructType) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "rowTag": root}
+    return df.withColumn("_xml", F.from_xml(F.col(col), schema.add(_CORRUPT, T.StringType()), options))
+
+
 def extract_xml(df: DataFrame, col: str, fields: Mapping[str, str]) -> DataFrame:
     """Add named fields of an XML text column, given as paths.
 
@@ -36,23 +51,14 @@ def extract_xml(df: DataFrame, col: str, fields: Mapping[str, str]) -> DataFrame
     text. Other XPath expressions work too, but parse the text once each. An absent element and
     text that is not well-formed give null.
     """
-    plain = all(_SIMPLE_PATH.fullmatch(p) for p in fields.values())
-    roots = {p.split("/")[1] for p in fields.values()}
-    paths = {n: [s.replace("@", "_", 1) if s.startswith("@") else s for s in p.split("/")[2:]] for n, p in fields.items()}
-    if plain and len(roots) == 1 and all(paths.values()):
-        schema = _nested(list({tuple(p): p for p in paths.values()}.values()))
-        schema = schema.add(_CORRUPT, T.StringType())
-        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "rowTag": roots.pop()}
-        parsed = df.withColumn("_xml", F.from_xml(F.col(col), schema, options))
-
-        def read(path: list[str]) -> Column:
-            value, kind = F.col("_xml"), schema
-            for step in path:
-                value, kind = value[step], kind[step].dataType
-            value = value["_VALUE"] if isinstance(kind, T.StructType) else value
-            return F.when(F.col(f"_xml.{_CORRUPT}").isNull(), trim_all(value))
-
-        return parsed.withColumns({n: read(p) for n, p in paths.items()}).drop("_xml")
+    paths = {n: _steps(p) for n, p in fields.items()}
+    roots = {p[0] for p in paths.values()}
+    if all(_SIMPLE_PATH.fullmatch(p) for p in fields.values()) and len(roots) == 1 and min(map(len, paths.values())) > 1:
+        schema = _nested([list(p) for p in {tuple(p[1:]) for p in paths.values()}])
+        parsed = _parse(df, col, roots.pop(), schema)
+        whole = F.col(f"_xml.{_CORRUPT}").isNull()
+        values = {n: F.when(whole, _read(F.col("_xml"), schema, p[1:])) for n, p in paths.items()}
+        return parsed.withColumns(values).drop("_xml")
 
     probe = F.from_xml(F.col(col), f"{_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     readable = probe[_CORRUPT].isNull()
@@ -63,6 +69,34 @@ def extract_xml(df: DataFrame, col: str, fields: Mapping[str, str]) -> DataFrame
     return df.withColumns(values)
 
 
+def extract_xml_rows(df: DataFrame, col: str, rows: str, fields: Mapping[str, str]) -> DataFrame:
+    """One row per element of an XML text, in place of the text column.
+
+    `rows` is the plain path of the repeated element (`/feed/entry`), `fields` are plain paths below
+    it (`title`, `link/@href`). A text without such elements, or not well-formed, gives no rows.
+    """
+    if not _SIMPLE_PATH.fullmatch(rows) or not all(_SIMPLE_PATH.fullmatch(f"/x/{p}") for p in fields.values()):
+        raise ValueError("extract_xml_rows needs plain paths")
+    root, *inner = _steps(rows)
+    if not inner:
+        raise ValueError("the repeated element must be below the root")
+    paths = {n: _steps(p) for n, p in fields.items()}
+    element = _nested([list(p) for p in {tuple(p) for p in paths.values()}])
+    kind: T.DataType = T.ArrayType(element)
+    for step in reversed(inner):
+        kind = T.StructType([T.StructField(step, kind)])
+    value = F.col("_xml")
+    for step in inner:
+        value = value[step]
+    found = F.when(F.col(f"_xml.{_CORRUPT}").isNull(), value)
+    others = [c for c in df.columns if c != col]
+    return (
+        _parse(df, col, root, kind)
+        .select(*others, F.explode(found).alias("_row"))
+        .select(*others, *[_read(F.col("_row"), element, p).alias(n) for n, p in paths.items()])
+    )
+
+
 def summarize_text(df: DataFrame, col: str, n: int = 2, summary_col: str = "summary") -> DataFrame:
     """The first `n` sentences; a text without a sentence end is its own summary."""
     sentences = rf"(?s)\A(?:.*?[.!?](?:\s+|\z)){{1,{n}}}"

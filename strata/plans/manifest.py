@@ -101,6 +101,7 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
     "project_to_schema": lambda df, c, schema=None, **a: clean.project_to_schema(df, schema or c.schema, **a),
     "add_audit_columns": lambda df, c: clean.add_audit_columns(df, c.at, c.batch_id),
     "extract_xml": lambda df, c, col, fields: text.extract_xml(df, col, fields),
+    "extract_xml_rows": lambda df, c, col, rows, fields: text.extract_xml_rows(df, col, rows, fields),
     "summarize_text": lambda df, c, **a: text.summarize_text(df, **a),
     "enrich": _enrich,
     "gold_aggregate": lambda df, c, by, measures: relate.gold_aggregate(df, by, measures),

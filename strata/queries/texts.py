@@ -44,6 +44,18 @@ def extract_xml_xpath(spark, sf):
     return text.extract_xml(_customer_xml(spark, sf), "xml", fields).drop("xml")
 
 
+@query("extract_xml_rows", "SELECT c_nationkey, c_name AS title, CAST(c_custkey AS VARCHAR) AS id FROM customer")
+def extract_xml_rows(spark, sf):
+    """Pages of at most 500 customers each as one XML text."""
+    entry = F.concat(F.lit('<entry id="'), F.col("c_custkey"), F.lit('"><title>'), F.col("c_name"), F.lit("</title></entry>"))
+    pages = table(spark, sf, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 500)).agg(
+        F.concat(F.lit("<feed><list>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</list></feed>")).alias("xml")
+    )
+    return text.extract_xml_rows(
+        pages.select("c_nationkey", "xml"), "xml", "/feed/list/entry", {"title": "title", "id": "@id"}
+    )
+
+
 @query(
     "summarize_text",
     r"""

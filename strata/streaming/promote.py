@@ -47,12 +47,21 @@ def promote(
 
     def write(batch: DataFrame, number: int) -> None:
         rows, batch_id = steps(batch), f"{number:014d}"
-        if keys:
-            rows = drop_duplicates(rows, keys, order_by)
-            if exists(batch.sparkSession, target):
-                silver = batch.sparkSession.read.parquet(target)
-                rows = new_rows(rows, silver.filter(silver["batch_id"].cast("bigint") != number), keys)
-        write_layer(rows, root, "silver", source, dataset, ts, batch_id)
+        if not keys:
+            write_layer(rows, root, "silver", source, dataset, ts, batch_id)
+            return
+        rows = drop_duplicates(rows, keys, order_by)
+        if not exists(batch.sparkSession, target):
+            write_layer(rows, root, "silver", source, dataset, ts, batch_id)
+            return
+        # Kept while it is compared and written, so that the files are read once.
+        rows = rows.persist()
+        try:
+            silver = batch.sparkSession.read.parquet(target)
+            others = silver.filter(silver["batch_id"].cast("bigint") != number)
+            write_layer(new_rows(rows, others, keys), root, "silver", source, dataset, ts, batch_id)
+        finally:
+            rows.unpersist()
 
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
     query = (

@@ -68,6 +68,15 @@ def test_drop_duplicates(spark):
         clean.drop_duplicates(df, ["k"])
 
 
+def test_drop_duplicates_of_maps_and_variants(spark):
+    df = spark.sql(
+        """select * from values (1, map('a', 1, 'b', 2), parse_json('{"x":1,"y":2}')),
+        (1, map('b', 2, 'a', 1), parse_json('{"y":2,"x":1}')), (1, map('a', 1), parse_json('{"x":1}')) t(k, m, v)"""
+    )
+    out = clean.drop_duplicates(df)
+    assert out.columns == ["k", "m", "v"] and out.count() == 2
+
+
 def test_drop_duplicates_with_a_hot_key(spark):
     df = spark.range(20000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as v")
     kept = clean.drop_duplicates(df, ["k"], ["-v"])

@@ -95,6 +95,40 @@ def test_xml_pages_land_as_they_are(spark, tmp_path):
     assert bodies == [f"<feed><from>{n}</from></feed>" for n in (0, 20, 40)]
 
 
+def test_xml_pages_to_silver(spark, tmp_path):
+    """Feeds land as they are; a second manifest reads their entries."""
+    source = {"url": "https://example.com/feed", "format": "xml", "pagination": {"type": "page", "limit_value": 2, "max_items": 4}}
+    roots = {"lake-data": str(tmp_path)}
+
+    def feed(source_id, params):
+        n = int(params["page"])
+        entries = "".join(f"<entry><id>E{n}{i}</id><date>0{i}/02/2024</date><text>One {i}. Two. Three.</text></entry>" for i in (1, 2))
+        return f"<feed>{entries}</feed>"
+
+    run_manifest(spark, {**INGEST, "source": source}, roots, AT, fetcher=feed, pause=0)
+    fields = {"id": "id", "date": "date", "text": "text"}
+    silver = {
+        "pipeline_name": "feed_silver",
+        "agent_type": "generic_ai_transformer",
+        "source": {"bucket": "lake-data", "path": "layer=landing/source=shop/dataset=items"},
+        "target": {"bucket": "lake-data", "path": "layer=silver/source=shop/dataset=items"},
+        "ai_config": {
+            "instruction": "Entries of the feed with a summary",
+            "schema": {"id": "string", "date": "string", "summary": "string"},
+            "steps": [
+                {"unwrap_envelope": {"policy": "transform", "fields": {"body": "string"}}},
+                {"extract_xml_rows": {"col": "body", "rows": "/feed/entry", "fields": fields}},
+                {"standardize_dates": {"cols": ["date"], "formats": ["dd/MM/yyyy"]}},
+                {"summarize_text": {"col": "text", "n": 2}},
+                "project_to_schema",
+            ],
+        },
+    }
+    done = run_manifest(spark, silver, roots, AT)
+    got = sorted((r.id, r.date, r.summary) for r in spark.read.parquet(done.target).collect())
+    assert got[0] == ("E11", "2024-02-01", "One 1. Two.") and len(got) == 4
+
+
 def test_invalid_manifests_are_refused(spark, tmp_path, manifest):
     with pytest.raises(ManifestError, match="public http"):
         run_manifest(spark, {**INGEST, "source": {"url": "http://localhost/x"}}, {}, AT)

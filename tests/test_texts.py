@@ -27,6 +27,15 @@ def test_xml(spark, prefix):
     ]
 
 
+def test_xml_rows(spark):
+    feed = "<feed><n>2</n><entry id='1'><title> A </title></entry><entry id='2'><title>B</title><m><d>x</d></m></entry></feed>"
+    df = spark.createDataFrame([(1, feed), (2, "<feed/>"), (3, "<feed><entry></feed>"), (4, None), (5, "<feed><entry id='9'/></feed>")], "n int, x string")
+    out = text.extract_xml_rows(df, "x", "/feed/entry", {"id": "@id", "title": "title", "deep": "m/d"})
+    assert sorted(map(tuple, out.collect())) == [(1, "1", "A", None), (1, "2", "B", "x"), (5, "9", None, None)]
+    with pytest.raises(ValueError, match="plain"):
+        text.extract_xml_rows(df, "x", "//entry", {"id": "@id"})
+
+
 @pytest.mark.parametrize(
     "value, want",
     [
