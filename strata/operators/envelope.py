@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata import schema as S
 from strata.functions.envelope import envelope_kind, envelope_records, field
+from strata.functions.expr import once
 
 
 def parsed(df: DataFrame, col: str) -> Column:
@@ -34,7 +35,7 @@ def unwrap_envelope(
     value = F.col("_body")
     expand = F.posexplode_outer if keep_empty else F.posexplode
     return (
-        df.withColumn("_body", parsed(df, body_col))
+        once(df, "_body", parsed(df, body_col))
         .drop(body_col)
         .select(
             *[F.col(c) for c in df.columns if c != body_col],

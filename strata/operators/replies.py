@@ -136,4 +136,4 @@ def extract_code_blocks(
     if whole_text:
         candidates.append(F.when(text.contains("import") | text.contains("def "), trim_all(text)))
     found = let(F.array_compact(F.array(*candidates)), lambda c: F.when(F.size(c) > 0, c))
-    return df.withColumn(code_col, _first_that_parses(found))
+    return once(df, "_code", _first_that_parses(found)).withColumn(code_col, F.col("_code")).drop("_code")

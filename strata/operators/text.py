@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.expr import trim_all
+from strata.functions.expr import once, trim_all
 
 _SIMPLE_PATH = re.compile(r"/[A-Za-z_][\w.-]*(/[A-Za-z_][\w.-]*)*(/@[A-Za-z_][\w.-]*)?")
 _CORRUPT = "_corrupt_record"
@@ -41,7 +41,8 @@ def _read(value: Column, kind: T.DataType, path: list[str]) -> Column:
 
 def _parse(df: DataFrame, col: str, root: str, schema: T.StructType) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "rowTag": root}
-    return df.withColumn("_xml", F.from_xml(F.col(col), schema.add(_CORRUPT, T.StringType()), options))
+    fields = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    return once(df, "_xml", F.from_xml(F.col(col), fields, options))
 
 
 def extract_xml(df: DataFrame, col: str, fields: Mapping[str, str]) -> DataFrame:
@@ -61,12 +62,12 @@ def extract_xml(df: DataFrame, col: str, fields: Mapping[str, str]) -> DataFrame
         return parsed.withColumns(values).drop("_xml")
 
     probe = F.from_xml(F.col(col), f"{_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    readable = probe[_CORRUPT].isNull()
+    probed = once(df, "_readable", probe[_CORRUPT].isNull())
     values = {}
     for name, path in fields.items():
         texts = path if path.endswith(")") or "/@" in path else f"{path}/text()"
-        values[name] = F.when(readable, trim_all(F.get(F.xpath(F.col(col), F.lit(texts)), F.lit(0))))
-    return df.withColumns(values)
+        values[name] = F.when(F.col("_readable"), trim_all(F.get(F.xpath(F.col(col), F.lit(texts)), F.lit(0))))
+    return probed.withColumns(values).drop("_readable")
 
 
 def extract_xml_rows(df: DataFrame, col: str, rows: str, fields: Mapping[str, str]) -> DataFrame:
