@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 
-#: Distinct words that a Python worker remembers; beyond that it starts afresh. Results don't depend on it.
-REMEMBERED = 400_000
+#: Distinct pieces that a Python worker remembers; beyond that it forgets those it met once. Results don't depend on it.
+REMEMBERED = 600_000
 
 # A single space between two other characters: byte-level BPE never joins what is on its two sides.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -27,9 +28,9 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """Encodes texts to ids exactly as the library does on the whole text, special strings included.
 
-    The vocabularies split a text into words before anything else, so for byte-level ones a text is cut at single
-    spaces between two other characters (a long text never has to be encoded at once), and each distinct piece is
-    encoded once and remembered. Texts that hold a special string, and vocabularies of other kinds, are
+    The vocabularies split a text into words before anything else, so for byte-level ones a text is cut before single
+    spaces (and line ends) between two other characters (a long text never has to be encoded at once), and each
+    distinct piece is encoded once and remembered. Texts that hold a special string, and vocabularies of other kinds, are
     encoded whole by the library.
     """
 
@@ -50,72 +51,122 @@ class Encoder:
             self._whole = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
             split = repr(model.pre_tokenizer)
             self._pieces = model.normalizer is None and split.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in split
+            if self._pieces:
+                # In a byte-level vocabulary each character of a token stands for one byte.
+                lengths = {i: len(t) for t, i in model.get_vocab(with_added_tokens=False).items()}
+                self._token_bytes = np.array([lengths.get(i, 0) for i in range(max(lengths) + 1)], dtype=np.int64)
             self._special = [t.content for t in model.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self) -> None:
         self._first: dict[str, int] = {}
         self._later: dict[str, int] = {}
-        self._ids, self._starts, self._held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-        self._sizes, self._used = np.zeros(1 << 16, np.int64), 0
+        self._ids, self._held = np.zeros(1 << 16, np.uint32), 0
+        self._starts, self._sizes, self._met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met more than once, renumbered."""
+        kept = np.flatnonzero(self._met > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = kept[:0]
+        number = np.full(len(self._met), -1)
+        number[kept] = np.arange(len(kept))
+        for known in (self._first, self._later):
+            left = {p: int(number[k]) for p, k in known.items() if number[k] >= 0}
+            known.clear()
+            known.update(left)
+        ids = self._gather(kept)
+        self._sizes, self._met = self._sizes[kept], np.ones(len(kept), np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._ids, self._held = np.append(ids, np.zeros(1 << 16, np.uint32)), len(ids)
 
     def _learn(self, pieces: set[str], known: dict[str, int], lead: str) -> None:
-        fresh = [p for p in pieces if p not in known]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for piece, ids in zip(part, self._whole([lead + p for p in part]), strict=True):
-                while self._held + len(ids) > len(self._ids):
-                    self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-                if self._used == len(self._starts):
-                    self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
-                    self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
-                self._ids[self._held : self._held + len(ids)] = ids
-                self._starts[self._used], self._sizes[self._used] = self._held, len(ids)
-                known[piece] = self._used
-                self._held += len(ids)
-                self._used += 1
+        fresh = list(pieces.difference(known))
+        for i in range(0, len(fresh), 2_000):
+            part = fresh[i : i + 2_000]
+            ids, sizes = self._encode_each([p if p[:1] == "\n" else lead + p for p in part])
+            starts = self._held + np.cumsum(sizes) - sizes
+            end = self._held + int(sizes.sum())
+            while end > len(self._ids):
+                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+            self._ids[self._held : end] = ids
+            known.update(zip(part, range(len(self._starts), len(self._starts) + len(part)), strict=True))
+            self._starts, self._sizes = np.append(self._starts, starts), np.append(self._sizes, sizes)
+            self._met = np.append(self._met, np.zeros(len(part), np.int64))
+            self._held = end
+
+    def _encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has.
+
+        Pieces that begin with their space or line end and don't end in white space are encoded as one text. No
+        token spans two of them, so the bytes of the tokens tell which piece each belongs to.
+        """
+        if all(p[0] in " \n" and p[1:2].strip() and not p[-1].isspace() for p in pieces):
+            found = np.fromiter(self._whole(["".join(pieces)])[0], np.uint32)
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
+            reach = np.cumsum(self._token_bytes[found])
+            last = np.searchsorted(reach, ends) + 1
+            if last[-1] == len(found) and (reach[last - 1] == ends).all():
+                return found, np.diff(last, prepend=0)
+        each = self._whole(pieces)
+        sizes = np.fromiter(map(len, each), np.int64, len(pieces))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
     def _cut(self, text: str) -> list[str] | None:
-        """Pieces that are encoded independently, each but the first without its leading space."""
-        if any(s in text for s in self._special):
+        """Pieces that are encoded independently: the first as it is, later ones with a space before them unless
+        they begin with a line end.
+        """
+        if not text or not self._pieces or any(s in text for s in self._special):
             return None
-        pieces = text.split(" ")
-        # An empty piece or white space at the edge of a piece makes a longer run of white space: cut with care.
-        if "" in pieces or not text.isprintable() and any(p[0].isspace() or p[-1].isspace() for p in pieces):
-            pieces = _SAFE.split(text)
-        return pieces
+        words = text.split()
+        spaces, lines = text.count(" "), text.count("\n")
+        # All white space is single spaces and line ends between words: cut before each of them.
+        if len(words) == spaces + lines + 1 and len("".join(words)) + spaces + lines == len(text):
+            return text.replace("\n", " \n").split(" ")
+        return _SAFE.split(text)
 
     def _numbers(self, texts: list[str]):
-        """Per text its piece numbers, or None where the library has to take the whole text."""
-        cuts = [self._cut(t) if t and self._pieces else None for t in texts]
-        if self._used > REMEMBERED:
+        """The piece numbers of all texts in a row, how many each text has, and the texts to encode whole."""
+        cuts = [self._cut(t) for t in texts]
+        if len(self._starts) > REMEMBERED:
             self._forget()
         self._learn({c[0] for c in cuts if c}, self._first, "")
-        self._learn({p for c in cuts if c for p in c[1:]}, self._later, " ")
-        return [
-            None if c is None else np.fromiter((self._first[c[0]], *map(self._later.__getitem__, c[1:])), np.int64, len(c))
-            for c in cuts
-        ]
+        self._learn({p for c in cuts if c for p in islice(c, 1, None)}, self._later, " ")
+        sizes = np.array([len(c) if c else 0 for c in cuts], dtype=np.int64)
+        later = map(self._later.__getitem__, chain.from_iterable(islice(c, 1, None) for c in cuts if c))
+        numbers = np.zeros(int(sizes.sum()), np.int64)
+        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        rest = np.ones(len(numbers), bool)
+        rest[firsts] = False
+        numbers[rest] = np.fromiter(later, np.int64, len(numbers) - len(firsts))
+        numbers[firsts] = [self._first[c[0]] for c in cuts if c]
+        self._met += np.bincount(numbers, minlength=len(self._met))
+        return numbers, sizes, [i for i, (t, c) in enumerate(zip(texts, cuts, strict=True)) if t and c is None]
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """The number of ids of each text; null: 0."""
         texts = [t or "" for t in texts]
-        numbers = self._numbers(texts)
-        return [
-            int(self._sizes[n].sum()) if n is not None else len(self._whole([t])[0]) if t else 0
-            for t, n in zip(texts, numbers, strict=True)
-        ]
+        numbers, sizes, whole = self._numbers(texts)
+        totals = np.append(0, np.cumsum(self._sizes[numbers]))
+        ends = np.cumsum(sizes)
+        found = (totals[ends] - totals[ends - sizes]).tolist()
+        for i in whole:
+            found[i] = len(self._whole([texts[i]])[0])
+        return found
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null: none."""
         texts = [t or "" for t in texts]
-        return [
-            self._gather(n) if n is not None else np.array(self._whole([t])[0] if t else [], dtype=np.uint32)
-            for t, n in zip(texts, self._numbers(texts), strict=True)
-        ]
+        numbers, sizes, whole = self._numbers(texts)
+        flat = self._gather(numbers)
+        totals = np.append(0, np.cumsum(self._sizes[numbers]))
+        ends = np.cumsum(sizes)
+        found = [flat[a:b] for a, b in zip(totals[ends - sizes].tolist(), totals[ends].tolist(), strict=True)]
+        for i in whole:
+            found[i] = np.array(self._whole([texts[i]])[0], dtype=np.uint32)
+        return found
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         sizes = self._sizes[numbers]
+        if not len(sizes):
+            return np.zeros(0, np.uint32)
         ends = np.cumsum(sizes)
         return self._ids[np.repeat(self._starts[numbers] - ends + sizes, sizes) + np.arange(ends[-1])]
 
