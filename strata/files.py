@@ -24,3 +24,17 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
 def remove_folder(spark: SparkSession, path: str) -> None:
     files, target = _at(spark, path)
     files.delete(target, True)
+
+
+def make_folder_of_session(spark: SparkSession, path: str) -> None:
+    """Make a folder, if need be, that is removed when the session's JVM ends."""
+    files, target = _at(spark, path)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark reads it from."""
+    files, target = _at(spark, path)
+    found = files.makeQualified(target).toString()
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found

@@ -2,59 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.checkpoints import ensure_checkpoint_dir
-from strata.functions.envelope import envelope_records
+from strata.functions.envelope import envelope_kind, envelope_records
+from strata.functions.expr import once
 from strata.operators.envelope import parsed
 
 
+# Pages whose counts one window task adds up; totals of the blocks before it come from the level above.
+BLOCK = 1000
+
+
 def stitch_pages(
     pages: DataFrame,
-    max_pages: int = 1000,
+    max_pages: int | None = None,
     max_items: int | str | None = None,
     policy: str = "ingest",
     record_key: str | None = None,
 ) -> DataFrame:
     """`(source, page, body)` to one row per record `(source, page, item, complete, record)`.
 
-    Pages count up from 1; those before the first empty page and not above `max_pages` are kept, and
-    at most `max_items` records per source (a number, or a column of `pages`), in page order. `item`
-    is the 0-based position in the source. `complete` is false for a source with a missing or
-    repeated page among the kept ones.
+    Pages count up from 1; those before the first page without records are kept, and at most `max_items`
+    records per source (a number, or a column of `pages`), in page order. `item` is the 0-based position in
+    the source. Of a page that landed more than once, the body that is first as text is taken. `complete` is
+    false for a source with a missing or repeated page among the kept ones, one that ends at a body
+    that holds no list of records, and one with records beyond `max_pages` (no limit by default).
 
-    Offsets come from page *counts*: the window sees `(source, page, count)` only, at most
-    `max_pages` small rows per source, so bodies and records of one large source stay spread out.
-    The join back is on (source, page), which is unique and therefore not skewed.
+    Offsets come from page *counts*, in two levels: totals of blocks of pages, then inside each block. So
+    neither bodies nor counts of one large source meet in one task. The joins on the source have one
+    row per source on their other side, and Spark can split hot sources there.
     """
-    records = envelope_records(F.col("_body"), policy, record_key)
-    bodies = pages.filter(F.col("page").between(1, max_pages)).withColumn(
-        "_body", parsed(pages, "body")
+    is_text = pages.schema["body"].dataType.typeName() != "variant"
+    same = Window.partitionBy("source", "page")
+    single = (
+        pages.filter(F.col("page") >= 1)
+        .withColumn("_copies", F.count(F.lit(1)).over(same))
+        .withColumn("_nth", F.row_number().over(same.orderBy(F.col("body") if is_text else F.to_json("body"))))
+        .filter("_nth = 1")
     )
-    counts = bodies.select("source", "page", F.coalesce(F.size(records), F.lit(0)).alias("n"))
-    counts = counts.withColumn("n", F.greatest(F.col("n"), F.lit(0)).cast("bigint"))
+    value = F.col("_body")
+    found = F.struct(
+        envelope_records(value, policy, record_key).alias("records"),
+        (envelope_kind(value, policy, record_key) != "unexpected").alias("readable"),
+    )
+    bodies = once(once(single, "_body", parsed(pages, "body")).drop("body"), "_found", found).drop("_body", "_nth")
+    n = F.greatest(F.coalesce(F.size("_found.records"), F.lit(0)), F.lit(0)).cast("bigint")
+    counts = bodies.select("source", "page", n.alias("n"), (F.col("_copies") > 1).alias("repeated"), F.col("_found.readable").alias("readable"))
 
-    in_order = Window.partitionBy("source").orderBy("page")
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    kept = (
-        counts.select(
-            "source",
-            "page",
-            F.min("n").over(so_far).alias("least"),
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_item"),
-            F.row_number().over(so_far).alias("place"),
-        )
-        .filter("least > 0")
-        .withColumn(
-            "complete",
-            F.min(F.col("place") == F.col("page")).over(Window.partitionBy("source")),
-        )
-        .select("source", "page", "first_item", "complete")
+    inside = F.lit(True) if max_pages is None else F.col("page") <= max_pages
+    empty = inside & (F.col("n") == 0)
+    ends = counts.groupBy("source").agg(
+        F.min(F.when(empty, F.col("page"))).alias("end"),
+        F.coalesce(F.min_by("readable", F.when(empty, F.col("page"))), F.lit(True)).alias("sound_end"),
+        F.max(~inside & (F.col("n") > 0)).alias("beyond"),
+    )
+    kept = counts.filter(inside).join(ends, "source").filter("end IS NULL OR page < end")
+    states = kept.groupBy("source").agg(
+        (
+            (F.count(F.lit(1)) == F.max("page"))
+            & ~F.max("repeated")
+            & F.min("sound_end")
+            & ~F.max(F.col("beyond") & F.col("end").isNull())
+        ).alias("complete")
+    )
+    block = F.floor(F.col("page") / BLOCK).alias("block")
+    totals = kept.groupBy("source", block).agg(F.sum("n").alias("total"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("source", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("source", "block").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        kept.select("source", "page", "n", block)
+        .join(bases, ["source", "block"])
+        .select("source", "page", (F.col("base") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("first_item"))
+        .join(states, "source")
     )
-    out = bodies.drop("body").join(kept, ["source", "page"])
-    cap: Column | None = None
+    out = bodies.join(placed, ["source", "page"])
+    records = F.col("_found.records")
     if max_items is not None:
         cap = F.col(max_items) if isinstance(max_items, str) else F.lit(max_items)
         out = out.filter(F.col("first_item") < cap)

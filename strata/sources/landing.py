@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,17 +28,20 @@ def read_landing(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     row_tag: str | None = None,
-    lines: bool = False,
+    lines: bool = True,
     on_bad: str = "fail",
     raw: bool = False,
+    skipped: Observation | None = None,
+    skip_files: bool = False,
 ) -> DataFrame:
     """Every file under a prefix, sub-folders and their Hive partitions included.
 
-    Without `fmt` the format is taken from the file extension, else JSON. JSON files hold one value
-    each (a list gives one row per element); `lines=True` reads one value per line, which Spark can
-    split. `on_bad`: `fail` stops, `skip` drops bad records and unreadable files, `quarantine` keeps
-    bad records in the column `_corrupt_record` for `split_corrupt`. `raw` gives each file's text as
-    `body`, for `unwrap_envelope`.
+    Without `fmt` the format is taken from the file extension, else JSON. JSON files hold one value per line, which
+    Spark can split; with `lines=False` each file is one value (a list gives one row per element), read by
+    one task. `on_bad`: `fail` stops, `quarantine` keeps bad records in the column `_corrupt_record` for
+    `split_corrupt`, `skip` drops them and counts them in the observation `skipped` (as `bad_records`), which it
+    needs, as it needs a schema unless the format is Parquet. Unreadable files stop the read; only `skip_files`
+    leaves them out, which Spark tells in its log alone. `raw` gives each file's text (or line) as `body`, for `unwrap_envelope`.
     """
     if on_bad not in ("fail", "skip", "quarantine"):
         raise ValueError(f"unknown on_bad: {on_bad}")
@@ -49,10 +52,12 @@ def read_landing(
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
     reader = spark.read.format(fmt)
-    if on_bad == "skip":
+    if skip_files:
         reader = reader.option("ignoreCorruptFiles", "true")
+    if on_bad == "skip" and fmt != "parquet" and (skipped is None or schema is None):
+        raise ValueError("skipping bad records needs a schema and an observation that counts them")
     if fmt != "parquet":
-        mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "quarantine": "PERMISSIVE"}[on_bad]
+        mode = "FAILFAST" if on_bad == "fail" else "PERMISSIVE"
         reader = reader.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
     if fmt == "json":
         reader = reader.option("multiLine", str(not lines).lower())
@@ -64,10 +69,13 @@ def read_landing(
         reader = reader.option("rowTag", row_tag)
     if schema is not None:
         fields = _struct(schema)
-        if on_bad == "quarantine" and fmt != "parquet" and CORRUPT not in fields.names:
+        if on_bad != "fail" and fmt != "parquet" and CORRUPT not in fields.names:
             fields = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
         reader = reader.schema(fields)
-    return reader.load(paths)
+    rows = reader.load(paths)
+    if on_bad == "skip" and CORRUPT in rows.columns:
+        rows = rows.observe(skipped, F.count(CORRUPT).alias("bad_records")).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return rows
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,27 +85,31 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull())
 
 
-def split_bad_records(
-    df: DataFrame, line_col: str, schema: T.StructType | str
-) -> tuple[DataFrame, DataFrame]:
-    """Parse a column of JSON text; good rows have the fields, bad rows keep the text.
+def flag_bad_records(df: DataFrame, line_col: str, schema: T.StructType | str) -> DataFrame:
+    """Parse a column of JSON text in place; `_corrupt_record` holds the text of bad rows and is null for good ones.
 
-    Bad is: not JSON, blank, null, or a field that does not fit its type. Other columns stay in both.
+    Bad is: not JSON, blank, null (then the text is empty), or a field that does not fit its type. One scan, one
+    parse; a write partitioned by `_corrupt_record is null` splits it in one pass.
     """
     fields = T.StructType([*_struct(schema).fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     marked = once(df, "_parsed", F.from_json(F.col(line_col), fields, options))
     parsed = F.col("_parsed")
-    bad = (
-        parsed.isNull()
-        | parsed[CORRUPT].isNotNull()
-        | F.coalesce(F.trim(F.col(line_col)) == "", F.lit(True))
-    )
+    text = F.coalesce(F.col(line_col), F.lit(""))
+    bad = parsed.isNull() | parsed[CORRUPT].isNotNull() | (F.trim(text) == "")
     others = [c for c in df.columns if c != line_col]
-    good = marked.filter(~bad).select(
-        *others, *[parsed[f.name].alias(f.name) for f in fields.fields if f.name != CORRUPT]
-    )
-    return good, marked.filter(bad).select(*others, F.col(line_col).alias(CORRUPT))
+    names = [f.name for f in fields.fields if f.name != CORRUPT]
+    return marked.select(*others, *[parsed[n].alias(n) for n in names], F.when(bad, text).alias(CORRUPT))
+
+
+def split_bad_records(
+    df: DataFrame, line_col: str, schema: T.StructType | str
+) -> tuple[DataFrame, DataFrame]:
+    """The flagged frame as two: good rows have the fields, bad rows keep the text. Other columns stay in both."""
+    flagged = flag_bad_records(df, line_col, schema)
+    others = [c for c in df.columns if c != line_col]
+    good = flagged.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good, flagged.filter(F.col(CORRUPT).isNotNull()).select(*others, CORRUPT)
 
 
 # The levels of the lake layout.

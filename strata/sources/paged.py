@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import importlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strata.checkpoints import ensure_checkpoint_dir
 from strata.operators.urls import url_class
-from strata.sources.requests import MAX_PAGES, PAGE_SIZE, plan_requests
+from strata.sources.requests import PAGE_SIZE, WAVE, plan_requests
 
 Fetcher = Callable[[str, Mapping[str, str]], str]
 
@@ -27,35 +30,49 @@ Fetcher = Callable[[str, Mapping[str, str]], str]
 TIMEOUT_SECONDS = 30
 ATTEMPTS = 3
 
-SCHEMA = "source_id string, seq bigint, page bigint, body string, attempts int"
+#: `is_empty`: a page without records, which ends its source; `error`: why there is no usable page.
+SCHEMA = "source_id string, seq bigint, page bigint, body string, attempts int, is_empty boolean, error string"
 
 
 class FileFetcher:
     """Pages dumped below `<root>/source=<source_id>/`, each as `page=<n>.json` or as a folder `page=<n>`.
 
-    The root may be any file system that Arrow reads. A page that is not there is empty.
+    The root has a scheme (`files.qualified` adds that of Spark's file system), so that workers read where Spark
+    wrote. Pages beyond the last one are empty; a page that is missing before it is an error, and so is a
+    source without a folder.
     """
 
     def __init__(self, root: str, page_param: str = "page"):
+        if ":/" not in root:
+            raise ValueError(f"the root needs a scheme: {root}")
         self.root, self.page_param = root.rstrip("/"), page_param
+        self._pages: dict[str, dict[int, list[str]]] = {}
+
+    def _listed(self, files, where: str) -> dict[int, list[str]]:
+        """The files of each page of a source, listed once per task."""
+        from pyarrow import fs
+
+        if where not in self._pages:
+            found: dict[int, list[str]] = {}
+            for entry in files.get_file_info(fs.FileSelector(where, recursive=True)):
+                parts = entry.path[len(where) :].strip("/").split("/")
+                number = parts[0].removeprefix("page=").removesuffix(".json")
+                if entry.is_file and number.isdigit() and not entry.base_name.startswith((".", "_")):
+                    found.setdefault(int(number), []).append(entry.path)
+            self._pages = {where: found}
+        return self._pages[where]
 
     def __call__(self, source_id: str, params: Mapping[str, str]) -> str:
         from pyarrow import fs
 
         page = int(params.get(self.page_param, 1))
-        where = f"{self.root}/source={source_id}/page={page}"
-        if ":/" in where:
-            files, where = fs.FileSystem.from_uri(where)
-        else:
-            files = fs.LocalFileSystem()
-        if files.get_file_info(f"{where}.json").type == fs.FileType.File:
-            found = [f"{where}.json"]
-        else:
-            inside = files.get_file_info(fs.FileSelector(where, allow_not_found=True))
-            found = sorted(f.path for f in inside if f.is_file and not f.base_name.startswith((".", "_")))
-        if not found:
+        files, where = fs.FileSystem.from_uri(f"{self.root}/source={source_id}")
+        pages = self._listed(files, where)
+        if page not in pages:
+            if page < max(pages, default=0):
+                raise FileNotFoundError(f"page {page} of source {source_id} is missing")
             return "[]"
-        return "".join(files.open_input_stream(f).read().decode("utf-8") for f in found)
+        return "".join(files.open_input_stream(f).read().decode("utf-8") for f in sorted(pages[page]))
 
 
 class HttpFetcher:
@@ -91,38 +108,68 @@ class HttpFetcher:
             return response.read().decode("utf-8")
 
 
-def _is_empty(body: str) -> bool:
-    """No records, by the `ingest` policy; text that is not JSON (XML, CSV) is empty when blank."""
+def page_state(body: str, record_key: str | None = None, row_element: str | None = None) -> tuple[bool, str | None]:
+    """Whether a page has no records, and what is wrong with it.
+
+    JSON: a list, or an object with a list under `record_key` (else `data`, else `results`); null there is an
+    empty page, anything else is an error. Other text (XML, CSV) is empty when blank, or, if a row element is
+    named, when it holds none.
+    """
     try:
         value = json.loads(body)
     except ValueError:
-        return not body.strip()
+        start = body.lstrip()[:1]
+        if start in ("[", "{"):
+            return False, "the page is not JSON"
+        return not start or bool(row_element and not re.search(rf"<{re.escape(row_element)}[\s/>]", body)), None
     if isinstance(value, dict):
-        value = value.get("data") if "data" in value else value.get("results")
-    return not isinstance(value, list) or not value
-
-
-def _fetch(fetcher: Fetcher, source_id: str, params: Mapping[str, str], pause: float) -> tuple[str, int]:
-    """Body and the number of attempts; waits 1, 2, 4... pauses between attempts, raises the last error."""
+        key = next((k for k in ([record_key] if record_key else ("data", "results")) if k in value), None)
+        if key is None:
+            return False, f"the page has no list of records under {record_key or 'data or results'}"
+        value = value[key]
+    if value is not None and not isinstance(value, list):
+        return False, "the page holds no list of records"
+    return not value, None
+
+
+def _fetch(fetcher: Fetcher, source_id: str, params: Mapping[str, str], pause: float) -> tuple[str | None, int, str | None]:
+    """Body, number of attempts and the last error; waits 1, 2, 4... pauses between attempts."""
+    error = None
     for attempt in range(ATTEMPTS):
         try:
-            return fetcher(source_id, params), attempt + 1
-        except Exception:
-            if attempt + 1 == ATTEMPTS:
-                raise
-            time.sleep(pause * 2**attempt)
-    raise AssertionError
+            return fetcher(source_id, params), attempt + 1, None
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            if attempt + 1 < ATTEMPTS:
+                time.sleep(pause * 2**attempt)
+    return None, ATTEMPTS, error
+
+
+def _read_page(fetcher: Fetcher, source_id: str, params: Mapping[str, str], pause: float, record_key: str | None, row_element: str | None):
+    """Body, attempts, is_empty, error of one request."""
+    body, attempts, error = _fetch(fetcher, source_id, params, pause)
+    if error is not None:
+        return None, attempts, False, error
+    return body, attempts, *page_state(body, record_key, row_element)
 
 
 def fetch_pages(
-    requests: DataFrame, fetcher: Fetcher, run_length: int = 10, pause: float = 1.0, tasks: int | None = None
+    requests: DataFrame,
+    fetcher: Fetcher,
+    run_length: int = 10,
+    pause: float = 1.0,
+    tasks: int | None = None,
+    record_key: str | None = None,
+    row_element: str | None = None,
 ) -> DataFrame:
-    """`(source_id, seq, params)` to `(source_id, seq, page, body, attempts)`.
+    """`(source_id, seq, params)` to rows of SCHEMA, one per page that was asked for.
 
     Runs of `run_length` requests of one source are fetched one after another and stop at the first
-    empty page; runs are hashed over `tasks` tasks, so a source with most of the pages is fetched by
-    many of them. What is fetched past the end is at most one request per run, and `stitch_pages`
-    drops it. A `url` column is screened first: a URL that is not public fails the query.
+    page without records; runs are hashed over `tasks` tasks, so a source with most of the pages is fetched
+    by many of them. What is fetched past the end is at most one request per run, and `stitch_pages`
+    drops it. A request that fails for good has no body but an `error`, and so has a page without a list of
+    records; the other requests go on (`require_pages` fails then). A `url` column is screened first: a URL that is
+    not public fails the query.
     """
     url = F.lit(None).cast("string")
     if "url" in requests.columns:
@@ -133,6 +180,7 @@ def fetch_pages(
         )
     tasks = tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_url = getattr(fetcher, "by_url", False)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ended = None
@@ -141,12 +189,10 @@ def fetch_pages(
                 run = (source_id, (seq - 1) // run_length)
                 if run == ended:
                     continue
-                body, attempts = _fetch(fetcher, url if by_url else source_id, dict(params), pause)
+                page = _read_page(fetcher, url if by_url else source_id, dict(params), pause, record_key, row_element)
                 # One page at a time, so that a task never holds many bodies.
-                yield pd.DataFrame(
-                    {"source_id": [source_id], "seq": [seq], "page": [seq], "body": [body], "attempts": [attempts]}
-                )
-                if _is_empty(body):
+                yield pd.DataFrame([(source_id, seq, seq, *page)], columns=names)
+                if page[2]:
                     ended = run
 
     return (
@@ -157,25 +203,48 @@ def fetch_pages(
     )
 
 
-def read_paged(sources: DataFrame, fetcher: Fetcher, keep: bool = True, **options) -> DataFrame:
-    """Plan the requests of a table of sources and fetch them; a `url` column is screened first.
+def require_pages(pages: DataFrame) -> DataFrame:
+    """The same pages; reading one with an error fails."""
+    told = F.concat_ws(": ", F.concat_ws(" page ", "source_id", "page"), "error")
+    return pages.filter(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+
+
+def read_paged(sources: DataFrame, fetcher: Fetcher, keep: bool = True, wave: int = WAVE, **options) -> DataFrame:
+    """Plan the requests of a table of sources and fetch them, as rows of SCHEMA; a `url` column is screened first.
 
-    With `keep` the pages are fetched now and checkpointed in the shared folder. Otherwise every use
-    of the frame fetches them again, and an API may answer differently each time.
+    The pages are fetched now and checkpointed in the shared folder. Sources without a known end are
+    fetched in waves, each four times the last, until they have given a page without records or an error. With
+    `keep=False` nothing is fetched now: every use of the frame fetches again, and reading fails where a
+    source without a known end goes on after the first wave.
     """
-    requests = plan_requests(sources)
-    if "url" in sources.columns:
-        requests = requests.join(sources.select("source_id", "url"), "source_id")
+    requests = plan_requests(sources, 1, wave)
     pages = fetch_pages(requests, fetcher, **options)
     if not keep:
-        return pages
+        last = requests.filter("last IS NULL").select(F.col("source_id").cast("string").alias("source_id"), F.lit(wave).cast("bigint").alias("seq"), F.lit(True).alias("open"))
+        goes_on = F.col("open") & ~F.col("is_empty") & F.col("error").isNull()
+        told = F.raise_error(F.concat(F.lit("more pages than one wave: "), F.col("source_id"))).cast("boolean")
+        marked = pages.join(last.distinct(), ["source_id", "seq"], "left")
+        return marked.filter(F.when(goes_on, told).otherwise(F.lit(True))).select(pages.columns)
     ensure_checkpoint_dir(sources.sparkSession)
-    return pages.checkpoint()
+    fetched = [pages.checkpoint()]
+    first = 1
+    while True:
+        ended = fetched[-1].filter("is_empty OR error IS NOT NULL").select("source_id")
+        seen = fetched[-1].select("source_id").distinct().join(ended, "source_id", "left_anti").select(F.col("source_id").alias("_going"))
+        more = sources.join(seen, F.col("source_id").cast("string") == F.col("_going"), "left_semi")
+        first, wave = first + wave, wave * 4
+        later = plan_requests(more, first, wave).filter("last IS NULL")
+        if later.isEmpty():
+            break
+        fetched.append(fetch_pages(later, fetcher, **options).checkpoint())
+    return reduce(DataFrame.unionByName, fetched)
 
 
-class _Run(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+class _Lane(InputPartition):
+    """Every `step`-th run of pages from run `first` on."""
+
+    def __init__(self, first: int, step: int):
+        self.first, self.step = first, step
 
 
 class _PagedReader(DataSourceReader):
@@ -183,14 +252,17 @@ class _PagedReader(DataSourceReader):
         self.options = dict(options)
         self.source_id = self.options.get("source_id", "source")
         self.page_param = self.options.get("page_param", "page")
+        self.run_length = int(self.options.get("run_length", 10))
+        self.last = int(self.options["max_pages"]) if "max_pages" in self.options else None
+        if "max_items" in self.options:
+            by_items = -(-int(self.options["max_items"]) // int(self.options.get("page_size", PAGE_SIZE)))
+            self.last = by_items if self.last is None else min(self.last, by_items)
 
     def partitions(self):
-        step = int(self.options.get("run_length", 10))
-        size = int(self.options.get("page_size", PAGE_SIZE))
-        last = int(self.options.get("max_pages", MAX_PAGES))
-        if "max_items" in self.options:
-            last = min(last, -(-int(self.options["max_items"]) // size))
-        return [_Run(a, min(a + step - 1, last)) for a in range(1, last + 1, step)]
+        lanes = int(self.options.get("lanes", 16))
+        if self.last is not None:
+            lanes = max(1, min(lanes, -(-self.last // self.run_length)))
+        return [_Lane(i, lanes) for i in range(lanes)]
 
     def fetcher(self) -> Fetcher:
         name = self.options.get("fetcher", "files")
@@ -202,19 +274,24 @@ class _PagedReader(DataSourceReader):
     def read(self, partition):
         fetcher = self.fetcher()
         pause = float(self.options.get("pause", 1))
-        for page in range(partition.first, partition.last + 1):
-            body, attempts = _fetch(fetcher, self.source_id, {self.page_param: str(page)}, pause)
-            yield self.source_id, page, page, body, attempts
-            if _is_empty(body):
-                return
+        how = self.options.get("record_key"), self.options.get("row_element")
+        for run in count(partition.first, partition.step):
+            for page in range(run * self.run_length + 1, (run + 1) * self.run_length + 1):
+                if self.last is not None and page > self.last:
+                    return
+                found = _read_page(fetcher, self.source_id, {self.page_param: str(page)}, pause, *how)
+                yield self.source_id, page, page, *found
+                if found[2] or found[3] is not None:
+                    return
 
 
 class PagedSource(DataSource):
     """`spark.read.format("paged")` for one numbered-page source.
 
     Options: `fetcher` (`files`, which needs `root`, or "module:name" of a callable that executors can
-    import), `source_id`, `page_param`, `page_size`, `max_pages`, `max_items`, `run_length`, `pause`.
-    Each run of pages is an input partition.
+    import), `source_id`, `page_param`, `page_size`, `max_pages`, `max_items`, `run_length`, `lanes`, `pause`,
+    `record_key`, `row_element`. Runs of pages are dealt out over `lanes` input partitions, each of which goes on until it meets
+    a page without records, an error or the given end; without an end the source is read to its own.
     """
 
     @classmethod

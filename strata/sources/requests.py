@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.expr import trim_all
+
 # Defaults and limits of paging.
 PAGE_SIZE = 100
-MAX_PAGES = 1000
 MAX_LIMIT = 1000
 OFFSET_TYPES = ("offset", "offset_limit")
 PAGING_TYPES = ("offset", "offset_limit", "cursor", "page", "none")
 
+#: Requests that are planned at first for a source whose end is not known.
+WAVE = 100
+
 _DEFAULTS = {
     "offset_param": "string",
     "limit_param": "string",
@@ -23,13 +27,14 @@ _DEFAULTS = {
 }
 
 
-def plan_requests(sources: DataFrame) -> DataFrame:
-    """One row per request: `(source_id, seq, params)`, `seq` counting from 1.
+def plan_requests(sources: DataFrame, first: int = 1, wave: int = WAVE) -> DataFrame:
+    """One row per request: `(source_id, seq, params, last, ...)`, `seq` counting from 1.
 
-    `offset` and `offset_limit` step by the page size and stop at `max_items`, clipping the last
-    limit; `page` counts pages; `none` and `cursor` give one request, as the next cursor is only
-    known after the answer. Static params are merged in, paging params win. Every source gives at
-    most `max_pages` requests, so the caps act before anything is fetched.
+    `offset` and `offset_limit` step by the page size and stop at `max_items`, clipping the last limit; `page`
+    counts pages; `none` and `cursor` give one request, as the next cursor is only known after the answer.
+    Static params are merged in, paging params win. A source with `max_items` or `max_pages` gets all its
+    requests from `first` on; one without a known end gets the next `wave` of them, and `last` is null for it
+    (`read_paged` goes on wave by wave). Columns of the sources that paging does not use are carried along.
     """
     absent = {n: F.lit(None).cast(t) for n, t in _DEFAULTS.items() if n not in sources.columns}
     df = sources.withColumns(absent) if absent else sources
@@ -37,13 +42,14 @@ def plan_requests(sources: DataFrame) -> DataFrame:
     paged = offset | (F.col("type") == "page")
     problem = (
         F.when(~F.coalesce(F.col("type").isin(*PAGING_TYPES), F.lit(False)), "unknown paging type")
-        .when(offset & (F.trim(F.coalesce("offset_param", F.lit(""))) == ""), "offset_param is required for offset paging")
+        .when(offset & (trim_all(F.coalesce("offset_param", F.lit(""))) == ""), "offset_param is required for offset paging")
         .when(~F.col("limit_value").between(1, MAX_LIMIT), f"limit_value must be from 1 to {MAX_LIMIT}")
         .when(F.col("max_items") <= 0, "max_items must be above 0")
+        .when(F.col("max_pages") <= 0, "max_pages must be above 0")
     )
     size = F.coalesce(F.col("limit_value"), F.lit(PAGE_SIZE)).cast("bigint")
     by_items = F.ceil(F.col("max_items") / size)
-    n = F.when(paged, F.least(by_items, F.coalesce("max_pages", F.lit(MAX_PAGES)))).otherwise(1)
+    n = F.when(paged, F.least(by_items, F.col("max_pages").cast("bigint"))).otherwise(F.lit(1).cast("bigint"))
     checked = F.when(
         problem.isNotNull(),
         F.raise_error(F.concat_ws(": ", F.col("source_id").cast("string"), problem)).cast("bigint"),
@@ -68,8 +74,12 @@ def plan_requests(sources: DataFrame) -> DataFrame:
         )
         .otherwise(nothing)
     )
+    ahead = F.coalesce("last", F.lit(first + wave - 1).cast("bigint"))
+    steps = F.when(ahead >= first, F.sequence(F.lit(first).cast("bigint"), ahead)).otherwise(F.array().cast("array<bigint>"))
+    carried = [c for c in sources.columns if c not in (*_DEFAULTS, "source_id", "type", "seq", "last")]
     return (
-        df.withColumn("seq", F.explode(F.sequence(F.lit(1).cast("bigint"), checked)))
+        df.withColumn("last", checked)
+        .withColumn("seq", F.explode(steps))
         .withColumn("paging", paging)
         .withColumn("static", F.coalesce("params", nothing))
         .select(
@@ -78,5 +88,7 @@ def plan_requests(sources: DataFrame) -> DataFrame:
             F.map_concat(
                 F.map_filter("static", lambda k, _: ~F.map_contains_key("paging", k)), "paging"
             ).alias("params"),
+            "last",
+            *carried,
         )
     )

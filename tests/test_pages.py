@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strata.operators.envelope import record_columns
 from strata.operators.pages import stitch_cursor_pages, stitch_pages
-from strata.sources.paged import SCHEMA, FileFetcher, HttpFetcher, fetch_pages, read_paged, register_paged
-from strata.sources.requests import plan_requests
+from strata.sources.paged import SCHEMA, FileFetcher, HttpFetcher, fetch_pages, page_state, read_paged, register_paged, require_pages
+from strata.sources.requests import WAVE, plan_requests
 
 CONFIG = (
     "source_id string, type string, offset_param string, limit_param string, limit_value int, max_items bigint, "
@@ -34,7 +34,8 @@ def test_plan_pages_none_and_cursor(spark):
         ("a", 1, {"p": "1", "per_page": "100"}),
         ("a", 2, {"p": "2", "per_page": "100"}),
     ]
-    assert len(planned(spark, ("a", "page", None, None, None, None, None, None))) == 1000
+    assert len(planned(spark, ("a", "page", None, None, None, None, None, None))) == WAVE
+    assert len(planned(spark, ("a", "page", None, None, 1, 5000, None, None))) == 5000
     for kind in ("none", "cursor"):
         assert planned(spark, ("a", kind, None, None, None, 5000, None, {"k": "v"})) == [("a", 1, {"k": "v"})]
 
@@ -67,7 +68,7 @@ def test_stitch_by_hand(spark):
     ]
     out = record_columns(stitch_pages(spark.createDataFrame(pages, "source string, page int, body string")), {"id": "int"})
     assert sorted((r.source, r.item, r.id, r.complete) for r in out.collect()) == [
-        ("bad", 0, 1, True),
+        ("bad", 0, 1, False),
         ("ends", 0, 1, True), ("ends", 1, 2, True), ("ends", 2, 3, True),
         ("gap", 0, 1, False), ("gap", 1, 2, False),
     ]
@@ -137,7 +138,7 @@ def dump(tmp_path):
         for page, n in enumerate(sizes, 1):
             (tmp_path / f"source={source}" / f"page={page}.json").write_text(body(*range(item, item + n)))
             item += n
-    return str(tmp_path)
+    return f"file://{tmp_path}"
 
 
 def test_fetch_and_stitch(spark, dump):
@@ -172,9 +173,13 @@ def test_attempts(spark):
 
     requests = spark.range(1, 3).selectExpr("'s' as source_id", "id as seq", "map('page', cast(id as string)) as params")
     assert {r.attempts for r in fetch_pages(requests, flaky, pause=0).collect()} == {3}
-    three = requests.selectExpr("source_id", "3L as seq", "map('page', '3') as params")
-    with pytest.raises(PySparkException, match="page 3 is down"):
-        fetch_pages(three, flaky, pause=0).collect()
+    more = spark.range(1, 5).selectExpr("'s' as source_id", "id as seq", "map('page', cast(id as string)) as params")
+    pages = fetch_pages(more, flaky, pause=0).orderBy("page")
+    assert [(r.page, r.body, r.error) for r in pages.collect()] == [
+        (1, "[1]", None), (2, "[2]", None), (3, None, "OSError: page 3 is down"), (4, "[4]", None)
+    ]
+    with pytest.raises(PySparkException, match="s page 3: OSError: page 3 is down"):
+        require_pages(pages).collect()
 
 
 def test_private_urls_are_refused_before_any_request(spark, dump):
@@ -207,3 +212,78 @@ def test_paged_format(spark, dump):
     assert df.rdd.getNumPartitions() == 4
     assert df.schema.simpleString() == f"struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>"
     assert sorted(r.page for r in df.filter("body <> '[]'").collect()) == list(range(1, 36))
+
+
+def numbered(n, key=None, per_page=1):
+    """An API of n pages, each with `per_page` records, in memory."""
+
+    def fetch(source_id, params):
+        page = int(params["page"])
+        records = [{"id": (page - 1) * per_page + i} for i in range(per_page)] if page <= n else []
+        return json.dumps({key: records} if key else records)
+
+    return fetch
+
+
+def test_no_page_is_lost_past_a_thousand(spark):
+    pages = spark.range(1, 2501).selectExpr("'s' as source", "id as page", "concat('[{\"id\":', id, '}]') as body")
+    out = record_columns(stitch_pages(pages), {"id": "int"}).collect()
+    assert sorted((r.item, r.id, r.complete) for r in out) == [(i, i + 1, True) for i in range(2500)]
+    capped = stitch_pages(pages, max_pages=1000).collect()
+    assert len(capped) == 1000 and not any(r.complete for r in capped)
+    assert all(r.complete for r in stitch_pages(pages, max_pages=2500).collect())
+
+
+def test_sources_are_read_to_their_end_in_waves(spark):
+    sources = spark.createDataFrame([("a", "page", "x")], "source_id string, type string, note string")
+    pages = read_paged(sources, numbered(1200), wave=50, pause=0)
+    assert pages.filter("NOT is_empty").count() == 1200 and pages.select("page").distinct().count() == pages.count()
+    with pytest.raises(PySparkException, match="more pages than one wave"):
+        read_paged(sources, numbered(1200), keep=False, wave=50, pause=0).collect()
+    capped = sources.withColumn("max_pages", F.lit(7))
+    assert read_paged(capped, numbered(1200), pause=0).count() == 7
+
+
+def test_records_under_a_name_of_their_own(spark):
+    sources = spark.createDataFrame([("a", "page")], "source_id string, type string")
+    pages = read_paged(sources, numbered(25, "recipes", 3), pause=0, record_key="recipes")
+    named = pages.select(F.col("source_id").alias("source"), "page", "body")
+    assert stitch_pages(named, record_key="recipes").count() == 75
+    unknown = read_paged(sources, numbered(25, "recipes", 3), pause=0)
+    assert "no list of records under data or results" in unknown.first().error
+
+
+def test_states_of_pages():
+    assert page_state("[1]") == (False, None) and page_state("[]") == (True, None) == page_state('{"data": null}') == page_state(" ")
+    assert page_state('{"data": [], "results": [1]}') == (True, None)
+    assert page_state("{oops")[1] == "the page is not JSON" and page_state('{"data": 7}')[1] == page_state("3")[1] == "the page holds no list of records"
+    assert page_state("<feed><entry/></feed>", row_element="entry") == (False, None)
+    assert page_state("<feed><entrycount/></feed>", row_element="entry") == (True, None)
+
+
+def test_a_missing_page_is_not_the_end(spark, tmp_path):
+    (tmp_path / "source=s").mkdir()
+    for page in (1, 2, 4, 5):
+        (tmp_path / "source=s" / f"page={page}.json").write_text(body(page))
+    sources = spark.createDataFrame([("s", "page"), ("t", "page")], "source_id string, type string")
+    pages = read_paged(sources, FileFetcher(f"file://{tmp_path}"), pause=0)
+    errors = {(r.source_id, r.page): r.error for r in pages.filter("error IS NOT NULL").collect()}
+    assert "page 3 of source s is missing" in errors["s", 3] and "FileNotFoundError" in errors["t", 1]
+    named = pages.filter("source_id = 's' AND body IS NOT NULL").select(F.col("source_id").alias("source"), "page", "body")
+    assert {(r.page, r.complete) for r in stitch_pages(named).collect()} == {(p, False) for p in (1, 2, 4, 5)}
+    with pytest.raises(ValueError, match="needs a scheme"):
+        FileFetcher("/data")
+
+
+def test_repeated_pages_count_once(spark):
+    rows = [("s", 1, body(2, 1)), ("s", 1, body(1, 2)), ("s", 1, body(1, 2)), ("s", 2, body(3)), ("t", 1, body(1))]
+    out = record_columns(stitch_pages(spark.createDataFrame(rows, "source string, page int, body string")), {"id": "int"})
+    got = sorted((r.source, r.item, r.id, r.complete) for r in out.collect())
+    assert got == [("s", 0, 1, False), ("s", 1, 2, False), ("s", 2, 3, False), ("t", 0, 1, True)]
+
+
+def test_the_paged_format_reads_to_the_end(spark, dump):
+    register_paged(spark)
+    reader = spark.read.format("paged").option("root", dump).option("lanes", 3)
+    df = reader.option("source_id", "big").load()
+    assert df.rdd.getNumPartitions() == 3 and df.filter("NOT is_empty").count() == 35
