@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from strata.files import make_folder_of_session
+
 SETTING = "spark.checkpoint.dir"
 
 
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="strata-")
+    make_folder_of_session(spark, folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -28,5 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table that one query writes and reads back."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table that one query writes and reads back; it goes when the session's JVM ends."""
+    own = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    make_folder_of_session(spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"

@@ -14,6 +14,9 @@ LAYERS = ("landing", "silver", "gold")
 BATCH_FORMAT = "%Y%m%d%H%M%S"
 
 DAY_LEVELS = ("year", "month", "day")
+BATCH_LEVELS = (*DAY_LEVELS, "batch_id")
+# Fixed value: the folder that Hive layouts give rows with a null level.
+NULL_LEVEL = "__HIVE_DEFAULT_PARTITION__"
 
 
 def layer_path(root: str, layer: str, source: str, dataset: str) -> str:
@@ -40,12 +43,16 @@ def write_batch(
 
     `ts` is the time that gives the day: a column, a column name, or one time for the whole batch.
     Only the folders of this batch are replaced, so running a batch again changes nothing and other
-    batches are never touched. Days the batch no longer has lose its folder.
+    batches are never touched. Days the batch no longer has lose its folder. Rows whose time is null go
+    to the folders of null levels. Columns with the name of a level are refused.
 
     Rows are rebalanced by day before the write: files come out near the advisory size, and a day
     that holds most of the rows is split over many tasks instead of being written by one.
     """
     spark = df.sparkSession
+    clash = [c for c in df.columns if c.lower() in BATCH_LEVELS]
+    if clash:
+        raise ValueError(f"columns named like levels of the layout: {clash}; rename them")
     if isinstance(ts, datetime):
         ts = F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
     at = F.col(ts) if isinstance(ts, str) else ts
@@ -60,14 +67,14 @@ def write_batch(
     earlier = matching(spark, f"{path}/year=*/month=*/day=*/batch_id={batch_id}")
     if earlier:
         days = Observation()
-        day = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in DAY_LEVELS])
+        day = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(c, F.lit(NULL_LEVEL))) for c in DAY_LEVELS])
         dated = dated.observe(days, F.collect_set(day).alias("written"))
     (
         dated.hint("rebalance", *DAY_LEVELS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("ignoreNullFields", "false")
-        .partitionBy(*DAY_LEVELS, "batch_id")
+        .partitionBy(*BATCH_LEVELS)
         .format(fmt)
         .save(path)
     )

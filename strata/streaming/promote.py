@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.files import exists
 from strata.operators.clean import drop_duplicates
-from strata.sinks.layers import layer_path, write_layer
+from strata.sinks.layers import BATCH_LEVELS, layer_path, write_layer
+
+#: The keys of a silver table are kept beside it, in so many buckets by their hash.
+KEY_BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int"))
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -22,6 +31,36 @@ def new_rows(batch: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Data
     return batch.join(seen, list(keys), "left_anti")
 
 
+def _store_keys(rows: DataFrame, ledger: str, keys: Sequence[str], batch_id: str) -> None:
+    placed = _bucketed(rows.select(*keys), keys).withColumn("batch_id", F.lit(batch_id))
+    (
+        placed.repartition("bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id", "bucket")
+        .parquet(ledger)
+    )
+
+
+def _known_keys(rows: DataFrame, ledger: str, target: str, keys: Sequence[str], batch_id: str) -> DataFrame:
+    """Keys of earlier batches, from the buckets of the ledger that the rows fall into."""
+    spark, kinds = rows.sparkSession, {f.name: f.dataType for f in rows.schema.fields}
+    fields = [T.StructField(k, kinds[k]) for k in keys]
+    if not exists(spark, ledger):
+        # A table from before the ledger: its keys are read once.
+        silver = spark.read.schema(T.StructType([*fields, T.StructField("batch_id", T.StringType())])).parquet(target)
+        for_each = silver.filter(F.col("batch_id") != batch_id)
+        (
+            _bucketed(for_each.select(*keys, "batch_id"), keys).repartition("bucket")
+            .write.mode("overwrite").partitionBy("batch_id", "bucket").parquet(ledger)
+        )
+    # At most KEY_BUCKETS numbers: they prune the folders that are read.
+    touched = [r["bucket"] for r in _bucketed(rows.select(*keys), keys).select("bucket").distinct().collect()]
+    levels = [T.StructField("batch_id", T.StringType()), T.StructField("bucket", T.IntegerType())]
+    known = spark.read.schema(T.StructType([*fields, *levels])).parquet(ledger)
+    return known.filter(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id)).select(*keys)
+
+
 def promote(
     spark: SparkSession,
     root: str,
@@ -38,28 +77,36 @@ def promote(
 ) -> str:
     """Apply `steps` to the new landing files and write them to the silver path; returns that path.
 
-    The checkpoint remembers which files are done, so a second run without new files adds nothing.
-    With `keys`, a key is written once: the first by `order_by` within a micro-batch, and no key that
-    silver already holds. A micro-batch that is repeated after a failure has the same batch id. It
-    is not compared with its own first attempt but replaces it.
+    The checkpoint remembers which files are done, so a second run without new files adds nothing. With `keys`, a
+    key is written once: the first by `order_by` within a micro-batch, and no key that an earlier batch
+    wrote. Those keys lie in a ledger beside the table (`_keys`), of which a micro-batch reads the buckets that its own
+    keys fall into, and never the table. A micro-batch that is repeated after a failure has the same batch id:
+    it is not compared with its own first attempt but replaces it. The id of the stream is part of the batch id, so
+    a new checkpoint replaces nothing that another one wrote.
     """
     target = layer_path(root, "silver", source, dataset)
+    ledger = f"{layer_path(root, 'silver', source, dataset)}_keys"
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    levels = set(BATCH_LEVELS) - set(fields.names)
+    stream: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        rows, batch_id = steps(batch), f"{number:014d}"
+        session = batch.sparkSession
+        if not stream:
+            stream.append(json.loads(session.read.text(f"{checkpoint}/metadata").first()[0])["id"].split("-")[0])
+        # The levels of the landing layout are no fields of its records.
+        rows, batch_id = steps(batch.drop(*levels)), f"{number:014d}-{stream[0]}"
         if not keys:
             write_layer(rows, root, "silver", source, dataset, ts, batch_id)
             return
-        rows = drop_duplicates(rows, keys, order_by)
-        if not exists(batch.sparkSession, target):
-            write_layer(rows, root, "silver", source, dataset, ts, batch_id)
-            return
         # Kept while it is compared and written, so that the files are read once.
-        rows = rows.persist()
+        rows = drop_duplicates(rows, keys, order_by).persist()
         try:
-            silver = batch.sparkSession.read.parquet(target)
-            others = silver.filter(silver["batch_id"].cast("bigint") != number)
-            write_layer(new_rows(rows, others, keys), root, "silver", source, dataset, ts, batch_id)
+            fresh = rows
+            if exists(session, target) or exists(session, ledger):
+                fresh = new_rows(rows, _known_keys(rows, ledger, target, keys, batch_id), keys)
+            write_layer(fresh, root, "silver", source, dataset, ts, batch_id)
+            _store_keys(fresh, ledger, keys, batch_id)
         finally:
             rows.unpersist()
 

@@ -3,6 +3,7 @@ import glob
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from strata.operators.envelope import record_columns, unwrap_envelope
@@ -59,7 +60,7 @@ def test_formats(spark, tmp_path):
     assert landing.format_of("a/b/page.XML") == "xml"
     assert landing.format_of("layer=landing/dataset=x") == "json"
     (tmp_path / "a.json").write_text('[{"id":1},\n{"id":2}]')
-    assert sorted(r.id for r in landing.read_landing(spark, str(tmp_path / "a.json")).collect()) == [1, 2]
+    assert sorted(r.id for r in landing.read_landing(spark, str(tmp_path / "a.json"), lines=False).collect()) == [1, 2]
     (tmp_path / "e.xml").write_text(
         "<feed><entry><id>1</id><title>One</title></entry><entry><id>2</id></entry></feed>"
     )
@@ -72,7 +73,11 @@ def test_formats(spark, tmp_path):
 def test_on_bad(spark, tmp_path):
     path = str(tmp_path / "lines")
     spark.createDataFrame([('{"id":1}',), ('{"id":"x"}',)], "value string").write.text(path)
-    assert [r.id for r in landing.read_landing(spark, path, "json", "id int", lines=True, on_bad="skip").collect()] == [1]
+    skipped = Observation()
+    assert [r.id for r in landing.read_landing(spark, path, "json", "id int", on_bad="skip", skipped=skipped).collect()] == [1]
+    assert skipped.get == {"bad_records": 1}
+    with pytest.raises(ValueError, match="an observation that counts"):
+        landing.read_landing(spark, path, "json", "id int", on_bad="skip")
     good, bad = landing.split_corrupt(
         landing.read_landing(spark, path, "json", "id int", lines=True, on_bad="quarantine")
     )
@@ -172,3 +177,69 @@ def test_promote_reads_new_files_once(spark, tmp_path):
     land([(2, "z", day), (3, "d", datetime.date(2024, 1, 2))], "2")
     run()
     assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_rows_without_a_time_survive_a_second_write(spark, tmp_path):
+    df = spark.sql("SELECT 1 AS id, timestamp_ntz '2024-01-01 00:00:00' AS ts UNION ALL SELECT 2, null")
+    for _ in range(2):
+        path = write_layer(df, str(tmp_path), "silver", "s", "d", "ts", "20240101000000")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    write_layer(df.filter("id = 1"), str(tmp_path), "silver", "s", "d", "ts", "20240101000000")
+    assert [r.id for r in spark.read.parquet(path).collect()] == [1]
+
+
+@pytest.mark.parametrize("name", ["year", "Month", "batch_id"])
+def test_columns_named_like_levels_are_refused(spark, tmp_path, name):
+    df = spark.range(1).withColumn(name, F.lit(1995))
+    with pytest.raises(ValueError, match="named like levels"):
+        write_layer(df, str(tmp_path), "gold", "s", "d", datetime.datetime(2024, 1, 1), "20240101000000")
+
+
+def land(spark, root, name, *keys):
+    folder = tmp = root / "layer=landing" / "source=s" / "dataset=d"
+    folder.mkdir(parents=True, exist_ok=True)
+    (tmp / f"{name}.json").write_text("".join(json.dumps({"k": k, "v": name}) + "\n" for k in keys))
+
+
+def run_promote(spark, root, checkpoint, **options):
+    def steps(df):
+        return df.filter("k > 0").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+
+    return promote(spark, str(root), "s", "d", steps, str(root / checkpoint), "ts", "k int, v string", keys=["k"], order_by=["v"], **options)
+
+
+def test_a_first_micro_batch_without_rows(spark, tmp_path):
+    land(spark, tmp_path, "a", -1)
+    path = run_promote(spark, tmp_path, "c")
+    land(spark, tmp_path, "b", 1, 2)
+    assert run_promote(spark, tmp_path, "c") == path
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_a_new_checkpoint_replaces_nothing(spark, tmp_path):
+    land(spark, tmp_path, "a", 1)
+    path = run_promote(spark, tmp_path, "c")
+    (tmp_path / "layer=landing" / "source=s" / "dataset=d" / "a.json").write_text('{"k": 9, "v": "x"}\n{"k": 1, "v": "y"}\n')
+    run_promote(spark, tmp_path, "other")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (9, "x")]
+
+
+def test_a_micro_batch_reads_the_ledger_and_not_the_table(spark, tmp_path):
+    land(spark, tmp_path, "a", 1, 2)
+    path = run_promote(spark, tmp_path, "c")
+    for f in glob.glob(f"{path}/**/*.parquet", recursive=True):
+        with open(f, "r+b") as broken:
+            broken.write(b"no longer parquet")
+    land(spark, tmp_path, "b", 2, 3)
+    run_promote(spark, tmp_path, "c")
+    (new,) = (tmp_path / "layer=silver" / "source=s" / "dataset=d").glob("**/batch_id=00000000000001-*")
+    assert [r.k for r in spark.read.parquet(str(new)).collect()] == [3]
+
+
+def test_a_table_from_before_the_ledger(spark, tmp_path):
+    land(spark, tmp_path, "a", 1, 2)
+    path = run_promote(spark, tmp_path, "c")
+    (tmp_path / "layer=silver" / "source=s" / "dataset=d_keys").rename(tmp_path / "aside")
+    land(spark, tmp_path, "b", 2, 3)
+    run_promote(spark, tmp_path, "c")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "a"), (3, "b")]
