@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from strata.sources.landing import split_bad_records
+from strata.sources.landing import CORRUPT, flag_bad_records
 
 # The fields of a log record.
 LOG_SCHEMA = (
@@ -16,18 +16,23 @@ LOG_SCHEMA = (
 )
 
 
-def parse_json_logs(df: DataFrame, line_col: str) -> tuple[DataFrame, DataFrame]:
-    """(typed log records, bad lines). A record without a readable timestamp is a bad line too."""
-    kept = df.withColumn("_line", F.col(line_col))
-    good, bad = split_bad_records(kept, line_col, LOG_SCHEMA)
+def flag_json_logs(df: DataFrame, line_col: str) -> DataFrame:
+    """Typed log records, with the text of bad lines in `_corrupt_record`; one scan and one parse.
+
+    A record without a readable timestamp is a bad line too.
+    """
+    flagged = flag_bad_records(df.select(F.col(line_col), F.col(line_col).alias("_line")), line_col, LOG_SCHEMA)
     # ISO 8601 in UTC; a trailing Z is dropped so that the session time zone plays no part.
     stamp = F.regexp_replace("timestamp", r"Z\z", "").try_cast("timestamp_ntz")
-    typed = good.withColumn("timestamp", stamp)
-    untimed = typed.filter(F.col("timestamp").isNull())
-    quarantine = bad.select("_corrupt_record").unionByName(
-        untimed.select(F.col("_line").alias("_corrupt_record"))
-    )
-    return typed.filter(F.col("timestamp").isNotNull()).drop("_line"), quarantine
+    text = F.coalesce(CORRUPT, F.when(F.col("timestamp").isNull(), F.coalesce("_line", F.lit(""))))
+    return flagged.withColumn("timestamp", stamp).withColumn(CORRUPT, text).drop("_line")
+
+
+def parse_json_logs(df: DataFrame, line_col: str) -> tuple[DataFrame, DataFrame]:
+    """(typed log records, bad lines), the two parts of `flag_json_logs`."""
+    flagged = flag_json_logs(df, line_col)
+    good = flagged.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good, flagged.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def _same(left: str, right: str, names: Sequence[str]) -> Column:
@@ -72,14 +77,16 @@ def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, nam
 
     Equal values are counted first and cost one row. Bins by magnitude, then a thousand equal bins
     inside the one that holds the wanted rank, leave a small part of the values to be put in order.
-    No task ever sorts all values of a large group.
+    No task ever sorts all values of a large group. Nulls and NaN are left out.
     """
+    counted = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return _percentile_of_counts(counted, by, p, name)
+
+
+def _percentile_of_counts(counted: DataFrame, by: Sequence[str], p: float, name: str) -> DataFrame:
+    """The percentile of values `_v` that occur `_n` times."""
     by = list(by)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    counted = counted.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).select(*by, "_v", "_n")
     # Grows with the value: 16 bins per doubling, mirrored for negative values.
     size = F.floor(F.log2(F.abs(F.col("_v")) + 1) * 16)
     magnitude = F.when(F.col("_v") < 0, -size).otherwise(size)
@@ -101,16 +108,26 @@ def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, nam
 
 
 def run_metrics(logs: DataFrame, by: Sequence[str] = ("pipeline_name", "agent_type")) -> DataFrame:
-    """Runs, errors, error rate, mean and 95th percentile of the duration, last status per group."""
+    """Runs, errors, error rate, mean and 95th percentile of the duration, last status per group.
+
+    The logs are read once: one aggregate per group and distinct duration carries all that the totals and the
+    percentile need. Durations that are NaN are left out of the mean and the percentile.
+    """
     by = list(by)
     failed = (F.col("level") == "ERROR") | F.coalesce(F.col("status").isin("error", "failed"), F.lit(False))
-    totals = logs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.count_if(failed).alias("errors"),
-        F.avg("duration_ms").alias("mean_ms"),
-        F.max(F.struct("timestamp", "status")).getField("status").alias("last_status"),
+    counted = logs.groupBy(*by, F.col("duration_ms").cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(failed).alias("_failed"),
+        F.max(F.struct("timestamp", "status")).alias("_last"),
+    )
+    timed = F.when(F.col("_v").isNotNull() & ~F.isnan("_v"), F.col("_n"))
+    totals = counted.groupBy(*by).agg(
+        F.sum("_n").alias("runs"),
+        F.sum("_failed").alias("errors"),
+        (F.sum(F.col("_v") * timed) / F.sum(timed)).alias("mean_ms"),
+        F.max("_last").getField("status").alias("last_status"),
     )
-    tail = exact_percentile(logs, by, "duration_ms", 0.95, "p95_ms")
+    tail = _percentile_of_counts(counted, by, 0.95, "p95_ms")
     return (
         totals.alias("t")
         .join(tail.alias("p"), _same("t", "p", by), "left")
@@ -138,9 +155,10 @@ def with_summary(
     return counted, observation
 
 
-def summary_of(observation: Observation, kind: str) -> dict:
-    """The run result: `kind` is `fetched` or `processed`. Waits for the action on the frame."""
-    counts = observation.get
+def summary_of(observation: Observation, kind: str, errors: int = 0) -> dict:
+    """The run result: `kind` is `fetched` or `processed`; `errors` were counted elsewhere. Waits for the action."""
+    counts = dict(observation.get)
+    counts["error_count"] += errors
     return {
         "status": "success",
         f"records_{kind}": counts["records"],

@@ -9,16 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.replies import FENCE
+
 ModelFn = Callable[[Sequence[str]], Sequence[str]]
 CheckFn = Callable[[str], str | None]
 
+#: What `trim_all` takes off a reply before it is parsed.
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 # How often a prompt is tried.
 MAX_ATTEMPTS = 3
 
 
 def json_problem(reply: str) -> str | None:
     """What is wrong with a reply that should be JSON, or None. Code fences around it are fine."""
-    text = reply.strip().removeprefix("```json").removeprefix("```").removesuffix("```")
+    text = reply.strip(WHITE_SPACE)
+    if text.startswith(FENCE):
+        marked = f"{FENCE}json" if text.startswith(f"{FENCE}json") else FENCE
+        text = text.replace(marked, "").replace(FENCE, "")
     try:
         json.loads(text)
     except ValueError as e:
@@ -56,6 +64,8 @@ def extract_records(
         for _ in range(max_attempts):
             try:
                 answers = list(model_fn([asked[i] for i in open_at]))
+                if len(answers) != len(open_at):
+                    raise ValueError(f"{len(answers)} answers to {len(open_at)} prompts")
                 problems = [check(a) for a in answers]
             except Exception as e:
                 answers, problems = [None] * len(open_at), [str(e) or type(e).__name__] * len(open_at)

@@ -39,36 +39,37 @@ def build_prompts(
 ) -> DataFrame:
     """Add `part`, `system` and `prompt`, in place of the text column.
 
-    A prompt holds at most `max_chars` characters of raw text. A longer text becomes several prompts,
-    so nothing is lost; `overflow="truncate"` keeps the first one only.
+    A prompt holds at most `max_chars` characters of raw text. A longer text becomes several prompts, each
+    cut after the last line end, or the last space after a sentence, that it has room for; only where there is none
+    it is cut at the limit. So nothing is lost. `overflow="truncate"` keeps the first prompt only.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if overflow == "split":
-        pieces = F.greatest(F.ceil(F.length(text) / max_chars), F.lit(1)).cast("int")
-        part = F.explode(F.sequence(F.lit(0), pieces - 1))
-    elif overflow == "truncate":
-        part = F.lit(0)
-    else:
+    if overflow not in ("split", "truncate"):
         raise ValueError(f"unknown overflow: {overflow}")
+    some = f".{{1,{max_chars}}}"
+    regex = rf"(?s){some}(?:\z|(?<=\n)|(?<=[.!?][ \t\r]))|{some}"
+    pieces = F.when(F.length(text) <= max_chars, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
+    if overflow == "truncate":
+        pieces = F.slice(pieces, 1, 1)
     head = f"{PROMPT_HEAD}{instruction}{PROMPT_BODY}"
     others = [c for c in df.columns if c != text_col]
-    return df.withColumn("part", part).select(
+    return df.select(*others, F.posexplode(pieces).alias("part", "_piece")).select(
         *others,
         "part",
         F.lit(system_text(schema)).alias("system"),
-        F.concat(F.lit(head), F.substring(text, F.col("part") * max_chars + 1, F.lit(max_chars))).alias("prompt"),
+        F.concat(F.lit(head), "_piece").alias("prompt"),
     )
 
 
 def strip_fences(reply: Column) -> Column:
-    """Remove code fences from a reply that starts with one; other replies stay as they are."""
-    no_bare = F.replace(reply, F.lit(FENCE), F.lit(""))
-    no_json = F.replace(F.replace(reply, F.lit(f"{FENCE}json"), F.lit("")), F.lit(FENCE), F.lit(""))
-    return (
-        F.when(reply.startswith(f"{FENCE}json"), no_json)
-        .when(reply.startswith(FENCE), no_bare)
-        .otherwise(reply)
-    )
+    """Remove white space around a reply, and code fences from one that then starts with one."""
+
+    def bare(text: Column) -> Column:
+        no_bare = F.replace(text, F.lit(FENCE), F.lit(""))
+        no_json = F.replace(F.replace(text, F.lit(f"{FENCE}json"), F.lit("")), F.lit(FENCE), F.lit(""))
+        return F.when(text.startswith(f"{FENCE}json"), no_json).when(text.startswith(FENCE), no_bare).otherwise(text)
+
+    return let(trim_all(reply), bare)
 
 
 def parse_replies(

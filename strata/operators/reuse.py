@@ -6,12 +6,13 @@ A cache is a table with a unique `key`, a `payload`, `cached_at`, and any furthe
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.files import exists
+from strata.checkpoints import scratch_path
+from strata.files import matching, remove_folder
 from strata.operators.clean import drop_duplicates
 
 # Length of a key, and how long an entry lives.
@@ -70,28 +71,51 @@ def clear_cached(cache: DataFrame, condition: str | Column = "true") -> DataFram
     return cache.filter(~F.coalesce(test, F.lit(False)))
 
 
-def upsert_cache(path: str, new: DataFrame, buckets: int = 256) -> None:
-    """Store entries in the cache table at `path`, which is split into buckets by key.
+def upsert_cache(path: str, new: DataFrame) -> None:
+    """Store entries in the cache table at `path`: one append, below the month of `cached_at`.
 
-    Only the buckets that the new entries fall into are read, merged and replaced, so the work grows
-    with those, not with the cache. Storing the same entries again changes nothing. `buckets` must
-    stay the same for a table.
+    Nothing that is there is read or rewritten, and the entries are evaluated once. `read_cache` gives the
+    latest entry per key, so storing the same entries again changes nothing there; `compact_cache` removes what
+    has been superseded, `drop_expired` whole months.
     """
-    spark = new.sparkSession
-    placed = new.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    if exists(spark, path):
-        # At most `buckets` numbers: they prune the folders that are read.
-        touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]
-        merged = store_cached(spark.read.parquet(path).filter(F.col("bucket").isin(touched)), placed)
-    else:
-        merged = drop_duplicates(placed, ["key"], ["-cached_at"])
+    month = F.coalesce(F.date_format("cached_at", "yyyy-MM"), F.lit("none"))
+    new.withColumn("cached_month", month).hint("rebalance", "cached_month").write.mode("append").partitionBy("cached_month").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The latest entry of each key in the cache table at `path`."""
+    return drop_duplicates(_entries(spark, path).drop("cached_month"), ["key"], ["-cached_at"])
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    # Schemas are merged, as later entries may have further columns.
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def compact_cache(spark: SparkSession, path: str) -> None:
+    """Keep the latest entry of each key, in files of good size; months left without entries lose their folder."""
+    latest = drop_duplicates(_entries(spark, path), ["key"], ["-cached_at"])
+    kept = scratch_path(spark, "compacted")
+    latest.withColumn("cached_month", F.col("cached_month").cast("string")).write.parquet(kept)
+    done = spark.read.parquet(kept)
     (
-        merged.hint("rebalance", "bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+        done.hint("rebalance", "cached_month")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cached_month").parquet(path)
+    )
+    months = {r[0] for r in done.select("cached_month").distinct().collect()}
+    for folder in matching(spark, f"{path}/cached_month=*"):
+        if folder.rsplit("=", 1)[1] not in months:
+            remove_folder(spark, folder)
+    remove_folder(spark, kept)
+
+
+def drop_expired(spark: SparkSession, path: str, now: datetime, ttl_days: int = TTL_DAYS) -> int:
+    """Remove the folders of months whose entries have all expired; returns how many. Reads no entry."""
+    last = (now - timedelta(days=ttl_days)).strftime("%Y-%m")
+    old = [f for f in matching(spark, f"{path}/cached_month=*") if f.rsplit("=", 1)[1] < last]
+    for folder in old:
+        remove_folder(spark, folder)
+    return len(old)
 
 
 def cache_stats(cache: DataFrame, by: Sequence[str] = ()) -> DataFrame:

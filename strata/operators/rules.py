@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.expr import trim_all
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,7 +89,7 @@ def not_edge(field: str, text: str) -> Rule:
 
 
 def not_blank(field: str) -> Rule:
-    return Rule(field, "not_blank", F.trim(field) == "", f"{field} must not be blank")
+    return Rule(field, "not_blank", trim_all(F.col(field)) == "", f"{field} must not be blank")
 
 
 def non_empty_map(field: str) -> Rule:

@@ -32,21 +32,37 @@ NAME = "[a-z0-9_]+"
 BUCKET = "[a-z0-9][a-z0-9-]*[a-z0-9]"
 SOURCE_TYPES = ("rest_api", "file", "database")
 METHODS = ("GET", "POST", "PUT")
+ON_BAD = ("fail", "skip", "quarantine")
+
+# Kinds of JSON values, by field; what is not listed may hold anything its rules allow.
+TYPES = {
+    "STRING": (
+        "pipeline_name agent_type source.type source.url source.method source.format source.bucket source.path source.record_key "
+        "source.row_element source.on_bad source.pagination.type source.pagination.offset_param source.pagination.limit_param "
+        "source.pagination.cursor_param source.pagination.page_param target.bucket target.layer target.source target.dataset "
+        "target.path ai_config.instruction"
+    ).split(),
+    "BIGINT": "source.pagination.limit_value source.pagination.max_items source.pagination.max_pages".split(),
+    "OBJECT": "source source.pagination source.params source.headers source.schema target ai_config ai_config.schema".split(),
+    "ARRAY": ["ai_config.steps"],
+}
+KINDS = {"STRING": "text", "BIGINT": "a whole number", "OBJECT": "an object", "ARRAY": "a list"}
 
 SCHEMA = """
   pipeline_name string, agent_type string,
   source struct<type: string, url: string, method: string, format: string,
     pagination: struct<type: string, offset_param: string, limit_param: string, limit_value: bigint,
-      max_items: bigint, cursor_param: string, page_param: string>,
-    params: map<string,string>, headers: map<string,string>, bucket: string, path: string>,
+      max_items: bigint, max_pages: bigint, cursor_param: string, page_param: string>,
+    params: map<string,string>, headers: map<string,string>, bucket: string, path: string,
+    record_key: string, row_element: string, on_bad: string, schema: map<string,string>>,
   target struct<bucket: string, layer: string, source: string, dataset: string, path: string>,
   ai_config struct<instruction: string, schema: map<string,string>>
 """
 
 KEYS = {
     "$": "pipeline_name agent_type source target".split(),
-    "$.source": "type url method format pagination params headers bucket path".split(),
-    "$.source.pagination": "type offset_param limit_param limit_value max_items cursor_param page_param".split(),
+    "$.source": "type url method format pagination params headers bucket path record_key row_element on_bad schema".split(),
+    "$.source.pagination": "type offset_param limit_param limit_value max_items max_pages cursor_param page_param".split(),
     "$.target": "bucket layer source dataset path".split(),
     "$.ai_config": "instruction schema steps".split(),
 }
@@ -75,6 +91,7 @@ def manifest_rules() -> list[Rule]:
         one_of("source.type", SOURCE_TYPES),
         one_of("source.method", METHODS),
         one_of("source.format", FORMATS),
+        one_of("source.on_bad", ON_BAD),
         Rule("source.url", "public_url", verdict != "public", "source.url must be a public http(s) URL"),
         *_bucket("source.bucket"),
         not_prefix("source.path", "/"),
@@ -83,6 +100,7 @@ def manifest_rules() -> list[Rule]:
         required_when("source.pagination.offset_param", is_offset, "offset paging"),
         number_range("source.pagination.limit_value", 0, MAX_LIMIT, open_low=True),
         number_range("source.pagination.max_items", 0, open_low=True),
+        number_range("source.pagination.max_pages", 0, open_low=True),
         required_when("target.bucket", "target is not null", "a target"),
         *_bucket("target.bucket"),
         one_of("target.layer", LAYERS),
@@ -138,6 +156,18 @@ def _unknown(json: Column, ingests: Column) -> Column:
     return F.concat(*[level(path, allowed) for path, allowed in KEYS.items()])
 
 
+def _mistyped(json: Column) -> Column:
+    """ARRAY of violations for values of another type than their field has, judged on the JSON itself."""
+    value = F.try_parse_json(json)
+    found = []
+    for kind, fields in TYPES.items():
+        for field in fields:
+            held = F.try_variant_get(value, f"$.{field}", "variant")
+            told = F.struct(F.lit(field).alias("field"), F.lit("type").alias("rule"), F.lit(f"{field} must be {KINDS[kind]}").alias("message"))
+            found.append(F.when(~F.schema_of_variant(held).startswith(kind) & (F.schema_of_variant(held) != "VOID"), told))
+    return F.array_compact(F.array(*found)).cast("array<struct<field:string,rule:string,message:string>>")
+
+
 def check_manifests(df: DataFrame, key: str, json_col: str) -> DataFrame:
     """One row `(key, field, rule, message)` per rule that a manifest (JSON text) breaks."""
     parsed = df.select(
@@ -150,5 +180,5 @@ def check_manifests(df: DataFrame, key: str, json_col: str) -> DataFrame:
         "the manifest is not a JSON object",
     )
     ingests = F.coalesce(F.col("agent_type") == INGESTION, F.lit(False))
-    found = F.concat(violations([unreadable, *manifest_rules()]), _unknown(F.col("_json"), ingests))
+    found = F.concat(violations([unreadable, *manifest_rules()]), _mistyped(F.col("_json")), _unknown(F.col("_json"), ingests))
     return parsed.select(F.col("_key").alias(key), F.explode(found).alias("v")).select(key, "v.*")

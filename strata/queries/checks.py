@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from strata.operators.urls import screen_urls
 from strata.plans.manifest import run_manifest
 from strata.plans.rules import check_manifests
 from strata.queries.registry import query, table
-from strata.sinks.layers import write_layer
+from strata.sinks.layers import layer_path, write_batch, write_layer
 
 
 def _customer_rules():
@@ -95,7 +96,7 @@ def rule_report(spark, sf):
 )
 def check_unknown_keys(spark, sf):
     extra = F.when(F.col("event_id") % 5 == 0, '{"extra":1,"id":2,').otherwise('{"id":2,')
-    body = F.concat(extra, F.substring("props", 2, 100))
+    body = F.concat(extra, F.expr("substring(props, 2)"))
     events = table(spark, sf, "events").select("event_id", body.alias("body"))
     return R.check_unknown_keys(events, "event_id", "body", ["id", "name"])
 
@@ -155,7 +156,7 @@ def _manifests(spark, sf):
         F.concat(F.lit("load_"), key)
     )
     url = F.when(n == 2, "http://10.0.0.1/x").when(n == 3, F.lit(None)).otherwise("https://example.com/api")
-    paging = F.when(n == 4, '{"type":"offset","limit_value":2000}').otherwise('{"type":"page"}')
+    paging = F.when(n == 4, '{"type":"offset","limit_value":2000}').when(n == 7, '{"type":"page","limit_value":"lots"}').otherwise('{"type":"page"}')
     extra = F.when(n == 5, ',"owner":"me"').otherwise("")
     bucket = F.when(n == 6, "b-").otherwise("lake-data")
     manifest = F.concat(
@@ -174,7 +175,7 @@ def _manifests(spark, sf):
       (0, 'pipeline_name', 'pattern'), (1, 'pipeline_name', 'not_contains'), (2, 'source.url', 'public_url'),
       (3, 'source.url', 'required_when'), (4, 'source.pagination.offset_param', 'required_when'),
       (4, 'source.pagination.limit_value', 'range'), (5, 'owner', 'unknown_key'),
-      (6, 'target.bucket', 'length'), (6, 'target.bucket', 'pattern')
+      (6, 'target.bucket', 'length'), (6, 'target.bucket', 'pattern'), (7, 'source.pagination.limit_value', 'type')
     ) v(n, field, rule) ON s_suppkey % 8 = v.n
     """,
 )
@@ -187,10 +188,15 @@ def checked_manifests(spark, sf):
     """
     SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS ordered, o_totalprice AS amount
     FROM orders WHERE o_orderkey % 11 <> 0
+    UNION ALL
+    SELECT -2 * count(*), 'no list of records of ' || 2 * count(*), NULL FROM customer WHERE c_custkey <= 1000
     """,
 )
 def silver_orders(spark, sf):
-    """Landing JSON to a typed silver table by a manifest; each order lands twice and comes out once."""
+    """Landing JSON to a typed silver table by a manifest; each order lands twice and comes out once.
+
+    A broken line and one without records per customer of the first thousand land too, and come back as errors.
+    """
     root = scratch_path(spark, "lake")
     key, at = F.col("o_orderkey"), F.col("o_orderdate")
     landed = table(spark, sf, "orders").select(
@@ -199,10 +205,13 @@ def silver_orders(spark, sf):
         F.col("o_totalprice").cast("string").alias("amount"),
     )
     write_layer(landed.unionByName(landed), root, "landing", "shop", "orders", datetime(2024, 3, 1), "20240301000000")
+    broken = F.explode(F.array(F.lit("{broken"), F.lit('{"data": 7}'))).alias("value")
+    lines = table(spark, sf, "customer").filter("c_custkey <= 1000").select(broken)
+    write_batch(lines, layer_path(root, "landing", "shop", "orders"), datetime(2024, 3, 1), "20240301000001", "text")
     manifest = {
         "pipeline_name": "orders_silver",
         "agent_type": "generic_ai_transformer",
-        "source": {"bucket": "lake-data", "path": "layer=landing/source=shop/dataset=orders", "format": "json"},
+        "source": {"bucket": "lake-data", "path": "layer=landing/source=shop/dataset=orders", "format": "json", "on_bad": "quarantine"},
         "target": {"bucket": "lake-data", "path": "layer=silver/source=shop/dataset=orders"},
         "ai_config": {
             "instruction": "Clean data, one date format, no duplicates",
@@ -218,4 +227,40 @@ def silver_orders(spark, sf):
         },
     }
     result = run_manifest(spark, manifest, {"lake-data": root}, datetime(2024, 3, 2))
-    return spark.read.parquet(result.target).select("id", "ordered", "amount")
+    good = spark.read.parquet(result.target).select("id", "ordered", "amount")
+    bad = spark.read.json(f"{result.target}_quarantine").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    told = F.concat("reason", F.lit(f" of {result.summary['error_count']}"))
+    return good.unionByName(bad.select((-F.col("n")).cast("int").alias("id"), told.alias("ordered"), F.lit(None).cast("double").alias("amount")))
+
+
+def _json_model(prompts):
+    """Stands in for a model: a list with the first and the last word of the raw data."""
+    words = [p.split("Raw Data:\n", 1)[1].split() for p in prompts]
+    return ["```json\n" + json.dumps([{"first": w[0], "last": w[-1]}] if w else []) + "\n```" for w in words]
+
+
+@query(
+    "run_manifest_model",
+    r"""
+    SELECT CAST(c_custkey AS VARCHAR) AS first, c_mktsegment AS last FROM customer
+    """,
+)
+def model_manifest(spark, sf):
+    """Landed texts to records by way of a model: prompts, replies, typed rows."""
+    root = scratch_path(spark, "lake")
+    text = F.concat_ws(" ", F.col("c_custkey"), F.lit("is a customer of"), F.col("c_mktsegment")).alias("value")
+    landing = layer_path(root, "landing", "shop", "notes")
+    write_batch(table(spark, sf, "customer").select(text), landing, datetime(2024, 3, 1), "20240301000000", "text")
+    manifest = {
+        "pipeline_name": "notes_silver",
+        "agent_type": "generic_ai_transformer",
+        "source": {"bucket": "lake-data", "path": "layer=landing/source=shop/dataset=notes", "format": "json"},
+        "target": {"bucket": "lake-data", "path": "layer=silver/source=shop/dataset=notes"},
+        "ai_config": {
+            "instruction": "Name the first and the last word",
+            "schema": {"first": "string", "last": "string"},
+            "steps": ["build_prompts", "extract_records", "parse_replies", {"check_rules": {"not_blank": ["first"]}}],
+        },
+    }
+    result = run_manifest(spark, manifest, {"lake-data": root}, datetime(2024, 3, 2), model_fn=_json_model)
+    return spark.read.parquet(result.target).select("first", "last")

@@ -107,11 +107,27 @@ def store_cached(spark, sf):
     """,
 )
 def upsert_cache(spark, sf):
-    """The same into a table on disk, one bucket of keys at a time, and once more."""
+    """The same into a table on disk, by three appends."""
     path = scratch_path(spark, "cache")
     for entries in (_cache(spark, sf), _newer(spark, sf), _newer(spark, sf)):
-        reuse.upsert_cache(path, entries, buckets=8)
-    return spark.read.parquet(path).select("key", "payload")
+        reuse.upsert_cache(path, entries)
+    return reuse.read_cache(spark, path).select("key", "payload")
+
+
+@query(
+    "compact_cache",
+    """
+    SELECT o_orderkey AS key, count(*) AS entries, max(CASE WHEN o_orderkey % 2 = 0 THEN 'newer' ELSE 'result of ' || o_custkey END) AS payload
+    FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 GROUP BY o_orderkey
+    """,
+)
+def compact_cache(spark, sf):
+    """After compaction the table holds one entry per key, as its files show."""
+    path = scratch_path(spark, "cache")
+    for entries in (_cache(spark, sf), _newer(spark, sf), _newer(spark, sf)):
+        reuse.upsert_cache(path, entries)
+    reuse.compact_cache(spark, path)
+    return spark.read.parquet(path).groupBy("key").agg(F.count(F.lit(1)).alias("entries"), F.max("payload").alias("payload"))
 
 
 @query(

@@ -70,10 +70,16 @@ def summarize_text(spark, sf):
 @query(
     "build_prompts",
     r"""
-    SELECT doc_id, CAST(part AS INTEGER) AS part,
-           sha256(E'Instruction: List the names\n\nRaw Data:\n' || substr(text, CAST(part * 20000 + 1 AS BIGINT), 20000)) AS prompt
-    FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil(length(text) / 20000) AS BIGINT), 1) - 1)) AS part
-          FROM documents)
+    WITH RECURSIVE cuts(doc_id, part, piece, rest) AS (
+      SELECT doc_id, -1, '', text FROM documents
+      UNION ALL
+      SELECT doc_id, part + 1, substr(rest, 1, n), substr(rest, n + 1) FROM (
+        SELECT *, CASE WHEN length(rest) <= 20000 THEN length(rest) + 1
+                       WHEN fit = '' THEN 20000 ELSE length(fit) END AS n
+        FROM (SELECT *, regexp_extract(substr(rest, 1, 20000), '(?s)^.*(?:\n|[.!?][ \t\r])') AS fit FROM cuts
+              WHERE part < 0 OR rest <> '')))
+    SELECT doc_id, CAST(part AS INTEGER) AS part, sha256(E'Instruction: List the names\n\nRaw Data:\n' || piece) AS prompt
+    FROM cuts WHERE part >= 0
     """,
 )
 def build_prompts(spark, sf):
@@ -82,7 +88,7 @@ def build_prompts(spark, sf):
     return prompts.select("doc_id", "part", F.sha2("prompt", 256).alias("prompt"))
 
 
-def upper_case_model(prompts):
+def counting_model(prompts):
     """A stand-in for a model: answers with the length of the raw text, and badly when it is even."""
     answers = []
     for p in prompts:
@@ -106,7 +112,7 @@ def upper_case_model(prompts):
 def extract_records(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text")
     prompts = replies.build_prompts(documents, "text", {"n": "int"}, "Count characters").drop("system", "part")
-    answered = model.extract_records(prompts, upper_case_model).drop("error")
+    answered = model.extract_records(prompts, counting_model).drop("error")
     return replies.parse_replies(answered, "reply", {"n": "int"}).select("doc_id", "n", "attempts")
 
 
@@ -258,8 +264,9 @@ def assemble_chats(spark, sf):
 @query(
     "assemble_chats_parts",
     """
-    SELECT conv_id, turn // 4 AS part, count(*) AS n, sha256(string_agg(text, '|' ORDER BY turn)) AS chat
-    FROM conversations GROUP BY ALL
+    SELECT conv_id, part, count(*) AS n, sha256(string_agg(text, '|' ORDER BY turn)) AS chat
+    FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS part FROM conversations)
+    GROUP BY conv_id, part
     """,
 )
 def assemble_chats_parts(spark, sf):

@@ -148,3 +148,113 @@ def test_a_failed_run_raises(spark, tmp_path, manifest, items):
     manifest["ai_config"]["steps"].pop()
     with pytest.raises(ValueError, match="id: expected int, got string"):
         run_manifest(spark, manifest, roots, AT)
+
+
+def api(n, key="data"):
+    def fetch(source_id, params):
+        page = int(params["page"])
+        return json.dumps({key: [{"id": page}] if page <= n else []})
+
+    return fetch
+
+
+def with_source(manifest, **source):
+    return {**manifest, "source": {**manifest["source"], **source}}
+
+
+def test_a_source_of_many_pages_lands_whole(spark, tmp_path):
+    roots = {"lake-data": str(tmp_path)}
+    endless = with_source(INGEST, pagination={"type": "page", "limit_value": 1})
+    done = run_manifest(spark, endless, roots, AT, fetcher=api(1200), pause=0)
+    assert (done.status, done.summary["records_fetched"]) == ("success", 1200) and spark.read.json(done.target).count() == 1200
+    capped = with_source(INGEST, pagination={"type": "page", "limit_value": 1, "max_pages": 5})
+    done = run_manifest(spark, capped, roots, AT, fetcher=api(1200), pause=0)
+    assert (done.status, done.summary["status"], done.summary["records_fetched"]) == ("incomplete", "incomplete", 5)
+    assert run_manifest(spark, capped, roots, AT, fetcher=api(3), pause=0).status == "success"
+
+
+def test_named_records_land(spark, tmp_path):
+    roots = {"lake-data": str(tmp_path)}
+    named = with_source(INGEST, record_key="recipes", pagination={"type": "page"})
+    assert run_manifest(spark, named, roots, AT, fetcher=api(30, "recipes"), pause=0).summary["records_fetched"] == 30
+    with pytest.raises(ManifestError, match="failed"):
+        run_manifest(spark, with_source(INGEST, pagination={"type": "page"}), roots, AT, fetcher=api(30, "recipes"), pause=0)
+
+
+def test_what_ingestion_refuses(spark, tmp_path):
+    roots = {"lake-data": str(tmp_path)}
+    with pytest.raises(ManifestError, match="stitch_cursor_pages"):
+        run_manifest(spark, with_source(INGEST, pagination={"type": "cursor"}), roots, AT)
+    with pytest.raises(ManifestError, match="has no end"):
+        run_manifest(spark, with_source(INGEST, format="xml", pagination={"type": "page"}), roots, AT)
+    with pytest.raises(ManifestError, match="must be a whole number"):
+        run_manifest(spark, with_source(INGEST, pagination={"type": "page", "limit_value": "lots"}), roots, AT)
+
+
+def test_feeds_end_where_they_have_no_entries(spark, tmp_path):
+    def feed(source_id, params):
+        return "<feed><entry/></feed>" if int(params["page"]) <= 12 else "<feed><total>0</total></feed>"
+
+    source = with_source(INGEST, format="xml", row_element="entry", pagination={"type": "page"})
+    assert run_manifest(spark, source, {"lake-data": str(tmp_path)}, AT, fetcher=feed, pause=0).summary["records_fetched"] == 12
+
+
+@pytest.mark.parametrize("on_bad", [None, "skip", "quarantine", "fail"])
+def test_bad_bodies_are_counted(spark, tmp_path, manifest, on_bad):
+    landing = tmp_path / "layer=landing" / "source=shop" / "dataset=items"
+    landing.mkdir(parents=True)
+    (landing / "a.json").write_text('{"id": "1"}\n{broken\n\n{"data": []}\n{"data": 7}\n{"data": [{"id": "2"}, {"id": "3"}]}\n')
+    manifest["ai_config"] |= {"schema": {"id": "int"}, "steps": [{"unwrap_envelope": {}}, "cast_columns"]}
+    manifest["source"] |= {"on_bad": on_bad} if on_bad else {}
+    if on_bad == "fail":
+        with pytest.raises(ManifestError, match="failed"):
+            run_manifest(spark, manifest, {"lake-data": str(tmp_path)}, AT)
+        return
+    for _ in range(2):
+        done = run_manifest(spark, manifest, {"lake-data": str(tmp_path)}, AT)
+    assert (done.summary["records_processed"], done.summary["error_count"]) == (3, 2)
+    beside = tmp_path / "layer=silver" / "source=shop" / "dataset=items_quarantine"
+    assert beside.exists() == (on_bad == "quarantine")
+    if on_bad == "quarantine":
+        assert sorted(r.record for r in spark.read.json(str(beside)).collect()) == ['{"data": 7}', "{broken"]
+
+
+def test_a_dry_run_starts_no_job_on_data(spark, tmp_path, manifest):
+    (tmp_path / "layer=landing" / "source=shop" / "dataset=items").mkdir(parents=True)
+    roots = {"lake-data": str(tmp_path)}
+    manifest["ai_config"] |= {"schema": {"id": "int"}, "steps": ["cast_columns"]}
+    with pytest.raises(ManifestError, match="source.schema"):
+        run_manifest(spark, manifest, roots, AT, dry_run=True)
+    manifest["source"]["schema"] = {"id": "string"}
+    (tmp_path / "layer=landing" / "source=shop" / "dataset=items" / "a.json").write_text('{"id": "4"}\n{"id": \n')
+    assert run_manifest(spark, manifest, roots, AT, dry_run=True).mismatches == []
+    assert run_manifest(spark, manifest, roots, AT).summary["error_count"] == 1
+
+
+def test_a_model_in_a_manifest(spark, tmp_path, manifest):
+    asked = spark.sparkContext.accumulator(0)
+
+    def answer(prompts):
+        asked.add(len(prompts))
+        return ["nothing useful" if "hopeless" in p else json.dumps([{"name": p.split()[-1]}]) for p in prompts]
+
+    landing = tmp_path / "layer=landing" / "source=shop" / "dataset=items"
+    landing.mkdir(parents=True)
+    (landing / "a.json").write_text("from Ada\nfrom Bo\nhopeless\n")
+    manifest["ai_config"] |= {"schema": {"name": "string"}, "steps": ["build_prompts", "extract_records", "parse_replies"]}
+    done = run_manifest(spark, manifest, {"lake-data": str(tmp_path)}, AT, model_fn=answer)
+    assert sorted(r.name for r in spark.read.parquet(done.target).collect()) == ["Ada", "Bo"]
+    assert done.summary["error_count"] == 1 and asked.value == 5
+    with pytest.raises(ManifestError, match="model_fn"):
+        run_manifest(spark, manifest, {"lake-data": str(tmp_path)}, AT)
+
+
+def test_checks_as_steps(spark, tmp_path, manifest):
+    landing = tmp_path / "layer=landing" / "source=shop" / "dataset=items"
+    landing.mkdir(parents=True)
+    lines = [{"id": "1", "url": "https://example.com/"}, {"id": "\t\n", "url": "https://example.com/"}, {"id": "3", "url": "http://10.0.0.1/"}]
+    (landing / "a.json").write_text("\n".join(map(json.dumps, lines)))
+    steps = [{"unwrap_envelope": {}}, {"check_rules": {"not_blank": ["id"]}}, {"screen_urls": {"col": "url"}}, {"content_key": {"content": ["id"]}}, "project_to_schema"]
+    manifest["ai_config"] |= {"schema": {"id": "string", "url": "string"}, "steps": steps}
+    done = run_manifest(spark, manifest, {"lake-data": str(tmp_path)}, AT)
+    assert [r.id for r in spark.read.parquet(done.target).collect()] == ["1"] and done.summary["error_count"] == 2

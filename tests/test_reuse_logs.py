@@ -62,12 +62,34 @@ def test_upsert_cache(spark, tmp_path):
         )
 
     for _ in range(2):
-        reuse.upsert_cache(path, entries(0, 50, "x", 1), buckets=8)
-    reuse.upsert_cache(path, entries(40, 60, "y", 2), buckets=8)
-    reuse.upsert_cache(path, entries(0, 60, "old", 0 + 1).filter("key = '45'"), buckets=8)
-    got = {r.key: r.payload for r in spark.read.parquet(path).collect()}
-    assert got == {str(i): "y" if i >= 40 else "x" for i in range(60)}
-    assert spark.read.parquet(path).count() == 60
+        reuse.upsert_cache(path, entries(0, 50, "x", 1))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "cache").rglob("*.parquet")}
+    reuse.upsert_cache(path, entries(40, 60, "y", 2))
+    reuse.upsert_cache(path, entries(0, 60, "old", 0 + 1).filter("key = '45'"))
+    assert {f: f.stat().st_mtime_ns for f in before} == before
+    want = {str(i): "y" if i >= 40 else "x" for i in range(60)}
+    assert {r.key: r.payload for r in reuse.read_cache(spark, path).collect()} == want
+    reuse.compact_cache(spark, path)
+    assert {r.key: r.payload for r in spark.read.parquet(path).collect()} == want and spark.read.parquet(path).count() == 60
+    reuse.upsert_cache(path, entries(0, 5, "z", 3).selectExpr("key", "payload", "cached_at + interval 40 day as cached_at", "1 as more"))
+    assert {r.key: r.more for r in reuse.read_cache(spark, path).filter("key < '2'").collect()}["0"] == 1
+    assert reuse.drop_expired(spark, path, datetime.datetime(2024, 2, 20)) == 0
+    assert reuse.drop_expired(spark, path, datetime.datetime(2024, 3, 5)) == 1
+    assert {r.payload for r in reuse.read_cache(spark, path).collect()} == {"z"}
+
+
+def test_entries_are_evaluated_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            made.add(len(row))
+            yield row
+
+    for _ in range(2):
+        new = spark.range(100).mapInPandas(count, "id long").selectExpr("cast(id as string) as key", "'p' as payload", "timestamp_ntz '2024-01-01 00:00:00' as cached_at")
+        reuse.upsert_cache(str(tmp_path / "cache"), new)
+    assert made.value == 200 and reuse.read_cache(spark, str(tmp_path / "cache")).count() == 100
 
 
 def test_logs(spark):
@@ -120,3 +142,14 @@ def test_summary_needs_no_second_pass(spark, tmp_path):
     assert logs.summary_of(seen, "processed") == {
         "status": "success", "records_processed": 10, "error_count": 2, "message": "10 records processed, 2 errors",
     }
+
+
+def test_nan_durations_are_left_out(spark):
+    df = spark.createDataFrame([("g", v) for v in (1.0, 5.0, float("nan"), None)], "g string, v double")
+    assert logs.exact_percentile(df, ["g"], "v", 0.5, "p").first().p == 3.0
+
+
+def test_good_and_bad_lines_are_parsed_once(spark):
+    df = spark.createDataFrame([("{",)], "line string")
+    for part in (logs.flag_json_logs(df, "line"), *logs.parse_json_logs(df, "line")):
+        assert part._jdf.queryExecution().executedPlan().toString().count("from_json") == 1

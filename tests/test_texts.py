@@ -62,47 +62,54 @@ def test_prompts_lose_nothing(spark):
     assert replies.build_prompts(df, "t", {"a": "int"}, "Do it", overflow="truncate").count() == 3
 
 
-REPLIES = [
-    ('```json\n[{"id":1},{"id":2}]\n```', [1, 2]),
-    ('```\n[{"id":3}]\n```', [3]),
-    ('[{"id":4}]', [4]),
-    ('{"data":[{"id":9}],"results":[{"id":5}]}', [5]),
-    ('{"data":[{"id":6}]}', [6]),
-    ('{"id":7}', [7]),
-    ("no json", None),
-    ("[]", []),
-    ("3", None),
-    (None, None),
-]
+def test_prompts_are_cut_at_line_and_sentence_ends(spark):
+    text = "First line\nSecond one. Third! And a wordwithoutanyend\n\nlast"
+    rows = replies.build_prompts(one(spark, text), "t", {"a": "int"}, "Do", max_chars=20).orderBy("part").collect()
+    pieces = [r.prompt.split("Raw Data:\n", 1)[1] for r in rows]
+    assert pieces == ["First line\n", "Second one. Third! ", "And a wordwithoutany", "end\n\nlast"]
+
+
+VALUES = {
+    '[{"id":1},{"id":2}]': [1, 2], '{"data":[{"id":9}],"results":[{"id":5}]}': [5], '{"data":[{"id":6}]}': [6], '{"id":7}': [7],
+    "[]": [], "12": None, "{broken": None,
+}
 
 
 def test_replies(spark):
-    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(REPLIES)], "n int, reply string")
+    """Every value in every kind of fence, closed and open, with and without white space before it."""
+    cases = [(None, None)]
+    for value, ids in VALUES.items():
+        for mark in ("", "```", "```json"):
+            for lead in ("", " \n\t"):
+                for end in ("", "\n", "\n```", "\n```\n") if mark else ("", "\n"):
+                    cases.append((lead + (f"{mark}\n" if mark else "") + value + end, ids))
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "n int, reply string")
     got = {}
     for r in replies.parse_replies(df, "reply", {"id": "int"}).collect():
         got.setdefault(r.n, []).append(r.id)
-    assert got == {i: w for i, (_, w) in enumerate(REPLIES) if w}
+    assert got == {i: w for i, (_, w) in enumerate(cases) if w}
     flags = {r.n: r.reply_ok for r in replies.parse_replies(df, "reply", {"id": "int"}, keep_bad=True).collect()}
-    assert flags == {i: w is not None for i, (_, w) in enumerate(REPLIES)}
-
-
-CODE = [
-    ("\nHere:\n\n```python\nimport os\nx = 1\n```\n\nBye.", "import os\nx = 1"),
-    ("\n```\nimport json\n```\n", "import json"),
-    ("Just text without any code.", None),
-    ("First:\n```python\ndef f():\n    pass\n```\nThen:\n```python\nimport json\n```\n", "def f():\n    pass"),
-    ("\n```python\n\nimport os\n\n\nx = 2\n\n\n```\n", "import os\n\n\nx = 2"),
-    ("\n```python\nimport os\n# mentions ```python here\ncode = '```python\\nx\\n```'\n```\n", "import os\n# mentions ```python here\ncode = '```python\\nx\\n```'"),
-    ("\n```python\ndef f(  # open\n    return 1\n```\n", None),
-    ("Code:\n```python\nimport pandas as pd\n# never closed", None),
-]
+    assert flags == {i: w is not None for i, (_, w) in enumerate(cases)}
+    # What the check of the model accepts is what the parse can read.
+    assert [model.json_problem(r) is None for r, _ in cases[1:]] == ["{broken" not in r for r, _ in cases[1:]]
 
 
 def test_code_blocks(spark):
-    df = spark.createDataFrame([(c,) for c, _ in CODE], "t string")
-    assert [r.code for r in replies.extract_code_blocks(df, "t").collect()] == [w for _, w in CODE]
-    whole = replies.extract_code_blocks(one(spark, "\nimport pandas as pd\ndf = 1\n"), "t", whole_text=True)
-    assert whole.first().code == "import pandas as pd\ndf = 1"
+    """One block per text: its mark, whether it is closed and parses, and where it stands."""
+    cases = []
+    for mark in ("python", "", "sql"):
+        for body, parses in (("a = 1\nb = [a,\n\n     2]", True), ("def f(:", False)):
+            for closed in (True, False):
+                for before, after in (("", ""), ("Look:\n\n", "\n\nDone."), ("One.\n", "")):
+                    text = f"{before}```{mark}\n\n{body}\n\n" + ("```" if closed else "") + after
+                    cases.append((text, body if parses and closed and mark != "sql" else None))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate([*cases, ("no fence", None)])], "i int, t string")
+    got = [r.code for r in replies.extract_code_blocks(df, "t").orderBy("i").collect()]
+    assert got == [w for _, w in cases] + [None]
+    both = one(spark, "```\nbare = 1\n```\nthen\n```python\nmarked = 2\n```\n")
+    assert replies.extract_code_blocks(both, "t").first().code == "marked = 2"
+    whole = [one(spark, t) for t in ("  import json\n", "no code here")]
+    assert [replies.extract_code_blocks(t, "t", whole_text=True).first().code for t in whole] == ["import json", None]
 
 
 def test_yaml_blocks(spark):
@@ -126,39 +133,34 @@ def test_model_attempts(spark):
     assert (failed.reply, failed.attempts, failed.error) == (None, 3, "model is down")
 
 
-SCRIPTS = [
-    ("import os\nos.system('x')", {"uncommon_import", "system_call"}),
-    ("import subprocess\nsubprocess.run([])", {"dangerous_import"}),
-    ("x = '1'\neval(x)", {"dangerous_call", "dynamic_execution"}),
-    ("code = 'x'\nexec(code)", {"dangerous_call", "dynamic_execution"}),
-    ("os = __import__('os')\nos.system('x')", {"dangerous_call", "system_call"}),
-    ("import socket\ns = socket.socket()", {"dangerous_import"}),
-    ("import pickle\npickle.loads(b'')", {"dangerous_import"}),
-    ("import pandas as pd\nprint(pd.DataFrame())", set()),
-    ("import boto3\nboto3.client('s3')", set()),
-    ("import requests, json", set()),
-    ("from datetime import datetime, timedelta", set()),
-    ("def f(\n  print('x')", {"syntax"}),
-    ("def f():\nprint('x')", {"syntax"}),
-    ("m = 'open\nprint(m)", {"syntax"}),
-    ("return 1", {"compile"}),
-    ("with open('x') as f: pass", {"dangerous_call", "file_open"}),
-    ("import os.path\nfrom . import x", {"uncommon_import"}),
-    ("p.Popen('x')\nfoo().system()", {"system_call"}),
-    ("", set()), ("# note", set()), ("   \n\n   \t\t\n   ", set()), ("import codecs", {"dangerous_import"}), (None, set()),
-]
+def cases_of_rules():
+    """A script for each listed name, and what must be found in it."""
+    for name in scripts.DANGEROUS_IMPORTS:
+        yield f"import {name}", {"dangerous_import"}
+    for name in scripts.ALLOWED_IMPORTS:
+        yield f"from {name} import anything", set()
+    for name in scripts.DANGEROUS_CALLS:
+        extra = {"file_open"} if name == "open" else set()
+        yield f"y = {name}('z')", {"dangerous_call"} | extra
+        yield f"{name}('z')", {"dangerous_call"} | extra | ({"dynamic_execution"} if name in scripts.DYNAMIC_CALLS else set())
+    for word in scripts.SHELL_WORDS:
+        yield f"make().{word.upper()}_now(1)", {"system_call"}
+    yield from [("import zoneinfo", {"uncommon_import"}), ("from . import sibling", {"uncommon_import"})]
+    yield from [("x = (", {"syntax"}), ("break", {"compile"}), ("", set()), ("\t\n # only a remark", set()), (None, set())]
+    yield "a" + ".b" * 1200 + "()", None
 
 
 def test_scan(spark):
-    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(SCRIPTS)], "id int, code string")
+    cases = list(cases_of_rules())
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "id int, code string")
     found = {}
     for r in scripts.scan_code(df, "id", "code").collect():
         found.setdefault(r.id, set()).add(r.rule)
         assert r.severity in ("error", "warning") and r.suggestion
-    assert {i: found.get(i, set()) for i in range(len(SCRIPTS))} == {i: w for i, (_, w) in enumerate(SCRIPTS)}
+    assert {i: found.get(i, set()) for i, (_, w) in enumerate(cases) if w is not None} == {i: w for i, (_, w) in enumerate(cases) if w is not None}
     errors = {r for r, (s, _) in scripts.RULES.items() if s == "error"}
     valid = {r.id: r.valid for r in scripts.annotate_code(df, "code").collect()}
-    assert valid == {i: not (w & errors) for i, (_, w) in enumerate(SCRIPTS)}
+    assert all(valid[i] == (not w & errors) for i, (_, w) in enumerate(cases) if w is not None)
     exact = scripts.scan_code(one(spark, "import codecs\nimport code.x", "code").withColumn("id", F.lit(1)), "id", "code", match="module")
     assert [(r.rule, r.name) for r in exact.collect()] == [("uncommon_import", "codecs"), ("dangerous_import", "code.x")]
 
@@ -175,12 +177,27 @@ def test_chats(spark):
         (1, 0): [("system", "a"), ("user", "b")],
         (2, 0): [("system", "S"), ("user", "c"), ("assistant", "d")],
     }
-    assert told(turns_per_part=6) == {(1, 0): [("system", "a"), ("user", "b")], (2, 0): [("user", "c")], (2, 1): [("assistant", "d")]}
+    assert told(turns_per_part=1) == {(1, 0): [("system", "a")], (1, 1): [("user", "b")], (2, 0): [("user", "c")], (2, 1): [("assistant", "d")]}
 
 
-def test_a_long_chat_is_spread_out(spark):
-    df = spark.range(5000).selectExpr("1 as conv", "id as turn", "'user' as role", "cast(id as string) as text")
-    out = chats.assemble_chats(df, "conv", "turn", "role", "text", system="S").orderBy("part").collect()
-    assert [len(r.messages) for r in out] == [1001, 1000, 1000, 1000, 1000]
+def test_a_long_chat_is_cut_only_on_request(spark):
+    """Turn numbers far apart (times, say) are turns like others."""
+    df = spark.range(5000).selectExpr("1 as conv", "id * 1000003 as turn", "'user' as role", "cast(id as string) as text")
+    whole = chats.assemble_chats(df, "conv", "turn", "role", "text", system="S").collect()
+    assert [(r.part, len(r.messages)) for r in whole] == [(0, 5001)]
+    out = chats.assemble_chats(df, "conv", "turn", "role", "text", system="S", turns_per_part=1000).orderBy("part").collect()
+    assert [len(r.messages) for r in out] == [1000, 1000, 1000, 1000, 1000, 1]
     assert [int(m.content) for r in out for m in r.messages if m.role == "user"] == list(range(5000))
     assert json.dumps([m.role for m in out[0].messages[:2]]) == '["system", "user"]'
+
+
+def test_short_answers_are_tried_again(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def forgetful(prompts):
+        calls.add(1)
+        return ["[]"] * (len(prompts) - 1)
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, prompt string").coalesce(1)
+    rows = model.extract_records(df, forgetful).collect()
+    assert {(r.reply, r.attempts, r.error) for r in rows} == {(None, 3, "1 answers to 2 prompts")} and calls.value == 3
