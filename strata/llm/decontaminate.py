@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,8 @@ class Fingerprints:
                 at += [(int(grams[p]), k, int(p)) for p in spots]
         at.sort()
         self.keys, starts = np.unique(np.array([x[0] for x in at], dtype=np.uint64), return_index=True)
-        ends = [*starts[1:].tolist(), len(at)]
-        self.places = [[x[1:] for x in at[a:b]] for a, b in zip(starts.tolist(), ends, strict=True)]
+        edges = [*starts.tolist(), len(at)]
+        self.places = [[x[1:] for x in at[a:b]] for a, b in pairwise(edges)]
         self.short_keys = {n: np.array(sorted(found), dtype=np.uint64) for n, found in self.short.items()}
 
     def spans(self, texts: list[str | None]):

@@ -103,7 +103,7 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict], most_steps: int =
     Calls and results meet by (conversation, id), so one long conversation is spread over tasks. A null
     conversation is one like others. Calls without an id are rows of their own, unanswered; results without one are
     dropped. Ids in `after` that are not called are ignored. Dependencies that run against the order of turns are followed for up to
-    `most_steps` rounds; what still moves then is reported as a cycle.
+    `most_steps` rounds; if calls still move then, those that moved in the second half are reported as a cycle.
     """
     parsed = messages.select("conv_id", "turn", "role", "text")
     calls = parsed.where("role = 'assistant'").select("conv_id", "turn", F.from_json("text", _CALLS)["tool_calls"].alias("c"))
@@ -159,15 +159,14 @@ def _orders(done: DataFrame, most_steps: int) -> DataFrame | None:
         change = cut(late.groupBy("conv_id", "call_id").agg(F.max(behind).alias("to")))
         if change.isEmpty():
             break
-        last = step == most_steps
-        change = change.withColumn("cyclic", F.lit(last))
-        both = change if moved is None else moved.unionByName(change)
-        moved = cut(both.groupBy("conv_id", "call_id").agg(F.max("to").alias("to"), F.max("cyclic").alias("cyclic")))
-        if last:
-            break
+        both = change.withColumn("round", F.lit(step))
+        both = both if moved is None else moved.unionByName(both)
+        moved = cut(both.groupBy("conv_id", "call_id").agg(F.max("to").alias("to"), F.max("round").alias("round")))
+        if step == most_steps:
+            return moved.withColumn("cyclic", F.col("round") > most_steps // 2)
         new = change.select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), F.col("to").alias("c_to"))
         same = F.col("conv_id").eqNullSafe(F.col("c_conv"))
         edges = edges.join(new, same & (F.col("call_id") == F.col("c_id")), "left").withColumn("at", F.coalesce("c_to", "at")).drop("c_conv", "c_id", "c_to")
         edges = edges.join(new, same & (F.col("before") == F.col("c_id")), "left").withColumn("before_at", F.coalesce("c_to", "before_at")).drop("c_conv", "c_id", "c_to")
         edges = cut(edges)
-    return moved
+    return None if moved is None else moved.withColumn("cyclic", F.lit(False))

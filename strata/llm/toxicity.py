@@ -18,12 +18,14 @@ SIZE = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 4
+#: Batches of 32 texts that are trained on at least; small samples are gone through more often.
+LEAST_STEPS = 400
 THRESHOLD = 0.7
 #: A word is hashed whole and by its parts of so many bytes, so unseen forms of a word come near the known ones.
 PARTS = (4, 5, 6)
 REMEMBERED = 200_000
 #: Of the sample, one document in so many calibrates the thresholds and is not trained on.
-CALIBRATE = 5
+CALIBRATE = 10
 
 
 def words_of(text: str | None) -> list[str]:
@@ -90,7 +92,7 @@ def fit(texts: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, seed:
     steps = Adagrad(model.embedding, 0.1)
     dense = [Adagrad(f.reshape(1, -1), 0.05) for f in model.filters]
     tops, shifts = Adagrad(model.top.reshape(1, -1), 0.05), Adagrad(model.shift.reshape(1, -1), 0.05)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-32 * LEAST_STEPS // max(1, len(rows))))):
         order = random.permutation(len(rows))
         for begin in range(0, len(order), 32):
             chosen = order[begin : begin + 32]
@@ -105,7 +107,7 @@ def fit(texts: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, seed:
                 vectors[some] = np.add.reduceat(model.embedding[np.concatenate(own)], edges, axis=0) / np.sqrt(sizes[some])[:, None]
             response = convolve(vectors @ model.wide(), local)
             ends = np.append(starts[1:], len(flat))
-            at = np.array([a + response[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
+            at = np.array([a + response[a : b - max(WIDTHS) + 1].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
             high = response[at, np.arange(many)] + model.shift
             hidden = np.maximum(high, 0)
             error = sigmoid(hidden @ model.top + model.bias) - labels[chosen]
@@ -169,8 +171,9 @@ class Scorer:
     def _score(self, group: list[np.ndarray]) -> list[float]:
         flat, starts = padded(group, 0)
         response = convolve(self.products, flat)
-        # Positions that lie wholly in the padding respond 0 for every filter and width, in training too.
-        high = np.maximum.reduceat(response, starts, axis=0) + self.model.shift
+        # The words of a text and the first position of its padding: no window reaches the next text.
+        ends = starts + [len(rows) + 1 for rows in group]
+        high = np.maximum.reduceat(response, np.stack([starts, ends], axis=1).ravel(), axis=0)[::2] + self.model.shift
         return sigmoid(np.maximum(high, 0) @ self.model.top + self.model.bias).tolist()
 
 
@@ -188,7 +191,7 @@ def calibrate(scores: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, language: str = "lang") -> Model:
     """Fit on about `per_class` labelled documents of each class that meet `learn`, and calibrate a threshold for each
-    language on a fifth of them that is left out. The language sets thresholds only; it is no input of a score.
+    language on a tenth of them that is left out. The language sets thresholds only; it is no input of a score.
     """
     sample = labelled_texts(docs, labels, "toxic", learn, per_class, (language,))
     found = sorted(sample.select("text", "label", F.coalesce(language, F.lit("")).alias("lang")).toArrow().to_pylist(), key=lambda r: (crc32((r["text"] or "").encode("utf-8", "surrogatepass")), r["text"] or "", r["label"]))
