@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.samples import WORD, per_class
-from strata.llm.texts import filter_texts, map_texts, slices
+from strata.llm.texts import Remembered, filter_texts, map_texts, slices
 
 #: Documents of each language that the tables are counted over, about.
-SAMPLE = 2000
+SAMPLE = 1000
 #: Entries of the tables of words and n-grams that are kept for each language.
 ENTRIES = 20_000
 ORDERS = (5, 4, 3, 2, 1)
@@ -38,21 +39,37 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Languages in order, and log frequencies per language for the words (order 0) and the n-grams of each order."""
+    """Languages in order, and log frequencies per language: `logs` has a row for each word (order 0) and n-gram that
+    is known, `rows` finds it by order and entry.
+    """
 
     languages: list[str]
-    tables: dict[int, dict[str, np.ndarray]]
+    rows: dict[int, dict[str, int]]
+    logs: np.ndarray
 
-    def of_word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word; unseen: the mean of its n-grams of the highest order that has known ones."""
-        known = self.tables[0].get(word)
+    def found(self, word: str) -> list[int]:
+        """The rows a word is judged by: its own, else its known n-grams of the highest order that has any."""
+        known = self.rows[0].get(word)
         if known is not None:
-            return known
+            return [known]
         for n in ORDERS:
-            found = [v for v in map(self.tables[n].get, grams_of(word, n)) if v is not None]
+            have = self.rows[n]
+            found = [have[g] for g in grams_of(word, n) if g in have]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return found
+        return []
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Per word the mean log frequencies of its rows, and 1 if it has a letter."""
+        found = [self.found(letters) if (letters := w if w.isalpha() else "".join(filter(str.isalpha, w))) else None for w in words]
+        sizes = np.array([len(f) if f else 0 for f in found])
+        out = np.zeros((len(words), len(self.languages) + 1), dtype=np.float32)
+        out[:, -1] = [f is not None for f in found]
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = self.logs[[r for f in found if f for r in f]]
+            out[some, :-1] = np.add.reduceat(flat, (np.cumsum(sizes) - sizes)[some], axis=0) / sizes[some, None]
+        return out
 
 
 def count_entries(rows: DataFrame, text: str, language: str) -> DataFrame:
@@ -91,48 +108,31 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str
     found = kept.toArrow().to_pydict()
     languages = sorted(set(found["language"]))
     at = {x: i for i, x in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-    for lang, n, entry, times in zip(found["language"], found["n"], found["entry"], found["times"], strict=True):
-        row = tables[n].setdefault(entry, np.zeros(len(languages)))
-        row[at[lang]] = times
-    for table in tables.values():
+    rows: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+    entries_at = [rows[n].setdefault(entry, sum(map(len, rows.values()))) for n, entry in zip(found["n"], found["entry"], strict=True)]
+    counts = np.zeros((sum(map(len, rows.values())), len(languages)))
+    counts[entries_at, [at[x] for x in found["language"]]] = found["times"]
+    logs = np.zeros_like(counts)
+    for table in rows.values():
         if table:
-            totals = np.sum(list(table.values()), axis=0)
-            for entry in table:
-                table[entry] = np.log((table[entry] + 0.5) / (totals + 0.5 * len(table)))
-    return Model(languages, tables)
+            own = list(table.values())
+            logs[own] = np.log((counts[own] + 0.5) / (counts[own].sum(axis=0) + 0.5 * len(own)))
+    return Model(languages, rows, logs)
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, len(self.model.languages) + 1), dtype=np.float32)
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """A row of the table for each word: its log frequencies, and 1 if it has a letter."""
-        for word in set(words).difference(self.rows):
-            k = len(self.rows)
-            if k == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.rows[word] = k
-            letters = "".join(filter(str.isalpha, word))
-            if letters:
-                self.table[k] = [*self.model.of_word(letters), 1]
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        self.words = Remembered(model.of_words, len(model.languages) + 1, REMEMBERED)
 
     def __call__(self, texts: list[str | None]):
         """Predicted language and score of each text."""
-        if len(self.rows) > REMEMBERED:
-            self._forget()
+        split = [words_of(t) for t in texts]
+        ends = np.cumsum([len(w) for w in split])
+        numbers = self.words.numbers(list(chain.from_iterable(split)))
         found, scores = [], []
-        for text in texts:
-            words = words_of(text)
-            numbers = self._numbers(words)
-            sums = self.table[numbers].sum(axis=0, dtype=np.float64)
+        for words, end in zip(split, ends.tolist(), strict=True):
+            sums = self.words.table[numbers[end - len(words) : end]].sum(axis=0, dtype=np.float64)
             n = sums[-1]
             if not n or not self.model.languages:
                 found.append(UNKNOWN)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.samples import PER_CLASS, Adagrad, labelled_texts, sigmoid
-from strata.llm.texts import filter_texts, map_texts
+from strata.llm.texts import Remembered, filter_texts, map_texts
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -29,38 +29,34 @@ class Features:
     """Bucket numbers and counts of a text's words, and its statistics."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.words = Remembered(self._hashes, 1, REMEMBERED, np.int64)
 
-    def _buckets(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    @staticmethod
+    def _hashes(words: list[str]) -> np.ndarray:
+        return np.array([[zlib.crc32(w.encode("utf-8", "surrogatepass"))] for w in words])
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = text or ""
         data = text.encode("utf-8", "surrogatepass")
         words = text.lower().split()
-        buckets, counts = np.unique(self._buckets(words), return_counts=True)
-        values = np.log1p(counts).astype(np.float32)
+        hashes, repeats = np.unique(self.words.of(words)[:, 0], return_counts=True)
+        buckets, places = np.unique(hashes % BUCKETS, return_inverse=True)
+        values = np.log1p(np.bincount(places, repeats, len(buckets))).astype(np.float32)
         values /= max(1e-6, float(np.sqrt((values**2).sum())))
-        return buckets, values, self._statistics(data, words)
+        return buckets, values, self._statistics(data, words, repeats)
 
     @staticmethod
-    def _statistics(data: bytes, words: list[str]) -> np.ndarray:
+    def _statistics(data: bytes, words: list[str], counts: np.ndarray) -> np.ndarray:
         n, size = max(1, len(words)), max(1, len(data))
         found = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         letters = max(1, found[65:91].sum() + found[97:123].sum())
         ends = found[[33, 44, 46, 58, 59, 63]].sum()  # ! , . : ; ?
         marks = found[33:48].sum() + found[58:65].sum() + found[91:97].sum() + found[123:127].sum() - ends
         lines = data.split(b"\n")
-        counts = np.unique(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.int64), return_counts=True)[1] if words else np.zeros(1)
         return np.array([
             np.log1p(len(words)), np.log1p(len(data)), min(len(data) / n, 100), found[65:91].sum() / letters, found[48:58].sum() / size,
             ends / size, marks / size, found[10] / n, found[128:].sum() / size, len(counts) / n,
-            sum(map(eq, words, words[1:])) / n, 1 - len(set(lines)) / len(lines), min((ends + marks) / n, 10), counts.max() / n,
+            sum(map(eq, words, words[1:])) / n, 1 - len(set(lines)) / len(lines), min((ends + marks) / n, 10), counts.max(initial=0) / n,
             sum(not x.rstrip().endswith((b".", b"!", b"?")) for x in lines) / len(lines),
         ], dtype=np.float32)
 

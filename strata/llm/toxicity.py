@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.samples import PER_CLASS, WORD, Adagrad, labelled_texts, sigmoid
-from strata.llm.texts import map_texts
+from strata.llm.texts import Remembered, map_texts
 
 BUCKETS = 1 << 16
 SIZE = 16
@@ -134,33 +135,22 @@ def fit(texts: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, seed:
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.wide = model, model.wide()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.products = np.zeros((1 << 12, self.wide.shape[1]), np.float32)  # row 0: padding
-
-    def _learn(self, words: set[str]) -> None:
-        fresh = list(words.difference(self.numbers))
-        for begin in range(0, len(fresh), 4096):
-            part = fresh[begin : begin + 4096]
-            rows = [parts_of(w) for w in part]
-            sizes = np.array([len(r) for r in rows])
-            sums = np.add.reduceat(self.model.embedding[[x for r in rows for x in r]], np.cumsum(sizes) - sizes, axis=0)
-            first = len(self.numbers) + 1
-            while first + len(part) > len(self.products):
-                self.products = np.concatenate([self.products, np.zeros_like(self.products)])
-            self.products[first : first + len(part)] = sums / np.sqrt(sizes)[:, None] @ self.wide
-            self.numbers.update(zip(part, range(first, first + len(part)), strict=True))
+        self.words = Remembered(self._products, self.wide.shape[1], REMEMBERED)
+
+    def _products(self, words: list[str]) -> np.ndarray:
+        """What each word adds to each filter at each position."""
+        rows = [parts_of(w) for w in words]
+        sizes = np.array([len(r) for r in rows])
+        sums = np.add.reduceat(self.model.embedding[[x for r in rows for x in r]], np.cumsum(sizes) - sizes, axis=0)
+        return sums / np.sqrt(sizes)[:, None] @ self.wide
 
     def __call__(self, texts: list[str | None]) -> list[float]:
-        if len(self.numbers) > REMEMBERED:
-            self._forget()
-        found, group, held = [], [], 0
         split = [words_of(t) for t in texts]
-        self._learn({w for words in split for w in words})
+        numbers = self.words.numbers(list(chain.from_iterable(split)))
+        found, group, held, end = [], [], 0, 0
         for words in split:
-            rows = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+            rows = numbers[end : end + len(words)]
+            end += len(words)
             if held and held + len(rows) > 1 << 16:
                 found += self._score(group)
                 group, held = [], 0
@@ -170,7 +160,7 @@ class Scorer:
 
     def _score(self, group: list[np.ndarray]) -> list[float]:
         flat, starts = padded(group, 0)
-        response = convolve(self.products, flat)
+        response = convolve(self.words.table, flat)
         # The words of a text and the first position of its padding: no window reaches the next text.
         ends = starts + [len(rows) + 1 for rows in group]
         high = np.maximum.reduceat(response, np.stack([starts, ends], axis=1).ravel(), axis=0)[::2] + self.model.shift
