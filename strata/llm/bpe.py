@@ -12,6 +12,9 @@ import numpy as np
 #: Distinct pieces that a Python worker remembers; beyond that it forgets those it met once. Results don't depend on it.
 REMEMBERED = 600_000
 
+#: Characters that the library gets at once of a long text.
+PART = 1 << 16
+
 # A single space between two other characters: byte-level BPE never joins what is on its two sides.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -69,7 +72,7 @@ class Encoder:
         number = np.full(len(self._met), -1)
         number[kept] = np.arange(len(kept))
         for known in (self._first, self._later):
-            left = {p: int(number[k]) for p, k in known.items() if number[k] >= 0}
+            left = {p: int(number[k]) for p, k in known.items() if k >= 0 and number[k] >= 0}
             known.clear()
             known.update(left)
         ids = self._gather(kept)
@@ -78,7 +81,11 @@ class Encoder:
         self._ids, self._held = np.append(ids, np.zeros(1 << 16, np.uint32)), len(ids)
 
     def _learn(self, pieces: set[str], known: dict[str, int], lead: str) -> None:
+        """Number new pieces; those that are no single word (after a line end) get -1."""
         fresh = list(pieces.difference(known))
+        odd = {p for p in fresh if len(w := p.split()) != 1 or len(w[0]) != len(p) - (p[0] == "\n" and lead == " ")}
+        known.update(dict.fromkeys(odd, -1))
+        fresh = [p for p in fresh if p not in odd] if odd else fresh
         for i in range(0, len(fresh), 2_000):
             part = fresh[i : i + 2_000]
             ids, sizes = self._encode_each([p if p[:1] == "\n" else lead + p for p in part])
@@ -95,10 +102,10 @@ class Encoder:
     def _encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, and how many each has.
 
-        Pieces that begin with their space or line end and don't end in white space are encoded as one text. No
-        token spans two of them, so the bytes of the tokens tell which piece each belongs to.
+        Pieces that begin with their space or line end are encoded as one text. No token spans two of them, so the
+        bytes of the tokens tell which piece each belongs to.
         """
-        if all(p[0] in " \n" and p[1:2].strip() and not p[-1].isspace() for p in pieces):
+        if pieces[0][0] in " \n":
             found = np.fromiter(self._whole(["".join(pieces)])[0], np.uint32)
             ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
             reach = np.cumsum(self._token_bytes[found])
@@ -110,23 +117,38 @@ class Encoder:
         return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
     def _cut(self, text: str) -> list[str] | None:
-        """Pieces that are encoded independently: the first as it is, later ones with a space before them unless
-        they begin with a line end.
+        """Pieces that are encoded independently if each is a single word: the first as it is, later ones with a space
+        before them, or with the line end they begin with.
         """
         if not text or not self._pieces or any(s in text for s in self._special):
             return None
-        words = text.split()
-        spaces, lines = text.count(" "), text.count("\n")
-        # All white space is single spaces and line ends between words: cut before each of them.
-        if len(words) == spaces + lines + 1 and len("".join(words)) + spaces + lines == len(text):
-            return text.replace("\n", " \n").split(" ")
-        return _SAFE.split(text)
+        return text.replace("\n", " \n").split(" ")
 
     def _numbers(self, texts: list[str]):
-        """The piece numbers of all texts in a row, how many each text has, and the texts to encode whole."""
+        """The piece numbers of all texts in a row, how many each text has, and the texts left to the library."""
         cuts = [self._cut(t) for t in texts]
         if len(self._starts) > REMEMBERED:
             self._forget()
+        numbers, sizes = self._look_up(cuts)
+        odd = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(numbers < 0), "right")).tolist()
+        if odd:
+            for i in odd:
+                cuts[i] = None
+            numbers, sizes = self._look_up(cuts)
+        self._met += np.bincount(numbers, minlength=len(self._met))
+        return numbers, sizes, [i for i, (t, c) in enumerate(zip(texts, cuts, strict=True)) if t and c is None]
+
+    def _by_library(self, text: str) -> list[int]:
+        """A text that is not all single words, in parts of about PART characters if it may be cut."""
+        if not self._pieces or any(s in text for s in self._special):
+            return self._whole([text])[0]
+        at, parts = 0, []
+        while cut := _SAFE.search(text, at + PART):
+            parts.append(text[at : cut.start()])
+            at = cut.start()
+        return list(chain.from_iterable(self._whole([*parts, text[at:]])))
+
+    def _look_up(self, cuts: list[list[str] | None]):
         self._learn({c[0] for c in cuts if c}, self._first, "")
         self._learn({p for c in cuts if c for p in islice(c, 1, None)}, self._later, " ")
         sizes = np.array([len(c) if c else 0 for c in cuts], dtype=np.int64)
@@ -137,8 +159,7 @@ class Encoder:
         rest[firsts] = False
         numbers[rest] = np.fromiter(later, np.int64, len(numbers) - len(firsts))
         numbers[firsts] = [self._first[c[0]] for c in cuts if c]
-        self._met += np.bincount(numbers, minlength=len(self._met))
-        return numbers, sizes, [i for i, (t, c) in enumerate(zip(texts, cuts, strict=True)) if t and c is None]
+        return numbers, sizes
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """The number of ids of each text; null: 0."""
@@ -148,7 +169,7 @@ class Encoder:
         ends = np.cumsum(sizes)
         found = (totals[ends] - totals[ends - sizes]).tolist()
         for i in whole:
-            found[i] = len(self._whole([texts[i]])[0])
+            found[i] = len(self._by_library(texts[i]))
         return found
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -160,7 +181,7 @@ class Encoder:
         ends = np.cumsum(sizes)
         found = [flat[a:b] for a, b in zip(totals[ends - sizes].tolist(), totals[ends].tolist(), strict=True)]
         for i in whole:
-            found[i] = np.array(self._whole([texts[i]])[0], dtype=np.uint32)
+            found[i] = np.array(self._by_library(texts[i]), dtype=np.uint32)
         return found
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
