@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -18,7 +19,7 @@ BUCKETS = 1 << 15
 RANK = 8
 EPOCHS = 4
 THRESHOLD = 0.3
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 STATISTICS = (
     "log of words", "log of bytes", "bytes per word", "upper case", "digits", "sentence marks", "other marks", "line ends",
     "beyond ASCII", "distinct words", "words repeated at once", "lines repeated", "marks per word", "commonest word", "lines without end mark",
@@ -35,15 +36,19 @@ class Features:
     def _hashes(words: list[str]) -> np.ndarray:
         return np.array([[zlib.crc32(w.encode("utf-8", "surrogatepass"))] for w in words])
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text = text or ""
-        data = text.encode("utf-8", "surrogatepass")
-        words = text.lower().split()
-        hashes, repeats = np.unique(self.words.of(words)[:, 0], return_counts=True)
-        buckets, places = np.unique(hashes % BUCKETS, return_inverse=True)
-        values = np.log1p(np.bincount(places, repeats, len(buckets))).astype(np.float32)
-        values /= max(1e-6, float(np.sqrt((values**2).sum())))
-        return buckets, values, self._statistics(data, words, repeats)
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        split = [(t or "").lower().split() for t in texts]
+        hashes = self.words.of(list(chain.from_iterable(split)))[:, 0]
+        found, at = [], 0
+        for text, words in zip(texts, split, strict=True):
+            own, repeats = np.unique(hashes[at : at + len(words)], return_counts=True)
+            at += len(words)
+            buckets, places = np.unique(own % BUCKETS, return_inverse=True)
+            values = np.log1p(np.bincount(places, repeats, len(buckets))).astype(np.float32)
+            values /= max(1e-6, float(np.sqrt((values**2).sum())))
+            data = (text or "").encode("utf-8", "surrogatepass")
+            found.append((buckets, values, self._statistics(data, words, repeats)))
+        return found
 
     @staticmethod
     def _statistics(data: bytes, words: list[str], counts: np.ndarray) -> np.ndarray:
@@ -122,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
 
     def make():
         features = Features()
-        return lambda texts: zip(*map(features, texts), strict=True) if texts else ([], [], [])
+        return lambda texts: zip(*features(texts), strict=True)
 
     outputs = "buckets array<int>, amounts array<float>, statistics array<float>"
     found = map_texts(sample, "text", outputs, make, drop_text=True).toArrow()
@@ -142,7 +147,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
     def make():
         features, own = Features(), sent.value
-        return lambda texts: [[float(sigmoid(np.array(own.raw(*own.inputs(*features(t)))[0]))) for t in texts]]
+        return lambda texts: [[float(sigmoid(np.array(own.raw(*own.inputs(*f))[0]))) for f in features(texts)]]
 
     return map_texts(docs, text, "score double", make, drop_text=True).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
