@@ -37,13 +37,20 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if int(ids.max()) >> 60:
         raise ValueError("ids take more than 60 bits")
-    best = np.full(n, len(COUNTS) - 1, dtype=np.int8)
-    here = np.arange(n)
-    for s in range(len(COUNTS) - 2, -1, -1):
-        wide = ids >> np.uint64(WIDTHS[s]) > 0
-        following = np.minimum.accumulate(np.where(wide, here, n + COUNTS[s])[::-1])[::-1]  # where the next id too wide is
-        best[following - here >= COUNTS[s]] = s
-    after = (here + np.array(COUNTS)[best]).tolist()
+    # The narrowest packing that fits every id, then narrower ones where a run of ids is long enough.
+    widest = next(s for s, w in enumerate(WIDTHS) if not int(ids.max()) >> w)
+    best = np.full(n, widest, dtype=np.int8)
+    here = np.arange(n, dtype=np.int32)
+    for s in range(widest - 1, -1, -1):
+        wide = np.flatnonzero(ids >> np.uint64(WIDTHS[s])).astype(np.int32)
+        runs = np.diff(wide, prepend=-1)
+        tail = n - 1 - int(wide[-1])
+        if runs.max() > COUNTS[s]:
+            following = np.repeat(wide, runs)  # for each position, where the next id too wide is
+            best[: len(following)][following - here[: len(following)] >= COUNTS[s]] = s
+        if tail:
+            best[n - tail :] = s  # zeros pad the last word
+    after = (here + np.array(COUNTS, dtype=np.int32)[best]).tolist()
     at, starts = 0, []
     while at < n:
         starts.append(at)
