@@ -25,21 +25,22 @@ _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 def fingerprint_values(texts: list[str | None]) -> np.ndarray:
     """Signed 64-bit fingerprints; null texts and texts without words give zero."""
-    hashes, counts = [], []
+    hashes, counts = [np.zeros(0, np.uint64)], []
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if len(words) >= SHINGLE:
-            found = list(map(_hash, map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))))
+            shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
+            found = np.fromiter(map(_hash, shingles), np.uint64, len(words) - SHINGLE + 1)
         else:
-            found = [_hash(b" ".join(words))] if words else []
-        hashes += found
+            found = np.array([_hash(b" ".join(words))] if words else [], dtype=np.uint64)
+        hashes.append(found)
         counts.append(len(found))
     counts = np.array(counts, dtype=np.int64)
     result = np.zeros(len(texts), dtype=np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
         starts = (np.cumsum(counts) - counts)[some]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.concatenate(hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_in = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
         majority = (2 * set_in > counts[some, None]).astype(np.uint8)
         result[some] = np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel()
