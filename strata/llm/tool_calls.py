@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.components import cut
+from strata.llm.components import connected_components, cut
 
-#: Dependencies against the order of turns that are followed; longer chains of them count as cycles.
-MOST_STEPS = 100
+#: Dependencies of connected calls that one task orders in memory; larger groups are ordered in rounds of joins.
+IN_TASK = 200_000
 
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 
+KEPT = ["node", "conv_id", "call_id", "call_turn", "call_place", "result_turn", "after", "n_calls", "n_results"]
+
 # The types of JSON schemas, with the Python types of parsed JSON.
 _TYPES = {
     "string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,), "null": (type(None),),
@@ -85,11 +87,11 @@ def _checked(schemas: dict[str, dict]):
             columns = [batch.column(n) for n in kept] + [pa.array([e for e, _ in found], pa.list_(pa.string())), pa.array([j for _, j in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "errors", "json"])
 
-    kept = ["conv_id", "call_id", "call_turn", "call_place", "result_turn", "after", "n_calls", "n_results"]
+    kept = KEPT
     return run
 
 
-def link_calls(messages: DataFrame, schemas: dict[str, dict], most_steps: int = MOST_STEPS) -> DataFrame:
+def link_calls(messages: DataFrame, schemas: dict[str, dict], most_steps: int | None = None, in_task: int = IN_TASK) -> DataFrame:
     """One row per call, and per result without a call, of messages (conv_id, turn, role, text).
 
     Assistant texts with `{"tool_calls": [{"id", "name", "arguments", "after"}]}` make calls; tool texts with
@@ -102,8 +104,10 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict], most_steps: int =
 
     Calls and results meet by (conversation, id), so one long conversation is spread over tasks. A null
     conversation is one like others. Calls without an id are rows of their own, unanswered; results without one are
-    dropped. Ids in `after` that are not called are ignored. Dependencies that run against the order of turns are followed for up to
-    `most_steps` rounds; if calls still move then, those that moved in the second half are reported as a cycle.
+    dropped. Ids in `after` that are not called are ignored. Dependencies are followed to their end, however long. Only
+    calls that come after themselves, over others or at once, are a cycle: what they need of each other is left out of
+    the order, and calls that need one of them come after it like after any other. `most_steps` has no effect; it
+    bounded the order once.
     """
     parsed = messages.select("conv_id", "turn", "role", "text")
     calls = parsed.where("role = 'assistant'").select("conv_id", "turn", F.from_json("text", _CALLS)["tool_calls"].alias("c"))
@@ -127,46 +131,151 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict], most_steps: int =
         F.col("result.turn").alias("result_turn"), F.col("result.content").alias("result"),
         F.coalesce("n_calls", none).alias("n_calls"), F.coalesce("n_results", none).alias("n_results"),
     )
+    linked = linked.withColumn("node", F.monotonically_increasing_id())
     kinds = {f.name: f.dataType for f in linked.schema.fields}
-    kept = ["conv_id", "call_id", "call_turn", "call_place", "result_turn", "after", "n_calls", "n_results"]
-    schema = T.StructType([T.StructField(n, kinds[n]) for n in kept]).add("errors", T.ArrayType(T.StringType())).add("json", T.StringType())
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in KEPT]).add("errors", T.ArrayType(T.StringType())).add("json", T.StringType())
     done = cut(linked.mapInArrow(_checked(schemas), schema))
 
-    moved = _orders(done, most_steps)
+    moved = _orders(done, in_task)
     found = done.withColumn("order_turn", F.coalesce("call_turn", "result_turn")).withColumn("order_step", F.lit(0))
     if moved is not None:
-        moved = moved.select(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_id"), "to", "cyclic")
-        found = found.join(moved, F.col("conv_id").eqNullSafe(F.col("m_conv")) & (F.col("call_id") == F.col("m_id")), "left")
-        found = found.withColumn("order_turn", F.coalesce("to.turn", "order_turn")).withColumn("order_step", F.coalesce("to.step", "order_step"))
+        found = found.join(moved, "node", "left")
+        found = found.withColumn("order_turn", F.coalesce("turn", "order_turn")).withColumn("order_step", F.coalesce("step", "order_step"))
     cyclic = F.coalesce("cyclic", F.lit(False)) if moved is not None else F.lit(False)
     status = F.when(cyclic, "cycle").when(F.col("call_turn").isNull(), "orphan").when(F.col("result_turn").isNull(), "unanswered")
     status = status.when(F.col("result_turn") < F.col("call_turn"), "early").otherwise("linked")
     return found.select("conv_id", "call_id", "call_turn", "call_place", "result_turn", "n_calls", "n_results", status.alias("status"), "order_turn", "order_step", "errors", "json")
 
 
-def _orders(done: DataFrame, most_steps: int) -> DataFrame | None:
-    """`conv_id`, `call_id`, `to` (turn, step), `cyclic` of the calls that have to move behind what they come after."""
+def _orders(done: DataFrame, in_task: int) -> DataFrame | None:
+    """`node`, `turn`, `step`, `cyclic` of the calls in groups where one has to move behind what it comes after."""
     own = F.struct(F.col("call_turn").cast("long").alias("turn"), F.lit(0).alias("step"), F.col("call_place").cast("long").alias("place"))
-    calls = done.where("call_id IS NOT NULL AND call_turn IS NOT NULL").select("conv_id", "call_id", "after", own.alias("at"))
-    needs = calls.select("conv_id", "call_id", "at", F.explode(F.array_distinct("after")).alias("before")).where("before IS NOT NULL")
-    known = calls.select(F.col("conv_id").alias("b_conv"), F.col("call_id").alias("before_id"), F.col("at").alias("before_at"))
-    edges = needs.join(known, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("before") == F.col("before_id")))
-    edges = cut(edges.select("conv_id", "call_id", "before", "at", "before_at"))
-    behind = F.struct(F.col("before_at.turn").alias("turn"), (F.col("before_at.step") + 1).alias("step"), F.lit(0).cast("long").alias("place"))
+    calls = done.where("call_turn IS NOT NULL").select("node", "conv_id", "call_id", "after", own.alias("at"))
+    needs = calls.select("node", "conv_id", "at", F.explode(F.array_distinct("after")).alias("before")).where("before IS NOT NULL")
+    known = calls.select(F.col("node").alias("need"), F.col("conv_id").alias("b_conv"), F.col("call_id").alias("b_id"), F.col("at").alias("need_at"))
+    edges = needs.join(known, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("before") == F.col("b_id")))
+    edges = cut(edges.select("node", "need", "at", "need_at"))
+    if edges.where("need_at >= at").isEmpty():
+        return None
+    roots = connected_components(edges, "node", "need").withColumnRenamed("node", "member")
+    grouped = edges.join(roots, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node")).drop("member")
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("n"), F.max(F.col("need_at") >= F.col("at")).alias("late")).where("late").drop("late")
+    grouped = cut(grouped.join(sizes, "root"))
+    small = grouped.where(F.col("n") <= in_task).repartition("root").sortWithinPartitions("root")
+    small = small.select("root", "node", "need", *[F.col(f"{a}.{f}").alias(f"{a}_{f}") for a in ("at", "need_at") for f in ("turn", "place")])
+    moved = small.mapInArrow(_groups, "node long, turn long, step int, cyclic boolean")
+    large = grouped.where(F.col("n") > in_task).select("node", "need", "at", "need_at")
+    return cut(moved if large.isEmpty() else moved.unionByName(_in_rounds(cut(large))))
+
+
+def settle(at: dict[int, tuple], needs: dict[int, list[int]]) -> dict[int, tuple]:
+    """Turn, step and whether it is on a cycle, of each call: Tarjan's strongly connected groups come out needs first."""
+    number, low, open_, stack, to, found = {}, {}, set(), [], {}, {}
+    for start in at:
+        work = [start] if start not in number else []
+        rest = {}
+        while work:
+            v = work[-1]
+            if v not in number:
+                number[v] = low[v] = len(number)
+                stack.append(v)
+                open_.add(v)
+                rest[v] = iter(needs.get(v, ()))
+            for w in rest[v]:
+                if w not in number:
+                    work.append(w)
+                    break
+                if w in open_:
+                    low[v] = min(low[v], number[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1]] = min(low[work[-1]], low[v])
+                if low[v] == number[v]:
+                    group = {stack.pop()}
+                    while v not in group:
+                        group.add(stack.pop())
+                    open_ -= group
+                    cyclic = len(group) > 1 or v in needs.get(v, ())
+                    for m in group:
+                        last = max((to[w] for w in needs.get(m, ()) if w not in group), default=None)
+                        to[m] = at[m] if last is None or last < at[m] else (last[0], last[1] + 1, 0)
+                        found[m] = (to[m][0], to[m][1], cyclic)
+    return found
+
+
+def _groups(batches):
+    """`settle` for each run of rows with the same root."""
+    root, at, needs = None, {}, {}
+
+    def settled():
+        found = settle(at, needs)
+        columns = [list(found), *(zip(*found.values(), strict=True))]
+        kinds = {"node": pa.int64(), "turn": pa.int64(), "step": pa.int32(), "cyclic": pa.bool_()}
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    for batch in batches:
+        for key, node, need, turn, place, need_turn, need_place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != root and at:
+                yield settled()
+                at, needs = {}, {}
+            root = key
+            at[node], at[need] = (turn, 0, place), (need_turn, 0, need_place)
+            needs.setdefault(node, []).append(need)
+    if at:
+        yield settled()
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    """What `settle` gives, in rounds of joins until nothing moves: as many as the longest chain of moves."""
+    cycles = _cycles(edges)
+    ends = edges.join(cycles.select(F.col("node"), F.col("cycle").alias("a")), "node", "left")
+    ends = ends.join(cycles.select(F.col("node").alias("need"), F.col("cycle").alias("b")), "need", "left")
+    edges = cut(ends.where("a IS NULL OR b IS NULL OR a != b").drop("a", "b"))
+    behind = F.struct(F.col("need_at.turn").alias("turn"), (F.col("need_at.step") + 1).alias("step"), F.lit(0).cast("long").alias("place"))
     moved = None
-    for step in range(most_steps + 1):
-        late = edges.where(F.col("before_at") >= F.col("at"))
-        change = cut(late.groupBy("conv_id", "call_id").agg(F.max(behind).alias("to")))
-        if change.isEmpty():
-            break
-        both = change.withColumn("round", F.lit(step))
-        both = both if moved is None else moved.unionByName(both)
-        moved = cut(both.groupBy("conv_id", "call_id").agg(F.max("to").alias("to"), F.max("round").alias("round")))
-        if step == most_steps:
-            return moved.withColumn("cyclic", F.col("round") > most_steps // 2)
-        new = change.select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), F.col("to").alias("c_to"))
-        same = F.col("conv_id").eqNullSafe(F.col("c_conv"))
-        edges = edges.join(new, same & (F.col("call_id") == F.col("c_id")), "left").withColumn("at", F.coalesce("c_to", "at")).drop("c_conv", "c_id", "c_to")
-        edges = edges.join(new, same & (F.col("before") == F.col("c_id")), "left").withColumn("before_at", F.coalesce("c_to", "before_at")).drop("c_conv", "c_id", "c_to")
+    while not (change := cut(edges.where("need_at >= at").groupBy("node").agg(F.max(behind).alias("to")))).isEmpty():
+        moved = change if moved is None else cut(moved.unionByName(change).groupBy("node").agg(F.max("to").alias("to")))
+        edges = edges.join(change, "node", "left").withColumn("at", F.coalesce("to", "at")).drop("to")
+        edges = edges.join(change.withColumnRenamed("node", "need"), "need", "left").withColumn("need_at", F.coalesce("to", "need_at")).drop("to")
         edges = cut(edges)
-    return None if moved is None else moved.withColumn("cyclic", F.lit(False))
+    cyclic = cycles.select("node").withColumn("cyclic", F.lit(True))
+    if moved is None:
+        return cyclic.select("node", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("int").alias("step"), "cyclic")
+    found = moved.join(cyclic, "node", "full")
+    return found.select("node", F.col("to.turn").alias("turn"), F.col("to.step").cast("int").alias("step"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def _cycles(edges: DataFrame) -> DataFrame:
+    """`node`, `cycle`: the strongly connected groups of more than one call and the calls that need themselves.
+
+    Ends are peeled off; then each call takes the largest number it reaches, and those of one number that are
+    reached from it are a group. Groups are taken off until no dependency is left.
+    """
+    found = edges.where("node = need").select("node", F.col("node").alias("cycle")).distinct()
+    rest, n = cut(edges.where("node != need").select("node", "need").distinct()), None
+    while True:
+        while (now := rest.count()) != n:
+            n = now
+            inner = rest.join(rest.select(F.col("node").alias("need")).distinct(), "need", "left_semi")
+            rest = cut(inner.join(rest.select(F.col("need").alias("node")).distinct(), "node", "left_semi").select("node", "need"))
+        if not n:
+            return cut(found.groupBy("node").agg(F.max("cycle").alias("cycle")))
+        color, changed = cut(rest.select("node").distinct().withColumn("color", F.col("node"))), True
+        while changed:
+            reached = rest.join(color.withColumnRenamed("node", "need"), "need").groupBy("node").agg(F.max("color").alias("far"))
+            new = cut(color.join(reached, "node", "left").select("node", F.greatest("color", "far").alias("color"), (F.col("far") > F.col("color")).alias("up")))
+            changed = not new.where("up").isEmpty()
+            color = new.drop("up")
+        inside = rest.join(color, "node").join(color.select(F.col("node").alias("need"), F.col("color").alias("other")), "need")
+        inside = cut(inside.where("color = other").select("node", "need", "color"))
+        group, front = color.where("node = color"), color.where("node = color")
+        while not front.isEmpty():
+            after = inside.join(front.select("node"), "node").select(F.col("need").alias("node"), "color").distinct()
+            front = cut(after.join(group.select("node"), "node", "left_anti"))
+            group = cut(group.unionByName(front))
+        many = group.groupBy("color").count().where("count > 1").select("color")
+        found = cut(found.unionByName(group.join(many, "color", "left_semi").select("node", F.col("color").alias("cycle"))))
+        gone = group.select("node")
+        rest = rest.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "need"), "need", "left_anti")
+        rest, n = cut(rest.select("node", "need")), None

@@ -76,6 +76,29 @@ def test_long_chains_and_cycles(spark):
     assert {r.call_id: r.status for r in linked(spark, cycle, most_steps=6).collect()} == {"a": "cycle", "b": "cycle", "c": "cycle", "d": "unanswered"}
 
 
+def _tangled():
+    """A chain of 130 against its places, an early call that waits for a late one with a chain behind it, two cycles with calls around."""
+    chain = [(1, 0, "assistant", calls(*[call(f"k{i}", after=[f"k{i + 1}"]) for i in range(130)], call("k130")))]
+    wait = [(2, 0, "assistant", calls(call("w0", after=["late"]), *[call(f"w{i}", after=[f"w{i - 1}"]) for i in range(1, 110)])), (2, 9, "assistant", calls(call("late")))]
+    after = {"a": "b", "b": "ca", "c": "a", "d": "c", "e": "d", "x": "yc", "y": "x", "f": "y", "s": "s", "g": "s", "h": "", "a0": "h"}
+    return [*chain, *wait, (3, 0, "assistant", calls(*[call(k, after=[*v]) for k, v in after.items()]))], after
+
+
+@pytest.mark.parametrize("in_task", [200_000, 4])
+def test_order_and_cycles_are_exact(spark, in_task):
+    rows, after = _tangled()
+    if in_task == 4:  # rounds of joins, for a short chain and the cycles
+        rows = [(1, 0, "assistant", calls(*[call(f"k{i}", after=[f"k{i + 1}"]) for i in range(5)], call("k5"))), rows[-1]]
+    found = {(r.conv_id, r.call_id): r for r in linked(spark, rows, in_task=in_task).collect()}
+    assert {k[1] for k, r in found.items() if r.status == "cycle"} == set("abcxys")
+    chain = sorted((r for k, r in found.items() if k[0] == 1), key=position)
+    assert [r.call_id for r in chain] == [f"k{i}" for i in reversed(range(len(chain)))]
+    assert all(position(found[3, a]) > position(found[3, b]) for a, b in ("dc", "ed", "fy", "gs", "xc"))
+    if (2, "late") in found:
+        waiting = sorted((r for k, r in found.items() if k[0] == 2), key=position)
+        assert [r.call_id for r in waiting] == ["late", *[f"w{i}" for i in range(110)]]
+
+
 def test_nothing(spark):
     assert linked(spark, []).count() == 0
 
