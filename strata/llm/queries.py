@@ -109,7 +109,7 @@ def asked(conversations: DataFrame) -> DataFrame:
     """
 )
 def op4_tool_calls(spark, sf_dir):
-    linked = tool_calls.link_calls(asked(table(spark, sf_dir, "conversations")), ASK)
+    linked = tool_calls.link_every_call(asked(table(spark, sf_dir, "conversations")), ASK)
     return linked.withColumn("errors", F.array_join("errors", "; ")).withColumn("json_sha256", F.sha2("json", 256)).drop("json")
 
 

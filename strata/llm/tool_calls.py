@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from strata.llm.components import connected_components, cut
 
@@ -17,7 +18,7 @@ IN_TASK = 200_000
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 
-KEPT = ["node", "conv_id", "call_id", "call_turn", "call_place", "result_turn", "after", "n_calls", "n_results"]
+KEPT = ["node", "conv_id", "call_id", "again", "call_turn", "call_place", "result_turn", "after", "n_calls", "n_results"]
 
 # The types of JSON schemas, with the Python types of parsed JSON.
 _TYPES = {
@@ -92,40 +93,89 @@ def _checked(schemas: dict[str, dict]):
 
 
 def link_calls(messages: DataFrame, schemas: dict[str, dict], most_steps: int | None = None, in_task: int = IN_TASK) -> DataFrame:
-    """One row per call, and per result without a call, of messages (conv_id, turn, role, text).
+    """The earliest call and the earliest result of each id: `link_every_call` keeps the others, too.
+
+    One row per (conv_id, call_id), with the columns of `link_every_call`; n_calls and n_results tell of what is left
+    out. Calls without an id are rows of their own, results without one are dropped. `most_steps` has no effect; it
+    bounded the order once.
+    """
+    calls, results = _parsed(messages)
+    key = ["conv_id", "call_id"]
+    first = calls.where("call_id IS NOT NULL").groupBy(*key).agg(F.min("call").alias("call"), F.count("*").alias("n_calls"))
+    first = first.unionByName(calls.where("call_id IS NULL").withColumn("n_calls", F.lit(1).cast("long")))
+    answer = results.where("call_id IS NOT NULL").groupBy(*key).agg(F.min("result").alias("result"), F.count("*").alias("n_results"))
+    answer = answer.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), "result", "n_results")
+    linked = first.join(answer, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "full")
+    linked = linked.withColumn("conv_id", F.when(F.col("call").isNull(), F.col("r_conv")).otherwise(F.col("conv_id")))
+    return _finished(linked.withColumn("call_id", F.coalesce("call_id", "r_id")).withColumn("again", F.lit(False)), schemas, in_task)
+
+
+def link_every_call(messages: DataFrame, schemas: dict[str, dict], in_task: int = IN_TASK) -> DataFrame:
+    """One row per call, and per result that answers no call first, of messages (conv_id, turn, role, text).
 
     Assistant texts with `{"tool_calls": [{"id", "name", "arguments", "after"}]}` make calls; tool texts with
     `{"tool_call_id", "content"}` are results. Other texts, broken JSON and null texts make nothing. Columns:
 
-    conv_id, call_id, call_turn, result_turn; n_calls, n_results: how often the id was called and answered (the
-    earliest of each is linked); status: linked, early (the result comes before its call), unanswered, orphan (no
-    call) or cycle; order_turn, order_step: sorted by these and call_place, a conversation's calls come after all
-    that their `after` names; errors: what the arguments break of the tool's schema; json: canonical JSON.
-
-    Calls and results meet by (conversation, id), so one long conversation is spread over tasks. A null
-    conversation is one like others. Calls without an id are rows of their own, unanswered; results without one are
-    dropped. Ids in `after` that are not called are ignored. Dependencies are followed to their end, however long. Only
-    calls that come after themselves, over others or at once, are a cycle: what they need of each other is left out of
-    the order, and calls that need one of them come after it like after any other. `most_steps` has no effect; it
-    bounded the order once.
+    conv_id, call_id, call_turn, result_turn; n_calls, n_results: how often the conversation calls and answers the id;
+    status: linked, early (the result comes before its call), unanswered, orphan (no call), repeated (a further result
+    of a call that has one) or cycle; order_turn, order_step: sorted by these and call_place, a conversation's calls
+    come after all that their `after` names; errors: what the arguments break of the tool's schema; json: canonical
+    JSON.
+
+    An id may be called again: the results up to the turn of its next call belong to the call before. Where a turn
+    calls an id several times, its calls take these results one by one. Results before the first call are early, if
+    it has none of its own, or orphans. Calls and results without an id are rows of their own, unanswered and orphan.
+    A null conversation is one like others: no row of it is lost, but its pairs go by turns only. Rows of one
+    (conversation, id) meet in one task, sorted on disk if need be; a long conversation is spread over tasks by its ids.
+
+    A name in `after` means the latest such call up to the own turn that is not the call itself, else the first such
+    call; names that are not called are ignored. Dependencies are followed to their end, however long. Only calls
+    that come after themselves, over others or at once, are a cycle: what they need of each other is left out of the
+    order, and calls that need one of them come after it like after any other.
     """
+    calls, results = _parsed(messages, whole=True)
+    none = F.lit(None)
+    events = calls.where("call_id IS NOT NULL").withColumn("result", none).unionByName(results.where("call_id IS NOT NULL").withColumn("call", none))
+    is_call = F.col("call").isNotNull()
+    turn = F.coalesce("call.turn", "result.turn")
+    events = events.withColumn("kind", F.when(is_call, 0).otherwise(1)).withColumn("turn", turn)
+    key = Window.partitionBy("conv_id", "call_id")
+    at = key.orderBy("turn", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    block = F.when(is_call, F.struct("turn"))
+    events = events.select("*", F.last(block, True).over(at).alias("block"))
+    events = events.select(
+        "*", F.min(block).over(key).alias("head"), F.count("call").over(key).alias("n_calls"), F.count("result").over(key).alias("n_results"),
+    )
+    answered = F.max(F.col("result").isNotNull() & F.col("block").eqNullSafe(F.col("head"))).over(key)
+    events = events.withColumn("block", F.when(F.col("block").isNull() & ~answered, F.col("head")).otherwise(F.col("block")))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "call_id", "block", "kind").orderBy("turn", "call", "result"))
+    pairs = events.withColumn("nth", nth).groupBy("conv_id", "call_id", "block", "nth")
+    linked = pairs.agg(*[F.max(c).alias(c) for c in ("call", "result", "n_calls", "n_results")]).withColumn("again", F.col("block").isNotNull())
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    unnamed = calls.where("call_id IS NULL").select("*", none.alias("result"), one.alias("n_calls"), zero.alias("n_results"))
+    unnamed = unnamed.unionByName(results.where("call_id IS NULL").select("*", none.alias("call"), zero.alias("n_calls"), one.alias("n_results")))
+    return _finished(linked.drop("block", "nth").unionByName(unnamed.withColumn("again", F.lit(False))), schemas, in_task)
+
+
+def _parsed(messages: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """`conv_id`, `call_id` and `call` or `result`; only if `whole`, results without an id are sure to be results."""
     parsed = messages.select("conv_id", "turn", "role", "text")
     calls = parsed.where("role = 'assistant'").select("conv_id", "turn", F.from_json("text", _CALLS)["tool_calls"].alias("c"))
     calls = calls.select("conv_id", "turn", F.posexplode("c").alias("place", "c")).where("c IS NOT NULL")
     call = F.struct("turn", "place", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
     calls = calls.select("conv_id", F.col("c.id").alias("call_id"), call.alias("call"))
-    results = parsed.where("role = 'tool'").select("conv_id", "turn", F.from_json("text", _RESULT).alias("r"))
+    results = parsed.where("role = 'tool'").select("conv_id", "turn", F.from_json("text", _RESULT).alias("r"), "text")
+    if whole:
+        results = results.where(F.col("r.tool_call_id").isNotNull() | F.arrays_overlap(F.json_object_keys("text"), F.array(F.lit("content"), F.lit("tool_call_id"))))
     results = results.select("conv_id", F.col("r.tool_call_id").alias("call_id"), F.struct("turn", F.col("r.content").alias("content")).alias("result"))
-    key = ["conv_id", "call_id"]
-    first = calls.where("call_id IS NOT NULL").groupBy(*key).agg(F.min("call").alias("call"), F.count("*").alias("n_calls"))
-    first = first.unionByName(calls.where("call_id IS NULL").withColumn("n_calls", F.lit(1).cast("long")))
-    answer = results.where("call_id IS NOT NULL").groupBy(*key).agg(F.min("result").alias("result"), F.count("*").alias("n_results"))
-    answer = answer.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), "result", "n_results")
-    linked = first.join(answer, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "full")
+    return calls, results
+
+
+def _finished(linked: DataFrame, schemas: dict[str, dict], in_task: int) -> DataFrame:
+    """Checks, order and status of paired calls and results; `again`: results without a call are further ones."""
     none = F.lit(0).cast("long")
     linked = linked.select(
-        F.when(F.col("call").isNull(), F.col("r_conv")).otherwise(F.col("conv_id")).alias("conv_id"),
-        F.coalesce("call_id", "r_id").alias("call_id"),
+        "conv_id", "call_id", "again",
         F.col("call.turn").alias("call_turn"), F.col("call.place").alias("call_place"), F.col("call.name").alias("name"),
         F.col("call.arguments").alias("arguments"), F.col("call.after").alias("after"),
         F.col("result.turn").alias("result_turn"), F.col("result.content").alias("result"),
@@ -142,7 +192,7 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict], most_steps: int |
         found = found.join(moved, "node", "left")
         found = found.withColumn("order_turn", F.coalesce("turn", "order_turn")).withColumn("order_step", F.coalesce("step", "order_step"))
     cyclic = F.coalesce("cyclic", F.lit(False)) if moved is not None else F.lit(False)
-    status = F.when(cyclic, "cycle").when(F.col("call_turn").isNull(), "orphan").when(F.col("result_turn").isNull(), "unanswered")
+    status = F.when(cyclic, "cycle").when(F.col("call_turn").isNull() & F.col("again"), "repeated").when(F.col("call_turn").isNull(), "orphan").when(F.col("result_turn").isNull(), "unanswered")
     status = status.when(F.col("result_turn") < F.col("call_turn"), "early").otherwise("linked")
     return found.select("conv_id", "call_id", "call_turn", "call_place", "result_turn", "n_calls", "n_results", status.alias("status"), "order_turn", "order_step", "errors", "json")
 
@@ -151,10 +201,19 @@ def _orders(done: DataFrame, in_task: int) -> DataFrame | None:
     """`node`, `turn`, `step`, `cyclic` of the calls in groups where one has to move behind what it comes after."""
     own = F.struct(F.col("call_turn").cast("long").alias("turn"), F.lit(0).alias("step"), F.col("call_place").cast("long").alias("place"))
     calls = done.where("call_turn IS NOT NULL").select("node", "conv_id", "call_id", "after", own.alias("at"))
-    needs = calls.select("node", "conv_id", "at", F.explode(F.array_distinct("after")).alias("before")).where("before IS NOT NULL")
-    known = calls.select(F.col("node").alias("need"), F.col("conv_id").alias("b_conv"), F.col("call_id").alias("b_id"), F.col("at").alias("need_at"))
-    edges = needs.join(known, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("before") == F.col("b_id")))
-    edges = cut(edges.select("node", "need", "at", "need_at"))
+    needs = calls.select("node", "conv_id", "at", "call_id", F.explode(F.array_distinct("after")).alias("before")).where("before IS NOT NULL")
+    # In a turn, its calls in their places; before each of them, its need of its own name; after all, needs of other names.
+    mine = F.col("before") == F.coalesce("call_id", F.lit(""))
+    place = F.when(mine, F.col("at.place")).otherwise(F.lit((1 << 63) - 1))
+    side = F.when(mine, F.lit(0)).otherwise(F.lit(2))
+    needs = needs.select("conv_id", "before", "node", "at", place.alias("place"), side.alias("side"), F.lit(None).alias("known"))
+    known = calls.where("call_id IS NOT NULL").select(
+        "conv_id", F.col("call_id").alias("before"), "node", "at", F.col("at.place").alias("place"), F.lit(1).alias("side"), F.struct("at", "node").alias("known")
+    )
+    key = Window.partitionBy("conv_id", "before")
+    up_to = key.orderBy("at.turn", "place", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = needs.unionByName(known).select("node", "at", "side", F.coalesce(F.last("known", True).over(up_to), F.min("known").over(key)).alias("met"))
+    edges = cut(met.where("side != 1 AND met IS NOT NULL").select("node", F.col("met.node").alias("need"), "at", F.col("met.at").alias("need_at")))
     if edges.where("need_at >= at").isEmpty():
         return None
     roots = connected_components(edges, "node", "need").withColumnRenamed("node", "member")

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from strata.llm.tool_calls import canonical, link_calls, violations
+from strata.llm.tool_calls import canonical, link_calls, link_every_call, violations
 
 SCHEMAS = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": ["string", "null"]}}, "additionalProperties": False}}
 SCHEMA = "conv_id long, turn long, role string, text string, extra int, status string, json string"
@@ -99,6 +99,26 @@ def test_order_and_cycles_are_exact(spark, in_task):
         assert [r.call_id for r in waiting] == ["late", *[f"w{i}" for i in range(110)]]
 
 
+def test_every_call_and_result_stays(spark):
+    rows = [
+        (1, 0, "tool", result("p", "zero")), (1, 1, "assistant", calls(call("p"), call("q", after=["p"]))), (1, 2, "tool", result("p", "one")),
+        (1, 3, "tool", result("p", "more")), (1, 4, "assistant", calls(call("p", '{"a": -9}'), call("q", after=["p", "q"]))), (1, 5, "tool", result("p", "two")),
+        (1, 6, "tool", json.dumps({"content": "whose?"})), (1, 7, "tool", "[]"), (1, 7, "tool", "plain"), (1, 8, "assistant", calls(call(None))),
+        (2, 0, "tool", result("p", "soon")), (2, 1, "assistant", calls(call("p"))),
+        *[row for i in range(3) for row in ((None, 0, "assistant", calls(call("p"))), (None, 1, "tool", result("p", f"n{i}")))],
+    ]
+    frame = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], SCHEMA)
+    found = [(r, json.loads(r.json)["result"]) for r in link_every_call(frame, SCHEMAS).collect()]
+    assert sorted(((r.call_id or "", r.call_turn or 0, r.result_turn or 0, r.status, text) for r, text in found if r.conv_id == 1), key=str) == sorted([
+        ("p", 0, 0, "orphan", "zero"), ("p", 1, 2, "linked", "one"), ("p", 0, 3, "repeated", "more"), ("p", 4, 5, "linked", "two"),
+        ("q", 1, 0, "unanswered", None), ("q", 4, 0, "unanswered", None), ("", 0, 6, "orphan", "whose?"), ("", 8, 0, "unanswered", None),
+    ], key=str)
+    assert [r.errors for r, _ in found if r.conv_id == 1 and r.call_turn == 4 and r.call_id == "p"] == [["a: below 0"]]
+    assert [(r.status, text) for r, text in found if r.conv_id == 2] == [("early", "soon")]
+    assert sorted((r.status, text, r.n_calls) for r, text in found if r.conv_id is None) == [("linked", f"n{i}", 3) for i in range(3)]
+    assert all(r.order_step == 0 for r, _ in found)
+
+
 def test_nothing(spark):
     assert linked(spark, []).count() == 0
 
