@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ THRESHOLD = 0.7
 #: A word is hashed whole and by its parts of so many bytes, so unseen forms of a word come near the known ones.
 PARTS = (4, 5, 6)
 REMEMBERED = 200_000
-#: Of the sample, one document in so many calibrates the thresholds and is not trained on.
+#: Of the sample, one document in so many is not trained on but calibrates the thresholds, with all beyond the sample.
 CALIBRATE = 10
+#: Scores are counted in so many bins for the thresholds.
+BINS = 1000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -167,31 +171,78 @@ class Scorer:
         return sigmoid(np.maximum(high, 0) @ self.model.top + self.model.bias).tolist()
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold with the best F1; the middle of the gap where several do equally well."""
+def calibrate(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The threshold with the best F1; the middle of the gap where several do equally well. Equal scores stay together."""
     if not len(scores) or labels.min() == labels.max():
         return THRESHOLD
     order = np.argsort(-scores)
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+    scores, labels = scores[order], labels[order]
+    weights = np.ones(len(scores)) if weights is None else weights[order]
+    f1 = 2 * np.cumsum(weights * labels) / (np.cumsum(weights) + (weights * labels).sum())
+    f1[:-1][scores[:-1] == scores[1:]] = -1
     k = int(f1.argmax())
-    below = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((scores[order[k]] + below) / 2)
+    below = scores[k + 1] if k + 1 < len(scores) else 0.0
+    return float((scores[k] + below) / 2)
+
+
+def counted(docs: DataFrame, labels: DataFrame, learn: Column, model: Model, seen: set[int], language: str = "lang") -> list[tuple[str, int, int, bool, int]]:
+    """(language, label, bin of the score, whether fitted on, rows) over all labelled documents that meet `learn`.
+
+    `seen`: hashes of the texts that the model was fitted on. Documents are scored where they are joined with their
+    labels; only the counts reach the driver.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model, seen))
+
+    def make():
+        model, seen = sent.value
+        score = Scorer(model)
+        return lambda texts: [pa.array(score(texts), pa.float64()), pa.array([_hash(t) in seen for t in texts], pa.bool_())]
+
+    known = labels.where(learn).where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("toxic") == 1).cast("int").alias("label"))
+    texts = docs.where(learn).select("doc_id", "text", F.coalesce(language, F.lit("")).alias("lang")).join(known, "doc_id").drop("doc_id")
+    scored = map_texts(texts, "text", "score double, fitted boolean", make, drop_text=True)
+    at = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    return [tuple(r) for r in scored.groupBy("lang", "label", at, "fitted").count().collect()]
+
+
+def thresholds(counts: list[tuple[str, int, int, bool, int]]) -> dict[str, float]:
+    """The threshold of each language, from the rows that were not fitted on, weighted so that each class has its share
+    of all rows. A language that lacks such rows of a class gets the threshold of all languages together.
+    """
+
+    def of(rows: list[tuple[int, int, bool, int]]) -> float | None:
+        every, left = Counter(), Counter()
+        for _, label, fitted, n in rows:
+            every[label] += n
+            left[label] += 0 if fitted else n
+        kept = sorted((at, label, n * every[label] / left[label]) for at, label, fitted, n in rows if not fitted)
+        if not left[0] or not left[1]:
+            return None
+        at, known, weights = (np.array(c, dtype=float) for c in zip(*kept, strict=True))
+        return calibrate((at + 0.5) / BINS, known, weights)
+
+    rows = defaultdict(list)
+    for lang, label, at, fitted, n in counts:
+        rows[lang].append((at, label, fitted, n))
+    common = of([r for own in rows.values() for r in own])
+    common = THRESHOLD if common is None else common
+    return {lang: common if (own := of(rows[lang])) is None else own for lang in sorted(rows)}
+
+
+def _hash(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, language: str = "lang") -> Model:
     """Fit on about `per_class` labelled documents of each class that meet `learn`, and calibrate a threshold for each
-    language on a tenth of them that is left out. The language sets thresholds only; it is no input of a score.
+    language on all other labelled documents that do; a tenth of the sample is left for it. The language sets
+    thresholds only; it is no input of a score.
     """
     sample = labelled_texts(docs, labels, "toxic", learn, per_class, (language,))
     found = sorted(sample.select("text", "label", F.coalesce(language, F.lit("")).alias("lang")).toArrow().to_pylist(), key=lambda r: (crc32((r["text"] or "").encode("utf-8", "surrogatepass")), r["text"] or "", r["label"]))
     rest = [r for i, r in enumerate(found) if i % CALIBRATE]
     model = fit([words_of(r["text"]) for r in rest], np.array([float(r["label"] == 1) for r in rest]))
-    held = found[::CALIBRATE]
-    scores, known = np.array(Scorer(model)([r["text"] for r in held])), np.array([r["label"] == 1 for r in held], dtype=float)
-    for lang in sorted({r["lang"] for r in held}):
-        mine = np.array([r["lang"] == lang for r in held])
-        model.thresholds[lang] = calibrate(scores[mine], known[mine])
+    model.thresholds = thresholds(counted(docs, labels, learn, model, {_hash(r["text"]) for r in rest}, language))
     return model
 
 

@@ -140,3 +140,24 @@ def test_scores_are_those_of_the_network(models, monkeypatch):
 def test_thresholds():
     assert toxicity.calibrate(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1.0, 1, 0, 0])) == pytest.approx(0.55)
     assert toxicity.calibrate(np.array([]), np.array([])) == toxicity.THRESHOLD
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    vile, nice = "you vile foul rotten thing", "what a nice good sunny day"
+    rows = [(i, f"{vile if i % 10 == 0 else nice} number{chr(97 + i % 26)} {chr(97 + i // 26 % 26)}word", "aa" if i % 50 > 1 else "bb", int(i % 10 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.col("doc_id") % 3 != 0, per_class=40)
+    assert model.thresholds.keys() == {"aa", "bb"} and toxicity.THRESHOLD not in model.thresholds.values()
+    counts = toxicity.counted(docs, labels, F.col("doc_id") % 3 != 0, model, {toxicity._hash(r[1]) for r in rows[:90]})
+    assert sum(n for *_, n in counts) == 400 and sum(n for *_, fitted, n in counts if fitted) == 60
+    flagged = toxicity.score_toxicity(docs, model, language="lang").where("lang = 'bb'").collect()
+    assert all(r.flagged == int(r.doc_id % 10 == 0) for r in flagged)
+
+
+def test_thresholds_keep_the_share_of_classes():
+    # Nearly all toxic rows were fitted on; by their share, 80 of 100 rows at 0.6 are toxic, so the threshold is below.
+    counts = [("x", 1, 900, True, 9), ("x", 1, 600, True, 70), ("x", 1, 600, False, 1), ("x", 0, 600, False, 20), ("x", 0, 100, False, 500), ("y", 0, 5, False, 3)]
+    assert toxicity.thresholds(counts) == {"x": pytest.approx(0.3505), "y": pytest.approx(0.3505)}
+    assert toxicity.thresholds(counts[-1:]) == {"y": toxicity.THRESHOLD}
+    assert toxicity.calibrate(np.array([0.9, 0.5, 0.5, 0.1]), np.array([1.0, 1, 0, 0])) == pytest.approx(0.3)
