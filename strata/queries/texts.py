@@ -67,17 +67,23 @@ def summarize_text(spark, sf):
     return text.summarize_text(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
-@query(
-    "build_prompts",
-    r"""
+#: The pieces of each text by the rule of build_prompts: after the last line or sentence end in reach, else at the limit.
+_CUTS = r"""
     WITH RECURSIVE cuts(doc_id, part, piece, rest) AS (
       SELECT doc_id, -1, '', text FROM documents
       UNION ALL
       SELECT doc_id, part + 1, substr(rest, 1, n), substr(rest, n + 1) FROM (
         SELECT *, CASE WHEN length(rest) <= 20000 THEN length(rest) + 1
-                       WHEN fit = '' THEN 20000 ELSE length(fit) END AS n
-        FROM (SELECT *, regexp_extract(substr(rest, 1, 20000), '(?s)^.*(?:\n|[.!?][ \t\r])') AS fit FROM cuts
-              WHERE part < 0 OR rest <> '')))
+                       WHEN fit = '' THEN 20000 ELSE length(fit) - length(stop) END AS n
+        FROM (SELECT *, regexp_extract(stop || substr(rest, 1, 20000), '(?s)^.*(?:\n|[.!?][ \t\r])') AS fit
+              FROM (SELECT *, regexp_extract(piece, '[.!?]$') AS stop FROM cuts WHERE part < 0 OR rest <> ''))))
+    """
+
+
+@query(
+    "build_prompts",
+    _CUTS
+    + r"""
     SELECT doc_id, CAST(part AS INTEGER) AS part, sha256(E'Instruction: List the names\n\nRaw Data:\n' || piece) AS prompt
     FROM cuts WHERE part >= 0
     """,
@@ -100,13 +106,10 @@ def counting_model(prompts):
 
 @query(
     "extract_records",
-    """
-    SELECT doc_id, length(text) AS n, CASE WHEN length(text) % 2 = 1 THEN 1 ELSE 2 END AS attempts
-    FROM documents WHERE length(text) <= 20000
-    UNION ALL
-    SELECT doc_id, piece, CASE WHEN piece % 2 = 1 THEN 1 ELSE 2 END
-    FROM (SELECT doc_id, least(20000, length(text) - 20000 * unnest(generate_series(0, CAST(ceil(length(text) / 20000) AS BIGINT) - 1))) AS piece
-          FROM documents WHERE length(text) > 20000)
+    _CUTS
+    + """
+    SELECT doc_id, length(piece) AS n, CASE WHEN length(piece) % 2 = 1 THEN 1 ELSE 2 END AS attempts
+    FROM cuts WHERE part >= 0
     """,
 )
 def extract_records(spark, sf):

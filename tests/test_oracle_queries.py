@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 from oracle import compare, connect
 
@@ -32,6 +33,27 @@ def test_query(spark, connection, name):
     assert compare(QUERIES[name](spark, SF_DIR), connection, ORACLES[name]) is None
 
 
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """A folder of tables whose documents are beyond one prompt and must be cut: at lines, at sentences, anywhere."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    texts = [
+        "A sentence here. " * 3000, "word\n" * 9001, "x" * 45_000, "y" * 19_999 + ". " + "z" * 20_000, "é ü. " * 4001 + "\n" + "w" * 20_001,
+        "short", "", "a" * 20_000, "b" * 20_001, "Dots.no.space" * 2000 + "\r\nend! " * 3000,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["build_prompts", "extract_records"])
+def test_texts_beyond_one_prompt(spark, long_texts, name):
+    view = f"CREATE VIEW documents AS SELECT * FROM '{long_texts}/documents.parquet/*.parquet'"
+    connection = duckdb.connect()
+    connection.execute(view)
+    assert compare(QUERIES[name](spark, long_texts), connection, ORACLES[name]) is None
+    assert QUERIES[name](spark, long_texts).count() > 20
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
