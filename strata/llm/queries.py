@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import (
-    decontaminate, lang_id, packing, quality, simhash, simple8b, token_counts, tool_calls, toxicity, vectors,
+    decontaminate, lang_id, packing, quality, quality_rules, simhash, simple8b, token_counts, tool_calls, toxicity, vectors,
 )
 from strata.llm.samples import fold
 
@@ -164,3 +164,46 @@ def op10_quality(spark, sf_dir):
     documents, part = table(spark, sf_dir, "documents"), fold("doc_id", 5)
     model = quality.train(documents, table(spark, sf_dir, "labels"), part != 0)
     return quality.score_quality(documents.select("doc_id", "text"), model).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+
+
+_HOST_RULES = ["few_words", "repetition", "symbols", "word_length", "repeated_lines"]
+
+
+def _host_sql() -> str:
+    """Shrunk rates of each rule by host, and the hosts that fail one."""
+    moments = ", ".join(f"sum({r}) / sum(n) AS m_{r}, sum({r} * {r} / n) - sum({r}) * (sum({r}) / sum(n)) AS s_{r}" for r in _HOST_RULES)
+    shared = ", ".join(f"CASE WHEN m_{r} > 0 AND m_{r} < 1 AND room > 0 THEN (s_{r} / (m_{r} * (1 - m_{r})) - (hosts - 1)) / room ELSE 0 END AS x_{r}" for r in _HOST_RULES)
+    weights = ", ".join(f"m_{r}, CASE WHEN x_{r} <= 0 THEN 1e6 ELSE least(greatest(1 / x_{r} - 1, 1), 1e6) END AS w_{r}" for r in _HOST_RULES)
+    failed = " OR ".join(f"({r} + m_{r} * w_{r}) / (n + w_{r}) > 0.5" for r in _HOST_RULES)
+    return f"""
+    hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(sum(CAST({r} AS INT)) AS DOUBLE) AS {r}" for r in _HOST_RULES)}
+        FROM judged WHERE source IS NOT NULL GROUP BY source),
+    moments AS (SELECT count(*) AS hosts, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room, {moments} FROM hosts),
+    shared AS (SELECT *, {shared} FROM moments),
+    prior AS (SELECT {weights} FROM shared),
+    failing AS (SELECT source FROM hosts, prior WHERE {failed})"""
+
+
+@query(
+    rf"""
+    WITH t AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (SELECT *, list_filter(string_split(text, E'\n'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+    g AS (SELECT row, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT row, w, unnest(generate_series(1, len(w) - 2)) AS p FROM t)),
+    twice AS (SELECT row, p FROM (SELECT row, p, count(*) OVER (PARTITION BY row, g) AS n FROM g) WHERE n > 1),
+    again AS (SELECT row, count(DISTINCT q) AS n FROM (SELECT row, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY row),
+    c AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+        FROM l LEFT JOIN again USING (row)),
+    judged AS (SELECT *, n_words < 50 AS few_words, 100 * n_repeat_words > 50 * n_words AS repetition, 10 * n_symbols > n_words AS symbols,
+        n_words > 0 AND word_chars NOT BETWEEN 3 * n_words AND 10 * n_words AS word_length, 10 * n_dup_lines > 3 * n_lines AS repeated_lines FROM c),
+    {_host_sql()}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repetition AS base_failed,
+        NOT (few_words OR repetition) AND failing.source IS NULL AS kept
+    FROM judged LEFT JOIN failing USING (source)
+    """
+)
+def op12_quality_rules(spark, sf_dir):
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
