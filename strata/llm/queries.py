@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import (
-    decontaminate, lang_id, packing, quality, quality_rules, simhash, simple8b, token_counts, tool_calls, toxicity, vectors,
+    decontaminate, lang_id, packing, quality, quality_rules, simhash, simple8b, token_counts, tool_calls, toxicity, vectors, whitening,
 )
 from strata.llm.samples import fold
 
@@ -207,3 +207,9 @@ def _host_sql() -> str:
 def op12_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op13_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))

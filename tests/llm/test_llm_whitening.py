@@ -1,0 +1,101 @@
+"""Whitening against a plain version."""
+
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from strata.llm import whitening
+from strata.llm.queries import QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def plain(vectors):
+    """Whole numbers, n, sums, and covariance, with Python's own whole numbers."""
+    x = [[math.floor(1024 * float(c)) + 100_000 for c in v] for v in vectors]
+    n, sums = len(x), [sum(c) for c in zip(*x, strict=True)]
+    centred = [[n * a - s for a, s in zip(v, sums, strict=True)] for v in x]
+    columns = list(zip(*centred, strict=True))
+    covariance = [[sum(a * b for a, b in zip(p, q, strict=True)) / n**3 for q in columns] for p in columns]
+    return n, centred, np.array(covariance)
+
+
+def check(rows, vectors, k=8):
+    """rows: those of the operator, in the order of the vectors' ids."""
+    n, centred, covariance = plain(vectors)
+    values, directions = np.linalg.eigh(covariance)
+    values, directions = values[::-1][:k], directions[:, ::-1][:, :k]
+    found = {(r.vec_id, r.component): r for r in rows}
+    assert len(found) == len(rows) == len(vectors) * len(values)
+    for c in range(len(values)):
+        mine = [found[i, c + 1] for i in range(n)]
+        assert all(r.n == n and abs(r.explained - values[c] / covariance.trace()) < 1e-9 and r.identity_error <= 1e-4 for r in mine)
+        assert [r.deviation for r in mine] == [sum(a * a for a in v) for v in centred]
+        expected = np.array(centred, dtype=float) @ directions[:, c] / n / math.sqrt(values[c])
+        got = np.array([r.whitened for r in mine])
+        assert min(np.abs(got - expected).max(), np.abs(got + expected).max()) < 1e-8
+
+
+def test_query(spark):
+    table = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
+    at = {r.vec_id: i for i, r in enumerate(sorted(table, key=lambda r: r.vec_id))}
+    rows = QUERIES["op13_whitening"](spark, SF_DIR)
+    assert dict(rows.dtypes)["deviation"] == "bigint" and dict(rows.dtypes)["component"] == "int" and dict(rows.dtypes)["n"] == "bigint"
+    rows = rows.collect()
+    moved = [type(r)(**(r.asDict() | {"vec_id": at[r.vec_id]})) for r in rows]
+    check(moved, [r.embedding for r in sorted(table, key=lambda r: r.vec_id)])
+
+
+numbers = st.integers(-(1 << 40), 1 << 40)
+
+
+@given(st.integers(1, 4).flatmap(lambda d: st.lists(st.lists(numbers, min_size=d, max_size=d), min_size=1, max_size=70)))
+def test_scatter_is_exact(rows):
+    n, sums, products = whitening.scatter(np.array(rows, dtype=np.int64))
+    columns = list(zip(*rows, strict=True))
+    assert n == len(rows) and sums == [sum(c) for c in columns]
+    assert products == [[sum(a * b for a, b in zip(p, q, strict=True)) for q in columns[i:]] for i, p in enumerate(columns)]
+
+
+def test_sums_over_many_tasks(spark):
+    random = np.random.default_rng(1)
+    values = random.normal(0, 30, (1000, 5))
+    frame = spark.createDataFrame([(v.tolist(),) for v in values], "embedding array<double>").repartition(7)
+    found = {(r.i, r.j): int(r.value) for r in whitening.cross_products(frame).collect()}
+    x = whitening.whole_numbers(values).astype(object)
+    assert found[0, 0] == 1000 and [found[0, j] for j in range(1, 6)] == x.sum(axis=0).tolist()
+    assert all(found[i, j] == (x[:, i - 1] * x[:, j - 1]).sum() for i in range(1, 6) for j in range(i, 6))
+
+
+def test_rows_of_every_kind(spark):
+    good = [[0.5, -1.0, 2.25], [1.5, 2.0, 0.0], [-200.0, 3.0, 1.0], [0.0, 0.0, 0.0], [0.5, -1.0, 2.25]]
+    rows = [(i, v, 1, "x") for i, v in enumerate(good)]
+    bad = [(10, None, 2, "y"), (11, [1.0, None, 2.0], 2, "y"), (12, [float("nan"), 1.0, 1.0], 2, "y"), (13, [float("-inf"), 1.0, 1.0], 2, "y"), (14, [], 2, "y")]
+    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, component int, Deviation string")
+    found = whitening.whiten(frame)
+    assert found.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    check(found.collect(), good)
+    assert whitening.whiten(frame.limit(0)).count() == 0 and whitening.whiten(frame.where("vec_id >= 10")).count() == 0
+
+
+def test_vectors_without_variance(spark):
+    same = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    rows = whitening.whiten(same).collect()
+    assert len(rows) == 6 and all(r.whitened is None and r.explained is None and r.identity_error is None and r.deviation == 0 for r in rows)
+    line = spark.createDataFrame([(i, [float(i), 2.0 * i, 5.0]) for i in range(20)], "vec_id long, embedding array<float>")
+    rows = whitening.whiten(line).collect()
+    assert all((r.whitened is None) == (r.component > 1) and r.identity_error < 1e-9 for r in rows)
+    assert all(r.explained == pytest.approx(1.0 if r.component == 1 else 0.0, abs=1e-9) for r in rows)
+
+
+def test_lengths_apart_and_large_numbers(spark):
+    mixed = [(i, [float(i), float(i * i % 7)]) for i in range(9)] + [(i + 100, [float(i * i), 1e9 * i, float(i % 3)]) for i in range(9)]
+    rows = whitening.whiten(spark.createDataFrame(mixed, "vec_id long, embedding array<double>")).collect()
+    check([r for r in rows if r.vec_id < 100], [v for i, v in mixed if i < 100])
+    large = [type(r)(**(r.asDict() | {"vec_id": r.vec_id - 100})) for r in rows if r.vec_id >= 100]
+    assert [int(r.deviation) for r in large if r.component == 1] == [sum(a * a for a in v) for v in plain([v for i, v in mixed if i >= 100])[1]]
+    with pytest.raises(Exception, match="beyond"):
+        whitening.whiten(spark.createDataFrame([(1, [1e30, 2.0])], "vec_id long, embedding array<double>")).count()
