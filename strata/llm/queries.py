@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import (
-    decontaminate, lang_id, packing, quality, quality_rules, simhash, simple8b, token_counts, tool_calls, toxicity, vectors, whitening,
+    decontaminate, lang_id, lexical, packing, quality, quality_rules, simhash, simple8b, token_counts, tool_calls, toxicity, vectors, whitening,
 )
 from strata.llm.samples import fold
 
@@ -166,6 +166,30 @@ def op10_quality(spark, sf_dir):
     return quality.score_quality(documents.select("doc_id", "text"), model).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
 
 
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+    tf AS MATERIALIZED (SELECT row, doc_id, term, count(*) AS tf FROM (SELECT row, doc_id, {_TERMS} AS term FROM d) GROUP BY ALL),
+    n AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY row),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+    i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} AS term FROM benchmark WHERE item_id IS NOT NULL)),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total
+        WHERE term IN (SELECT term FROM i) GROUP BY term, docs),
+    m AS (SELECT row, 10 + (90 * n * docs) // words AS m FROM n, total),
+    s AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+        FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (row) GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+    WHERE rank <= 10
+    """
+)
+def op11_lexical(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _HOST_RULES = ["few_words", "repetition", "symbols", "word_length", "repeated_lines"]
 
 
