@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -38,3 +41,50 @@ def qualified(spark: SparkSession, path: str) -> str:
     files, target = _at(spark, path)
     found = files.makeQualified(target).toString()
     return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, target = _at(spark, path)
+    stream = files.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that is not there yet, whole or not at all; False if it is there.
+
+    The text goes to a file of another name, which is then renamed; a rename that replaces nothing is one step on
+    HDFS. Where a store lacks such a rename, only one writer at a time is safe.
+    """
+    jvm = spark._jvm
+    files, target = _at(spark, path)
+    own = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = files.create(own, False)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(own, files.makeQualified(target), spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        files.delete(own, False)
+        if files.exists(target):
+            return False
+        raise e
+    return True
+
+
+def bytes_below(spark: SparkSession, path: str) -> int:
+    files, target = _at(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
+def folder_entries(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
+    """(path, whether it is a folder, milliseconds of its last change) of what lies directly in a folder."""
+    files, target = _at(spark, path)
+    if not files.exists(target):
+        return []
+    return [(s.getPath().toString(), s.isDirectory(), s.getModificationTime()) for s in files.listStatus(target)]

@@ -10,15 +10,18 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.checkpoints import scratch_path
-from strata.files import matching, remove_folder
 from strata.operators.clean import drop_duplicates
+from strata.sinks import snapshots
 
 # Length of a key, and how long an entry lives.
 KEY_LENGTH = 16
 TTL_DAYS = 30
 
+MONTH = "cached_month"
+BLOOM = {"parquet.bloom.filter.enabled#key": "true"}
+
 
 def content_key(df: DataFrame, content: str | Sequence[str], key_col: str = "key") -> DataFrame:
     """Add a key over canonical JSON: equal content gives an equal key, in whatever order its keys are.
@@ -71,51 +74,70 @@ def clear_cached(cache: DataFrame, condition: str | Column = "true") -> DataFram
     return cache.filter(~F.coalesce(test, F.lit(False)))
 
 
+def _placed(entries: DataFrame) -> DataFrame:
+    """Entries by the month of `cached_at`, each file sorted by key, so that a look-up skips what cannot hold it."""
+    month = F.coalesce(F.date_format("cached_at", "yyyy-MM"), F.lit("none"))
+    return entries.withColumn(MONTH, month).hint("rebalance", MONTH).sortWithinPartitions(MONTH, "key")
+
+
 def upsert_cache(path: str, new: DataFrame) -> None:
-    """Store entries in the cache table at `path`: one append, below the month of `cached_at`.
+    """Store entries in the cache table at `path`: new folders by the month of `cached_at`, and a version that names them.
 
-    Nothing that is there is read or rewritten, and the entries are evaluated once. `read_cache` gives the
-    latest entry per key, so storing the same entries again changes nothing there; `compact_cache` removes what
-    has been superseded, `drop_expired` whole months.
+    Nothing that is there is read or rewritten, and the entries are evaluated once. `read_cache` gives the latest
+    entry per key, so storing the same entries again changes nothing there. Several writers may store at once.
     """
-    month = F.coalesce(F.date_format("cached_at", "yyyy-MM"), F.lit("none"))
-    new.withColumn("cached_month", month).hint("rebalance", "cached_month").write.mode("append").partitionBy("cached_month").parquet(path)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in new.schema.fields])
+    snapshots.joint_schema(snapshots.latest(new.sparkSession, path).schema, schema)
+    snapshots.commit(new.sparkSession, path, snapshots.write_parts(_placed(new), path, MONTH, options=BLOOM), schema=schema)
+
+
+def cache_entries(spark: SparkSession, path: str) -> DataFrame:
+    """All entries of the latest version, superseded ones included."""
+    return snapshots.read_parts(spark, path, snapshots.latest(spark, path))
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The latest entry of each key in the cache table at `path`."""
-    return drop_duplicates(_entries(spark, path).drop("cached_month"), ["key"], ["-cached_at"])
+    """The latest entry of each key in the cache table at `path`. The frame stays with the version of this moment."""
+    return drop_duplicates(cache_entries(spark, path), ["key"], ["-cached_at"])
+
 
+def lookup_cache(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The latest entries of some keys. Bloom filters and ranges of the files keep all but a few row groups unread."""
+    return drop_duplicates(cache_entries(spark, path).filter(F.col("key").isin(list(keys))), ["key"], ["-cached_at"])
 
-def _entries(spark: SparkSession, path: str) -> DataFrame:
-    # Schemas are merged, as later entries may have further columns.
-    return spark.read.option("mergeSchema", "true").parquet(path)
 
+def compact_cache(spark: SparkSession, path: str, fan: int | None = None) -> bool:
+    """Keep the latest entry of each key, in files of good size; False if another compaction came first.
 
-def compact_cache(spark: SparkSession, path: str) -> None:
-    """Keep the latest entry of each key, in files of good size; months left without entries lose their folder."""
-    latest = drop_duplicates(_entries(spark, path), ["key"], ["-cached_at"])
-    kept = scratch_path(spark, "compacted")
-    latest.withColumn("cached_month", F.col("cached_month").cast("string")).write.parquet(kept)
-    done = spark.read.parquet(kept)
-    (
-        done.hint("rebalance", "cached_month")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cached_month").parquet(path)
-    )
-    months = {r[0] for r in done.select("cached_month").distinct().collect()}
-    for folder in matching(spark, f"{path}/cached_month=*"):
-        if folder.rsplit("=", 1)[1] not in months:
-            remove_folder(spark, folder)
-    remove_folder(spark, kept)
+    The work is done on one version, and committed in the place of just the folders that were read: entries stored
+    meanwhile stay, and until the commit readers see the table as it was. With `fan`, only folders of like size are
+    merged, where a month has `fan` of them (see `snapshots.tiers`): cheap enough after every few stores.
+    Replaced folders go with `vacuum_cache`.
+    """
+    snapshot = snapshots.latest(spark, path)
+    parts = snapshot.parts
+    if fan is not None:
+        months = sorted({p.tags[MONTH] for p in parts})
+        parts = [p for m in months for group in snapshots.tiers([p for p in parts if p.tags[MONTH] == m], fan) for p in group]
+    if not parts:
+        return True
+    latest = drop_duplicates(snapshots.read_parts(spark, path, snapshot, parts), ["key"], ["-cached_at"])
+    merged = snapshots.write_parts(_placed(latest), path, MONTH, options=BLOOM)
+    return snapshots.commit(spark, path, merged, parts) is not None
 
 
 def drop_expired(spark: SparkSession, path: str, now: datetime, ttl_days: int = TTL_DAYS) -> int:
-    """Remove the folders of months whose entries have all expired; returns how many. Reads no entry."""
+    """Leave out the folders of months whose entries have all expired; returns how many. Reads no entry."""
     last = (now - timedelta(days=ttl_days)).strftime("%Y-%m")
-    old = [f for f in matching(spark, f"{path}/cached_month=*") if f.rsplit("=", 1)[1] < last]
-    for folder in old:
-        remove_folder(spark, folder)
-    return len(old)
+    while True:
+        old = [p for p in snapshots.latest(spark, path).parts if p.tags[MONTH] < last]
+        if not old or snapshots.commit(spark, path, remove=old) is not None:
+            return len({p.tags[MONTH] for p in old})
+
+
+def vacuum_cache(spark: SparkSession, path: str, older_than: timedelta = timedelta(days=1)) -> int:
+    """Remove the folders that no version names any more and that are older than a while; returns how many."""
+    return snapshots.vacuum(spark, path, older_than.total_seconds())
 
 
 def cache_stats(cache: DataFrame, by: Sequence[str] = ()) -> DataFrame:

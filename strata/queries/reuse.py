@@ -127,7 +127,24 @@ def compact_cache(spark, sf):
     for entries in (_cache(spark, sf), _newer(spark, sf), _newer(spark, sf)):
         reuse.upsert_cache(path, entries)
     reuse.compact_cache(spark, path)
-    return spark.read.parquet(path).groupBy("key").agg(F.count(F.lit(1)).alias("entries"), F.max("payload").alias("payload"))
+    return reuse.cache_entries(spark, path).groupBy("key").agg(F.count(F.lit(1)).alias("entries"), F.max("payload").alias("payload"))
+
+
+@query(
+    "lookup_cache",
+    """
+    SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'newer' ELSE 'result of ' || o_custkey END AS payload
+    FROM orders WHERE (o_orderkey % 3 = 0 OR o_orderkey % 2 = 0) AND o_orderkey IN (2, 3, 4, 5, 6, 33, 34, 64, 65, 66, 96, 999)
+    """,
+)
+def lookup_cache(spark, sf):
+    """A few keys, from a table that was stored in six appends and merged by size."""
+    path = scratch_path(spark, "cache")
+    stores = [(_cache(spark, sf).filter(f"key % 4 = {k}"), 1) for k in range(4)] + [(_newer(spark, sf), 2)] * 2
+    for entries, day in stores:
+        reuse.upsert_cache(path, entries.withColumn("cached_at", F.make_timestamp_ntz(F.lit(1996), F.lit(1), F.lit(day), F.lit(0), F.lit(0), F.lit(0))))
+    reuse.compact_cache(spark, path, fan=4)
+    return reuse.lookup_cache(spark, path, [2, 3, 4, 5, 6, 33, 34, 64, 65, 66, 96, 999]).select("key", "payload")
 
 
 @query(
