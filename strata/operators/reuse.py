@@ -20,7 +20,8 @@ KEY_LENGTH = 16
 TTL_DAYS = 30
 
 MONTH = "cached_month"
-BLOOM = {"parquet.bloom.filter.enabled#key": "true"}
+# Filters are as large as the keys of a row group need.
+BLOOM = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def content_key(df: DataFrame, content: str | Sequence[str], key_col: str = "key") -> DataFrame:

@@ -5,20 +5,26 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.files import exists
 from strata.operators.clean import drop_duplicates
+from strata.sinks import snapshots
 from strata.sinks.layers import BATCH_LEVELS, layer_path, write_layer
 
-#: The keys of a silver table are kept beside it, in so many buckets by their hash.
-KEY_BUCKETS = 64
-
-
-def _bucketed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int"))
+#: The hash that the files of the ledger are sorted by, and the batch that wrote a key.
+HASH, BATCH = "_hash", "_batch"
+#: Row groups are small, and their Bloom filters let through one hash in 10,000 that they lack.
+LEDGER = {
+    "parquet.bloom.filter.enabled#_hash": "true", "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.bloom.filter.fpp#_hash": "0.0001", "parquet.block.size": str(1 << 20),
+}
+#: Micro-batches of up to so many keys look their hashes up; larger ones are joined with the whole ledger.
+LOOK_UP = 20_000
+#: Hashes that one clause of the filter on the ledger holds, for a range of the hash space.
+AT_ONCE = 500
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -31,34 +37,66 @@ def new_rows(batch: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Data
     return batch.join(seen, list(keys), "left_anti")
 
 
-def _store_keys(rows: DataFrame, ledger: str, keys: Sequence[str], batch_id: str) -> None:
-    placed = _bucketed(rows.select(*keys), keys).withColumn("batch_id", F.lit(batch_id))
-    (
-        placed.repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "bucket")
-        .parquet(ledger)
-    )
+def _ledger_rows(rows: DataFrame, keys: Sequence[str], batch_id: Column) -> DataFrame:
+    return rows.select(F.xxhash64(*keys).alias(HASH), *keys, batch_id.alias(BATCH))
 
 
-def _known_keys(rows: DataFrame, ledger: str, target: str, keys: Sequence[str], batch_id: str) -> DataFrame:
-    """Keys of earlier batches, from the buckets of the ledger that the rows fall into."""
+def store_keys(rows: DataFrame, ledger: str, keys: Sequence[str], batch_id: str, fan: int = snapshots.FAN) -> None:
+    """Add the keys of a batch to the ledger, in the place of those of an earlier attempt; merge parts of like size.
+
+    The last batch of each stream keeps a part of its own, since it may be repeated. Merging is a commit of its own, and
+    left undone if another writer was faster.
+    """
+    spark = rows.sparkSession
+    named = _ledger_rows(rows, keys, F.lit(batch_id)).sortWithinPartitions(HASH)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in named.schema.fields])
+    added = snapshots.write_parts(named, ledger, tags={"batch": batch_id}, options=LEDGER)
+    while True:
+        earlier = [p for p in snapshots.latest(spark, ledger).parts if p.tags["batch"] == batch_id]
+        if snapshots.commit(spark, ledger, added, earlier, schema) is not None:
+            break
+    now = snapshots.latest(spark, ledger)
+    streams = {}
+    for p in now.parts:
+        number, _, stream = p.tags["batch"].partition("-")
+        streams[stream] = max(number, streams.get(stream, ""))
+    settled = [p for p in now.parts if not p.tags["batch"] or streams[p.tags["batch"].partition("-")[2]] != p.tags["batch"].partition("-")[0]]
+    for group in snapshots.tiers(settled, fan):
+        files = max(1, sum(p.bytes for p in group) >> 27)
+        together = snapshots.read_parts(spark, ledger, now, group)
+        merged = together.repartitionByRange(files, HASH).sortWithinPartitions(HASH)
+        snapshots.commit(spark, ledger, snapshots.write_parts(merged, ledger, tags={"batch": ""}, options=LEDGER), group)
+
+
+def known_keys(rows: DataFrame, ledger: str, keys: Sequence[str], batch_id: str, look_up: int = LOOK_UP) -> DataFrame:
+    """Keys of other batches among which all those of `rows` that the ledger holds are found.
+
+    Of a small micro-batch the hashes are brought to the driver (`look_up` at most) and become a filter, with one clause
+    for each range of sorted hashes. Ranges and Bloom filters of the row groups then leave most of the ledger unread,
+    as new keys are in none of them. For a larger micro-batch the ledger's keys are read and joined.
+    """
+    spark = rows.sparkSession
+    now = snapshots.latest(spark, ledger)
+    known = snapshots.read_parts(spark, ledger, now).filter(F.col(BATCH) != batch_id)
+    found = sorted({r[0] for r in rows.select(F.xxhash64(*keys)).limit(look_up + 1).collect()})
+    if len(found) > look_up:
+        return known.select(*keys)
+    if not found:
+        return known.filter(F.lit(False)).select(*keys)
+    groups = [found[begin : begin + AT_ONCE] for begin in range(0, len(found), AT_ONCE)]
+    wanted = [f"({HASH} BETWEEN {g[0]} AND {g[-1]} AND {HASH} IN ({', '.join(map(str, g))}))" for g in groups]
+    return known.filter(" OR ".join(wanted)).select(*keys)
+
+
+def _start_ledger(rows: DataFrame, ledger: str, target: str, keys: Sequence[str], batch_id: str) -> None:
+    """The ledger of a table from before it: the table's keys are read once."""
     spark, kinds = rows.sparkSession, {f.name: f.dataType for f in rows.schema.fields}
     fields = [T.StructField(k, kinds[k]) for k in keys]
-    if not exists(spark, ledger):
-        # A table from before the ledger: its keys are read once.
-        silver = spark.read.schema(T.StructType([*fields, T.StructField("batch_id", T.StringType())])).parquet(target)
-        for_each = silver.filter(F.col("batch_id") != batch_id)
-        (
-            _bucketed(for_each.select(*keys, "batch_id"), keys).repartition("bucket")
-            .write.mode("overwrite").partitionBy("batch_id", "bucket").parquet(ledger)
-        )
-    # At most KEY_BUCKETS numbers: they prune the folders that are read.
-    touched = [r["bucket"] for r in _bucketed(rows.select(*keys), keys).select("bucket").distinct().collect()]
-    levels = [T.StructField("batch_id", T.StringType()), T.StructField("bucket", T.IntegerType())]
-    known = spark.read.schema(T.StructType([*fields, *levels])).parquet(ledger)
-    return known.filter(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id)).select(*keys)
+    silver = spark.read.schema(T.StructType([*fields, T.StructField("batch_id", T.StringType())])).parquet(target)
+    named = _ledger_rows(silver.filter(F.col("batch_id") != batch_id), keys, F.col("batch_id").cast("string"))
+    sorted_rows = named.repartitionByRange(HASH).sortWithinPartitions(HASH)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in named.schema.fields])
+    snapshots.commit(spark, ledger, snapshots.write_parts(sorted_rows, ledger, tags={"batch": ""}, options=LEDGER), schema=schema)
 
 
 def promote(
@@ -79,8 +117,7 @@ def promote(
 
     The checkpoint remembers which files are done, so a second run without new files adds nothing. With `keys`, a
     key is written once: the first by `order_by` within a micro-batch, and no key that an earlier batch
-    wrote. Those keys lie in a ledger beside the table (`_keys`), of which a micro-batch reads the buckets that its own
-    keys fall into, and never the table. A micro-batch that is repeated after a failure has the same batch id:
+    wrote. Those keys lie in a ledger beside the table (`_keys`), see `known_keys`; the table itself is never read. A micro-batch that is repeated after a failure has the same batch id:
     it is not compared with its own first attempt but replaces it. The id of the stream is part of the batch id, so
     a new checkpoint replaces nothing that another one wrote.
     """
@@ -103,10 +140,12 @@ def promote(
         rows = drop_duplicates(rows, keys, order_by).persist()
         try:
             fresh = rows
-            if exists(session, target) or exists(session, ledger):
-                fresh = new_rows(rows, _known_keys(rows, ledger, target, keys, batch_id), keys)
+            if not snapshots.latest(session, ledger).version and exists(session, target):
+                _start_ledger(rows, ledger, target, keys, batch_id)
+            if snapshots.latest(session, ledger).version:
+                fresh = new_rows(rows, known_keys(rows, ledger, keys, batch_id), keys)
             write_layer(fresh, root, "silver", source, dataset, ts, batch_id)
-            _store_keys(fresh, ledger, keys, batch_id)
+            store_keys(fresh, ledger, keys, batch_id)
         finally:
             rows.unpersist()
 

@@ -3,13 +3,15 @@ import glob
 import json
 
 import pytest
+from plans import scanned
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from strata.operators.envelope import record_columns, unwrap_envelope
+from strata.sinks import snapshots
 from strata.sinks.layers import layer_path, new_batch_id, to_json_records, write_layer
 from strata.sources import landing
-from strata.streaming.promote import promote
+from strata.streaming.promote import known_keys, new_rows, promote, store_keys
 
 BODIES = [
     (1, '[{"id":1}]'),
@@ -243,3 +245,32 @@ def test_a_table_from_before_the_ledger(spark, tmp_path):
     land(spark, tmp_path, "b", 2, 3)
     run_promote(spark, tmp_path, "c")
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "a"), (3, "b")]
+
+
+def test_a_small_micro_batch_reads_a_small_share_of_the_ledger(spark, tmp_path):
+    """10,000 keys against 2,000,000: nearly all are new, so hardly any row group is read."""
+    ledger = str(tmp_path / "keys")
+    for k in range(4):
+        store_keys(spark.range(500_000 * k, 500_000 * (k + 1)).withColumnRenamed("id", "k").repartition(4), ledger, ["k"], f"{k:014d}-abc", fan=100)
+    batch = spark.range(1_999_998, 2_009_998).withColumnRenamed("id", "k")
+    known = known_keys(batch, ledger, ["k"], "00000000000009-abc")
+    assert scanned(known) < 600_000
+    assert sorted(r.k for r in new_rows(batch, known_keys(batch, ledger, ["k"], "00000000000009-abc"), ["k"]).collect()) == list(range(2_000_000, 2_009_998))
+    joined = known_keys(batch, ledger, ["k"], "00000000000009-abc", look_up=100)
+    assert new_rows(batch, joined, ["k"]).count() == 9_998
+    own = known_keys(batch, ledger, ["k"], "00000000000003-abc")
+    assert new_rows(batch, own, ["k"]).count() == 10_000  # a repeated batch is not compared with its first attempt
+
+
+def test_the_ledger_is_merged_and_repeated_batches_replace_theirs(spark, tmp_path):
+    ledger = str(tmp_path / "keys")
+    keys = lambda a, b: spark.range(a, b).withColumnRenamed("id", "k")
+    for n in range(11):
+        store_keys(keys(10 * n, 10 * n + 10), ledger, ["k"], f"{n:014d}-abc")
+    parts = snapshots.latest(spark, ledger).parts
+    assert len(parts) <= 5 and [p.tags["batch"] for p in parts if p.tags["batch"]][-1] == "00000000000010-abc"
+    store_keys(keys(100, 105), ledger, ["k"], "00000000000010-abc")
+    rows = snapshots.read_parts(spark, ledger, snapshots.latest(spark, ledger))
+    assert sorted(r.k for r in rows.collect()) == list(range(105))
+    store_keys(keys(0, 0), ledger, ["k"], "00000000000011-abc")
+    assert known_keys(keys(0, 3), ledger, ["k"], "x").count() == 3 and known_keys(keys(0, 0), ledger, ["k"], "x").count() == 0

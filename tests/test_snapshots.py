@@ -5,6 +5,7 @@ import json
 import threading
 
 import pytest
+from plans import scanned
 from pyspark.sql import functions as F
 
 from strata.files import write_new
@@ -20,23 +21,6 @@ def payloads(spark, path):
     return {r.key: r.payload for r in reuse.read_cache(spark, path).collect()}
 
 
-def scanned(df):
-    """Rows that the scans of a frame gave, after it ran."""
-    df.collect()
-    plan, total = df._jdf.queryExecution().executedPlan(), 0
-    stack = [plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan]
-    while stack:
-        node = stack.pop()
-        name = node.getClass().getSimpleName()
-        if name == "FileSourceScanExec":
-            total += node.metrics().apply("numOutputRows").value()
-        if "QueryStage" in name:
-            stack.append(node.plan())
-        children = node.children()
-        stack += [children.apply(i) for i in range(children.size())]
-    return total
-
-
 def test_entries_stored_during_a_compaction_stay(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "cache")
     for day in (1, 2):
