@@ -5,10 +5,12 @@ A cache is a table with a unique `key`, a `payload`, `cached_at`, and any furthe
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,21 +77,23 @@ def clear_cached(cache: DataFrame, condition: str | Column = "true") -> DataFram
     return cache.filter(~F.coalesce(test, F.lit(False)))
 
 
-def _placed(entries: DataFrame) -> DataFrame:
-    """Entries by the month of `cached_at`, each file sorted by key, so that a look-up skips what cannot hold it."""
-    month = F.coalesce(F.date_format("cached_at", "yyyy-MM"), F.lit("none"))
-    return entries.withColumn(MONTH, month).hint("rebalance", MONTH).sortWithinPartitions(MONTH, "key")
+def _month() -> Column:
+    return F.coalesce(F.date_format("cached_at", "yyyy-MM"), F.lit("none"))
 
 
 def upsert_cache(path: str, new: DataFrame) -> None:
-    """Store entries in the cache table at `path`: new folders by the month of `cached_at`, and a version that names them.
+    """Store entries in the cache table at `path`: a new folder, sorted by key, and a version that names it.
 
     Nothing that is there is read or rewritten, and the entries are evaluated once. `read_cache` gives the latest
     entry per key, so storing the same entries again changes nothing there. Several writers may store at once.
     """
+    spark, seen = new.sparkSession, Observation()
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in new.schema.fields])
-    snapshots.joint_schema(snapshots.latest(new.sparkSession, path).schema, schema)
-    snapshots.commit(new.sparkSession, path, snapshots.write_parts(_placed(new), path, MONTH, options=BLOOM), schema=schema)
+    snapshots.joint_schema(snapshots.latest(spark, path).schema, schema)
+    placed = new.observe(seen, F.max(_month()).alias("newest")).hint("rebalance").sortWithinPartitions("key")
+    (part,) = snapshots.write_parts(placed, path, options=BLOOM)
+    newest = seen.get["newest"]
+    snapshots.commit(spark, path, [replace(part, tags={"newest": newest})] if newest else [], schema=schema)
 
 
 def cache_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -108,32 +112,38 @@ def lookup_cache(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
 
 
 def compact_cache(spark: SparkSession, path: str, fan: int | None = None) -> bool:
-    """Keep the latest entry of each key, in files of good size; False if another compaction came first.
+    """Keep the latest entry of each key, in folders by the month of `cached_at` and files of good size; False if
+    another compaction came first.
 
     The work is done on one version, and committed in the place of just the folders that were read: entries stored
     meanwhile stay, and until the commit readers see the table as it was. With `fan`, only folders of like size are
-    merged, where a month has `fan` of them (see `snapshots.tiers`): cheap enough after every few stores.
-    Replaced folders go with `vacuum_cache`.
+    merged, where a month (or what was stored since) has `fan` of them, see `snapshots.tiers`: cheap enough after
+    every few stores. Replaced folders go with `vacuum_cache`.
     """
     snapshot = snapshots.latest(spark, path)
     parts = snapshot.parts
     if fan is not None:
-        months = sorted({p.tags[MONTH] for p in parts})
-        parts = [p for m in months for group in snapshots.tiers([p for p in parts if p.tags[MONTH] == m], fan) for p in group]
+        months = defaultdict(list)
+        for p in parts:
+            months[p.tags.get(MONTH)].append(p)
+        parts = [p for own in months.values() for group in snapshots.tiers(own, fan) for p in group]
     if not parts:
         return True
     latest = drop_duplicates(snapshots.read_parts(spark, path, snapshot, parts), ["key"], ["-cached_at"])
-    merged = snapshots.write_parts(_placed(latest), path, MONTH, options=BLOOM)
-    return snapshots.commit(spark, path, merged, parts) is not None
+    placed = latest.withColumn(MONTH, _month()).hint("rebalance", MONTH).sortWithinPartitions(MONTH, "key")
+    return snapshots.commit(spark, path, snapshots.write_parts(placed, path, MONTH, options=BLOOM), parts) is not None
 
 
 def drop_expired(spark: SparkSession, path: str, now: datetime, ttl_days: int = TTL_DAYS) -> int:
-    """Leave out the folders of months whose entries have all expired; returns how many. Reads no entry."""
+    """Leave out the folders whose entries are all of months that have expired; returns how many. Reads no entry.
+
+    Stored entries of several months lie in one folder until they are compacted.
+    """
     last = (now - timedelta(days=ttl_days)).strftime("%Y-%m")
     while True:
-        old = [p for p in snapshots.latest(spark, path).parts if p.tags[MONTH] < last]
+        old = [p for p in snapshots.latest(spark, path).parts if p.tags.get(MONTH, p.tags.get("newest")) < last]
         if not old or snapshots.commit(spark, path, remove=old) is not None:
-            return len({p.tags[MONTH] for p in old})
+            return len(old)
 
 
 def vacuum_cache(spark: SparkSession, path: str, older_than: timedelta = timedelta(days=1)) -> int:

@@ -30,6 +30,9 @@ Fetcher = Callable[[str, Mapping[str, str]], str]
 TIMEOUT_SECONDS = 30
 ATTEMPTS = 3
 
+#: Pages that a source is probed at, once as far, twice as far, four times as far and so on, when its pages repeat.
+PROBES = 7
+
 #: `is_empty`: a page without records, which ends its source; `error`: why there is no usable page.
 SCHEMA = "source_id string, seq bigint, page bigint, body string, attempts int, is_empty boolean, error string"
 
@@ -203,41 +206,107 @@ def fetch_pages(
     )
 
 
+def repeats(page, earlier) -> str:
+    return f"page {page} repeats page {earlier}"
+
+
+def _repeated(pages: DataFrame) -> DataFrame:
+    """`source_id`, `seq`, `of`: pages that repeat earlier ones of their source, by digests of their bodies.
+
+    A page repeats the one before it if they are equal; two pages in a row repeat two earlier ones if they are equal in
+    the same order, as with a server that starts again. A page equal to one farther away is no sign of that.
+    """
+    digests = pages.filter("body IS NOT NULL AND NOT is_empty").select("source_id", "seq", F.sha2("body", 256).alias("digest"))
+    before = digests.select("source_id", (F.col("seq") + 1).alias("seq"), F.col("digest").alias("before"))
+    pairs = digests.join(before, ["source_id", "seq"])
+    same = pairs.filter("digest = before").select("source_id", "seq", (F.col("seq") - 1).alias("of"))
+    others = pairs.filter("digest <> before")
+    first = others.groupBy("source_id", "before", "digest").agg(F.min("seq").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    both = F.array(*[F.struct((F.col("seq") - k).alias("seq"), (F.col("first") - k).alias("of")) for k in (0, 1)])
+    again = others.join(first, ["source_id", "before", "digest"]).filter("seq > first").select("source_id", F.inline(both))
+    return same.unionByName(again.filter("of < seq")).groupBy("source_id", "seq").agg(F.min("of").alias("of"))
+
+
+def _endless(pages: DataFrame, repeated: DataFrame, going: DataFrame, asked: int, fetch: Callable[[DataFrame, list[int]], DataFrame]) -> DataFrame:
+    """Of the sources whose last page is a repeated one, those that give pages they gave before wherever they are asked.
+
+    They are probed at doubling distances; a page that is empty, an error or new there shows that the source gets on.
+    """
+    suspects = repeated.filter(F.col("seq") == asked).select("source_id").join(going, "source_id", "left_semi").distinct().checkpoint()
+    if suspects.isEmpty():
+        return suspects
+    probes = fetch(suspects, [asked << k for k in range(1, PROBES + 1)])
+    known = pages.join(suspects, "source_id", "left_semi").select("source_id", F.sha2("body", 256).alias("digest")).distinct()
+    digest = F.when(F.col("body").isNotNull() & ~F.col("is_empty"), F.sha2("body", 256))
+    moving = probes.select("source_id", digest.alias("digest")).join(known, ["source_id", "digest"], "left_anti")
+    return suspects.join(moving, "source_id", "left_anti").checkpoint()
+
+
+def _close(pages: DataFrame, repeated: DataFrame, endless: DataFrame) -> DataFrame:
+    """The pages of endless sources after their last new one lose their body and get an error that names what they repeat."""
+    own = pages.join(endless, "source_id", "left_semi").select("source_id", "seq")
+    last = own.join(repeated, ["source_id", "seq"], "left_anti").groupBy("source_id").agg(F.max("seq").alias("_last"))
+    found = repeated.join(endless, "source_id", "left_semi").join(last, "source_id", "left").filter(F.col("seq") > F.coalesce("_last", F.lit(1)))
+    marked = pages.join(found.select("source_id", "seq", "of"), ["source_id", "seq"], "left")
+    again = F.col("of").isNotNull()
+    told = F.format_string("page %d repeats page %d", "seq", "of")
+    return marked.withColumns({"body": F.when(~again, F.col("body")), "error": F.when(again, told).otherwise(F.col("error"))}).select(pages.columns)
+
+
 def require_pages(pages: DataFrame) -> DataFrame:
     """The same pages; reading one with an error fails."""
     told = F.concat_ws(": ", F.concat_ws(" page ", "source_id", "page"), "error")
     return pages.filter(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
 
 
-def read_paged(sources: DataFrame, fetcher: Fetcher, keep: bool = True, wave: int = WAVE, **options) -> DataFrame:
+def read_paged(sources: DataFrame, fetcher: Fetcher, keep: bool = True, wave: int | None = None, run_length: int = 10, **options) -> DataFrame:
     """Plan the requests of a table of sources and fetch them, as rows of SCHEMA; a `url` column is screened first.
 
-    The pages are fetched now and checkpointed in the shared folder. Sources without a known end are
-    fetched in waves, each four times the last, until they have given a page without records or an error. With
-    `keep=False` nothing is fetched now: every use of the frame fetches again, and reading fails where a
-    source without a known end goes on after the first wave.
+    The pages are fetched now and checkpointed in the shared folder. Sources without a known end are fetched in waves,
+    the first of one run (or `wave` pages), each further one as long as all before it, until they have given a page
+    without records or an error. So about twice as many pages are asked for as there are, at most. A source whose
+    pages repeat is probed farther on (`_endless`); one that never gives anything new ends with errors that name the
+    repeated pages, so no source is read for ever. With
+    `keep=False` nothing is fetched now: every use of the frame fetches again, and reading fails where a source without
+    a known end goes on after the first wave.
     """
-    requests = plan_requests(sources, 1, wave)
-    pages = fetch_pages(requests, fetcher, **options)
+    first_wave = wave or (run_length if keep else WAVE)
+    requests = plan_requests(sources, 1, first_wave)
+    pages = fetch_pages(requests, fetcher, run_length, **options)
+    going = requests.filter("last IS NULL").select(F.col("source_id").cast("string").alias("source_id")).distinct()
     if not keep:
-        last = requests.filter("last IS NULL").select(F.col("source_id").cast("string").alias("source_id"), F.lit(wave).cast("bigint").alias("seq"), F.lit(True).alias("open"))
+        last = going.select("source_id", F.lit(first_wave).cast("bigint").alias("seq"), F.lit(True).alias("open"))
         goes_on = F.col("open") & ~F.col("is_empty") & F.col("error").isNull()
         told = F.raise_error(F.concat(F.lit("more pages than one wave: "), F.col("source_id"))).cast("boolean")
-        marked = pages.join(last.distinct(), ["source_id", "seq"], "left")
+        marked = pages.join(last, ["source_id", "seq"], "left")
         return marked.filter(F.when(goes_on, told).otherwise(F.lit(True))).select(pages.columns)
     ensure_checkpoint_dir(sources.sparkSession)
-    fetched = [pages.checkpoint()]
-    first = 1
-    while True:
-        ended = fetched[-1].filter("is_empty OR error IS NOT NULL").select("source_id")
-        seen = fetched[-1].select("source_id").distinct().join(ended, "source_id", "left_anti").select(F.col("source_id").alias("_going"))
-        more = sources.join(seen, F.col("source_id").cast("string") == F.col("_going"), "left_semi")
-        first, wave = first + wave, wave * 4
-        later = plan_requests(more, first, wave).filter("last IS NULL")
-        if later.isEmpty():
+    named = F.col("source_id").cast("string") == F.col("_named")
+
+    def fetch(wanted: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+        """Spans of pages (first, how many) of some sources."""
+        more = sources.join(wanted.select(F.col("source_id").alias("_named")), named, "left_semi")
+        planned = [plan_requests(more, first, many).filter("last IS NULL") for first, many in spans]
+        return fetch_pages(reduce(DataFrame.unionByName, planned), fetcher, run_length, **options).checkpoint()
+
+    found, asked, open_ended = pages.checkpoint(), first_wave, going
+    while not (going := _going_on(found, open_ended)).isEmpty():
+        repeated = _repeated(found.join(going, "source_id", "left_semi")).checkpoint()
+        endless = _endless(found, repeated, going, asked, lambda wanted, at: fetch(wanted, [(p, 1) for p in at]))
+        if not endless.isEmpty():
+            found = _close(found, repeated, endless).checkpoint()
+            going = going.join(endless, "source_id", "left_anti").checkpoint()
+        if going.isEmpty():
             break
-        fetched.append(fetch_pages(later, fetcher, **options).checkpoint())
-    return reduce(DataFrame.unionByName, fetched)
+        found = found.unionByName(fetch(going, [(asked + 1, asked)]))
+        asked *= 2
+    return found
+
+
+def _going_on(pages: DataFrame, open_ended: DataFrame) -> DataFrame:
+    """The sources without a known end that have given pages, none of them empty or an error."""
+    ended = pages.filter("is_empty OR error IS NOT NULL").select("source_id")
+    return open_ended.join(pages.select("source_id"), "source_id", "left_semi").join(ended, "source_id", "left_anti").checkpoint()
 
 
 class _Lane(InputPartition):
@@ -275,11 +344,22 @@ class _PagedReader(DataSourceReader):
         fetcher = self.fetcher()
         pause = float(self.options.get("pause", 1))
         how = self.options.get("record_key"), self.options.get("row_element")
+        ask = lambda page: _read_page(fetcher, self.source_id, {self.page_param: str(page)}, pause, *how)
+        cleared = 0
         for run in count(partition.first, partition.step):
-            for page in range(run * self.run_length + 1, (run + 1) * self.run_length + 1):
+            start = run * self.run_length + 1
+            # Without a known end the page before a run is asked for as well, to see pages that repeat.
+            before = ask(start - 1)[0] if self.last is None and start > 1 else None
+            for page in range(start, start + self.run_length):
                 if self.last is not None and page > self.last:
                     return
-                found = _read_page(fetcher, self.source_id, {self.page_param: str(page)}, pause, *how)
+                found = ask(page)
+                if self.last is None and page > cleared and found[0] is not None and not found[2] and found[0] == before:
+                    if all(ask(page << k)[0] == before for k in range(1, PROBES + 1)):
+                        found = None, found[1], False, repeats(page, page - 1)
+                    else:
+                        cleared = 2 * page
+                before = found[0] if found[0] is not None else before
                 yield self.source_id, page, page, *found
                 if found[2] or found[3] is not None:
                     return
@@ -291,7 +371,9 @@ class PagedSource(DataSource):
     Options: `fetcher` (`files`, which needs `root`, or "module:name" of a callable that executors can
     import), `source_id`, `page_param`, `page_size`, `max_pages`, `max_items`, `run_length`, `lanes`, `pause`,
     `record_key`, `row_element`. Runs of pages are dealt out over `lanes` input partitions, each of which goes on until it meets
-    a page without records, an error or the given end; without an end the source is read to its own.
+    a page without records, an error or the given end; without an end the source is read to its own. A page that
+    repeats the one before it, and comes at doubling distances as well, is an error then: a server that goes on with its
+    last page is not read for ever.
     """
 
     @classmethod

@@ -287,3 +287,54 @@ def test_the_paged_format_reads_to_the_end(spark, dump):
     reader = spark.read.format("paged").option("root", dump).option("lanes", 3)
     df = reader.option("source_id", "big").load()
     assert df.rdd.getNumPartitions() == 3 and df.filter("NOT is_empty").count() == 35
+
+
+def endless(n, again, calls):
+    """A source of `n` pages that goes on after its end: with its last page, or from the first again."""
+
+    def fetch(source_id, params):
+        calls.add(1)
+        page = int(params["page"])
+        if source_id == "sound":
+            return json.dumps([{"id": page}] if page <= 33 else [])
+        return json.dumps([{"id": 1 + (page - 1) % n if again else min(page, n)}])
+
+    return fetch
+
+
+@pytest.mark.parametrize("n, again", [(1, False), (7, False), (10, False), (30, False), (25, True)])
+def test_a_source_that_repeats_pages_ends(spark, n, again):
+    calls = spark.sparkContext.accumulator(0)
+    sources = spark.createDataFrame([("odd", "page"), ("sound", "page")], "source_id string, type string")
+    pages = read_paged(sources, endless(n, again, calls), pause=0)
+    rows = pages.filter("source_id = 'odd'").orderBy("seq").collect()
+    good = [r.seq for r in rows if r.body is not None]
+    assert good == list(range(1, n + 1))
+    end = next(r for r in rows if r.seq == n + 1)
+    assert end.error == f"page {n + 1} repeats page {1 if again else n}" and not end.is_empty
+    sound = [r.seq for r in pages.filter("source_id = 'sound' AND body IS NOT NULL AND NOT is_empty").collect()]
+    assert sorted(sound) == list(range(1, 34))
+    assert calls.value <= 2 * max(n, 10) + 7 + 64  # twice the pages, the probes, and the sound source
+    records = stitch_pages(pages.filter("source_id = 'odd'").select(F.col("source_id").alias("source"), "page", "body"))
+    assert records.count() == n and not records.filter("complete").count()
+
+
+def test_equal_pages_are_no_end_where_the_source_gets_on(spark):
+    def fetch(source_id, params):
+        page = int(params["page"])
+        return json.dumps([{"id": 3 if page % 10 == 3 or 30 < page < 45 else 100 + page}] if page < 60 else [])
+
+    sources = spark.createDataFrame([("s", "page")], "source_id string, type string")
+    read = read_paged(sources, fetch, pause=0)
+    used = read.filter("NOT is_empty")
+    assert read.filter("error IS NOT NULL").count() == 0 and used.count() == 59 and used.select("body").distinct().count() == 41
+
+
+def test_paged_source_ends_where_pages_repeat(spark, tmp_path):
+    (tmp_path / "endless.py").write_text("def fetch(source_id, params):\n    return '[{\"id\": %d}]' % min(int(params['page']), 23)\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "endless.py"))
+    register_paged(spark)
+    reader = spark.read.format("paged").option("fetcher", "endless:fetch").option("pause", "0").option("run_length", "5").option("lanes", "3")
+    rows = {r.seq: r for r in reader.load().collect()}
+    assert sorted(k for k, r in rows.items() if r.body is not None) == list(range(1, 24))
+    assert rows[24].error == "page 24 repeats page 23" and len(rows) <= 26
