@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strata.llm import (
     decontaminate, lang_id, lexical, packing, quality, quality_rules, simhash, simple8b, token_counts, tool_calls, toxicity, vectors, whitening,
 )
+from strata.llm.components import cut
 from strata.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,10 +116,10 @@ def op4_tool_calls(spark, sf_dir):
 
 @query()
 def op5_toxicity(spark, sf_dir):
-    documents, part = table(spark, sf_dir, "documents"), fold("doc_id", 3)
-    model = toxicity.train(documents, table(spark, sf_dir, "labels"), part != 1)
-    scored = toxicity.score_toxicity(documents.select("doc_id", "lang", "text"), model, language="lang")
-    return scored.select("doc_id", (part == 1).alias("held_out"), "score", "predicted", "flagged")
+    documents, labels, part = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3)
+    model = toxicity.train(documents, labels, part != 1)
+    scored = cut(toxicity.score_toxicity(documents.select("doc_id", "lang", "text"), model))
+    return toxicity.flag(scored, labels, part != 1).select("doc_id", (part == 1).alias("held_out"), "score", "predicted", "flagged")
 
 
 _SOUND = "label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"

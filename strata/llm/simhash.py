@@ -129,20 +129,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     marked = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
     nodes = marked.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(link_fingerprints(nodes.select("bits"), radius, in_task)).withColumnRenamed("node", "bits")
-    placed = nodes.join(roots, "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
+    placed = _rooted(nodes, radius, in_task)
     lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     found = placed.join(lowest, "root").select("bits", "component_id")
     return marked.join(found, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _rooted(nodes: DataFrame, radius: int, in_task: int) -> DataFrame:
+    """Different fingerprints (`bits`) with `root`, a fingerprint for each group that links connect."""
+    roots = connected_components(link_fingerprints(nodes.select("bits"), radius, in_task)).withColumnRenamed("node", "bits")
+    return nodes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+
+
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents with one left of each near-duplicate group, that with the smallest id; all columns stay.
+    """The documents with one left of each near-duplicate group: the smallest by (id, hash of the text). All columns stay.
 
-    Rows that repeat an id are one document. Rows without an id are kept, as no group can be named by them.
+    A row goes only where another row of its own group stays, so rows that share an id but not a text are judged
+    each in its own group; of equal rows one is left. Rows without an id are kept.
     """
-    kept = near_duplicates(docs, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
-    first = Window.partitionBy(doc_id).orderBy(doc_id)
-    named = named.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    key = F.struct(F.col(doc_id).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("hash"))
+    marked = cut(fingerprints(docs.select(key.alias("__key"), F.col(text).alias("text"))))
+    groups = _rooted(marked.select("bits").distinct(), RADIUS, IN_TASK)
+    named = marked.where("__key.id IS NOT NULL").groupBy("bits").agg(F.min("__key").alias("__key"))
+    kept = named.join(groups, "bits").groupBy("root").agg(F.min("__key").alias("__key")).select("__key")
+    # Equal rows are cut to one by each task before they move.
+    once = docs.where(F.col(doc_id).isNotNull()).withColumn("__key", key)
+    once = once.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__copy = 1")
+    return once.join(kept, "__key", "left_semi").drop("__key", "__copy").unionByName(docs.where(F.col(doc_id).isNull()))

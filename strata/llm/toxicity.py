@@ -29,6 +29,8 @@ PARTS = (4, 5, 6)
 REMEMBERED = 200_000
 #: Of the sample, one document in so many is not trained on but calibrates the thresholds, with all beyond the sample.
 CALIBRATE = 10
+#: Characters of text that reach the driver at most, to be fitted on.
+SAMPLE_BYTES = 64 << 20
 #: Scores are counted in so many bins for the thresholds.
 BINS = 1000
 
@@ -53,7 +55,8 @@ class Model:
     shift: np.ndarray  # one per filter
     top: np.ndarray
     bias: float = 0.0
-    thresholds: dict[str, float] = field(default_factory=dict)
+    #: Hashes of the texts that the model was fitted on.
+    seen: set[int] = field(default_factory=set)
 
     def wide(self) -> np.ndarray:
         """SIZE x (all positions of all widths, FILTERS each): what a word adds to each filter at each position."""
@@ -185,24 +188,16 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None
     return float((scores[k] + below) / 2)
 
 
-def counted(docs: DataFrame, labels: DataFrame, learn: Column, model: Model, seen: set[int], language: str = "lang") -> list[tuple[str, int, int, bool, int]]:
+def counted(scored: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[str, int, int, bool, int]]:
     """(language, label, bin of the score, whether fitted on, rows) over all labelled documents that meet `learn`.
 
-    `seen`: hashes of the texts that the model was fitted on. Documents are scored where they are joined with their
-    labels; only the counts reach the driver.
+    scored: `doc_id`, `lang`, `score`, `fitted` of all documents. These narrow rows are joined with the labels; no
+    text moves, and only the counts reach the driver.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model, seen))
-
-    def make():
-        model, seen = sent.value
-        score = Scorer(model)
-        return lambda texts: [pa.array(score(texts), pa.float64()), pa.array([_hash(t) in seen for t in texts], pa.bool_())]
-
     known = labels.where(learn).where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("toxic") == 1).cast("int").alias("label"))
-    texts = docs.where(learn).select("doc_id", "text", F.coalesce(language, F.lit("")).alias("lang")).join(known, "doc_id").drop("doc_id")
-    scored = map_texts(texts, "text", "score double, fitted boolean", make, drop_text=True)
     at = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
-    return [tuple(r) for r in scored.groupBy("lang", "label", at, "fitted").count().collect()]
+    joined = scored.where(learn).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "score", "fitted").join(known, "doc_id")
+    return [tuple(r) for r in joined.groupBy("lang", "label", at, "fitted").count().collect()]
 
 
 def thresholds(counts: list[tuple[str, int, int, bool, int]]) -> dict[str, float]:
@@ -233,34 +228,47 @@ def _hash(text: str | None) -> int:
     return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, language: str = "lang") -> Model:
-    """Fit on about `per_class` labelled documents of each class that meet `learn`, and calibrate a threshold for each
-    language on all other labelled documents that do; a tenth of the sample is left for it. The language sets
-    thresholds only; it is no input of a score.
+def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Model:
+    """Fit on about `per_class` labelled documents of each class that meet `learn`, in an order by hash and of at most
+    SAMPLE_BYTES in all; a tenth of them is left for the thresholds.
     """
-    sample = labelled_texts(docs, labels, "toxic", learn, per_class, (language,))
-    found = sorted(sample.select("text", "label", F.coalesce(language, F.lit("")).alias("lang")).toArrow().to_pylist(), key=lambda r: (crc32((r["text"] or "").encode("utf-8", "surrogatepass")), r["text"] or "", r["label"]))
+    sample = labelled_texts(docs, labels, "toxic", learn, per_class).select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    found, held = [], 0
+    for row in sample.orderBy(F.crc32("text"), "text", "label").toLocalIterator():
+        held += len(row.text)
+        if found and held > SAMPLE_BYTES:
+            break
+        found.append(row)
     rest = [r for i, r in enumerate(found) if i % CALIBRATE]
-    model = fit([words_of(r["text"]) for r in rest], np.array([float(r["label"] == 1) for r in rest]))
-    model.thresholds = thresholds(counted(docs, labels, learn, model, {_hash(r["text"]) for r in rest}, language))
+    model = fit([words_of(r.text) for r in rest], np.array([float(r.label == 1) for r in rest]))
+    model.seen = {_hash(r.text) for r in rest}
     return model
 
 
-def score_toxicity(docs: DataFrame, model: Model, text: str = "text", language: str | None = None) -> DataFrame:
-    """`docs` without its text, with `score` (0 to 1, higher: likelier toxic), `predicted` (1 from 0.7 on) and, if a
-    language column is named, `flagged` (1 from the threshold of that language on).
+def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`docs` without its text, with `score` (0 to 1, higher: likelier toxic), `fitted` (whether the model was fitted on
+    the same text) and `predicted` (1 from 0.7 on).
 
     Only the text decides the score; null texts score like empty ones. Nothing is shuffled, and repeated rows stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        score = Scorer(sent.value)
-        return lambda texts: [pa.array(score(texts), pa.float64())]
+        score, seen = Scorer(sent.value), sent.value.seen
+        return lambda texts: [pa.array(score(texts), pa.float64()), pa.array([_hash(t) in seen for t in texts], pa.bool_())]
 
-    scored = map_texts(docs, text, "score double", make, drop_text=True).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-    if language is None:
-        return scored
-    limits = F.create_map(*[F.lit(x) for pair in model.thresholds.items() for x in pair]) if model.thresholds else F.create_map().cast("map<string,double>")
+    scored = map_texts(docs, text, "score double, fitted boolean", make, drop_text=True)
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def flag(scored: DataFrame, labels: DataFrame, learn: Column, language: str = "lang") -> DataFrame:
+    """`scored` with `flagged`: 1 from the threshold of the row's language on.
+
+    Thresholds come from the scores of all labelled documents that meet `learn`, less those fitted on; the language
+    is no input of a score. `scored` is used twice, so hand in a frame that is kept (a checkpoint or a table).
+    """
+    narrow = scored.select("doc_id", F.col(language).alias("lang"), "score", "fitted")
+    found = thresholds(counted(narrow, labels, learn))
+    limits = F.create_map(*[F.lit(x) for pair in found.items() for x in pair]) if found else F.create_map().cast("map<string,double>")
     limit = F.coalesce(F.try_element_at(limits, F.coalesce(F.col(language), F.lit(""))), F.lit(THRESHOLD))
     return scored.withColumn("flagged", (F.col("score") >= limit).cast("int"))

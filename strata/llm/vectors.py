@@ -103,53 +103,70 @@ def _index(classes: DataFrame, models, radius: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            values = batch.column("embedding").to_pylist()
-            home, codes, error, probes = [None] * len(values), [None] * len(values), [None] * len(values), [None] * len(values)
-            for dims in {len(v) for v in values}:
-                at = [i for i, v in enumerate(values) if len(v) == dims]
-                found = (models.value.get(dims) or untrained(dims)).encode(unit(np.array([values[i] for i in at], dtype=np.float64)), radius)
-                for i, h, c, e, p in zip(at, *found, strict=True):
-                    home[i], codes[i], error[i], probes[i] = int(h), c.tobytes(), float(e), p.tolist()
-            columns = [*batch.columns, pa.array(home, pa.int32()), pa.array(codes, pa.binary()), pa.array(error, pa.float64()), pa.array(probes, pa.list_(pa.int32()))]
+            column = batch.column("embedding")
+            sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+            homes, error = np.zeros(len(sizes), np.int32), np.zeros(len(sizes))
+            codes, probes = [b""] * len(sizes), [[]] * len(sizes)
+            for dims in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dims)
+                x = _matrix(column.take(pa.array(at)), dims)
+                homes[at], code, error[at], near = (models.value.get(dims) or untrained(dims)).encode(unit(x), radius)
+                for i, h, c, p in zip(at.tolist(), homes[at].tolist(), code, near, strict=True):
+                    # A pair meets in the list of the higher number, which the other vector probes.
+                    codes[i], probes[i] = c.tobytes(), p[p >= h].tolist()
+            columns = [*batch.columns, pa.array(homes), pa.array(codes, pa.binary()), pa.array(error, pa.float64()), pa.array(probes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "home", "code", "error", "probes"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema.fields)
     return classes.mapInArrow(run, f"{kinds}, home int, code binary, error double, probes array<int>")
 
 
+def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
 def _compare(models, threshold: float, radius: float):
-    """Per tile: how many vectors each query is linked to, and links that connect what the tile connects."""
+    """Per tile: how many vectors each one is linked to, and links that connect what the tile connects.
+
+    Each pair of vectors meets in one tile: the one of the lower home asks, of equal homes that of the lower number.
+    """
 
     def run(batches):
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                tile = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                asked, there = tile["asked"], tile["there"]
-                x, y = (np.array([r["embedding"] for r in side], dtype=np.float64) for side in (asked, there))
-                model = models.value.get(x.shape[1]) or untrained(x.shape[1])
-                codes = np.array([np.frombuffer(r["code"], np.uint8) for r in there])
-                error = np.array([r["error"] for r in there])
-                near = model.table_distances(unit(x), tile["home"], codes) - error[None] <= radius + 1e-6
+            out = [np.zeros((0, 3), np.int64)]
+            for home, asked, there in zip(batch.column("home").to_pylist(), batch.column("asked"), batch.column("there"), strict=True):
+                asked, there = asked.values, there.values
+                dims = len(asked.field("embedding")[0])
+                x, y = (_matrix(side.field("embedding"), dims) for side in (asked, there))
+                model = models.value.get(dims) or untrained(dims)
+                codes = np.frombuffer(b"".join(there.field("code").to_pylist()), np.uint8).reshape(len(y), -1)
+                error = there.field("error").to_numpy()
+                nodes = asked.field("node").to_numpy(), there.field("node").to_numpy()
+                copies = asked.field("copies").to_numpy(), there.field("copies").to_numpy()
+                near = model.table_distances(unit(x), home, codes) - error[None] <= radius + 1e-6
+                near &= (asked.field("home").to_numpy() < home)[:, None] | (nodes[0][:, None] < nodes[1][None])
                 rows, columns = np.nonzero(near)
+                if not len(rows):
+                    continue
                 norms = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
                 exact = np.zeros(near.shape, dtype=bool)
                 for a in range(0, len(rows), 1 << 16):
                     r, c = rows[a : a + (1 << 16)], columns[a : a + (1 << 16)]
                     exact[r, c] = np.einsum("ij,ij->i", x[r], y[c]) / (norms[0][r] * norms[1][c]) >= threshold
-                nodes = np.array([r["node"] for r in asked]), np.array([r["node"] for r in there])
-                exact &= nodes[0][:, None] != nodes[1][None]
-                copies = np.array([r["copies"] for r in there])
-                group = np.arange(len(there))
+                # A link of a node to itself carries its count; others connect, at most one for each two groups that meet.
+                for own, counts in ((nodes[0], exact @ copies[1]), (nodes[1], copies[0] @ exact)):
+                    some = np.flatnonzero(counts)
+                    out.append(np.stack([own[some], own[some], counts[some]], axis=1))
+                group = np.arange(len(y))
                 for q in np.flatnonzero(exact.any(axis=1)).tolist():
                     linked = np.flatnonzero(exact[q])
                     groups, first = np.unique(group[linked], return_index=True)
-                    counts = [int(copies[linked].sum())] + [0] * (len(groups) - 1)
-                    out += [(int(nodes[0][q]), int(nodes[1][linked[f]]), n) for f, n in zip(first.tolist(), counts, strict=True)]
+                    ends = nodes[1][linked[first]]
+                    out.append(np.stack([np.full(len(ends), nodes[0][q]), ends, np.zeros(len(ends), np.int64)], axis=1))
                     if len(groups) > 1:
                         group[np.isin(group, groups)] = groups[0]
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
+            found = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy(), pa.int64()) for k in range(3)], names=["a", "b", "n"])
 
     return run
 
@@ -184,7 +201,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     index = cut(_index(classes.select("node", "label", "dims", "embedding", "copies"), models, radius))
     key = ["label", "dims", "home"]
-    asked = index.select("node", "label", "dims", "embedding", F.explode("probes").alias("home"))
+    asked = index.select("node", "label", "dims", "embedding", "copies", F.col("home").alias("own"), F.explode("probes").alias("home"))
     held = index.groupBy(key).agg(F.count("*").alias("n_there"))
     queries = asked.groupBy(key).agg(F.count("*").alias("n_asked"))
     sizes = held.join(queries, key)
@@ -193,7 +210,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     nothing = F.lit(None)
-    left = asked.join(sizes, key).select(*key, place("tiles_asked").alias("q"), spread("tiles_there").alias("t"), F.struct("node", "embedding").alias("asked"))
+    left = asked.join(sizes, key).select(*key, place("tiles_asked").alias("q"), spread("tiles_there").alias("t"), F.struct("node", "embedding", "copies", F.col("own").alias("home")).alias("asked"))
     right = index.join(sizes, key).select(*key, spread("tiles_asked").alias("q"), place("tiles_there").alias("t"), F.struct("node", "embedding", "copies", "code", "error").alias("there"))
     both = left.withColumn("there", nothing.cast(right.schema["there"].dataType)).unionByName(right.withColumn("asked", nothing.cast(left.schema["asked"].dataType)))
     grouped = both.groupBy(*key, "q", "t").agg(F.collect_list("asked").alias("asked"), F.collect_list("there").alias("there"))

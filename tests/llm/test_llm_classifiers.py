@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import lang_id, quality, toxicity
+from strata.llm.components import cut
 from strata.llm.queries import QUERIES
 from strata.llm.samples import per_class
 from strata.llm.texts import Remembered
@@ -59,10 +60,11 @@ def models(spark):
 
 def test_messy_rows(messy, nothing, models):
     language, good, toxic = models
+    labels = messy.select("doc_id", F.lit(1).alias("toxic"))
     found = {r.doc_id: r for r in lang_id.identify(messy, language).collect()}
     assert {k for k, r in found.items() if r.lang_pred == "und"} == {3, 4, 5, 9, None} or {k for k, r in found.items() if r.lang_pred == "und"} == {3, 4, 5, 9}
     assert all(r.score == 0 for r in found.values() if r.lang_pred == "und")
-    for scored in (quality.score_quality(messy, good), toxicity.score_toxicity(messy, toxic), toxicity.score_toxicity(messy, toxic, language="lang")):
+    for scored in (quality.score_quality(messy, good), toxicity.score_toxicity(messy, toxic), toxicity.flag(toxicity.score_toxicity(messy, toxic), labels, F.lit(True))):
         rows = scored.collect()
         assert len(rows) == messy.count() and all(0 <= r.score <= 1 for r in rows)
         assert len({r.score for r in rows if r.doc_id in (3, 4)}) == 1
@@ -147,12 +149,24 @@ def test_thresholds_come_from_all_labelled_rows(spark):
     rows = [(i, f"{vile if i % 10 == 0 else nice} number{chr(97 + i % 26)} {chr(97 + i // 26 % 26)}word", "aa" if i % 50 > 1 else "bb", int(i % 10 == 0)) for i in range(600)]
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
-    model = toxicity.train(docs, labels, F.col("doc_id") % 3 != 0, per_class=40)
-    assert model.thresholds.keys() == {"aa", "bb"} and toxicity.THRESHOLD not in model.thresholds.values()
-    counts = toxicity.counted(docs, labels, F.col("doc_id") % 3 != 0, model, {toxicity._hash(r[1]) for r in rows[:90]})
-    assert sum(n for *_, n in counts) == 400 and sum(n for *_, fitted, n in counts if fitted) == 60
-    flagged = toxicity.score_toxicity(docs, model, language="lang").where("lang = 'bb'").collect()
-    assert all(r.flagged == int(r.doc_id % 10 == 0) for r in flagged)
+    learn = F.col("doc_id") % 3 != 0
+    model = toxicity.train(docs, labels, learn, per_class=40)
+    assert 40 < len(model.seen) < 100
+    scored = cut(toxicity.score_toxicity(docs, model))
+    counts = toxicity.counted(scored, labels, learn)
+    found = toxicity.thresholds(counts)
+    assert found.keys() == {"aa", "bb"} and toxicity.THRESHOLD not in found.values()
+    assert sum(n for *_, n in counts) == 400 and sum(n for *_, fitted, n in counts if fitted) == len(model.seen)
+    flagged = toxicity.flag(scored, labels, learn)
+    assert all(r.flagged == int(r.doc_id % 10 == 0) for r in flagged.where("lang = 'bb'").collect())
+    assert toxicity.flag(scored, labels.limit(0), learn).where("flagged <> predicted").count() == 0
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.range(90).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 100) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    assert 20 < len(toxicity.train(docs, labels, F.lit(True)).seen) < 40
 
 
 def test_thresholds_keep_the_share_of_classes():

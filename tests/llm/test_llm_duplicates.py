@@ -74,6 +74,13 @@ def test_one_of_each_group_stays(messy):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_groups(spark):
+    first, other = "alpha beta gamma delta epsilon", "totally different words stand here now"
+    rows = [(1, first), (1, other), (2, other), (2, first), (2, other), (3, "one more text of its own"), (0, first)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, kept.collect())) == [(0, first), (1, other), (3, "one more text of its own")]
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3, 4])
 def test_masks_cover_every_pair_within_the_radius(radius):
     masks = simhash.covering_masks(radius)
