@@ -28,6 +28,21 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Numbers of pieces; looking up a new one gives it the next number and notes it."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+        self.next = 0
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self.next
+        self.next += 1
+        self.fresh.append(piece)
+        return number
+
+
 class Encoder:
     """Encodes texts to ids exactly as the library does on the whole text, special strings included.
 
@@ -59,10 +74,10 @@ class Encoder:
                 lengths = {i: len(t) for t, i in model.get_vocab(with_added_tokens=False).items()}
                 self._token_bytes = np.array([lengths.get(i, 0) for i in range(max(lengths) + 1)], dtype=np.int64)
             self._special = [t.content for t in model.get_added_tokens_decoder().values()]
-        self._first: dict[str, int] = {}
-        self._later: dict[str, int] = {}
+        self._first, self._later = _Pieces(), _Pieces()
         self._ids, self._held = np.zeros(1 << 16, np.uint32), 0
         self._starts, self._sizes, self._met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._odd = np.zeros(0, bool)
 
     def _forget(self) -> None:
         """Keep the pieces that were met more than once, renumbered."""
@@ -72,32 +87,33 @@ class Encoder:
         number = np.full(len(self._met), -1)
         number[kept] = np.arange(len(kept))
         for known in (self._first, self._later):
-            left = {p: int(number[k]) for p, k in known.items() if k >= 0 and number[k] >= 0}
+            left = {p: int(number[k]) for p, k in known.items() if number[k] >= 0}
             known.clear()
             known.update(left)
         ids = self._gather(kept)
-        self._sizes, self._met = self._sizes[kept], np.ones(len(kept), np.int64)
+        self._sizes, self._met, self._odd = self._sizes[kept], np.ones(len(kept), np.int64), self._odd[kept]
         self._starts = np.cumsum(self._sizes) - self._sizes
         self._ids, self._held = np.append(ids, np.zeros(1 << 16, np.uint32)), len(ids)
 
-    def _learn(self, pieces: set[str], known: dict[str, int], lead: str) -> None:
-        """Number new pieces; those that are no single word (after a line end) get -1."""
-        fresh = list(pieces.difference(known))
-        odd = {p for p in fresh if len(w := p.split()) != 1 or len(w[0]) != len(p) - (p[0] == "\n" and lead == " ")}
-        known.update(dict.fromkeys(odd, -1))
-        fresh = [p for p in fresh if p not in odd] if odd else fresh
-        for i in range(0, len(fresh), 2_000):
-            part = fresh[i : i + 2_000]
-            ids, sizes = self._encode_each([p if p[:1] == "\n" else lead + p for p in part])
-            starts = self._held + np.cumsum(sizes) - sizes
-            end = self._held + int(sizes.sum())
+    def _learn(self, known: _Pieces, lead: str) -> None:
+        """Encode the pieces that got a number just now; those that are no single word (after a line end) are odd."""
+        fresh, known.fresh = known.fresh, []
+        if not fresh:
+            return
+        odd = np.fromiter((len(w := p.split()) != 1 or len(w[0]) != len(p) - (p[0] == "\n" and lead == " ") for p in fresh), bool, len(fresh))
+        sizes, begin = np.zeros(len(fresh), np.int64), self._held
+        sound = np.flatnonzero(~odd)
+        for i in range(0, len(sound), 2_000):
+            part = [fresh[k] for k in sound[i : i + 2_000].tolist()]
+            ids, sizes[sound[i : i + 2_000]] = self._encode_each([p if p[:1] == "\n" else lead + p for p in part])
+            end = self._held + len(ids)
             while end > len(self._ids):
                 self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
             self._ids[self._held : end] = ids
-            known.update(zip(part, range(len(self._starts), len(self._starts) + len(part)), strict=True))
-            self._starts, self._sizes = np.append(self._starts, starts), np.append(self._sizes, sizes)
-            self._met = np.append(self._met, np.zeros(len(part), np.int64))
             self._held = end
+        self._starts = np.append(self._starts, begin + np.cumsum(sizes) - sizes)
+        self._sizes, self._odd = np.append(self._sizes, sizes), np.append(self._odd, odd)
+        self._met = np.append(self._met, np.zeros(len(fresh), np.int64))
 
     def _encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, and how many each has.
@@ -130,11 +146,13 @@ class Encoder:
         if len(self._starts) > REMEMBERED:
             self._forget()
         numbers, sizes = self._look_up(cuts)
-        odd = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(numbers < 0), "right")).tolist()
-        if odd:
-            for i in odd:
+        odd = np.flatnonzero(self._odd[numbers])
+        if len(odd):
+            left = np.unique(np.searchsorted(np.cumsum(sizes), odd, "right"))
+            own = np.repeat(np.isin(np.arange(len(sizes)), left), sizes)
+            numbers, sizes[left] = numbers[~own], 0
+            for i in left.tolist():
                 cuts[i] = None
-            numbers, sizes = self._look_up(cuts)
         self._met += np.bincount(numbers, minlength=len(self._met))
         return numbers, sizes, [i for i, (t, c) in enumerate(zip(texts, cuts, strict=True)) if t and c is None]
 
@@ -149,16 +167,21 @@ class Encoder:
         return list(chain.from_iterable(self._whole([*parts, text[at:]])))
 
     def _look_up(self, cuts: list[list[str] | None]):
-        self._learn({c[0] for c in cuts if c}, self._first, "")
-        self._learn({p for c in cuts if c for p in islice(c, 1, None)}, self._later, " ")
+        """The piece numbers of all texts in a row, and how many each text has; new pieces are learned."""
         sizes = np.array([len(c) if c else 0 for c in cuts], dtype=np.int64)
-        later = map(self._later.__getitem__, chain.from_iterable(islice(c, 1, None) for c in cuts if c))
+        some = [c for c in cuts if c]
+        self._first.next = len(self._starts)
+        first = [self._first[c[0]] for c in some]
+        self._learn(self._first, "")
+        self._later.next = len(self._starts)
+        words = chain.from_iterable(islice(c, 1, None) for c in some)
+        later = np.fromiter(map(self._later.__getitem__, words), np.int64, int(sizes.sum()) - len(some))
+        self._learn(self._later, " ")
         numbers = np.zeros(int(sizes.sum()), np.int64)
         firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
         rest = np.ones(len(numbers), bool)
         rest[firsts] = False
-        numbers[rest] = np.fromiter(later, np.int64, len(numbers) - len(firsts))
-        numbers[firsts] = [self._first[c[0]] for c in cuts if c]
+        numbers[rest], numbers[firsts] = later, first
         return numbers, sizes
 
     def counts(self, texts: list[str | None]) -> list[int]:

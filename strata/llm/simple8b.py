@@ -19,12 +19,15 @@ from pyspark.sql.window import Window
 
 from strata.checkpoints import scratch_path
 from strata.llm.bpe import encoder
+from strata.llm.components import cut
 from strata.llm.texts import slices
 
 # The packings of Simple-8b, by selector.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 
+#: Totals of parts (16 bytes each) that are sent to every block.
+MOST_PARTS = 500_000
 BLOCK_IDS = 1 << 16
 MAGIC = b"S8B1"
 
@@ -145,12 +148,14 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of written blocks: `doc_id`, `start` (ids of all documents before it), `n_tokens` (with the end
     id), `ids_crc32` (of the ids as little-endian uint32), and the `ids` when asked for.
 
-    Starts come from the totals of the parts, of which there are as many as write tasks.
+    Starts come from the totals of the parts, of which there are as many as write tasks; they are counted, and sent to
+    the blocks if there are no more than MOST_PARTS of them.
     """
     blocks = spark.read.parquet(path)
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    totals = cut(blocks.groupBy("part").agg(F.sum("n_ids").alias("n")))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    based = blocks.join(totals.select("part", F.coalesce(before, F.lit(0)).alias("base")), "part")
+    bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    based = blocks.join(F.broadcast(bases) if totals.count() <= MOST_PARTS else bases, "part")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     def run(batches):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,15 +22,45 @@ _RESULT = "struct<tool_call_id:string,content:string>"
 
 KEPT = ["node", "conv_id", "call_id", "again", "call_turn", "call_place", "result_turn", "after", "n_calls", "n_results"]
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
 # The types of JSON schemas, with the Python types of parsed JSON.
 _TYPES = {
     "string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,), "null": (type(None),),
 }
 
 
+def escaped(text: str) -> str:
+    """Lone surrogates, which no UTF-8 text can hold, as JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON without white space, keys sorted by code point, characters unescaped where JSON allows it."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON without white space, keys sorted by code point, characters unescaped where JSON and UTF-8 allow it."""
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"no finite number: {text}")
+    return value
+
+
+def parsed(text: str):
+    """JSON by the standard: NaN, Infinity and numbers beyond doubles are refused."""
+    return json.loads(text, parse_float=_number, parse_constant=_number)
+
+
+def _same(a, b) -> bool:
+    """Equal as JSON: true is not 1, but 1.0 is."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
 
 
 def _is(value, kind: str) -> bool:
@@ -46,7 +78,7 @@ def violations(value, schema: dict, at: str = "") -> list[str]:
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{here}: not {' or '.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, v) for v in schema["enum"]):
         found.append(f"{here}: not among the allowed values")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         found += [f"{here}: below {schema['minimum']}"] if value < schema.get("minimum", value) else []
@@ -75,12 +107,13 @@ def _checked(schemas: dict[str, dict]):
         errors, arguments = [], None
         if row["call_turn"] is not None:
             try:
-                arguments = json.loads(row["arguments"]) if row["arguments"] is not None else None
+                arguments = parsed(row["arguments"]) if row["arguments"] is not None else None
+                canonical(arguments)
                 known = schemas.get(row["name"])
                 errors = [f"unknown tool: {row['name']}"] if known is None else violations(arguments, known)
             except (ValueError, RecursionError):
                 arguments, errors = row["arguments"], ["arguments: not JSON"]
-        return errors, canonical({"arguments": arguments, "id": row["call_id"], "name": row["name"], "result": row["result"]})
+        return [escaped(e) for e in errors], canonical({"arguments": arguments, "id": row["call_id"], "name": row["name"], "result": row["result"]})
 
     def run(batches):
         for batch in batches:

@@ -147,3 +147,30 @@ def test_canonical_json_is_one_form(value):
 )
 def test_violations(value, schema, expected):
     assert violations(value, schema) == expected
+
+
+@pytest.mark.parametrize(
+    "arguments, errors, written",
+    [
+        ('{"text":"\\ud800"}', [], '{"text":"\\ud800"}'),
+        ('{"\\udfff":1}', ["\\udfff: unknown"], '{"\\udfff":1}'),
+        ('{"text":"\\ud83d\\ude00"}', [], '{"text":"\U0001f600"}'),
+        ('{"n":NaN}', ["arguments: not JSON"], '"{\\"n\\":NaN}"'),
+        ('{"n":1e999}', ["arguments: not JSON"], '"{\\"n\\":1e999}"'),
+        ('{"n":-Infinity}', ["arguments: not JSON"], '"{\\"n\\":-Infinity}"'),
+        ('{"n":true}', ["n: not among the allowed values"], '{"n":true}'),
+        ('{"n":1.0}', [], '{"n":1.0}'),
+    ],
+)
+def test_arguments_that_are_hard_to_write(spark, arguments, errors, written):
+    schema = {"ask": {"type": "object", "additionalProperties": False, "properties": {"text": {"type": "string"}, "n": {"enum": [1]}}}}
+    call = json.dumps({"tool_calls": [{"id": "a", "name": "ask", "arguments": arguments}]})
+    messages = spark.createDataFrame([(1, 0, "assistant", call)], "conv_id long, turn long, role string, text string")
+    row = link_every_call(messages, schema).first()
+    assert row.errors == errors and row.json == '{"arguments":' + written + ',"id":"a","name":"ask","result":null}'
+
+
+def test_deep_arguments(spark):
+    call = json.dumps({"tool_calls": [{"id": "a", "name": "ask", "arguments": "[" * 5000 + "]" * 5000}]})
+    messages = spark.createDataFrame([(1, 0, "assistant", call)], "conv_id long, turn long, role string, text string")
+    assert link_every_call(messages, {"ask": {}}).first().errors in (["arguments: not JSON"], [])
