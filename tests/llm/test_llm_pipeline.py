@@ -48,7 +48,7 @@ def test_messy_rows_pass_every_stage(spark, messy, nothing):
 
 def test_entry_points_hold_the_operators():
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and "pipeline" not in entry_points.oracle_sql()
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and "pipeline" not in entry_points.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
