@@ -78,6 +78,18 @@ def read_landing_quarantine(spark, sf):
     )
 
 
+@query("read_landing_arrays", "SELECT doc_id, text || ' \"}, {[' || chr(92) AS text, [n_chars, doc_id] AS sizes FROM documents")
+def read_landing_arrays(spark, sf):
+    """Files of one array each, with brackets, quotes and escapes in their texts, read by ranges of bytes."""
+    path = scratch_path(spark, "arrays")
+    text = F.concat("text", F.lit(' "}, {[\\')).alias("text")
+    docs = table(spark, sf, "documents").select("doc_id", text, F.array(F.col("n_chars").cast("long"), "doc_id").alias("sizes"))
+    lists = docs.groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value"))
+    lists.write.partitionBy("part").option("lineSep", "\n").text(path)
+    rows = landing.read_landing(spark, path, "json", "doc_id long, text string, sizes array<long>", lines=False, split=True)
+    return rows.drop("part")
+
+
 @query(
     "split_bad_records",
     """

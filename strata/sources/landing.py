@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.expr import once
+from strata.sources.arrays import read_array_elements
 
 FORMATS = ("json", "xml", "csv", "parquet")
 CORRUPT = "_corrupt_record"
@@ -33,12 +34,14 @@ def read_landing(
     raw: bool = False,
     skipped: Observation | None = None,
     skip_files: bool = False,
+    split: bool = False,
 ) -> DataFrame:
     """Every file under a prefix, sub-folders and their Hive partitions included.
 
     Without `fmt` the format is taken from the file extension, else JSON. JSON files hold one value per line, which
     Spark can split; with `lines=False` each file is one value (a list gives one row per element), read by
-    one task. `on_bad`: `fail` stops, `quarantine` keeps bad records in the column `_corrupt_record` for
+    one task. With `split` as well, files that are lists of objects are cut at the borders of elements and read by many tasks
+    (see `read_array_elements`); this needs a schema or `raw`, which then gives each element's text as `body`. `on_bad`: `fail` stops, `quarantine` keeps bad records in the column `_corrupt_record` for
     `split_corrupt`, `skip` drops them and counts them in the observation `skipped` (as `bad_records`), which it
     needs, as it needs a schema unless the format is Parquet. Unreadable files stop the read; only `skip_files`
     leaves them out, which Spark tells in its log alone. `raw` gives each file's text (or line) as `body`, for `unwrap_envelope`.
@@ -46,6 +49,10 @@ def read_landing(
     if on_bad not in ("fail", "skip", "quarantine"):
         raise ValueError(f"unknown on_bad: {on_bad}")
     paths = [path] if isinstance(path, str) else list(path)
+    if split and (lines or (fmt or format_of(paths[0])) != "json" or (schema is None and not raw)):
+        raise ValueError("splitting is for JSON with lines=False, and needs a schema or raw")
+    if split:
+        return _elements(spark, paths, schema, on_bad, skipped, raw)
     if raw:
         return spark.read.text(paths, wholetext=not lines).withColumnRenamed("value", "body")
     fmt = fmt or format_of(paths[0])
@@ -78,6 +85,25 @@ def read_landing(
     return rows
 
 
+def _elements(spark, paths, schema, on_bad, skipped, raw) -> DataFrame:
+    texts = read_array_elements(spark, paths)
+    if raw:
+        return texts
+    if on_bad == "skip" and skipped is None:
+        raise ValueError("skipping bad records needs an observation that counts them")
+    others = [c for c in texts.columns if c != "body"]
+    names = [f.name for f in _struct(schema).fields if f.name != CORRUPT]
+    # As in the other formats, the columns of the path come last, and win over fields of their names.
+    flagged = flag_bad_records(texts.select("body", F.struct(F.lit(0).alias("_"), *others).alias("_path")), "body", schema)
+    rows = flagged.select(*[n for n in names if n not in others], CORRUPT, *[F.col("_path")[c].alias(c) for c in others])
+    if on_bad == "quarantine":
+        return rows
+    if on_bad == "skip":
+        return rows.observe(skipped, F.count(CORRUPT).alias("bad_records")).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    told = F.raise_error(F.concat(F.lit("bad record: "), F.left(CORRUPT, F.lit(200)))).cast("boolean")
+    return rows.filter(F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(told)).drop(CORRUPT)
+
+
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a frame read with `on_bad="quarantine"` into good rows and bad records."""
     if CORRUPT not in df.columns:
