@@ -220,7 +220,8 @@ def _transformation(manifest: Manifest, c: Context, lines: bool, row_tag: str |
         df = read_landing(c.spark, where, fmt, lines=lines, raw=raw)
     elif declared:
         fields = ", ".join(f"`{n}` {S.spark_type(t) or 'string'}" for n, t in declared.items())
-        df = read_landing(c.spark, where, fmt, fields, row_tag=row_tag, lines=lines, on_bad="quarantine")
+        split = fmt == "json" and not lines and not c.dry_run
+        df = read_landing(c.spark, where, fmt, fields, row_tag=row_tag, lines=lines, on_bad="quarantine", split=split)
         df = c.without_bad(df, F.col(CORRUPT).isNotNull(), F.col(CORRUPT), "unreadable record").drop(CORRUPT)
     elif c.dry_run:
         raise ManifestError(f"a dry run over {fmt} needs source.schema, as fields are inferred by reading the data")

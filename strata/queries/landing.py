@@ -90,6 +90,28 @@ def read_landing_arrays(spark, sf):
     return rows.drop("part")
 
 
+@query(
+    "read_checked",
+    """
+    SELECT month(o_orderdate)::INTEGER AS part, month(o_orderdate) % 4 <> 0 AS good, count(*) FILTER (month(o_orderdate) % 4 <> 0) AS n,
+           CASE WHEN month(o_orderdate) % 4 = 0 THEN 'not Parquet, or cut off' END AS reason
+    FROM orders GROUP BY ALL
+    """,
+)
+def read_checked(spark, sf):
+    """Each fourth month landed as text under a name of Parquet: refused with a reason, the others are read."""
+    path = scratch_path(spark, "checked")
+    orders = table(spark, sf, "orders").select("o_orderkey", F.month("o_orderdate").alias("part"))
+    orders.where("part % 4 <> 0").write.partitionBy("part").parquet(path)
+    damaged = orders.where("part % 4 = 0").select("part", F.col("o_orderkey").cast("string").alias("value"))
+    damaged.repartition("part").write.mode("append").partitionBy("part").text(path)
+    rows, refused = landing.read_checked(spark, path, "parquet")
+    read = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("reason"))
+    part = F.regexp_extract("path", r"/part=([0-9]+)/", 1).cast("int").alias("part")
+    left = refused.select(part, F.lit(0).cast("long").alias("n"), "reason").distinct()
+    return read.unionByName(left).select("part", F.col("reason").isNull().alias("good"), "n", "reason")
+
+
 @query(
     "split_bad_records",
     """

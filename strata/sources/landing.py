@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from strata.functions.expr import once
 from strata.sources.arrays import read_array_elements
+from strata.sources.listing import check_files, list_files
 
 FORMATS = ("json", "xml", "csv", "parquet")
 CORRUPT = "_corrupt_record"
@@ -33,8 +34,8 @@ def read_landing(
     on_bad: str = "fail",
     raw: bool = False,
     skipped: Observation | None = None,
-    skip_files: bool = False,
     split: bool = False,
+    base: str | None = None,
 ) -> DataFrame:
     """Every file under a prefix, sub-folders and their Hive partitions included.
 
@@ -43,8 +44,8 @@ def read_landing(
     one task. With `split` as well, files that are lists of objects are cut at the borders of elements and read by many tasks
     (see `read_array_elements`); this needs a schema or `raw`, which then gives each element's text as `body`. `on_bad`: `fail` stops, `quarantine` keeps bad records in the column `_corrupt_record` for
     `split_corrupt`, `skip` drops them and counts them in the observation `skipped` (as `bad_records`), which it
-    needs, as it needs a schema unless the format is Parquet. Unreadable files stop the read; only `skip_files`
-    leaves them out, which Spark tells in its log alone. `raw` gives each file's text (or line) as `body`, for `unwrap_envelope`.
+    needs, as it needs a schema unless the format is Parquet. Unreadable files stop the read; `read_checked` leaves them
+    out and tells which. `base` is the prefix of partition folders where the paths lie deeper. `raw` gives each file's text (or line) as `body`, for `unwrap_envelope`.
     """
     if on_bad not in ("fail", "skip", "quarantine"):
         raise ValueError(f"unknown on_bad: {on_bad}")
@@ -59,8 +60,8 @@ def read_landing(
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
     reader = spark.read.format(fmt)
-    if skip_files:
-        reader = reader.option("ignoreCorruptFiles", "true")
+    if base:
+        reader = reader.option("basePath", base)
     if on_bad == "skip" and fmt != "parquet" and (skipped is None or schema is None):
         raise ValueError("skipping bad records needs a schema and an observation that counts them")
     if fmt != "parquet":
@@ -85,6 +86,24 @@ def read_landing(
     return rows
 
 
+def read_checked(spark: SparkSession, path: str, fmt: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """`read_landing` of the files that can be read, and those that cannot: (path, size, modified, reason).
+
+    Files are checked first (see `check_files`), the names of good ones go to the driver, as for any scan, and are then read
+    without leave to skip anything: a file that is damaged where the check does not look stops the read. Options are those of
+    `read_landing`, but for `raw` and `split`. Where no file is good there are no rows, which needs a schema.
+    """
+    fmt = fmt or format_of(path)
+    checked = check_files(list_files(spark, path), fmt).checkpoint()
+    refused = checked.where("reason IS NOT NULL")
+    good = [r["path"] for r in checked.where("reason IS NULL").select("path").orderBy("path").toLocalIterator()]
+    if good:
+        return read_landing(spark, good, fmt, base=path, **options), refused
+    if options.get("schema") is None:
+        raise ValueError(f"no file below {path} can be read, and no schema is given")
+    return spark.createDataFrame([], _struct(options["schema"])), refused
+
+
 def _elements(spark, paths, schema, on_bad, skipped, raw) -> DataFrame:
     texts = read_array_elements(spark, paths)
     if raw:
@@ -143,13 +162,8 @@ LEVELS = ("layer", "source", "dataset", "year", "month", "day")
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: path, size, time and the partition values in its path. Reads no contents."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    )
+    """One row per file: path, size, time and the partition values in its path. Reads no contents; executors list."""
+    files = list_files(spark, path)
     levels = {
         level: F.nullif(F.regexp_extract("path", rf"/{level}=([^/]+)/", 1), F.lit("")) for level in LEVELS
     }
