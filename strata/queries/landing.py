@@ -7,12 +7,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from strata.checkpoints import scratch_path
-from strata.files import qualified
+from strata.files import qualified, remove_folder
 from strata.operators.envelope import record_columns, unwrap_envelope
 from strata.operators.pages import stitch_cursor_pages, stitch_pages
 from strata.plans.manifest import run_manifest
 from strata.queries.registry import query, table
-from strata.sinks.layers import to_json_records, write_layer
+from strata.sinks.layers import BATCHES, to_json_records, write_layer
 from strata.sources import landing, paged
 from strata.sources.requests import plan_requests
 from strata.streaming.promote import promote
@@ -168,6 +168,24 @@ def hive_roundtrip(spark, sf):
     )
 
 
+@query(
+    "read_batches",
+    """
+    SELECT user_id % 3 AS part, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days FROM events WHERE user_id % 3 <> 1 GROUP BY ALL
+    """,
+)
+def read_batches(spark, sf):
+    """Three batches of one dataset; the run of the second is undone before its end, so that readers must not see it."""
+    root = scratch_path(spark, "batches")
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    for k in range(3):
+        path = write_layer(events.where(F.col("user_id") % 3 == k), root, "silver", "shop", "events", "ts", f"2024030{k + 1}000000")
+    remove_folder(spark, f"{path}/{BATCHES}/20240302000000.json")
+    days = F.countDistinct(F.to_date("ts")).alias("days")
+    part = (F.col("user_id") % 3).alias("part")
+    return landing.read_batches(spark, path).groupBy(part).agg(F.count(F.lit(1)).alias("n"), days)
+
+
 @query(
     "inventory_stats",
     """

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from strata.files import matching, remove_folder
+from strata.files import matching, read_text, remove_folder, write_new
 
 # The layers, and the form of a batch id.
 LAYERS = ("landing", "silver", "gold")
@@ -19,6 +21,10 @@ BATCH_LEVELS = (*DAY_LEVELS, "batch_id")
 NULL_LEVEL = "__HIVE_DEFAULT_PARTITION__"
 
 
+#: Beside the data, one small file for each batch that is complete; Spark's readers pass over such names.
+BATCHES = "_batches"
+
+
 def layer_path(root: str, layer: str, source: str, dataset: str) -> str:
     if layer not in LAYERS:
         raise ValueError(f"unknown layer: {layer}")
@@ -36,6 +42,15 @@ def to_json_records(df: DataFrame, col: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), options).alias(col))
 
 
+def complete_batches(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The complete batches of a dataset, each with the day folders that hold it, relative to the dataset."""
+    found = {}
+    for name in sorted(matching(spark, f"{path}/{BATCHES}/*.json")):
+        told = json.loads(read_text(spark, name))
+        found[told["batch_id"]] = told["folders"]
+    return found
+
+
 def write_batch(
     df: DataFrame, path: str, ts: Column | str | datetime, batch_id: str, fmt: str = "parquet"
 ) -> str:
@@ -46,6 +61,10 @@ def write_batch(
     batches are never touched. Days the batch no longer has lose its folder. Rows whose time is null go
     to the folders of null levels. Columns with the name of a level are refused.
 
+    The last step writes the batch's record to `_batches`; the first of a repeated run removes it. So a batch whose run died at
+    any place between is not complete: `read_batches` leaves it out, and running it again heals it. Readers of the plain
+    folders see what is there.
+
     Rows are rebalanced by day before the write: files come out near the advisory size, and a day
     that holds most of the rows is split over many tasks instead of being written by one.
     """
@@ -65,10 +84,11 @@ def write_batch(
         }
     )
     earlier = matching(spark, f"{path}/year=*/month=*/day=*/batch_id={batch_id}")
-    if earlier:
-        days = Observation()
-        day = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(c, F.lit(NULL_LEVEL))) for c in DAY_LEVELS])
-        dated = dated.observe(days, F.collect_set(day).alias("written"))
+    record = f"{path}/{BATCHES}/{batch_id}.json"
+    remove_folder(spark, record)
+    days = Observation()
+    day = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(c, F.lit(NULL_LEVEL))) for c in DAY_LEVELS])
+    dated = dated.observe(days, F.collect_set(day).alias("written"))
     (
         dated.hint("rebalance", *DAY_LEVELS)
         .write.mode("overwrite")
@@ -78,11 +98,18 @@ def write_batch(
         .format(fmt)
         .save(path)
     )
-    if earlier:
-        kept = tuple(f"/{d}/batch_id={batch_id}" for d in days.get["written"])
-        for folder in earlier:
-            if not folder.endswith(kept):
-                remove_folder(spark, folder)
+    try:
+        written = days.get["written"]
+    except (KeyError, Py4JJavaError):  # nothing is observed where the optimizer found that there are no rows
+        if not df.isEmpty():
+            raise
+        written = []
+    folders = sorted(f"{d}/batch_id={batch_id}" for d in written)
+    for folder in earlier:
+        if not folder.endswith(tuple(f"/{f}" for f in folders)):
+            remove_folder(spark, folder)
+    if not write_new(spark, record, json.dumps({"batch_id": batch_id, "folders": folders})):
+        raise RuntimeError(f"batch {batch_id} was written by another run meanwhile; run it again")
     return path
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.expr import once
+from strata.sinks.layers import complete_batches
 from strata.sources.arrays import read_array_elements
 from strata.sources.listing import check_files, list_files
 
@@ -104,6 +105,24 @@ def read_checked(spark: SparkSession, path: str, fmt: str | None = None, **optio
     return spark.createDataFrame([], _struct(options["schema"])), refused
 
 
+def read_batches(spark: SparkSession, path: str, fmt: str = "parquet", batches: list[str] | None = None, **options) -> DataFrame:
+    """`read_landing` of the complete batches of a dataset, or of those named: what unfinished runs left is not read.
+
+    The folders come from the records of `write_batch`, so nothing is listed but them. Without any complete batch there
+    are no rows, which needs a schema; a batch that is named and not complete is an error.
+    """
+    complete = complete_batches(spark, path)
+    absent = sorted(set(batches or ()) - set(complete))
+    if absent:
+        raise ValueError(f"batches that are not complete: {absent}")
+    folders = [f"{path}/{f}" for b in (complete if batches is None else dict.fromkeys(batches)) for f in complete[b]]
+    if folders:
+        return read_landing(spark, folders, fmt, base=path, **options)
+    if options.get("schema") is None:
+        raise ValueError(f"no complete batch below {path}, and no schema is given")
+    return spark.createDataFrame([], _struct(options["schema"]))
+
+
 def _elements(spark, paths, schema, on_bad, skipped, raw) -> DataFrame:
     texts = read_array_elements(spark, paths)
     if raw:
