@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -28,3 +29,13 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def trim_all(text: Column) -> Column:
     """Without white space of any kind on either side."""
     return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
+def observed(observation: Observation) -> dict:
+    """What was observed; nothing where the optimizer, before or during the run, found that no rows are left and cut the plan."""
+    try:
+        return dict(observation.get)
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e):
+            raise
+        return {}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from strata.functions.expr import observed
 from strata.sources.landing import CORRUPT, flag_bad_records
 
 # The fields of a log record.
@@ -157,7 +158,7 @@ def with_summary(
 
 def summary_of(observation: Observation, kind: str, errors: int = 0) -> dict:
     """The run result: `kind` is `fetched` or `processed`; `errors` were counted elsewhere. Waits for the action."""
-    counts = dict(observation.get)
+    counts = {"records": 0, "error_count": 0} | observed(observation)
     counts["error_count"] += errors
     return {
         "status": "success",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strata import schema as S
 from strata.checkpoints import ensure_checkpoint_dir
-from strata.functions.expr import once, trim_all
+from strata.functions.expr import observed, once, trim_all
 from strata.operators import clean, model, relate, replies, reuse, rules, text
 from strata.operators.envelope import record_columns, unwrap_envelope
 from strata.operators.logs import summary_of, with_summary
@@ -25,7 +25,7 @@ from strata.operators.quality import require_schema
 from strata.operators.urls import url_class
 from strata.plans.rules import INGESTION, check_manifests
 from strata.sinks.layers import BATCH_LEVELS, layer_path, new_batch_id, write_batch
-from strata.sources.landing import CORRUPT, read_landing
+from strata.sources.landing import CORRUPT, read_checked, read_landing
 from strata.sources.paged import Fetcher, HttpFetcher, read_paged, require_pages
 
 Manifest = Mapping[str, Any]
@@ -65,6 +65,19 @@ class Context:
     instruction: str = ""
     on_bad: str = "skip"
     bad: list[tuple[Observation, DataFrame]] = field(default_factory=list)
+    check_files: bool = False
+    refused: DataFrame | None = None
+
+    def landed(self, where: str, fmt: str, **options) -> DataFrame:
+        """The landed rows; with `check_files` without the files that cannot be read, which stop the run (`fail`) or are kept in `refused`."""
+        if not self.check_files or self.dry_run:
+            return read_landing(self.spark, where, fmt, **options)
+        rows, refused = read_checked(self.spark, where, fmt, **options)
+        self.refused = refused.select(F.col("path").alias("record"), F.concat(F.lit("unreadable file: "), "reason").alias("reason"))
+        told = self.refused.limit(20).collect() if self.on_bad == "fail" else []
+        if told:
+            raise ManifestError("files cannot be read", [f"{r['record']}: {r['reason']}" for r in told])
+        return rows
 
     def without_bad(self, df: DataFrame, bad: Column, record: Column, reason: Column | str) -> DataFrame:
         """The rows that are not bad. The others are counted during the run; they stop it (`fail`), are
@@ -217,16 +230,16 @@ def _transformation(manifest: Manifest, c: Context, lines: bool, row_tag: str |
     raw = fmt == "json" and first in ("unwrap_envelope", "build_prompts")
     declared = source.get("schema")
     if raw or fmt == "parquet":
-        df = read_landing(c.spark, where, fmt, lines=lines, raw=raw)
+        df = c.landed(where, fmt, lines=lines, raw=raw)
     elif declared:
         fields = ", ".join(f"`{n}` {S.spark_type(t) or 'string'}" for n, t in declared.items())
-        split = fmt == "json" and not lines and not c.dry_run
-        df = read_landing(c.spark, where, fmt, fields, row_tag=row_tag, lines=lines, on_bad="quarantine", split=split)
+        split = {"split": True} if fmt == "json" and not (lines or c.dry_run or c.check_files) else {}
+        df = c.landed(where, fmt, schema=fields, row_tag=row_tag, lines=lines, on_bad="quarantine", **split)
         df = c.without_bad(df, F.col(CORRUPT).isNotNull(), F.col(CORRUPT), "unreadable record").drop(CORRUPT)
     elif c.dry_run:
         raise ManifestError(f"a dry run over {fmt} needs source.schema, as fields are inferred by reading the data")
     else:
-        df = read_landing(c.spark, where, fmt, row_tag=row_tag, lines=lines)
+        df = c.landed(where, fmt, row_tag=row_tag, lines=lines)
     out = apply_steps(df, steps, c)
     return out.drop(*set(BATCH_LEVELS) - set(c.schema)), c.location(target["bucket"], target["path"]), "parquet"
 
@@ -242,6 +255,7 @@ def run_manifest(
     row_tag: str | None = None,
     pause: float = 1.0,
     model_fn: ModelFn | None = None,
+    check_files: bool = False,
 ) -> RunResult:
     """Validate, chain, write, and say what happened; a failed run raises `ManifestError`.
 
@@ -255,14 +269,15 @@ def run_manifest(
     chain and returns its schema, schema mismatches and target, without reading data. `at` is the
     run's time: it gives the batch id, so a repeated run replaces its batch. `lines` says whether landed JSON holds one
     value per line (as written here) or per file. Without `unwrap_envelope` as first step and without
-    `source.schema`, Spark reads JSON, XML and CSV once more to infer their fields. `model_fn` answers `extract_records`.
+    `source.schema`, Spark reads JSON, XML and CSV once more to infer their fields. `check_files` checks landed files before
+    they are read: those that cannot be read are bad records too (see `read_checked`); else one stops the run. `model_fn` answers `extract_records`.
     """
     validate_manifest(spark, manifest)
     ingests = manifest["agent_type"] == INGESTION
     schema = {} if ingests else manifest["ai_config"]["schema"]
     instruction = "" if ingests else manifest["ai_config"]["instruction"].strip()
     on_bad = manifest["source"].get("on_bad") or "skip"
-    c = Context(spark, roots, schema, at, new_batch_id(at), dry_run, model_fn, instruction, on_bad)
+    c = Context(spark, roots, schema, at, new_batch_id(at), dry_run, model_fn, instruction, on_bad, check_files=check_files)
     capped = False
     if ingests:
         df, target, fmt, capped = _ingestion(manifest, c, fetcher, pause)
@@ -277,8 +292,11 @@ def run_manifest(
         write_batch(counted, target, at, c.batch_id, fmt)
     except PySparkException as e:
         raise ManifestError(f"{manifest['pipeline_name']} failed: {str(e).splitlines()[0]}") from e
-    # A count is missing where the optimizer found that its step has no rows.
-    errors = [(count.get.get("bad", 0), rows) for count, rows in c.bad]
+    # A count is missing where no good row is left and the plan was cut; then the bad ones are counted again.
+    counts = [(observed(count).get("bad"), rows) for count, rows in c.bad]
+    errors = [(rows.count() if n is None else n, rows) for n, rows in counts]
+    if c.refused is not None:
+        errors.append((c.refused.count(), c.refused))
     summary = summary_of(observation, "fetched" if ingests else "processed", sum(n for n, _ in errors))
     kept = [rows for n, rows in errors if n]
     if on_bad == "quarantine" and kept:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strata.files import matching, read_text, remove_folder, write_new
+from strata.functions.expr import observed
 
 # The layers, and the form of a batch id.
 LAYERS = ("landing", "silver", "gold")
@@ -98,12 +98,10 @@ def write_batch(
         .format(fmt)
         .save(path)
     )
-    try:
-        written = days.get["written"]
-    except (KeyError, Py4JJavaError):  # nothing is observed where the optimizer found that there are no rows
-        if not df.isEmpty():
-            raise
-        written = []
+    told = observed(days)
+    if not told and not df.isEmpty():
+        raise RuntimeError(f"the folders of batch {batch_id} are not known; run it again")
+    written = told.get("written", [])
     folders = sorted(f"{d}/batch_id={batch_id}" for d in written)
     for folder in earlier:
         if not folder.endswith(tuple(f"/{f}" for f in folders)):

@@ -55,14 +55,13 @@ def read_landing(
         raise ValueError("splitting is for JSON with lines=False, and needs a schema or raw")
     if split:
         return _elements(spark, paths, schema, on_bad, skipped, raw)
+    based = spark.read.option("basePath", base) if base else spark.read
     if raw:
-        return spark.read.text(paths, wholetext=not lines).withColumnRenamed("value", "body")
+        return based.text(paths, wholetext=not lines).withColumnRenamed("value", "body")
     fmt = fmt or format_of(paths[0])
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
-    reader = spark.read.format(fmt)
-    if base:
-        reader = reader.option("basePath", base)
+    reader = based.format(fmt)
     if on_bad == "skip" and fmt != "parquet" and (skipped is None or schema is None):
         raise ValueError("skipping bad records needs a schema and an observation that counts them")
     if fmt != "parquet":
@@ -92,7 +91,7 @@ def read_checked(spark: SparkSession, path: str, fmt: str | None = None, **optio
 
     Files are checked first (see `check_files`), the names of good ones go to the driver, as for any scan, and are then read
     without leave to skip anything: a file that is damaged where the check does not look stops the read. Options are those of
-    `read_landing`, but for `raw` and `split`. Where no file is good there are no rows, which needs a schema.
+    `read_landing`, but for `split`. Where no file is good there are no rows, which needs a schema.
     """
     fmt = fmt or format_of(path)
     checked = check_files(list_files(spark, path), fmt).checkpoint()

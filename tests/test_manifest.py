@@ -258,3 +258,37 @@ def test_checks_as_steps(spark, tmp_path, manifest):
     manifest["ai_config"] |= {"schema": {"id": "string", "url": "string"}, "steps": steps}
     done = run_manifest(spark, manifest, {"lake-data": str(tmp_path)}, AT)
     assert [r.id for r in spark.read.parquet(done.target).collect()] == ["1"] and done.summary["error_count"] == 2
+
+
+@pytest.mark.parametrize("on_bad", ["skip", "quarantine", "fail"])
+def test_files_that_cannot_be_read_are_counted(spark, tmp_path, manifest, on_bad):
+    landing = tmp_path / "layer=landing" / "source=shop" / "dataset=items"
+    landing.mkdir(parents=True)
+    (landing / "a.json").write_text('{"id": "1"}\n{"id": "2"}\n')
+    (landing / "b.json").write_bytes(b"PAR1 no text")
+    (landing / "c.json.gz").write_bytes(b"\x1f\x8b cut off")
+    manifest["ai_config"] |= {"schema": {"id": "int"}, "steps": ["cast_columns"]}
+    manifest["source"] |= {"on_bad": on_bad, "schema": {"id": "string"}}
+    roots = {"lake-data": str(tmp_path)}
+    if on_bad == "fail":
+        with pytest.raises(ManifestError, match="files cannot be read"):
+            run_manifest(spark, manifest, roots, AT, check_files=True)
+        return
+    done = run_manifest(spark, manifest, roots, AT, check_files=True)
+    assert (done.summary["records_processed"], done.summary["error_count"]) == (2, 2)
+    beside = tmp_path / "layer=silver" / "source=shop" / "dataset=items_quarantine"
+    assert beside.exists() == (on_bad == "quarantine")
+    if on_bad == "quarantine":
+        assert sorted(r.record.rsplit("/", 1)[1] for r in spark.read.json(str(beside)).collect()) == ["b.json", "c.json.gz"]
+
+
+def test_landed_arrays_are_split(spark, tmp_path, manifest):
+    landing = tmp_path / "layer=landing" / "source=shop" / "dataset=items"
+    landing.mkdir(parents=True)
+    roots = {"lake-data": str(tmp_path)}
+    manifest["ai_config"] |= {"schema": {"id": "int"}, "steps": ["cast_columns"]}
+    manifest["source"]["schema"] = {"id": "int"}
+    for text, counts in (('[{"id": 1},\n {"id": {"no": "}"}}, {"id": 3}, {"id"', (2, 2)), ('[{"id": "x"}, {"id": "y"}, {"id"', (0, 3))):
+        (landing / "a.json").write_text(text)
+        done = run_manifest(spark, manifest, roots, AT, lines=False)
+        assert (done.summary["records_processed"], done.summary["error_count"]) == counts
