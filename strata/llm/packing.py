@@ -31,15 +31,65 @@ class Plan:
     sequences: int
 
 
+class SumIndex:
+    """Available lengths by the sums they add up to: singles, pairs and triples.
+
+    Counts only fall, so an entry that was found short of pieces never comes back. Each sum keeps its pairs in order of
+    their shorter part, and where its first pair stands that may still be had; for triples it keeps the longest
+    part that may still be had, the other two being a pair of what is left. Looking up a sum retires what is used up, so
+    each entry is passed over once in all.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.left = np.array(counts, dtype=np.int64)
+        there = self.left > 0
+        #: The shorter parts of the pairs of each sum.
+        self.pairs = [np.flatnonzero(there[: s // 2 + 1] & there[s - s // 2 : s + 1][::-1]) for s in range(len(there))]
+        self.at = [0] * len(there)
+        self.longest = [s - 2 for s in range(len(there))]
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.left[total] else None
+
+    def pair(self, total: int, without: int = 0) -> tuple[int, int] | None:
+        """The pair with the longest first part, while one piece of the length `without` is put aside."""
+        left, lows, first = self.left, self.pairs[total], True
+        for k in range(self.at[total], len(lows)):
+            low = int(lows[k])
+            high = total - low
+            if left[high] and left[low] > (low == high):
+                need = (low == without) + (high == without)
+                if not need or left[without] > need:
+                    return high, low
+                first = False  # it may be had another time
+            elif first:
+                self.at[total] = k + 1
+        return None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        for a in range(self.longest[total], 0, -1):
+            pair = self.pair(total - a, a) if self.left[a] else None
+            if pair:
+                return a, *pair
+            self.longest[total] = a - 1
+        return None
+
+    def exact(self, total: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths with the sum `total`, the longest first part preferred."""
+        return self.single(total) or self.pair(total) or self.triple(total)
+
+
 def plan_packing(counts: np.ndarray, capacity: int) -> Plan:
     """Plan from the number of pieces of each length (`counts[n]`), longest first.
 
     The gap that a piece leaves is filled by one, two or three available lengths that add up to it, found in
     the index of sums; if there are none, the longest length that fits goes in and the rest of the gap is tried
     again. A combination is used as often as its lengths are available, so each step uses a length up (all
-    but its last piece or two): the work depends on the capacity and not on the number of pieces.
+    but its last piece or two): the work, like the size of the index, depends on the capacity and not on the number of
+    pieces.
     """
-    left = np.array(counts, dtype=np.int64)
+    index = SumIndex(counts)
+    left = index.left
     taken = np.zeros(capacity + 1, dtype=np.int64)
     runs, sequences = [], 0
     for length in range(capacity, 0, -1):
@@ -47,7 +97,7 @@ def plan_packing(counts: np.ndarray, capacity: int) -> Plan:
             left[length] -= 1
             parts, gap = [length], capacity - length
             while gap:
-                fill = _exact(left, gap)
+                fill = index.exact(gap)
                 if fill is None:
                     fits = np.flatnonzero(left[1 : gap + 1])
                     if not len(fits):
@@ -71,33 +121,6 @@ def plan_packing(counts: np.ndarray, capacity: int) -> Plan:
     return Plan(*columns, sequences)
 
 
-def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths with the sum `gap`, the longest first part preferred."""
-    if left[gap]:
-        return (gap,)
-    there = left[: gap + 1] > 0
-    pair = _pair(left, there, gap)
-    if pair:
-        return pair
-    for a in np.flatnonzero(there[: gap - 1])[::-1].tolist():
-        left[a] -= 1
-        there[a] = left[a] > 0
-        pair = _pair(left, there, gap - a)
-        left[a] += 1
-        there[a] = True
-        if pair:
-            return (a, *pair)
-    return None
-
-
-def _pair(left: np.ndarray, there: np.ndarray, total: int) -> tuple[int, int] | None:
-    low = there[1 : total // 2 + 1]
-    both = np.flatnonzero(low & there[total - len(low) : total][::-1]) + 1
-    if total % 2 == 0 and len(both) and both[-1] * 2 == total and left[total // 2] < 2:
-        both = both[:-1]
-    return (total - int(both[0]), int(both[0])) if len(both) else None
-
-
 def cut_pieces(docs: DataFrame, text: str, doc_id: str, vocabulary: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     """Each document's pieces, each with its rank among those of its length in its task."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long" + (", ids array<int>" if with_ids else "")

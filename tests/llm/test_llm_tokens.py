@@ -1,5 +1,6 @@
 """Token counts, token files and packing against the library itself."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -164,3 +165,25 @@ def test_exact_complements_are_found():
     counts = np.zeros(101, int)
     counts[[60, 30, 9, 1]] = 5
     assert packing.plan_packing(counts, 100).sequences == 5
+
+
+def test_index_of_sums_against_search():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        counts = rng.integers(0, 4, 40) * (rng.random(40) < 0.5)
+        counts[0] = 0
+        index = packing.SumIndex(counts)
+        for _ in range(60):
+            total = int(rng.integers(1, 40))
+            lengths = np.flatnonzero(index.left).tolist()
+            found = index.exact(total)
+            fits = [
+                c
+                for k in (1, 2, 3)
+                for c in itertools.combinations_with_replacement(lengths[::-1], k)
+                if sum(c) == total and all(index.left[x] >= c.count(x) for x in c)
+            ]
+            assert (sorted(found, reverse=True) if found else None) == (max((list(c) for c in fits if len(c) == len(fits[0])), default=None) if fits else None)
+            if found:
+                np.subtract.at(index.left, list(found), 1)
+    assert packing.plan_packing(np.array([0, 0, 3]), 2).sequences == 3
