@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strata.checkpoints import scratch_path
 from strata.operators import clean, quality, relate
 from strata.queries.registry import query, table
+from strata.sinks import gold
 
 
 @query(
@@ -245,3 +247,36 @@ def gold_revenue(spark, sf):
         ["n_name", "created_year"],
         {"n_orders": "count(*)", "revenue": "cast(sum(cast(amount as decimal(18, 2))) as double)"},
     )
+
+
+@query(
+    "gold_increments",
+    """
+    SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority, count(*) AS n_orders, count(o_clerk_code) AS n_coded,
+           CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS revenue, min(o_orderdate) AS first_order,
+           max(o_totalprice) AS largest, round(avg(o_custkey), 6) AS mean_customer
+    FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS o_clerk_code FROM orders)
+    GROUP BY ALL
+    """,
+)
+def gold_in_batches(spark, sf):
+    """Batches of orders as they land; one was wrong and runs again, one runs again after its states were merged with others."""
+    path, key = scratch_path(spark, "gold"), F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select(
+        "o_orderpriority", "o_orderdate", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("year"), F.when(key % 3 == 0, F.col("o_custkey")).alias("code"),
+        (key % 4).alias("batch"),
+    )
+    table_of = gold.Gold(
+        ("year", "o_orderpriority"),
+        {
+            "n_orders": ("count", "*"), "n_coded": ("count", "code"), "revenue": ("sum", "cast(o_totalprice as decimal(18, 2))"),
+            "first_order": ("min", "o_orderdate"), "largest": ("max", "o_totalprice"), "mean_customer": ("avg", "o_custkey"),
+        },
+    )
+    gold.put_batch(path, orders.filter("batch < 2"), table_of, "1")
+    for b in (0, 2, 3, 1):
+        gold.put_batch(path, orders.filter(F.col("batch") == b), table_of, str(b))
+    gold.compact_gold(spark, path, table_of)
+    gold.put_batch(path, orders.filter("batch = 2"), table_of, "2")
+    read = gold.read_gold(spark, path, table_of)
+    return read.withColumns({"revenue": F.col("revenue").cast("double"), "mean_customer": F.round("mean_customer", 6)})
