@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.checkpoints import ensure_checkpoint_dir
@@ -13,6 +13,8 @@ from strata.operators.envelope import parsed
 
 # Pages whose counts one window task adds up; totals of the blocks before it come from the level above.
 BLOCK = 1000
+# Links of cursor chains that are doubled as they are; of more, some are taken out first.
+CONTRACT_ABOVE = 1_000_000
 
 
 def stitch_pages(
@@ -93,6 +95,45 @@ def stitch_pages(
     )
 
 
+def _between(first: Column) -> Column:
+    """Whether a page stands between others: it is not the first, and leads to another page."""
+    return (F.col("c") != first) & (F.col("c") != F.col("t"))
+
+
+def _take_out(links: DataFrame, first: Column, k: int) -> tuple[DataFrame, DataFrame]:
+    """Links without some pages, and those pages with the link that led to each (`before`, `c`, `w`).
+
+    A page goes if its own coin of round `k` shows heads and that of its target tails, so a page and its target never go
+    together. First pages stay, and so do pages without a target.
+    """
+    heads = lambda c: F.pmod(F.xxhash64("s", c, F.lit(k)), F.lit(2)) == 0
+    going = heads(F.col("c")) & ~heads(F.col("t")) & _between(first)
+    gone = links.filter(going).select("s", F.col("c").alias("t"), F.col("t").alias("after"), F.col("w").alias("more"))
+    joined = links.filter(~F.coalesce(going, F.lit(False))).join(gone, ["s", "t"], "left").checkpoint()
+    out = joined.filter("after is not null").select("s", F.col("c").alias("before"), F.col("t").alias("c"), "w")
+    rest = joined.select("s", "c", F.coalesce("after", "t").alias("t"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+    return rest, out
+
+
+def _double(links: DataFrame, first: Column) -> DataFrame:
+    """`s`, `at`, `position` of all that first pages reach over weighted links, by doubling of jumps."""
+    longest = links.groupBy("s").count().agg(F.max("count")).first()[0] or 0
+    jumps = links.filter("t is not null").checkpoint()
+    reached = links.filter(F.col("c") == first).select("s", F.col("c").alias("at"), F.lit(0).cast("bigint").alias("position")).checkpoint()
+    step = 1
+    while step <= longest and not jumps.isEmpty():
+        movers = reached.select("s", F.col("at").alias("key"), "position", F.lit(None).cast("string").alias("c"), F.lit(0).alias("so_far"))
+        doubled = jumps.select("s", F.col("t").alias("key"), F.lit(None).cast("bigint").alias("position"), "c", F.col("w").alias("so_far"))
+        moved = movers.unionByName(doubled).join(jumps.select("s", F.col("c").alias("key"), "t", "w"), ["s", "key"]).checkpoint()
+        ahead = moved.filter("position is not null").select("s", F.col("t").alias("at"), (F.col("position") + F.col("w")).alias("position"))
+        # A chain that loops comes past a page again: its first visit counts.
+        reached = reached.unionByName(ahead).groupBy("s", "at").agg(F.min("position").alias("position"))
+        reached = reached.checkpoint()
+        jumps = moved.filter("c is not null").select("s", "c", "t", (F.col("so_far") + F.col("w")).alias("w"))
+        step *= 2
+    return reached
+
+
 def stitch_cursor_pages(
     pages: DataFrame,
     cursor_col: str = "cursor",
@@ -100,6 +141,7 @@ def stitch_cursor_pages(
     source_col: str = "source",
     start: str | None = None,
     keep_missing: bool = False,
+    contract_above: int = CONTRACT_ABOVE,
 ) -> DataFrame:
     """Order landed cursor pages by following `next_cursor`, for many sources at once.
 
@@ -107,9 +149,12 @@ def stitch_cursor_pages(
     counted from 0. Pages that the chain does not reach are left out. With `keep_missing`, a cursor
     that leads to a page that never landed stays as a row with `landed` = false.
 
-    A chain of n pages takes about log2(n) rounds: in round k every reached page jumps 2^k pages
-    ahead and every jump is doubled, both in one join on (source, cursor). That key is unique, so a
-    source with very many pages is not a hot key. Each round is cut by a reliable checkpoint.
+    While there are more than `contract_above` links, rounds take pages out: about a quarter of those left, no two of them
+    neighbours, each leaving its predecessors with a longer link. So all these rounds together shuffle a small
+    multiple of the links. What is left takes about log2(n) rounds of doubling for chains of n pages: in round k every reached
+    page jumps 2^k links ahead and every jump is doubled, both in one join. Then the pages taken out get their places from
+    their predecessors, last round first. All joins are on (source, cursor). That key is unique, so a source with very
+    many pages is not a hot key. Each round is cut by a reliable checkpoint.
     """
     spark = pages.sparkSession
     ensure_checkpoint_dir(spark)
@@ -123,30 +168,16 @@ def stitch_cursor_pages(
         .groupBy("s", "c")
         .agg(F.min("t").alias("t"))
     )
-    longest = links.groupBy("s").count().agg(F.max("count")).first()[0] or 0
-    jumps = links.filter("t is not null").checkpoint()
-    reached = (
-        links.filter(F.col("c") == first)
-        .select("s", F.col("c").alias("at"), F.lit(0).cast("bigint").alias("position"))
-        .checkpoint()
-    )
-    step = 1
-    while step <= longest and not jumps.isEmpty():
-        movers = reached.select("s", F.col("at").alias("key"), "position", F.lit(None).cast("string").alias("c"))
-        doubled = jumps.select("s", F.col("t").alias("key"), F.lit(None).cast("bigint").alias("position"), "c")
-        moved = (
-            movers.unionByName(doubled)
-            .join(jumps.select("s", F.col("c").alias("key"), "t"), ["s", "key"])
-            .checkpoint()
-        )
-        ahead = moved.filter("position is not null").select(
-            "s", F.col("t").alias("at"), (F.col("position") + step).alias("position")
-        )
-        # A chain that loops comes past a page again: its first visit counts.
-        reached = reached.unionByName(ahead).groupBy("s", "at").agg(F.min("position").alias("position"))
-        reached = reached.checkpoint()
-        jumps = moved.filter("c is not null").select("s", "c", "t")
-        step *= 2
+    taken = []
+    links = links.withColumn("w", F.lit(1).cast("bigint")).checkpoint()
+    while links.filter(_between(first)).count() > contract_above:
+        links, out = _take_out(links, first, len(taken))
+        taken.append(out)
+    reached = _double(links, first)
+    for out in reversed(taken):
+        before = reached.select("s", F.col("at").alias("before"), "position")
+        placed = out.join(before, ["s", "before"]).groupBy("s", F.col("c").alias("at")).agg(F.min(F.col("position") + F.col("w")).alias("position"))
+        reached = reached.unionByName(placed).checkpoint()
     keyed = pages.withColumn("_at", cursor).withColumnRenamed(source_col, "_s")
     order = reached.select(F.col("s").alias("_s"), F.col("at").alias("_at"), "position")
     joined = order.join(keyed.withColumn("landed", F.lit(True)), ["_s", "_at"], "left" if keep_missing else "inner")

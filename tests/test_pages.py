@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strata.operators.envelope import record_columns
+from strata.operators import pages
 from strata.operators.pages import stitch_cursor_pages, stitch_pages
 from strata.sources.paged import SCHEMA, FileFetcher, HttpFetcher, fetch_pages, page_state, read_paged, register_paged, require_pages
 from strata.sources.requests import WAVE, plan_requests
@@ -96,7 +97,8 @@ def chain(source, names):
     return [(source, a, b, f"{source}:{a}") for a, b in zip(names, [*names[1:], None], strict=True)]
 
 
-def test_cursor_chains_against_walking(spark):
+@pytest.mark.parametrize("contract_above", [1000, 60])
+def test_cursor_chains_against_walking(spark, contract_above):
     rng = random.Random(3)
     pages, want = [], {}
     for s in range(12):
@@ -107,24 +109,48 @@ def test_cursor_chains_against_walking(spark):
     pages.append(("3", "unreached", "nowhere", "3:unreached"))
     rng.shuffle(pages)
     df = spark.createDataFrame(pages, "source string, cursor string, next_cursor string, body string")
-    got = stitch_cursor_pages(df)
+    got = stitch_cursor_pages(df, contract_above=contract_above)
     assert got.columns == [*df.columns, "position"]
     assert {(r.source, r.body): r.position for r in got.collect()} == want
 
 
-def test_cursor_loop_and_missing_page(spark):
+@pytest.mark.parametrize("contract_above", [1000, 0])
+def test_cursor_loop_and_missing_page(spark, contract_above):
     pages = [
         ("loop", None, "a", "p0"), ("loop", "a", "b", "p1"), ("loop", "b", "a", "p2"),
         ("gone", None, "x", "q0"),
     ]
     df = spark.createDataFrame(pages, "source string, cursor string, next_cursor string, body string")
-    assert sorted((r.source, r.position, r.body) for r in stitch_cursor_pages(df).collect()) == [
+    assert sorted((r.source, r.position, r.body) for r in stitch_cursor_pages(df, contract_above=contract_above).collect()) == [
         ("gone", 0, "q0"), ("loop", 0, "p0"), ("loop", 1, "p1"), ("loop", 2, "p2"),
     ]
-    missing = stitch_cursor_pages(df, keep_missing=True).filter("not landed").collect()
+    missing = stitch_cursor_pages(df, keep_missing=True, contract_above=contract_above).filter("not landed").collect()
     assert [(r.source, r.position) for r in missing] == [("gone", 1)]
 
 
+def test_pages_taken_out_are_no_neighbours(spark):
+    n = 4000
+    # One chain with a loop at its end, which two pages lead into, and pages that point at themselves.
+    links = spark.range(n).selectExpr("'s' as s", "cast(id as string) as c", f"cast(if(id = {n - 1}, 3000, id + 1) as string) as t", "1L as w")
+    own = spark.range(50).selectExpr("'own' as s", "cast(id as string) as c", "cast(id as string) as t", "1L as w")
+    left, total = links.unionByName(own), 0
+    for k in range(4):
+        before = {r.c for r in left.filter("s = 's'").collect()}
+        left, out = pages._take_out(left, F.lit("0"), k)
+        rest, gone = {r.c: r for r in left.filter("s = 's'").collect()}, {(r.before, r.c): r.w for r in out.collect()}
+        removed = {c for _, c in gone}
+        assert "0" in rest and rest.keys() | removed == before and not rest.keys() & removed
+        assert not {b for b, _ in gone} & removed and 0.2 * len(before) < len(removed) < 0.3 * len(before)
+        assert left.filter("s = 'own'").count() == 50
+        total += len(removed)
+    assert len(rest) == n - total
+    at, seen = "0", {}
+    while at not in seen:
+        seen[at] = sum(r.w for r in rest.values() if r.c in seen)
+        at = rest[at].t
+    assert all(int(c) == place for c, place in seen.items())
+
+
 def test_cursor_start_value(spark):
     df = spark.createDataFrame([("s", "*", "n", "p0"), ("s", "n", None, "p1")], "source string, cursor string, next_cursor string, body string")
     assert sorted((r.position, r.body) for r in stitch_cursor_pages(df, start="*").collect()) == [(0, "p0"), (1, "p1")]
