@@ -14,6 +14,7 @@ from strata.plans.manifest import run_manifest
 from strata.queries.registry import query, table
 from strata.sinks.layers import BATCHES, to_json_records, write_layer
 from strata.sources import landing, paged
+from strata.sources.progress import ingest_new
 from strata.sources.requests import plan_requests
 from strata.streaming.promote import promote
 
@@ -408,10 +409,10 @@ def stitched_turns(spark, sf):
     return stitch_cursor_pages(pages, source_col="conv_id").select("conv_id", "turn", "position")
 
 
-def _dump_customers(spark, sf, source, key=None):
+def _dump_customers(spark, sf, source, key=None, where="true"):
     """Customers as page files: one folder per source and 500 keys. Returns the root and the pages."""
     root = scratch_path(spark, "dump")
-    customers = table(spark, sf, "customer").select(
+    customers = table(spark, sf, "customer").filter(where).select(
         source.alias("source"), (F.floor(F.col("c_custkey") / 500) + 1).alias("page"), "c_custkey"
     )
     body = F.to_json(F.sort_array(F.collect_list(F.struct("c_custkey"))))
@@ -476,3 +477,25 @@ def landed_customers(spark, sf):
     lake = {"lake-data": scratch_path(spark, "lake")}
     result = run_manifest(spark, manifest, lake, datetime(2024, 3, 1), fetcher=paged.FileFetcher(root))
     return landing.read_landing(spark, result.target, "json", "c_custkey bigint", lines=True).select("c_custkey")
+
+
+@query(
+    "ingest_increments",
+    """
+    SELECT CAST(c_nationkey % 5 AS VARCHAR) AS source_id, c_custkey // 500 + 1 AS page, c_custkey,
+           CASE WHEN c_custkey * 5 < 3 * max(c_custkey) OVER () THEN 1 ELSE 2 END AS run
+    FROM customer
+    """,
+)
+def customers_as_they_come(spark, sf):
+    """Sources that grow between two runs, within their last page and beyond it; the second run lands what is new."""
+    progress, landed = scratch_path(spark, "progress"), scratch_path(spark, "landed")
+    source, most = F.col("c_nationkey") % 5, table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    for where in (F.col("c_custkey") * 5 < 3 * most, F.lit(True)):
+        root, pages = _dump_customers(spark, sf, source, where=where)
+        sources = pages.select(F.col("source").cast("string").alias("source_id")).distinct().withColumn("type", F.lit("page"))
+        ingest_new(
+            sources, paged.FileFetcher(root), progress,
+            lambda records, run: record_columns(records, {"c_custkey": "int"}).write.parquet(f"{landed}/run={run}"),
+        )
+    return spark.read.parquet(landed).withColumn("run", F.col("run").cast("int"))

@@ -24,6 +24,7 @@ _DEFAULTS = {
     "page_param": "string",
     "max_pages": "int",
     "params": "map<string,string>",
+    "done_pages": "bigint",
 }
 
 
@@ -34,7 +35,7 @@ def plan_requests(sources: DataFrame, first: int = 1, wave: int = WAVE) -> DataF
     counts pages; `none` and `cursor` give one request, as the next cursor is only known after the answer.
     Static params are merged in, paging params win. A source with `max_items` or `max_pages` gets all its
     requests from `first` on; one without a known end gets the next `wave` of them, and `last` is null for it
-    (`read_paged` goes on wave by wave). Columns of the sources that paging does not use are carried along.
+    (`read_paged` goes on wave by wave). `done_pages` are not asked for again: `seq` 1 is the page after them. Columns of the sources that paging does not use are carried along.
     """
     absent = {n: F.lit(None).cast(t) for n, t in _DEFAULTS.items() if n not in sources.columns}
     df = sources.withColumns(absent) if absent else sources
@@ -49,13 +50,15 @@ def plan_requests(sources: DataFrame, first: int = 1, wave: int = WAVE) -> DataF
     )
     size = F.coalesce(F.col("limit_value"), F.lit(PAGE_SIZE)).cast("bigint")
     by_items = F.ceil(F.col("max_items") / size)
-    n = F.when(paged, F.least(by_items, F.col("max_pages").cast("bigint"))).otherwise(F.lit(1).cast("bigint"))
+    done = F.coalesce("done_pages", F.lit(0))
+    n = F.when(paged, F.greatest(F.least(by_items, F.col("max_pages").cast("bigint")) - done, F.when(F.coalesce("max_items", "max_pages").isNotNull(), 0))).otherwise(F.lit(1).cast("bigint"))
     checked = F.when(
         problem.isNotNull(),
         F.raise_error(F.concat_ws(": ", F.col("source_id").cast("string"), problem)).cast("bigint"),
     ).otherwise(n)
 
-    start = (F.col("seq") - 1) * size
+    number = F.col("seq") + done
+    start = (number - 1) * size
     limit = F.least(size, F.coalesce(F.col("max_items") - start, size))
     nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
 
@@ -68,7 +71,7 @@ def plan_requests(sources: DataFrame, first: int = 1, wave: int = WAVE) -> DataF
         .when(
             F.col("type") == "page",
             F.map_concat(
-                one(F.coalesce("page_param", F.lit("page")), F.col("seq")),
+                one(F.coalesce("page_param", F.lit("page")), number),
                 one(F.coalesce("limit_param", F.lit("per_page")), size),
             ),
         )
