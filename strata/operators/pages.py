@@ -27,7 +27,7 @@ def stitch_pages(
     """`(source, page, body)` to one row per record `(source, page, item, complete, record)`.
 
     Pages count up from 1; those before the first page without records are kept, and at most `max_items`
-    records per source (a number, or a column of `pages`), in page order. `item` is the 0-based position in
+    records per source (a number, or a column of `pages`; null: all), in page order. `item` is the 0-based position in
     the source. Of a page that landed more than once, the body that is first as text is taken. `complete` is
     false for a source with a missing or repeated page among the kept ones, one that ends at a body
     that holds no list of records, and one with records beyond `max_pages` (no limit by default).
@@ -84,7 +84,7 @@ def stitch_pages(
     records = F.col("_found.records")
     if max_items is not None:
         cap = F.col(max_items) if isinstance(max_items, str) else F.lit(max_items)
-        out = out.filter(F.col("first_item") < cap)
+        out = out.filter(cap.isNull() | (F.col("first_item") < cap))
         room = F.least(cap - F.col("first_item"), F.size(records)).cast("int")
         records = F.slice(records, F.lit(1), room)
     keep = [c for c in pages.columns if c not in ("source", "page", "body")]

@@ -370,7 +370,7 @@ def _event_pages(spark, sf):
     # Landed again with its records in another order; the first as text counts.
     again = F.regexp_replace("body", r"\[(.*),([^,]*)\]", r"[$2,$1]")
     twice = pages.filter("source = 1 AND page % 50 = 0").withColumn("body", again)
-    cap = F.when(F.col("source") == 1, 300).otherwise(1_000_000).cast("bigint")
+    cap = F.when(F.col("source") == 1, 300).cast("bigint")
     return pages.unionByName(twice).withColumn("cap", cap)
 
 

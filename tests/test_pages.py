@@ -93,6 +93,14 @@ def test_stitch_against_brute_force(spark):
     assert sorted((r.source, r.page, r.item) for r in got.collect()) == sorted(want)
 
 
+def test_stitch_null_cap_keeps_all(spark):
+    pages = [("all", 1, body(1, 2), None), ("all", 2, body(3), None), ("some", 1, body(1, 2), 3), ("some", 2, body(3, 4), 3)]
+    out = stitch_pages(spark.createDataFrame(pages, "source string, page int, body string, cap bigint"), max_items="cap")
+    assert sorted((r.source, r.page, r.item) for r in out.collect()) == [
+        ("all", 1, 0), ("all", 1, 1), ("all", 2, 2), ("some", 1, 0), ("some", 1, 1), ("some", 2, 2),
+    ]
+
+
 def chain(source, names):
     return [(source, a, b, f"{source}:{a}") for a, b in zip(names, [*names[1:], None], strict=True)]
 
