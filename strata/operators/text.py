@@ -13,6 +13,10 @@ from strata.functions.expr import once, trim_all
 
 _SIMPLE_PATH = re.compile(r"/[A-Za-z_][\w.-]*(/[A-Za-z_][\w.-]*)*(/@[A-Za-z_][\w.-]*)?")
 _CORRUPT = "_corrupt_record"
+# No character of XML, so no text holds it.
+_APART = "\uffff"
+# The JDK compiles expressions of up to 100 operators and 10 groups.
+_HEAVIEST = 90
 
 
 def _nested(steps: list[list[str]]) -> T.StructType:
@@ -45,13 +49,32 @@ def _parse(df: DataFrame, col: str, root: str, schema: T.StructType) -> DataFram
     return once(df, "_xml", F.from_xml(F.col(col), fields, options))
 
 
+def _weight(path: str) -> int:
+    """No less than what the path adds to an expression: its operators, and its groups as shares of the fewer allowed."""
+    return 5 + len(re.findall(r"[^\w\s]|\b(?:and|or|div|mod)\b", path)) + 9 * len(re.findall(r"(?<![\w-])\(|\b(?:and|or|div|mod)\(", path))
+
+
+def _xpath_texts(text: Column, paths: list[str]) -> Column:
+    """The text of the first node that each XPath finds (empty: none), with one parse for all paths that fit an expression."""
+    together: list[list[str]] = [[]]
+    for path in paths:
+        if together[-1] and sum(map(_weight, [*together[-1], path])) > _HEAVIEST:
+            together.append([])
+        together[-1].append(path)
+    joined = [f", '{_APART}', ".join(some) for some in together]
+    whole = [f"concat({j})" if len(some) > 1 else j for some, j in zip(together, joined, strict=True)]
+    return F.concat(*[F.split(F.xpath_string(text, F.lit(e)), _APART) for e in whole])
+
+
 def extract_xml(df: DataFrame, col: str, fields: Mapping[str, str]) -> DataFrame:
     """Add named fields of an XML text column, given as paths.
 
     Plain paths from one root (`/entry/title`, `/entry/link/@href`) are read in one parse of the
-    text. Other XPath expressions work too, but parse the text once each. An absent element and
+    text. Other XPath expressions work too, with one parse for as many as fit one expression. An absent element and
     text that is not well-formed give null.
     """
+    if not fields:
+        return df
     paths = {n: _steps(p) for n, p in fields.items()}
     roots = {p[0] for p in paths.values()}
     if all(_SIMPLE_PATH.fullmatch(p) for p in fields.values()) and len(roots) == 1 and min(map(len, paths.values())) > 1:
@@ -63,11 +86,13 @@ def extract_xml(df: DataFrame, col: str, fields: Mapping[str, str]) -> DataFrame
 
     probe = F.from_xml(F.col(col), f"{_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     probed = once(df, "_readable", probe[_CORRUPT].isNull())
-    values = {}
-    for name, path in fields.items():
-        texts = path if path.endswith(")") or "/@" in path else f"{path}/text()"
-        values[name] = F.when(F.col("_readable"), trim_all(F.get(F.xpath(F.col(col), F.lit(texts)), F.lit(0))))
-    return probed.withColumns(values).drop("_readable")
+    texts = {n: p if p.endswith(")") or "/@" in p else f"{p}/text()" for n, p in fields.items()}
+    # Text nodes are never empty; attributes may be, so what else is asked for is counted as well.
+    asked = [q for p in texts.values() for q in ([p] if p.endswith("/text()") else [p, f"count({p})"])]
+    probed = once(probed, "_found", F.when(F.col("_readable"), _xpath_texts(F.col(col), asked)))
+    found = {q: F.col("_found")[i] for i, q in enumerate(asked)}
+    there = {p: found[f"count({p})"] != "0" if f"count({p})" in found else found[p] != "" for p in texts.values()}
+    return probed.withColumns({n: F.when(there[p], trim_all(found[p])) for n, p in texts.items()}).drop("_readable", "_found")
 
 
 def extract_xml_rows(df: DataFrame, col: str, rows: str, fields: Mapping[str, str]) -> DataFrame:

@@ -27,6 +27,18 @@ def test_xml(spark, prefix):
     ]
 
 
+def test_xml_xpath_parses_once(spark):
+    """A few XPath expressions share one parse; many are split below the limits of the JDK's compiler."""
+    df = spark.createDataFrame([("<a>" + "".join(f"<b{i} k=''>{i}<!--c--></b{i}>" for i in range(40)) + "</a>",)], "x string")
+    few = text.extract_xml(df, "x", {"f": "//b1", "g": "/a/*[name()='b2']", "h": "//b3/@k", "no": "//b3/@l"}).drop("x")
+    assert few._jdf.queryExecution().optimizedPlan().toString().lower().count("xpath") == 1
+    assert tuple(few.first()) == ("1", "2", "", None)
+    for form in ("//b%d", "/a/*[name()='b%d' or name()='no']", "((//b%d))[1]"):
+        many = text.extract_xml(df, "x", {f"f{i}": form % i for i in range(40)}).drop("x")
+        assert list(many.first()) == [str(i) for i in range(40)]
+    assert text.extract_xml(df, "x", {}).columns == ["x"]
+
+
 def test_xml_rows(spark):
     feed = "<feed><n>2</n><entry id='1'><title> A </title></entry><entry id='2'><title>B</title><m><d>x</d></m></entry></feed>"
     df = spark.createDataFrame([(1, feed), (2, "<feed/>"), (3, "<feed><entry></feed>"), (4, None), (5, "<feed><entry id='9'/></feed>")], "n int, x string")
