@@ -410,7 +410,7 @@ def stitched_turns(spark, sf):
 
 
 def _dump_customers(spark, sf, source, key=None, where="true"):
-    """Customers as page files: one folder per source and 500 keys. Returns the root and the pages."""
+    """Customers as page files: one folder per source, one file per 500 keys. Returns the root and the pages."""
     root = scratch_path(spark, "dump")
     customers = table(spark, sf, "customer").filter(where).select(
         source.alias("source"), (F.floor(F.col("c_custkey") / 500) + 1).alias("page"), "c_custkey"
@@ -419,9 +419,26 @@ def _dump_customers(spark, sf, source, key=None, where="true"):
     if key is not None:
         body = F.concat(F.lit(f'{{"{key}": '), body, F.lit("}"))
     pages = customers.groupBy("source", "page").agg(body.alias("value"))
+    target = qualified(spark, root)
+
+    def write(rows):
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(target)
+        made = set()
+        for row in rows:
+            folder = f"{base}/source={row.source}"
+            if folder not in made:
+                files.create_dir(folder)
+                made.add(folder)
+            with files.open_output_stream(f"{folder}/page={row.page}.json") as out:
+                out.write(row.value.encode("utf-8"))
+
+    # One file a page: Spark's own writer needs a folder, several files and a rename for each. A task that runs again writes
+    # the same files again. By a hash of its own, as a shuffle by the columns grouped on is left out, and few tasks would write.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pages.repartition(tasks, "source", "page").write.partitionBy("source", "page").text(root)
-    return qualified(spark, root), pages
+    pages.repartition(tasks, F.xxhash64("source", "page")).foreachPartition(write)
+    return target, pages
 
 
 @query(

@@ -49,33 +49,45 @@ class FileFetcher:
         if ":/" not in root:
             raise ValueError(f"the root needs a scheme: {root}")
         self.root, self.page_param = root.rstrip("/"), page_param
-        self._pages: dict[str, dict[int, list[str]]] = {}
+        self._pages: dict[str, dict[int, list]] = {}
 
-    def _listed(self, files, where: str) -> dict[int, list[str]]:
-        """The files of each page of a source, listed once per task."""
+    def _listed(self, files, where: str) -> dict[int, list]:
+        """What lies directly below a source, by page, listed once per task."""
         from pyarrow import fs
 
         if where not in self._pages:
-            found: dict[int, list[str]] = {}
-            for entry in files.get_file_info(fs.FileSelector(where, recursive=True)):
-                parts = entry.path[len(where) :].strip("/").split("/")
-                number = parts[0].removeprefix("page=").removesuffix(".json")
-                if entry.is_file and number.isdigit() and not entry.base_name.startswith((".", "_")):
-                    found.setdefault(int(number), []).append(entry.path)
+            found: dict[int, list] = {}
+            for entry in files.get_file_info(fs.FileSelector(where)):
+                number = entry.base_name.removeprefix("page=").removesuffix(".json")
+                if number.isdigit():
+                    found.setdefault(int(number), []).append(entry)
             self._pages = {where: found}
         return self._pages[where]
 
+    @staticmethod
+    def _files(files, entries: list) -> list[str]:
+        """The files of one page; its folders are listed only when the page is asked for."""
+        from pyarrow import fs
+
+        found = []
+        for entry in entries:
+            inside = [entry] if entry.is_file else files.get_file_info(fs.FileSelector(entry.path, recursive=True))
+            found += [e.path for e in inside if e.is_file and not e.base_name.startswith((".", "_"))]
+        return sorted(found)
+
     def __call__(self, source_id: str, params: Mapping[str, str]) -> str:
         from pyarrow import fs
 
         page = int(params.get(self.page_param, 1))
         files, where = fs.FileSystem.from_uri(f"{self.root}/source={source_id}")
         pages = self._listed(files, where)
-        if page not in pages:
-            if page < max(pages, default=0):
+        found = self._files(files, pages.get(page, []))
+        if not found:
+            # The last page first, so that asking beyond the end looks into one folder at most, unless folders are empty.
+            if any(self._files(files, pages[later]) for later in sorted((p for p in pages if p > page), reverse=True)):
                 raise FileNotFoundError(f"page {page} of source {source_id} is missing")
             return "[]"
-        return "".join(files.open_input_stream(f).read().decode("utf-8") for f in sorted(pages[page]))
+        return "".join(files.open_input_stream(f).read().decode("utf-8") for f in found)
 
 
 class HttpFetcher:

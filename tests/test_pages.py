@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -372,3 +373,44 @@ def test_paged_source_ends_where_pages_repeat(spark, tmp_path):
     rows = {r.seq: r for r in reader.load().collect()}
     assert sorted(k for k, r in rows.items() if r.body is not None) == list(range(1, 24))
     assert rows[24].error == "page 24 repeats page 23" and len(rows) <= 26
+
+
+def test_file_fetcher_lists_folders_of_asked_pages_only(tmp_path):
+    from pyarrow import fs
+
+    class Counting:
+        def __init__(self):
+            self.inner, self.listed = fs.LocalFileSystem(), []
+
+        def get_file_info(self, selector):
+            self.listed.append((selector.base_dir, selector.recursive))
+            return self.inner.get_file_info(selector)
+
+    where = tmp_path / "source=a"
+    for page in (1, 2, 4, 6):
+        (where / f"page={page}").mkdir(parents=True)
+    for page in (1, 2, 4):
+        (where / f"page={page}" / "part-0").write_text(f"[{page}]")
+        (where / f"page={page}" / ".part-0.crc").write_text("x")
+    (where / "page=3.json").write_text("[3]")
+    (where / "page=5.json").mkdir()
+    fetcher, files = FileFetcher(f"file://{tmp_path}"), Counting()
+    pages = fetcher._listed(files, str(where))
+    assert fetcher._files(files, pages[2]) == [str(where / "page=2" / "part-0")]
+    assert files.listed == [(str(where), False), (str(where / "page=2"), True)]
+    # Empty folders are no pages: 5 and 6 are beyond the end.
+    assert [fetcher("a", {"page": str(n)}) for n in (1, 2, 3, 4, 5, 6, 7)] == ["[1]", "[2]", "[3]", "[4]", "[]", "[]", "[]"]
+    (where / "page=7.json").write_text("[7]")
+    with pytest.raises(FileNotFoundError):
+        FileFetcher(f"file://{tmp_path}")("a", {"page": "5"})
+
+
+def test_dump_has_one_file_a_page(spark, tmp_path):
+    from strata.queries.landing import _dump_customers
+
+    spark.range(0, 1200).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    root, pages = _dump_customers(spark, str(tmp_path), F.col("c_custkey") % 2)
+    fetcher = FileFetcher(root)
+    assert {(r.source, r.page): r.value for r in pages.collect()} == {(s, p): fetcher(str(s), {"page": str(p)}) for s in (0, 1) for p in (1, 2, 3)}
+    names = sorted(os.path.relpath(os.path.join(at, f), root[7:]) for at, _, found in os.walk(root[7:]) for f in found)
+    assert names == [f"source={s}/page={p}.json" for s in (0, 1) for p in (1, 2, 3)]
