@@ -69,11 +69,12 @@ def ingest_new(
     named = require_pages(fetched).select(F.col("source_id").alias("source"), "page", "body")
     stitched = stitch_pages(named, record_key=record_key)
     whole = F.when(F.col("complete"), F.lit(True)).otherwise(_refuse(F.concat(F.lit("a page is missing, repeated or unreadable: "), F.col("source"))))
+    # Records are read four times below; the checkpoint lets pages be parsed and stitched once.
     known = before.select(F.col("source_id").alias("source"), F.col("page").alias("_page"), F.col("items").alias("_items"))
     records = stitched.filter(whole).join(known, "source", "left").select(
         F.col("source").alias("source_id"), (F.col("page") + F.coalesce(F.col("_page") - 1, F.lit(0))).alias("page"), "item",
         "record", F.to_json("record").alias("json"), (F.col("item") < F.coalesce("_items", F.lit(0))).alias("old"),
-    )
+    ).checkpoint()
 
     # Every source that is among those asked, and has given pages, must still have them as they were.
     asked = before.join(fetched.select("source_id").distinct(), "source_id", "left_semi")

@@ -103,3 +103,19 @@ def test_requests_after_the_pages_done(spark):
     )
     got = [(r.source_id, r.seq, r.last, r.params.get("skip") or r.params.get("page")) for r in plan_requests(sources, 1, 2).orderBy("source_id", "seq").collect()]
     assert got == [("o", 1, 3, "20"), ("o", 2, 3, "30"), ("o", 3, 3, "40"), ("p", 1, 1, "3"), ("r", 1, None, "8"), ("r", 2, None, "9")]
+
+
+def test_pages_are_stitched_once(spark, where):
+    dump(where / "dump", a=7)
+    lake, plans = Lake(), []
+
+    def land(records, number):
+        plans.append(records._jdf.queryExecution().optimizedPlan().toString())
+        Lake.land(lake, records, number)
+
+    lake.land = land
+    run(spark, where, lake, ["a"])
+    dump(where / "dump", a=8)
+    run(spark, where, lake, ["a"])
+    assert lake.all() == [("a", i) for i in range(8)]
+    assert not any("Window" in plan or "Join" in plan for plan in plans)
