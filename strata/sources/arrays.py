@@ -35,11 +35,15 @@ def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = rows.withColumns({n: F.col(c) for n, c in place.items()}).withColumn("_at", F.monotonically_increasing_id())
     bare = F.regexp_replace("value", r"(?s)\\.", "")
     texts = r'"[^"]*("|\z)'
+    # What is within texts for one way of entering the piece is outside for the other, so the two add up to the whole.
+    outside = _depth(F.regexp_replace(bare, texts, ""))
     rows = rows.withColumns(
         {
             "_quotes": F.length(bare) - F.length(F.translate(bare, '"', "")),
-            "_out": _depth(F.regexp_replace(bare, texts, "")),
-            "_in": _depth(F.regexp_replace(F.regexp_replace(bare, r'\A[^"]*("|\z)', ""), texts, "")),
+            "_out": outside,
+            "_in": _depth(bare) - outside,
+            "_opening": (F.col("_range") == 0) & F.col("value").rlike(_OPENING),
+            "_octets": F.octet_length("value"),
         }
     )
     order = Window.partitionBy(*_RANGE).orderBy("_at")
@@ -63,13 +67,13 @@ def _is_border():
 
 def _ranges(pieces: DataFrame) -> DataFrame:
     """One row for each range: how it begins (`_start`, `_base`), elements before it, and what its file is."""
-    opens = F.col("_first") & (F.col("_range") == 0) & F.col("value").rlike(_OPENING)
+    opens = F.col("_first") & F.col("_opening")
     counts = pieces.groupBy(*_RANGE, "_odd", "_depth0", "_depth1").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("_quotes").alias("_quotes"),
         F.sum("_change0").alias("_change0"),
         F.sum("_change1").alias("_change1"),
-        F.sum(F.octet_length("value") + 1).alias("_bytes"),
+        F.sum(F.col("_octets") + 1).alias("_bytes"),
         F.max("_size").alias("_size"),
         F.max(opens).alias("_opens"),
     )

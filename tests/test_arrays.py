@@ -3,13 +3,15 @@
 import gzip
 import json
 import random
+import re
 from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from strata.sources import landing
-from strata.sources.arrays import read_array_elements
+from strata.sources.arrays import _pieces, read_array_elements
 
 BITS = ['"', "\\", "{", "}", "[", "]", ",", ":", "a", "é", "\n", " ", '\\"', "}{", " ", "😀"]
 
@@ -116,3 +118,13 @@ def test_landing_of_arrays(spark, tmp_path):
         assert raw.count() == 4
     with pytest.raises(ValueError, match="splitting"):
         landing.read_landing(spark, path, "json", schema, split=True)
+
+
+def test_states_are_found_without_moving_text(spark, tmp_path):
+    """The text itself stays out of the shuffle where only states of ranges are wanted."""
+    (tmp_path / "a.json").write_text(json.dumps(list(objects(1, 20))))
+    states = _pieces(spark, [str(tmp_path)]).groupBy("_file", "_odd", "_depth0", "_depth1").agg(F.max("_opening"), F.sum("_octets"))
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = plan[plan.rindex("Window [") :].splitlines()[1]
+    assert "Project [" in shuffled and not re.search(r"(\[|, )value#\d+[,\]]", shuffled)
+    assert states.agg(F.max("max(_opening)")).first()[0]
