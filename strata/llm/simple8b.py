@@ -44,13 +44,21 @@ def pack(ids: np.ndarray) -> np.ndarray:
     widest = next(s for s, w in enumerate(WIDTHS) if not int(ids.max()) >> w)
     best = np.full(n, widest, dtype=np.int8)
     here = np.arange(n, dtype=np.int32)
+    small = ids.astype(np.uint32) if widest < len(WIDTHS) - 1 else ids
+    longest = n
     for s in range(widest - 1, -1, -1):
-        wide = np.flatnonzero(ids >> np.uint64(WIDTHS[s])).astype(np.int32)
-        runs = np.diff(wide, prepend=-1)
-        tail = n - 1 - int(wide[-1])
-        if runs.max() > COUNTS[s]:
-            following = np.repeat(wide, runs)  # for each position, where the next id too wide is
-            best[: len(following)][following - here[: len(following)] >= COUNTS[s]] = s
+        if longest < COUNTS[s]:
+            # No run is long enough for this or any narrower packing; only the padded end is left.
+            wide = np.flatnonzero(small[n - longest :] >= 1 << WIDTHS[s])
+            tail = longest = longest - 1 - int(wide[-1]) if len(wide) else longest
+        else:
+            wide = np.flatnonzero(small >= 1 << WIDTHS[s]).astype(np.int32)
+            runs = np.diff(wide, prepend=-1)
+            tail = n - 1 - int(wide[-1])
+            if runs.max() > COUNTS[s]:
+                following = np.repeat(wide, runs)  # for each position, where the next id too wide is
+                best[: len(following)][following - here[: len(following)] >= COUNTS[s]] = s
+            longest = max(int(runs.max()) - 1, tail)
         if tail:
             best[n - tail :] = s  # zeros pad the last word
     after = (here + np.array(COUNTS, dtype=np.int32)[best]).tolist()

@@ -187,3 +187,19 @@ def test_index_of_sums_against_search():
             if found:
                 np.subtract.at(index.left, list(found), 1)
     assert packing.plan_packing(np.array([0, 0, 3]), 2).sequences == 3
+
+
+def test_pack_leaves_out_packings_without_long_runs(monkeypatch):
+    """Ids are scanned again only for packings that the runs found so far are long enough for; the words stay the greedy ones."""
+    plain, scanned = np.flatnonzero, []
+    monkeypatch.setattr(np, "flatnonzero", lambda values: (scanned.append(len(values)), plain(values))[1])
+    ids = np.append(np.full(1000, 40_000), [3, 0, 0, 0])
+    words = simple8b.pack(ids)
+    monkeypatch.undo()
+    assert sum(scanned[:13]) < 3 * len(ids)
+    assert (simple8b.unpack(words, len(ids)) == ids).all()
+    at = 0
+    for selector in (words & np.uint64(15)).astype(int).tolist():
+        fits = lambda s: not (ids[at : at + simple8b.COUNTS[s]] >> simple8b.WIDTHS[s]).any()
+        assert selector == next(s for s in range(16) if fits(s))
+        at += simple8b.COUNTS[selector]
