@@ -31,6 +31,10 @@ MOST_PARTS = 500_000
 BLOCK_IDS = 1 << 16
 MAGIC = b"S8B1"
 
+# The first id too wide for each packing but the escape, and the narrowest packing of each id below 2^16.
+_LIMITS = np.array([1 << w for w in WIDTHS[:-1]], dtype=np.uint64)
+_LEAST = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
+
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """Ids (less than 2^60) as Simple-8b words: greedily the selector that packs most."""
@@ -40,32 +44,19 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if int(ids.max()) >> 60:
         raise ValueError("ids take more than 60 bits")
-    # The narrowest packing that fits every id, then narrower ones where a run of ids is long enough.
-    widest = next(s for s, w in enumerate(WIDTHS) if not int(ids.max()) >> w)
-    best = np.full(n, widest, dtype=np.int8)
-    here = np.arange(n, dtype=np.int32)
-    small = ids.astype(np.uint32) if widest < len(WIDTHS) - 1 else ids
-    longest = n
-    for s in range(widest - 1, -1, -1):
-        if longest < COUNTS[s]:
-            # No run is long enough for this or any narrower packing; only the padded end is left.
-            wide = np.flatnonzero(small[n - longest :] >= 1 << WIDTHS[s])
-            tail = longest = longest - 1 - int(wide[-1]) if len(wide) else longest
-        else:
-            wide = np.flatnonzero(small >= 1 << WIDTHS[s]).astype(np.int32)
-            runs = np.diff(wide, prepend=-1)
-            tail = n - 1 - int(wide[-1])
-            if runs.max() > COUNTS[s]:
-                following = np.repeat(wide, runs)  # for each position, where the next id too wide is
-                best[: len(following)][following - here[: len(following)] >= COUNTS[s]] = s
-            longest = max(int(runs.max()) - 1, tail)
-        if tail:
-            best[n - tail :] = s  # zeros pad the last word
-    after = (here + np.array(COUNTS, dtype=np.int32)[best]).tolist()
-    at, starts = 0, []
+    # For each id the narrowest packing it fits, for each position the widest of these over as many ids as a packing
+    # takes: bytes, and each count is at most twice the one before. Zeros pad the last word.
+    least = _LEAST[ids] if int(ids.max()) < len(_LEAST) else np.searchsorted(_LIMITS, ids, "right").astype(np.uint8)
+    over, size = np.append(least, np.zeros(max(COUNTS), np.uint8)), 1
+    best = np.empty(n, dtype=np.uint8)
+    for s in range(len(COUNTS) - 1, -1, -1):
+        over = np.maximum(over[: len(over) - (COUNTS[s] - size)], over[COUNTS[s] - size :])
+        size = COUNTS[s]
+        best[over[:n] <= s] = s
+    at, starts, follow = 0, [], best.tobytes()
     while at < n:
         starts.append(at)
-        at = after[at]
+        at += COUNTS[follow[at]]
     starts = np.array(starts)
     selectors = best[starts]
     words = selectors.astype(np.uint64)
@@ -137,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
         names = ["block", "first", "n_ids", "doc_ids", "data"]
         for batch in batches:
             for part in slices(batch, "text"):
-                for key, ids in zip(part.column("doc_id").to_pylist(), encode.ids(part.column("text").to_pylist()), strict=True):
+                for key, ids in zip(part.column("doc_id").to_pylist(), encode.ids(part.column("text")), strict=True):
                     held.append(np.append(ids, np.uint32(end_id)))
                     doc_ids.append(key)
                     size += len(ids) + 1

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -203,3 +204,43 @@ def test_pack_leaves_out_packings_without_long_runs(monkeypatch):
         fits = lambda s: not (ids[at : at + simple8b.COUNTS[s]] >> simple8b.WIDTHS[s]).any()
         assert selector == next(s for s in range(16) if fits(s))
         at += simple8b.COUNTS[selector]
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n aé'’.,!_-#1²٣½ªß中𞤀ꟑ́ͅ‍😀"), max_size=30), max_size=8))
+def test_words_with_marks_encode_like_whole_texts(texts):
+    expected = [plain_ids(t) for t in texts]
+    assert [x.tolist() for x in Encoder("byte_bpe_50k.json").ids(texts)] == expected
+    column = pa.array([None, "left out", *texts, None, ""]).slice(2)
+    assert [x.tolist() for x in encoder("byte_bpe_50k.json").ids(column)] == [*expected, [], []]
+    assert encoder("byte_bpe_50k.json").counts(column) == [*map(len, expected), 0, 0]
+
+
+def test_words_are_encoded_once_whatever_marks_follow():
+    own, given = Encoder("byte_bpe_50k.json"), []
+    whole, tokens = own._whole, own._tokens
+    own._whole, own._tokens = lambda texts: (given.extend(texts), whole(texts))[1], lambda word: (given.append(word), tokens(word))[1]
+    words = [a + b + c for a in ("river", "Straße", "ñandú") for b in ("bank", "ging") for c in "abcdefgh"]
+    text = " ".join(w + mark for mark in ("", ",", ".", "!?", "***") for w in words)
+    assert own.ids([text, text])[0].tolist() == plain_ids(text)
+    assert sum(map(len, given)) < 2 * len(" ".join(words))
+
+
+def test_forgetting_keeps_the_most_frequent_pieces(monkeypatch):
+    monkeypatch.setattr("strata.llm.bpe.REMEMBERED", 8)
+    own = Encoder("byte_bpe_50k.json")
+    text = " ".join(c * (9 if c in "xyz" else 2) for c in "abcdefghxyz" for _ in range(40 if c in "xyz" else 2))
+    assert own.ids([text])[0].tolist() == plain_ids(text)
+    own._forget()
+    assert set(own._later) == {"xxxxxxxxx", "yyyyyyyyy", "zzzzzzzzz"}
+    assert own.ids([text])[0].tolist() == plain_ids(text)
+
+
+def test_pack_scans_no_ids_for_each_packing(monkeypatch):
+    """Where each packing fits follows from sliding maxima of bytes; only words are searched by selector."""
+    plain, scanned = np.flatnonzero, []
+    ids = np.random.default_rng(3).zipf(1.2, 5_000).clip(0, 50_256).astype(np.uint64)
+    monkeypatch.setattr(np, "flatnonzero", lambda values: (scanned.append(len(values)), plain(values))[1])
+    words = simple8b.pack(ids)
+    monkeypatch.undo()
+    assert max(scanned) == len(words) < len(ids)
+    assert (simple8b.unpack(words, len(ids)) == ids).all()
