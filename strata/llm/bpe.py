@@ -6,7 +6,7 @@ import re
 import string
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -138,17 +138,16 @@ class Encoder:
         """Find the ids of the pieces that got a number just now; those that are no single word (after a line end) are odd."""
         if not known.fresh:
             return
-        begin, fresh = self._known, known.fresh
-        odd, cut = self._are_odd(fresh, lead), []
-        for i, piece in enumerate(fresh):
-            word = piece.rstrip(_MARKS)
-            if len(word) < len(piece) and word and not odd[i] and self._letters[word[-1]]:
-                cut.append((i, known[word], piece[len(word) :]))  # a word not met yet is now at the end of `fresh`
-        known.fresh = []
-        odd = np.append(odd, np.zeros(len(fresh) - len(odd), bool))
+        begin, fresh, cut = self._known, known.fresh, []
+        odd, single = self._are_odd(fresh, lead), np.fromiter(map(str.isalpha, fresh), bool, len(fresh))
+        for i in np.flatnonzero(~single & ~odd).tolist():
+            word = fresh[i].rstrip(_MARKS)
+            if word and len(word) < len(fresh[i]) and self._letters[word[-1]]:
+                cut.append((i, known[word], fresh[i][len(word) :]))  # a word not met yet is now at the end of `fresh`
+        known.fresh, more = [], fresh[len(odd) :]
+        odd, single = np.append(odd, np.zeros(len(more), bool)), np.append(single, np.array([w.isalpha() for w in more], bool))
         sizes, starts = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
-        single = np.fromiter(map(str.isalpha, fresh), bool, len(fresh))
-        if not all(map(self._letters.__getitem__, set("".join(fresh[k] for k in np.flatnonzero(single & ~odd).tolist())))):
+        if not all(map(self._letters.__getitem__, set("".join(compress(fresh, single & ~odd))))):
             single[:] = False
         mixed = ~single & ~odd
         mixed[[i for i, _, _ in cut]] = False
@@ -171,8 +170,8 @@ class Encoder:
 
     def _are_odd(self, pieces: list[str], lead: str) -> np.ndarray:
         """Which pieces are not one word, with a line end before it at most; mostly none is, and one look at all tells."""
-        ends = sum(p[:1] == "\n" for p in pieces) if lead == " " else 0
-        words = " ".join(pieces).split()
+        joined = " ".join(pieces)
+        words, ends = joined.split(), joined.count("\n") if lead == " " else 0  # line ends are only where pieces begin
         if len(words) == len(pieces) and sum(map(len, words)) == sum(map(len, pieces)) - ends:
             return np.zeros(len(pieces), bool)
         return np.array([len(w := p.split()) != 1 or len(w[0]) != len(p) - (p[0] == "\n" and lead == " ") for p in pieces])
@@ -249,16 +248,19 @@ class Encoder:
 
     def _look_up(self, pieces: pa.Array, firsts: np.ndarray) -> np.ndarray:
         """The numbers of pieces, of which some are the first of their text; new ones are learned."""
-        later = np.ones(len(pieces), bool)
-        later[firsts] = False
-        numbers = np.zeros(len(pieces), np.int64)
-        for known, lead, own in ((self._first, "", ~later), (self._later, " ", later)):
-            coded = pieces.filter(pa.array(own)).dictionary_encode()
-            distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-            known.next = self._known
-            found = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-            self._learn(known, lead)
-            numbers[own] = found[coded.indices.to_numpy()]
+        coded = pieces.dictionary_encode()
+        indices, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        leading = indices[firsts]
+        later = np.flatnonzero(np.bincount(indices, minlength=len(distinct)) > np.bincount(leading, minlength=len(distinct)))
+        found = np.zeros(len(distinct), np.int64)
+        self._first.next = self._known
+        first = np.fromiter(map(self._first.__getitem__, distinct[leading]), np.int64, len(leading))
+        self._learn(self._first, "")
+        self._later.next = self._known
+        found[later] = np.fromiter(map(self._later.__getitem__, distinct[later]), np.int64, len(later))
+        self._learn(self._later, " ")
+        numbers = found[indices]
+        numbers[firsts] = first
         return numbers
 
     def counts(self, texts: list[str | None] | pa.Array) -> list[int]:
